@@ -2,7 +2,7 @@
 
 import importlib
 
-SECTIONS = ("crosssection",)
+SECTIONS = ("sources", "prep", "crosssection", "selection")
 
 
 def load_all():

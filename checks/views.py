@@ -43,7 +43,7 @@ panel AS (
     ['nano', 'micro', 'small', 'large', 'mega'][ntile(5) OVER (PARTITION BY h.mi ORDER BY me, h.permno)] AS size_grp,
     CASE WHEN lines >= 3 THEN disc / lines * 20 END AS betabab_1260d,
     tax / lines * 25 AS betadown_252d, CAST(1.0 AS DOUBLE) AS beta_60m,
-    round(unit_sd / unit_avg, 8) AS rvol_21d, flow / me AS ni_me,
+    round(unit_sd / unit_avg, 10) AS rvol_21d, flow / me AS ni_me,
     disc / lines AS avg_disc, tax / lines AS avg_tax,
     CASE WHEN (h.permno + h.mi) % 11 <> 0 THEN 'T' || (h.permno % 37) END AS ticker,
     CASE WHEN (h.permno + h.mi) % 7 <> 0 THEN s_name END AS company_name,
@@ -120,3 +120,78 @@ scored AS (
 
 TO_UNIVERSE = (PANEL, FORECASTS, JOINED, PE, UNIVERSE)
 TO_SCORED = (*TO_UNIVERSE, SCORED)
+
+
+def _pick(ids: str, held: str, n: str, zone: str, skip_kept: str, skip_fill: str) -> tuple[str, str]:
+    """SQL for the retained ids and for the ids that fill up to n (given `kept`)."""
+    kept = f"list_filter(list_filter({ids}[1:{zone}], lambda p: list_contains({held}, p) AND NOT list_contains({skip_kept}, p)), lambda p, i: i <= {n})"
+    fill = f"list_filter(list_filter({ids}, lambda p: NOT list_contains(kept, p) AND NOT list_contains({skip_fill}, p)), lambda p, i: i <= {n} - len(kept))"
+    return kept, fill
+
+
+def selection(n_long: int, n_short: int, exclude_kept: bool, name: str = "picks") -> str:
+    """Whole-order lists per month, then one recursion step per month."""
+    zl, zs = int(n_long * 2.5), int(n_short * 2.5)
+    none = "CAST([] AS BIGINT[])"
+    kept_l, fill_l = _pick("o.ids_l", "s.hl", str(n_long), str(zl), "s.hs" if exclude_kept else none, "s.hs")
+    kept_s, fill_s = _pick("ids_s", "hs0", str(n_short), str(zs), "longs", "longs")
+    return f"""ords AS (
+  SELECT target_mi, list(permno ORDER BY score DESC, permno) AS ids_l,
+    coalesce(list(permno ORDER BY score, permno DESC) FILTER (me >= 200000), {none}) AS ids_s,
+    row_number() OVER (ORDER BY target_mi) AS k FROM scored GROUP BY 1),
+sel AS (
+  SELECT CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS target_mi, {none} AS hl, {none} AS hs
+  UNION ALL
+  SELECT k, target_mi, longs, list_concat(kept, {fill_s}) FROM (
+    SELECT *, {kept_s} AS kept FROM (
+      SELECT k, target_mi, ids_s, hs0, list_concat(kept, {fill_l.replace('o.ids_l', 'ids_l').replace('s.hs', 'hs0')}) AS longs FROM (
+        SELECT o.k, o.target_mi, o.ids_l, o.ids_s, s.hs AS hs0, {kept_l} AS kept FROM sel s JOIN ords o ON o.k = s.k + 1)))),
+{name} AS (
+  SELECT target_mi, 1 AS side, unnest(hl) AS permno, unnest(generate_series(1, len(hl))) AS place FROM sel WHERE k > 0
+  UNION ALL SELECT target_mi, -1, unnest(hs), unnest(generate_series(1, len(hs))) FROM sel WHERE k > 0)"""
+
+
+CANDIDATES = selection(10, 10, False) + """,
+candidates AS (SELECT s.*, p.side, p.place FROM picks p JOIN scored s USING (target_mi, permno))"""
+
+TO_CANDIDATES = (*TO_SCORED, CANDIDATES)
+
+QUOTA = """sup AS (SELECT target_mi, sector, count(*) AS names, count(*) FILTER (me >= 200000) AS short_names FROM scored GROUP BY 1, 2),
+want AS (
+  SELECT *, least(names, short_names) AS cap,
+    least(least(names, short_names), 10 * names // CAST(sum(names) OVER (PARTITION BY target_mi) AS BIGINT)) AS want FROM sup),
+rem AS (SELECT target_mi, 10 - CAST(sum(want) AS BIGINT) AS rem FROM want GROUP BY 1),
+slot AS (
+  SELECT target_mi, sector, row_number() OVER (PARTITION BY target_mi ORDER BY j DESC, sector DESC) AS n FROM (
+    SELECT target_mi, sector, unnest(generate_series(1, cap - want)) AS j FROM want WHERE cap > want)),
+extra AS (SELECT target_mi, sector, count(*) AS extra FROM slot JOIN rem USING (target_mi) WHERE n <= rem GROUP BY 1, 2),
+quota AS (
+  SELECT w.target_mi, w.sector, names, short_names, CAST(want + coalesce(extra, 0) AS INTEGER) AS slots
+  FROM want w LEFT JOIN extra e ON e.target_mi = w.target_mi AND e.sector = w.sector)"""
+
+
+def balanced() -> str:
+    none = "CAST([] AS BIGINT[])"
+    kept_l, fill_l = _pick("ids_l", "hl0", "slots", "zone", none, none)
+    kept_s, fill_s = _pick("ids_s", "hs0", "slots", "zone", "longs", "longs")
+    return f"""cells AS (
+  SELECT q.target_mi, q.sector, q.slots, CAST(floor(q.slots * 2.5) AS BIGINT) AS zone,
+    (SELECT list(permno ORDER BY score DESC, permno) FROM scored s WHERE s.target_mi = q.target_mi AND s.sector = q.sector) AS ids_l,
+    (SELECT list(permno ORDER BY score, permno) FROM scored s WHERE s.target_mi = q.target_mi AND s.sector = q.sector AND me >= 200000) AS ids_s,
+    dense_rank() OVER (ORDER BY q.target_mi) AS k FROM quota q WHERE q.slots > 0),
+bal AS (
+  SELECT CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS target_mi, {none} AS hl, {none} AS hs
+  UNION ALL
+  SELECT k, target_mi, flatten(list(longs ORDER BY sector)), flatten(list(shorts ORDER BY sector)) FROM (
+    SELECT k, target_mi, sector, longs, list_concat(kept, {fill_s}) AS shorts FROM (
+      SELECT *, {kept_s} AS kept FROM (
+        SELECT k, target_mi, sector, slots, zone, ids_s, hs0, list_concat(kept, {fill_l}) AS longs FROM (
+          SELECT *, {kept_l} AS kept FROM (
+            SELECT c.*, b.hl AS hl0, b.hs AS hs0 FROM bal b JOIN cells c ON c.k = b.k + 1))))) GROUP BY k, target_mi),
+bpicks AS (
+  SELECT target_mi, 1 AS side, unnest(hl) AS permno FROM bal WHERE k > 0
+  UNION ALL SELECT target_mi, -1, unnest(hs) FROM bal WHERE k > 0),
+bcand AS (SELECT s.*, p.side FROM bpicks p JOIN scored s USING (target_mi, permno))"""
+
+
+TO_BALANCED = (*TO_SCORED, QUOTA, balanced())

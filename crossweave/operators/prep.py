@@ -84,10 +84,15 @@ def eligible_imputed(df: DataFrame, min_price: float = MIN_PRICE, month: str = "
     kept = df.filter(is_finite("prc") & (F.abs("prc") >= min_price))
     for c in fallbacks:
         kept = kept.withColumn(c, finite_or_null(c))
+    long = kept.select(month, "permno", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in fallbacks])).alias("p")) \
+        .select(month, "permno", "p.column", "p.value")
+    medians = group_quantiles(long, [month, "column"], "value", "permno", {"mid": 0.5})
+    wide = medians.groupBy(month).pivot("column", list(fallbacks)).agg(F.first("mid"))
+    wide = wide.select(month, *[F.col(c).alias(f"__{c}") for c in fallbacks])
+    kept = kept.join(wide, month, "left")
     for c, constant in fallbacks.items():
-        medians = group_quantiles(kept, [month], c, "permno", {"__mid": 0.5})
-        kept = (kept.join(medians, month, "left")
-                .withColumn(c, F.coalesce(F.col(c), F.col("__mid"), F.lit(constant))).drop("__mid"))
+        kept = kept.withColumn(c, F.coalesce(F.col(c), F.col(f"__{c}"), F.lit(constant))).drop(f"__{c}")
     return kept
 
 

@@ -77,7 +77,7 @@ def build_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("lines") >= 3, (F.col("disc") / F.col("lines") * 20)).alias("betabab_1260d"),
         (F.col("tax") / F.col("lines") * 25).alias("betadown_252d"),
         F.lit(1.0).alias("beta_60m"),
-        F.round(F.col("unit_sd") / F.col("unit_avg"), 8).alias("rvol_21d"),
+        F.round(F.col("unit_sd") / F.col("unit_avg"), 10).alias("rvol_21d"),
         (F.col("flow") / F.col("me")).alias("ni_me"),
         (F.col("disc") / F.col("lines")).alias("avg_disc"),
         (F.col("tax") / F.col("lines")).alias("avg_tax"),
@@ -159,3 +159,20 @@ def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crossweave.plans import score as S
     return shared_stage(spark, sf_dir, "scored", lambda: S.score(universe(spark, sf_dir)))
+
+
+# Fixed leg sizes, as a mandate sets them: the book does not grow with the universe.
+LEG = 10
+SHORT_LEG = 15
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crossweave.operators import selection as E
+    return shared_stage(spark, sf_dir, "candidates", lambda: E.with_scores(
+        E.select_global(scored(spark, sf_dir), LEG, 2.5, SHORT_MIN_ME), scored(spark, sf_dir)))
+
+
+def balanced_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crossweave.operators import selection as E
+    return shared_stage(spark, sf_dir, "balanced", lambda: E.with_scores(
+        E.select_sector_balanced(scored(spark, sf_dir), LEG, 2.5, SHORT_MIN_ME), scored(spark, sf_dir)))
