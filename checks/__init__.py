@@ -2,7 +2,7 @@
 
 import importlib
 
-SECTIONS = ("sources", "prep", "crosssection", "selection")
+SECTIONS = ("sources", "prep", "crosssection", "selection", "sizing", "accounting", "risk", "audits", "trials")
 
 
 def load_all():

@@ -195,3 +195,121 @@ bcand AS (SELECT s.*, p.side FROM bpicks p JOIN scored s USING (target_mi, permn
 
 
 TO_BALANCED = (*TO_SCORED, QUOTA, balanced())
+
+
+def spread(name: str, src: str, part: str, appeal: str, budget: str, cap: str, floor: str, tie: str, out: str) -> str:
+    """CTEs that share a budget by appeal with a floor and a cap, frozen rows first."""
+    o = f"PARTITION BY {part} ORDER BY {appeal} DESC, {tie}"
+    return f"""{name}_a AS (
+  SELECT *, {budget} AS sb, {cap} AS sc, {floor} AS sf, row_number() OVER ({o}) AS si, count(*) OVER (PARTITION BY {part}) AS sn,
+    sum({appeal}) OVER ({o} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS st FROM {src}),
+{name}_b AS (SELECT *, CAST(sf + (sb - (si - 1) * sc - (sn - si + 1) * sf) * {appeal} / st > sc AS INTEGER) AS sh FROM {name}_a),
+{name}_c AS (SELECT *, min(sh) OVER ({o} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sz FROM {name}_b),
+{name} AS (
+  SELECT * EXCLUDE (sb, sc, sf, si, sn, st, sh, sz), CASE WHEN sz = 1 THEN sc ELSE
+    sf + (sb - sum(sz) OVER q * sc - (sn - sum(sz) OVER q) * sf) * {appeal} / sum(CASE WHEN sz = 0 THEN {appeal} END) OVER q END AS {out}
+  FROM {name}_c WINDOW q AS (PARTITION BY {part}))"""
+
+
+def inverse_vol(name: str, src: str, part: str, budget: str, cap: str, out: str) -> str:
+    return f"""{name}_v AS (
+  SELECT *, 1 / least(greatest(rvol_21d, quantile_cont(rvol_21d, 0.05) OVER p), quantile_cont(rvol_21d, 0.95) OVER p) AS inv,
+    least({budget}, count(*) OVER p * {cap}) AS ib FROM {src} WINDOW p AS (PARTITION BY {part})),
+{spread(name + '_s', name + '_v', part, 'inv', 'ib', cap, '0.0', 'permno', out)},
+{name} AS (SELECT * EXCLUDE (inv, ib) FROM {name}_s)"""
+
+
+def beta_matched(name: str, src: str, keys: str) -> str:
+    """Needs columns gross_limit, position_limit, net_min, net_max."""
+    leg = f"{keys}, side"
+    return f"""{inverse_vol(name + '1', src, leg, '1.0', '1.0', 'shr')},
+{name}2 AS (
+  SELECT *, sum(CASE WHEN side > 0 THEN shr * beta_use END) OVER m AS bl, sum(CASE WHEN side < 0 THEN shr * beta_use END) OVER m AS bs,
+    count(*) FILTER (side > 0) OVER m AS nl, count(*) FILTER (side < 0) OVER m AS ns FROM {name}1 WINDOW m AS (PARTITION BY {keys})),
+{name}3 AS (SELECT *, least(greatest(2 * CASE WHEN bl > 0 AND bs > 0 THEN gross_limit * bs / (bl + bs) ELSE gross_limit / 2 END - gross_limit, net_min), net_max) AS bnet FROM {name}2),
+{name}4 AS (SELECT *, (gross_limit + bnet) / 2 AS lb, gross_limit - (gross_limit + bnet) / 2 AS hb FROM {name}3),
+{name}5 AS (
+  SELECT *, CASE WHEN side > 0 THEN lb ELSE hb END
+    * least(1.0, nl * position_limit / greatest(lb, 1e-12), ns * position_limit / greatest(hb, 1e-12)) AS bud FROM {name}4),
+{inverse_vol(name + '6', name + '5', leg, 'bud', 'position_limit', 'aw')},
+{name} AS (SELECT * EXCLUDE (shr, bl, bs, nl, ns, bnet, lb, hb, bud, aw), side * aw AS weight FROM {name}6)"""
+
+
+def rank_tilt(name: str, src: str, keys: str, kind: str) -> str:
+    """Needs columns gross_limit, position_limit, minimum_position_weight."""
+    leg = f"{keys}, sector, side"
+    tilt = {"flat": "1.0", "linear": "CAST(rc - rp + 1 AS DOUBLE)", "steep": "1.0 / rp"}[kind]
+    return f"""{name}1 AS (
+  SELECT *, row_number() OVER (PARTITION BY {leg} ORDER BY side * score DESC, permno) AS rp, count(*) OVER (PARTITION BY {leg}) AS rc,
+    count(*) FILTER (side > 0) OVER (PARTITION BY {keys}) AS nl FROM {src}),
+{name}2 AS (SELECT *, {tilt} AS tl, gross_limit / 2 * rc / nl AS rb FROM {name}1),
+{spread(name + '3', name + '2', leg, 'tl', 'rb', 'position_limit', 'minimum_position_weight', 'rp', 'aw')},
+{name} AS (SELECT * EXCLUDE (rp, rc, nl, tl, rb, aw), side * aw AS weight FROM {name}3)"""
+
+
+SCHED_COLS = "target_mi, permno, side, sector, score, forecast, rvol_21d, beta_use, size, me, dolvol_126d, pe_pct, ticker, company_name"
+
+BOOK = f"""trials(trial, schedule, rule, gross_limit, position_limit, trading_cost_bps) AS (
+  SELECT * FROM (VALUES ('matched_1.0', 'global', 'beta_matched', CAST(1.0 AS DOUBLE), CAST(0.08 AS DOUBLE), CAST(20.0 AS DOUBLE)),
+    ('matched_0.75', 'global', 'beta_matched', 0.75, 0.05, 35.0), ('steep_0.75', 'balanced', 'rank_steep', 0.75, 0.06, 20.0),
+    ('equal_1.0', 'global', 'equal', 1.0, 0.08, 20.0)) t),
+tset AS (SELECT *, CAST(-0.1 AS DOUBLE) AS net_min, CAST(0.1 AS DOUBLE) AS net_max, CAST(0.001 AS DOUBLE) AS minimum_position_weight FROM trials),
+sched AS (SELECT {SCHED_COLS}, 'global' AS schedule FROM candidates UNION ALL SELECT {SCHED_COLS}, 'balanced' FROM bcand),
+tb AS (SELECT * FROM sched JOIN tset USING (schedule)),
+tb_m AS (SELECT * FROM tb WHERE rule = 'beta_matched'), tb_s AS (SELECT * FROM tb WHERE rule = 'rank_steep'),
+{beta_matched('wm', 'tb_m', 'trial, target_mi')},
+{rank_tilt('ws', 'tb_s', 'trial, target_mi', 'steep')},
+we AS (SELECT *, side * gross_limit / count(*) OVER (PARTITION BY trial, target_mi) AS weight FROM tb WHERE rule = 'equal'),
+sized AS (SELECT * FROM wm UNION ALL BY NAME SELECT * FROM ws UNION ALL BY NAME SELECT * FROM we),
+book AS (
+  SELECT s.*, p.ret AS raw_return, coalesce(p.ret, 0) AS filled,
+    least(greatest(3 * 0.1 * coalesce(dolvol_126d_, 0) / 2e7, minimum_position_weight), position_limit) AS liquidity_limit,
+    3 * 0.1 * coalesce(dolvol_126d_, 0) / 2e7 AS liquidity_uncapped
+  FROM (SELECT *, dolvol_126d AS dolvol_126d_ FROM sized) s LEFT JOIN panel p ON p.permno = s.permno AND p.mi = s.target_mi)"""
+
+MARKET = """lv AS (SELECT CAST(o_orderdate AS DATE) AS dt, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS level FROM orders GROUP BY 1),
+lm AS (SELECT year(dt) * 12 + month(dt) AS mi, max_by(level, dt) AS level FROM lv GROUP BY 1),
+mraw AS (SELECT mi, level / lag(level) OVER (ORDER BY mi) - 1 AS mr FROM lm),
+market AS (SELECT mi, 0.2 * least(greatest(mr, -0.5), 0.5) AS market_return FROM mraw WHERE mr IS NOT NULL
+  UNION ALL SELECT mi, NULL FROM mraw WHERE mr IS NULL)"""
+
+CASH = "cashm AS (SELECT mi, max(cash) AS cash, max(rate) AS rate FROM panel GROUP BY 1)"
+
+PAIRS = """pairs AS (
+  SELECT trial, target_mi, list({'w': w, 'd': d} ORDER BY permno) AS pairs FROM (
+    SELECT coalesce(a.trial, b.trial) AS trial, coalesce(a.target_mi, b.target_mi) AS target_mi, coalesce(a.permno, b.permno) AS permno,
+      coalesce(a.weight, 0) AS w, coalesce(b.d, 0) AS d
+    FROM book a FULL JOIN (SELECT trial, target_mi + 1 AS target_mi, permno, weight * (1 + filled) AS d FROM book) b
+      ON a.trial = b.trial AND a.target_mi = b.target_mi AND a.permno = b.permno)
+  GROUP BY 1, 2)"""
+
+LEDGER = f"""{MARKET},
+{CASH},
+gr AS (SELECT b.trial, b.target_mi, max(c.cash) AS cash, max(c.cash) + sum(weight * (filled - c.cash)) AS total_gross,
+    max(trading_cost_bps) / 10000 AS rate_c FROM book b JOIN cashm c ON c.mi = b.target_mi GROUP BY 1, 2),
+{PAIRS},
+steps AS (SELECT g.*, p.pairs, row_number() OVER (PARTITION BY g.trial ORDER BY g.target_mi) AS k FROM gr g JOIN pairs p USING (trial, target_mi)),
+fold AS (
+  SELECT trial, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS target_mi, CAST(0 AS DOUBLE) AS turnover, CAST(0 AS DOUBLE) AS cost, CAST(0 AS DOUBLE) AS total_net
+  FROM (SELECT DISTINCT trial FROM gr)
+  UNION ALL
+  SELECT trial, k, target_mi, tv, tv * rate_c, total_gross - tv * rate_c FROM (
+    SELECT s.trial, s.k, s.target_mi, s.rate_c, s.total_gross,
+      list_sum(list_transform(s.pairs, lambda x: abs(x.w - x.d / (1 + f.total_net)))) AS tv
+    FROM fold f JOIN steps s ON s.trial = f.trial AND s.k = f.k + 1)),
+sexp AS (SELECT trial, target_mi, sector, sum(weight) AS sn, sum(abs(weight)) AS sg FROM book GROUP BY 1, 2, 3),
+ex AS (
+  SELECT trial, target_mi, sum(abs(weight)) AS gross, sum(weight) AS net, max(abs(weight)) AS max_weight, sum(weight * beta_use) AS market_beta,
+    sum(weight * size) AS size_exposure, count(*) FILTER (abs(weight) > 1e-6) AS positions,
+    count(*) FILTER (raw_return IS NULL) AS missing_return_positions, coalesce(sum(abs(weight)) FILTER (raw_return IS NULL), 0) AS missing_return_gross,
+    coalesce(sum(-weight) FILTER (weight < 0), 0) AS short_gross FROM book GROUP BY 1, 2),
+sx AS (SELECT trial, target_mi, max(abs(sn)) AS max_sector_net FROM sexp GROUP BY 1, 2),
+ledger AS (
+  SELECT f.trial, f.target_mi, f.turnover, f.cost, f.total_net, g.cash, g.total_gross, e.gross, e.net, e.max_weight, e.market_beta, e.size_exposure,
+    e.positions, e.missing_return_positions, e.missing_return_gross, e.short_gross, sx.max_sector_net, f.turnover / 2 AS one_way_turnover,
+    c.rate / 1200 + 0.04 / 12 AS hurdle, m.market_return
+  FROM fold f JOIN gr g USING (trial, target_mi) JOIN ex e USING (trial, target_mi) JOIN sx USING (trial, target_mi)
+    JOIN cashm c ON c.mi = f.target_mi LEFT JOIN market m ON m.mi = f.target_mi WHERE f.k > 0)"""
+
+TO_BOOK = (*TO_SCORED, CANDIDATES, QUOTA, balanced(), BOOK)
+TO_LEDGER = (*TO_BOOK, LEDGER)

@@ -38,10 +38,9 @@ def demean_and_clip(df: DataFrame, y: str, month: str, clip_sd: float = 3.0, out
     """Subtract the month mean, then clip at clip_sd population sds of the whole sample."""
     means = df.groupBy(month).agg(F.avg(y).alias("__mean"))
     centred = df.join(means, month).withColumn(out, F.col(y) - F.col("__mean"))
-    spread = centred.agg(F.stddev_pop(out).alias("__sd"))
-    bound = F.col("__sd") * clip_sd
+    bound = centred.agg(F.stddev_pop(out) * clip_sd).scalar()
     value = F.when(F.col(out).isNotNull(), F.least(F.greatest(F.col(out), -bound), bound))
-    return centred.crossJoin(F.broadcast(spread)).withColumn(out, value).drop("__mean", "__sd")
+    return centred.withColumn(out, value).drop("__mean")
 
 
 def unit_rank(df: DataFrame, value: str, keys: list[str], out: str, entity: str = "permno") -> DataFrame:

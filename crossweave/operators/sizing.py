@@ -61,7 +61,7 @@ def beta_matched(book: DataFrame, keys: list[str], gross: Column, cap: Column, n
     Both legs shrink together when one cannot hold its budget under the cap.
     """
     leg = [*keys, "side"]
-    book = book.withColumn("__g", gross).withColumn("__k", cap).withColumn("__lo", net_min).withColumn("__hi", net_max)
+    book = book.withColumn("__g", gross).withColumn("__k", cap).withColumn("__nmin", net_min).withColumn("__nmax", net_max)
     shares = capped_inverse_vol(book, leg, F.lit(1.0), F.lit(1.0), vol, "__share")
     month = W.partitionBy(*keys)
     is_long = F.col("side") > 0
@@ -71,7 +71,7 @@ def beta_matched(book: DataFrame, keys: list[str], gross: Column, cap: Column, n
             .withColumn("__ns", F.sum((~is_long).cast("long")).over(month)))
     matched = F.when((F.col("__bl") > 0) & (F.col("__bs") > 0), F.col("__g") * F.col("__bs") / (F.col("__bl") + F.col("__bs"))) \
         .otherwise(F.col("__g") / 2)
-    net = F.least(F.greatest(2 * matched - F.col("__g"), F.col("__lo")), F.col("__hi"))
+    net = F.least(F.greatest(2 * matched - F.col("__g"), F.col("__nmin")), F.col("__nmax"))
     work = work.withColumn("__long", (F.col("__g") + net) / 2).withColumn("__short", F.col("__g") - F.col("__long"))
     scale = F.least(F.lit(1.0), F.col("__nl") * F.col("__k") / F.greatest(F.col("__long"), F.lit(1e-12)),
                     F.col("__ns") * F.col("__k") / F.greatest(F.col("__short"), F.lit(1e-12)))

@@ -176,3 +176,64 @@ def balanced_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crossweave.operators import selection as E
     return shared_stage(spark, sf_dir, "balanced", lambda: E.with_scores(
         E.select_sector_balanced(scored(spark, sf_dir), LEG, 2.5, SHORT_MIN_ME), scored(spark, sf_dir)))
+
+
+# The trials run on the demo schedules.
+TRIALS = (
+    ("matched_1.0", "global", "beta_matched", 1.0, 0.08, 20.0),
+    ("matched_0.75", "global", "beta_matched", 0.75, 0.05, 35.0),
+    ("steep_0.75", "balanced", "rank_steep", 0.75, 0.06, 20.0),
+    ("equal_1.0", "global", "equal", 1.0, 0.08, 20.0),
+)
+
+
+def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table_ = spark.createDataFrame(
+        TRIALS, "trial string, schedule string, rule string, gross_limit double, position_limit double, trading_cost_bps double")
+    return table_.select("*", F.lit(-0.1).alias("net_min"), F.lit(0.1).alias("net_max"), F.lit(0.001).alias("minimum_position_weight"))
+
+
+def schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keep = ["target_mi", "permno", "side", "sector", "score", "forecast", "rvol_21d", "beta_use", "size", "me", "dolvol_126d", "pe_pct",
+            "ticker", "company_name"]
+    both = candidates(spark, sf_dir).select(*keep, F.lit("global").alias("schedule"))
+    return both.unionByName(balanced_candidates(spark, sf_dir).select(*keep, F.lit("balanced").alias("schedule")))
+
+
+def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panel(spark, sf_dir).select("permno", "mi", "ret")
+
+
+def cash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panel(spark, sf_dir).groupBy("mi").agg(F.max("cash").alias("cash"), F.max("rate").alias("rate"))
+
+
+def market(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark months, damped like the stock returns."""
+    from crossweave.operators import accounting as A
+    raw = A.benchmark_returns(levels(spark, sf_dir))
+    return raw.select("mi", (0.2 * clip("market_return", -0.5, 0.5)).alias("market_return"))
+
+
+def book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All trials' weights with settings, returns and liquidity limits."""
+    from crossweave.operators import accounting as A
+    from crossweave.operators import sizing as Z
+    from crossweave.operators import trials as J
+
+    def build():
+        sized = J.size_trials(trials(spark, sf_dir), schedules(spark, sf_dir))
+        limit = Z.liquidity_cap(F.lit(3.0), F.lit(0.10), F.lit(2e7), F.col("minimum_position_weight"), F.col("position_limit"))
+        raw = 3.0 * 0.10 * F.coalesce(F.col("dolvol_126d"), F.lit(0.0)) / 2e7
+        return A.with_returns(sized, returns(spark, sf_dir)).withColumn("liquidity_limit", limit).withColumn("liquidity_uncapped", raw)
+    return shared_stage(spark, sf_dir, "book", build)
+
+
+def trial_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crossweave.operators import accounting as A
+    from crossweave.operators import trials as J
+
+    def build():
+        led = J.run_trials(trials(spark, sf_dir), schedules(spark, sf_dir), returns(spark, sf_dir), cash(spark, sf_dir), market(spark, sf_dir))
+        return A.attach_hurdle(led, A.official_hurdle(cash(spark, sf_dir)))
+    return shared_stage(spark, sf_dir, "ledger", build)

@@ -39,13 +39,12 @@ def write_table(df: DataFrame, path: str) -> None:
 def complete_trials(checkpoint: DataFrame, months: DataFrame, trial: str = "trial", month: str = "month") -> DataFrame:
     """Trials whose rows are exactly the expected months, once each."""
     expected = months.select(month).distinct()
-    wanted = expected.agg(F.count(F.lit(1)).alias("__want"))
+    wanted = expected.agg(F.count(F.lit(1))).scalar()
     flagged = checkpoint.join(expected.withColumn("__known", F.lit(1)), month, "left")
     per_month = flagged.groupBy(trial, month).agg(F.count(F.lit(1)).alias("__n"), F.max("__known").alias("__known"))
     seen = per_month.groupBy(trial).agg(
         F.sum("__known").alias("__have"), F.count(F.lit(1)).alias("__months"), F.max("__n").alias("__max"))
-    return (seen.crossJoin(F.broadcast(wanted))
-            .filter("__have = __want AND __months = __want AND __max = 1").select(trial))
+    return seen.filter((F.col("__have") == wanted) & (F.col("__months") == wanted) & (F.col("__max") == 1)).select(trial)
 
 
 def pending_trials(trials: DataFrame, checkpoint: DataFrame, months: DataFrame, failed: DataFrame | None = None,
