@@ -2,7 +2,7 @@
 
 import importlib
 
-SECTIONS = ("sources", "prep", "crosssection", "selection", "sizing", "accounting", "risk", "audits", "trials")
+SECTIONS = ("sources", "prep", "crosssection", "selection", "sizing", "accounting", "risk", "audits", "trials", "signals", "quality")
 
 
 def load_all():

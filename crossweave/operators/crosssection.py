@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from crossweave.functions.ols import two_slopes
-from crossweave.operators.ranks import split_rank
+from crossweave.operators.ranks import rank_moments, split_rank
 
 
 def unpivot(df: DataFrame, ids: list[str], columns: list[str], name: str = "feature", value: str = "value") -> DataFrame:
@@ -46,9 +46,9 @@ def demean_and_clip(df: DataFrame, y: str, month: str, clip_sd: float = 3.0, out
 def unit_rank(df: DataFrame, value: str, keys: list[str], out: str, entity: str = "permno") -> DataFrame:
     """Average-tie rank, centred and divided by its population sd (by 1 if that is 0)."""
     ranked = split_rank(df, keys, value, entity, kind="average", rank="__ur")
-    stats = ranked.groupBy(*keys).agg(F.avg("__ur").alias("__um"), F.stddev_pop("__ur").alias("__us"))
-    scale = F.when(F.col("__us") > 0, F.col("__us")).otherwise(F.lit(1.0))
-    return ranked.join(stats, keys).withColumn(out, (F.col("__ur") - F.col("__um")) / scale).drop("__ur", "__um", "__us")
+    scale = F.when(F.col("rank_sd") > 0, F.col("rank_sd")).otherwise(F.lit(1.0))
+    scaled = ranked.join(rank_moments(df, keys, value), keys, "left")
+    return scaled.withColumn(out, (F.col("__ur") - F.col("rank_mean")) / scale).drop("__ur", "rank_mean", "rank_sd")
 
 
 def blend(df: DataFrame, forecast: str, keys: list[str], extra: dict[str, float] | None = None,
@@ -115,9 +115,9 @@ def attach_trailing_percentile(df: DataFrame, panel: DataFrame, value: str = "ni
 def sector_rank_z(df: DataFrame, value: str, month: str, sector: str, out: str, entity: str = "permno") -> DataFrame:
     """Average-tie rank within (month, sector) as a population z-score; NULL where all ranks tie."""
     ranked = split_rank(df, [month, sector], value, entity, kind="average", rank="__sr")
-    stats = ranked.groupBy(month, sector).agg(F.avg("__sr").alias("__m"), F.stddev_pop("__sr").alias("__s"))
-    z = F.when(F.col("__s") > 0, (F.col("__sr") - F.col("__m")) / F.col("__s"))
-    return ranked.join(stats, [month, sector]).withColumn(out, z).drop("__sr", "__m", "__s")
+    z = F.when(F.col("rank_sd") > 0, (F.col("__sr") - F.col("rank_mean")) / F.col("rank_sd"))
+    scored = ranked.join(rank_moments(df, [month, sector], value), [month, sector], "left")
+    return scored.withColumn(out, z).drop("__sr", "rank_mean", "rank_sd")
 
 
 def quantile_bins(df: DataFrame, value: str, month: str, bins: int = 10, out: str = "decile", entity: str = "permno") -> DataFrame:

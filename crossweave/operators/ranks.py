@@ -90,10 +90,10 @@ def split_rank(df: DataFrame, keys: list[str], value: str, tie: str, *, kind: st
     sizes = (counted.groupBy(*keys, "__slice", "__sub").agg(F.count(F.lit(1)).alias("__in"))
              .withColumn("__off", F.sum("__in").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("__in"))
              .withColumn("__all", F.sum("__in").over(W.partitionBy(*keys)))
-             .select(*thin, F.col("__slice").alias("__s"), F.col("__sub").alias("__b"), "__in", "__off", "__all"))
+             .select(*thin, F.col("__slice").alias("__slice_at"), F.col("__sub").alias("__sub_at"), "__in", "__off", "__all"))
     placed = place(work, "left")
     placed = placed.join(F.broadcast(sizes),
-                         on_keys(placed) + [F.col("__slice") == F.col("__s"), F.col("__sub") == F.col("__b")], "left")
+                         on_keys(placed) + [F.col("__slice") == F.col("__slice_at"), F.col("__sub") == F.col("__sub_at")], "left")
 
     # Rows that need no order inside their slice are spread by salt.
     flat = F.col("__v").isNull() if kind == "row" else (F.col("__v").isNull() | F.col("__one"))
@@ -121,6 +121,19 @@ def split_rank(df: DataFrame, keys: list[str], value: str, tie: str, *, kind: st
     return out.select(*df.columns, rank, *([total] if total else []), *([ties] if ties else []))
 
 
+def rank_moments(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Mean and population sd of the average-tie ranks per group: (keys, rank_mean, rank_sd).
+
+    They follow from the sizes of the tie groups, so the ranks themselves are not
+    needed: the variance is (n^2 - 1) / 12 less sum(t^3 - t) / (12 n).
+    """
+    copies = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).cast("double").alias("__t"))
+    sums = copies.groupBy(*keys).agg(F.sum("__t").alias("__n"), F.sum(F.pow("__t", F.lit(3)) - F.col("__t")).alias("__ties"))
+    n = F.col("__n")
+    variance = (n * n * n - n - F.col("__ties")) / (12 * n)
+    return sums.select(*keys, ((n + 1) / 2).alias("rank_mean"), F.sqrt(variance).alias("rank_sd"))
+
+
 def group_quantiles(df: DataFrame, keys: list[str], value: str, tie: str, points: dict[str, float],
                     slice_rows: int | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles per group, from ranks.

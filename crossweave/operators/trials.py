@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from crossweave.operators import accounting as A
 from crossweave.operators import sizing as Z
+from crossweave.session import stage
 
 # Settings and their defaults.
 DEFAULTS = {
@@ -130,8 +131,12 @@ def size_trials(trials: DataFrame, schedules: DataFrame, month: str = "target_mi
 
 def run_trials(trials: DataFrame, schedules: DataFrame, returns: DataFrame, cash: DataFrame, market: DataFrame,
                month: str = "target_mi") -> DataFrame:
-    """Ledgers of all trials in one plan: size, account, attach the market return."""
-    led = A.ledger(size_trials(trials, schedules, month), returns, cash, ["trial"], month=month)
+    """Ledgers of all trials at once: size, account, attach the market return.
+
+    The sized book is staged, because the ledger reads it several times.
+    """
+    sized = stage(size_trials(trials, schedules, month), "sized")
+    led = A.ledger(sized, returns, cash, ["trial"], month=month)
     return led.join(market.select(F.col("mi").alias(month), "market_return"), month, "left")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from crossweave.operators import crosssection as X
 from crossweave.operators import prep as P
+from crossweave.session import stage
 
 KEEP = ("permno", "target_mi", "observed_mi", "eom", "forecast", "alt_forecast", "prc", "me", "size_grp", "gics", "sector",
         "rvol_21d", "dolvol_126d", "ticker", "company_name", "beta_use", "pe_pct")
@@ -27,7 +28,8 @@ def score(universe_df: DataFrame, extra_signals: dict[str, float] | None = None,
 
     The residual is rounded so that float noise cannot decide a rank.
     """
-    ranked = X.blend(universe_df, "forecast", ["target_mi"], extra_signals)
-    ranked = X.unit_rank(ranked, "me", ["target_mi"], "size")
+    # A rank reads its input several times (cuts, counts, rows), so chained ranks start from staged tables.
+    ranked = stage(X.blend(universe_df, "forecast", ["target_mi"], extra_signals), "signal")
+    ranked = stage(X.unit_rank(ranked, "me", ["target_mi"], "size"), "size")
     resid = X.neutralise(ranked, "signal", "size", "beta_use", "target_mi", "sector", "residual")
     return X.smooth(resid, "residual", smooth_months, out="score").withColumn("score", F.round("score", decimals))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from crossweave.functions.columns import clip, month_end, month_index, month_label
 from crossweave.operators.ranks import split_rank
-from crossweave.session import shared_stage
+from crossweave.session import shared_stage, stage
 
 WINDOW_START, WINDOW_END = "1995-02", "2001-07"
 SIZE_GROUPS = ("nano", "micro", "small", "large", "mega")
@@ -65,7 +65,7 @@ def build_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                     F.col("s_nationkey") == F.col("n_nationkey"))
               .select(F.col("s_suppkey").alias("permno"), F.col("s_name").alias("company_name"),
                       F.format_string("1%d%02d10", F.col("n_regionkey"), F.col("n_nationkey")).alias("code")))
-    panel = split_rank(panel, ["mi"], "me", "permno", kind="row", rank="__r", total="__n")
+    panel = split_rank(stage(panel, "cells"), ["mi"], "me", "permno", kind="row", rank="__r", total="__n")
     small, extra = F.floor(F.col("__n") / 5), F.col("__n") % 5
     quintile = F.when(F.col("__r") <= extra * (small + 1), F.ceil(F.col("__r") / (small + 1))) \
         .otherwise(extra + F.ceil((F.col("__r") - extra * (small + 1)) / small))
