@@ -2,7 +2,7 @@
 
 import importlib
 
-SECTIONS = ("sources", "prep", "crosssection", "selection", "sizing", "accounting", "risk", "audits", "trials", "signals", "quality")
+SECTIONS = ("sources", "prep", "crosssection", "selection", "sizing", "accounting", "risk", "audits", "trials", "signals", "quality", "decisions", "altdata", "forecasting")
 
 
 def load_all():
