@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from crossweave.functions.columns import clip, finite_or_null, is_finite, month_index, month_label
 from crossweave.operators.ranks import group_quantiles
+from crossweave.session import known_size
 
 BETA_COLUMNS = ("betabab_1260d", "betadown_252d", "beta_60m")
 MIN_PRICE = 5.0
@@ -90,7 +91,7 @@ def eligible_imputed(df: DataFrame, min_price: float = MIN_PRICE, month: str = "
     medians = group_quantiles(long, [month, "column"], "value", "permno", {"mid": 0.5})
     wide = medians.groupBy(month).pivot("column", list(fallbacks)).agg(F.first("mid"))
     wide = wide.select(month, *[F.col(c).alias(f"__{c}") for c in fallbacks])
-    kept = kept.join(wide, month, "left")
+    kept = kept.join(known_size(wide, "medians"), month, "left")
     for c, constant in fallbacks.items():
         kept = kept.withColumn(c, F.coalesce(F.col(c), F.col(f"__{c}"), F.lit(constant))).drop(f"__{c}")
     return kept

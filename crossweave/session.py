@@ -6,16 +6,18 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
 }
 
 _local_dirs: dict[str, str] = {}
-_shared_stages: dict[tuple[str, str, str], DataFrame] = {}
+_shared_stages: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -49,6 +51,15 @@ def stage_root(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+def _write_stage(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> str:
+    path = f"{stage_root(df.sparkSession)}/{tag}-{uuid.uuid4().hex[:12]}"
+    writer = df.write
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+    return path
+
+
 def stage(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df as a Parquet table and read it back.
 
@@ -56,20 +67,27 @@ def stage(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> Dat
     executor re-reads files instead of replaying the history, and several
     consumers do not recompute the same input.
     """
-    path = f"{stage_root(df.sparkSession)}/{tag}-{uuid.uuid4().hex[:12]}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(_write_stage(df, tag, partition_by))
 
 
 def shared_stage(spark: SparkSession, source: str, tag: str, build) -> DataFrame:
     """Stage build() once per application and source; later calls reuse the table."""
     key = (spark.sparkContext.applicationId, source, tag)
     if key not in _shared_stages:
-        _shared_stages[key] = stage(build(), tag)
-    cached = _shared_stages[key]
-    if cached.sparkSession is not spark:
-        cached = spark.read.schema(cached.schema).parquet(*cached.inputFiles())
-    return cached
+        df = build()
+        _shared_stages[key] = (_write_stage(df, tag), df.schema)
+    path, schema = _shared_stages[key]
+    return spark.read.schema(schema).parquet(path)
+
+
+def known_size(df: DataFrame, tag: str) -> DataFrame:
+    """df, staged first if Spark's estimate of it is above the broadcast threshold.
+
+    An aggregate over a large table is estimated near the size of its input, so a
+    join with it would shuffle the large side before its true size is seen. Staged,
+    its size is that of its files: below the threshold Spark broadcasts it, above it
+    the join shuffles (and splits skewed keys).
+    """
+    conf = df.sparkSession._jsparkSession.sessionState().conf()
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df if estimate <= int(conf.autoBroadcastJoinThreshold()) else stage(df, tag)
