@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.registry import query
+from checks.registry import near, query
 from checks.views import CASH, MARKET, TO_BOOK, TO_LEDGER, label, r6, with_
 from crossweave.functions.columns import month_label
 from crossweave.operators import accounting as A
@@ -17,7 +17,7 @@ TRADE, BORROW = 0.0065, 0.0152
 
 def out(df, *columns, exact=()):
     """(trial, month, exact columns, rounded columns) of a per-month result."""
-    return df.select("trial", month_label("target_mi").alias("month"), *exact, *[F.round(c, 6).alias(c) for c in columns])
+    return df.select("trial", month_label("target_mi").alias("month"), *exact, *[near(c).alias(c) for c in columns])
 
 
 def sel(*columns, exact=(), src="ledger"):
@@ -61,7 +61,7 @@ def ledger_gross_drift(spark, sf):
 
 @query("i04_benchmark_returns", with_(MARKET) + f"SELECT {label('mi')} AS month, {r6('mr')} AS market_return FROM mraw")
 def benchmark_returns(spark, sf):
-    return A.benchmark_returns(D.levels(spark, sf)).select(month_label("mi").alias("month"), F.round("market_return", 6).alias("market_return"))
+    return A.benchmark_returns(D.levels(spark, sf)).select(month_label("mi").alias("month"), near("market_return").alias("market_return"))
 
 
 @query("i05_hurdle", with_(*TO_LEDGER) + sel("hurdle"))
@@ -71,7 +71,7 @@ def hurdle(spark, sf):
 
 
 @query("i06_nav_path", with_(*TO_LEDGER) + f"""
-SELECT trial, {label('target_mi')} AS month, round(1000 * exp(sum(ln(1 + total_net)) OVER (PARTITION BY trial ORDER BY target_mi)), 6) AS nav FROM ledger""")
+SELECT trial, {label('target_mi')} AS month, {r6('1000 * exp(sum(ln(1 + total_net)) OVER (PARTITION BY trial ORDER BY target_mi))')} AS nav FROM ledger""")
 def nav_path(spark, sf):
     return out(A.nav_path(D.trial_ledger(spark, sf), KEYS, start=1000.0), "nav")
 
@@ -101,7 +101,7 @@ def summary_cols(keys):
 
 
 def summary_out(df, keys):
-    return df.select(*keys, "months", "min_positions", *[F.round(c, 6).alias(c) for c in SUMMARY])
+    return df.select(*keys, "months", "min_positions", *[near(c).alias(c) for c in SUMMARY])
 
 
 @query("i07_summarize", with_(*TO_LEDGER) + summary_sql("trial", "ledger") + summary_cols("trial"))
@@ -196,7 +196,7 @@ def scale_book(spark, sf):
     return out(scaled_rows(spark, sf), "traded_s", "cost_s", "ret")
 
 
-@query("i14_nav_open", with_(*TO_OVERLAY, SCALED) + f"SELECT trial, {label('target_mi')} AS month, round(nav_open / 1e9, 6) AS nav_open FROM scaled")
+@query("i14_nav_open", with_(*TO_OVERLAY, SCALED) + f"SELECT trial, {label('target_mi')} AS month, {r6('nav_open / 1e9')} AS nav_open FROM scaled")
 def nav_open(spark, sf):
     return out(scaled_rows(spark, sf).withColumn("nav_open", F.col("nav_open") / 1e9), "nav_open")
 
@@ -293,7 +293,7 @@ def overlay_metrics(spark, sf):
     shares = shares.join(breach_rows(spark, sf).select("trial", "target_mi", "breaches"), ["trial", "target_mi"])
     m = A.overlay_metrics(drifted_rows(spark, sf), shares, KEYS)
     whole = ("trial", "breaches", "months_with_breach")
-    return m.select(*whole, *[F.round(c, 6).alias(c) for c in m.columns if c not in whole])
+    return m.select(*whole, *[near(c).alias(c) for c in m.columns if c not in whole])
 
 
 @query("i17_beta_with_se", with_(*TO_LEDGER) + f"""
@@ -302,7 +302,7 @@ FROM (SELECT trial, total_net - cash AS y, market_return - cash AS x FROM ledger
 def beta_with_se(spark, sf):
     rows = D.trial_ledger(spark, sf).withColumn("y", F.col("total_net") - F.col("cash")).withColumn("xm", F.col("market_return") - F.col("cash"))
     b = A.beta_with_se(rows, KEYS, "y", "xm")
-    return b.select("trial", F.round("beta", 6).alias("beta"), F.round("se", 6).alias("se"))
+    return b.select("trial", near("beta").alias("beta"), near("se").alias("se"))
 
 
 FILLED = """lab AS (

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.registry import query
+from checks.registry import near, query
 from checks.views import PANEL, label, r6, unit_rank, with_
 from crossweave.functions.columns import month_label
 from crossweave.operators import altdata as N
@@ -63,28 +63,28 @@ GROWTH = ("yoy", "yoy3", "yoy2y")
 
 @query("n02_growth", with_(PANEL, FEATURES) + f"SELECT dataset, permno, {label('mi')} AS month, {', '.join(f'{r6(c)} AS {c}' for c in GROWTH)} FROM feat")
 def growth(spark, sf):
-    return N.growth_features(D.alt_series(spark, sf), BY).select("dataset", "permno", month_label("mi").alias("month"), *[F.round(c, 6).alias(c) for c in GROWTH])
+    return N.growth_features(D.alt_series(spark, sf), BY).select("dataset", "permno", month_label("mi").alias("month"), *[near(c).alias(c) for c in GROWTH])
 
 
 @query("n03_accel", with_(PANEL, FEATURES) + f"SELECT dataset, permno, {label('mi')} AS month, {r6('accel')} AS accel FROM feat")
 def accel(spark, sf):
-    return features(spark, sf).select("dataset", "permno", month_label("mi").alias("month"), F.round("accel", 6).alias("accel"))
+    return features(spark, sf).select("dataset", "permno", month_label("mi").alias("month"), near("accel").alias("accel"))
 
 
 @query("n04_growth_z", with_(PANEL, FEATURES) + f"SELECT dataset, permno, {label('mi')} AS month, {r6('z')} AS z FROM feat")
 def growth_z(spark, sf):
-    return features(spark, sf).select("dataset", "permno", month_label("mi").alias("month"), F.round("z", 6).alias("z"))
+    return features(spark, sf).select("dataset", "permno", month_label("mi").alias("month"), near("z").alias("z"))
 
 
 @query("n05_sector_percentile", with_(PANEL, FEATURES, USABLE, RANKED) + f"SELECT dataset, permno, {label('formation_mi')} AS month, sector, {r6('rank')} AS rank FROM rk")
 def sector_percentile(spark, sf):
-    return ranked(spark, sf).select("dataset", "permno", month_label("formation_mi").alias("month"), "sector", F.round("rank", 6).alias("rank"))
+    return ranked(spark, sf).select("dataset", "permno", month_label("formation_mi").alias("month"), "sector", near("rank").alias("rank"))
 
 
 @query("n05_combined_score", with_(PANEL, FEATURES, USABLE, RANKED) + f"""
-SELECT permno, {label('formation_mi')} AS month, {', '.join(f"round(max(rank) FILTER (dataset = '{d}'), 6) + 0.0 AS {d}_rank" for d in LAGS)},
+SELECT permno, {label('formation_mi')} AS month, {', '.join(f"round((max(rank) FILTER (dataset = '{d}')) + 3e-11, 6) + 0.0 AS {d}_rank" for d in LAGS)},
   {r6('avg(rank)')} AS ca_score, CAST(count(*) AS INTEGER) AS ca_n_sources FROM rk GROUP BY permno, formation_mi""")
 def combined_score(spark, sf):
     c = N.combined_score(ranked(spark, sf), list(LAGS))
-    return c.select("permno", month_label("formation_mi").alias("month"), *[F.round(f"{d}_rank", 6).alias(f"{d}_rank") for d in LAGS],
-                    F.round("ca_score", 6).alias("ca_score"), "ca_n_sources")
+    return c.select("permno", month_label("formation_mi").alias("month"), *[near(f"{d}_rank").alias(f"{d}_rank") for d in LAGS],
+                    near("ca_score").alias("ca_score"), "ca_n_sources")

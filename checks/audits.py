@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks.accounting import BREACHES, LEDGER_FLAGS, NAME_FLAGS, TO_DRIFTED, TOTALS, breach_rows, drifted_rows, flag_sql
-from checks.registry import query
+from checks.registry import near, query
 from checks.risk import FROM, TO_RISK, factors, history_z
 from checks.views import LEDGER, TO_BOOK, TO_LEDGER, label, r6, with_
 from crossweave.functions.columns import month_label
@@ -17,7 +17,7 @@ BY = ["trial", "target_mi"]
 
 
 def out(df, *columns, exact=()):
-    return df.select("trial", month_label("target_mi").alias("month"), *exact, *[F.round(c, 6).alias(c) for c in columns])
+    return df.select("trial", month_label("target_mi").alias("month"), *exact, *[near(c).alias(c) for c in columns])
 
 
 OPTIONAL = {"beta_limit": 0.0, "sector_limit": 0.02, "size_limit": 0.10, "turnover_limit": 0.75, "annual_vol_limit": 0.05,
@@ -98,7 +98,7 @@ def drift_audit(spark, sf):
 @query("h04_drift_rollup", with_(*TO_LEDGER, DRIFT) + f"""
 SELECT trial, {r6('max(monthend_max_weight)')} AS max_monthend_weight, count(*) FILTER (monthend_names_over_limit > 0) AS months_over_limit FROM da GROUP BY 1""")
 def drift_rollup(spark, sf):
-    return H.drift_rollup(drift_rows(spark, sf), ["trial"]).withColumn("max_monthend_weight", F.round("max_monthend_weight", 6))
+    return H.drift_rollup(drift_rows(spark, sf), ["trial"]).withColumn("max_monthend_weight", near("max_monthend_weight"))
 
 
 @query("h05_concentration", with_(*TO_BOOK) + f"""

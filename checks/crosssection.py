@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.registry import query
+from checks.registry import near, query
 from checks.views import PANEL, TO_SCORED, TO_UNIVERSE, label, r6, unit_rank, with_
 from crossweave.functions.columns import month_label
 from crossweave.operators import crosssection as X
@@ -29,7 +29,7 @@ SELECT l.permno, l.month, l.feature, {r6('CASE WHEN t.top > 1 THEN (t.dr - 1) /
 FROM long l LEFT JOIN t ON t.permno = l.permno AND t.month = l.month AND t.feature = l.feature""")
 def rank_keep_missing(spark, sf):
     ranked = X.rank_keep_missing_long(D.panel(spark, sf), FEATURES, "mi")
-    return ranked.select("permno", month_label("mi").alias("month"), "feature", F.round("ranked", 6).alias("ranked"))
+    return ranked.select("permno", month_label("mi").alias("month"), "feature", near("ranked").alias("ranked"))
 
 
 @query("c01_rank_keep_missing_wide", RANKED_SQL + f"""
@@ -38,8 +38,8 @@ SELECT l.permno, l.month, {r6("max(CASE WHEN l.feature = 'ret_12_1' AND t.top >
 FROM long l LEFT JOIN t ON t.permno = l.permno AND t.month = l.month AND t.feature = l.feature GROUP BY 1, 2""")
 def rank_keep_missing_wide(spark, sf):
     wide = X.rank_keep_missing(D.panel(spark, sf), ["ret_12_1", "disc_top"], "mi")
-    return wide.select("permno", month_label("mi").alias("month"), F.round("ret_12_1", 6).alias("ret_12_1"),
-                       F.round("disc_top", 6).alias("disc_top"))
+    return wide.select("permno", month_label("mi").alias("month"), near("ret_12_1").alias("ret_12_1"),
+                       near("disc_top").alias("disc_top"))
 
 
 @query("c02_demean_and_clip", with_(PANEL) + f"""
@@ -49,13 +49,13 @@ SELECT permno, month, {r6('least(greatest(y, -2 * sd), 2 * sd)')} AS target FROM
 def demean_and_clip(spark, sf):
     known = D.panel(spark, sf).filter("ret_exc_lead1m IS NOT NULL")
     out = X.demean_and_clip(known, "ret_exc_lead1m", "mi", clip_sd=2.0)
-    return out.select("permno", "month", F.round("target", 6).alias("target"))
+    return out.select("permno", "month", near("target").alias("target"))
 
 
 @query("c03_unit_rank", with_(*TO_SCORED) + f"SELECT permno, {label('target_mi')} AS month, {r6('signal')} AS signal FROM scored")
 def unit_rank_query(spark, sf):
     out = X.unit_rank(D.universe(spark, sf), "forecast", ["target_mi"], "signal")
-    return monthly(out).select("permno", "month", F.round("signal", 6).alias("signal"))
+    return monthly(out).select("permno", "month", near("signal").alias("signal"))
 
 
 @query("c04_blend", with_(*TO_SCORED) + f"""
@@ -65,30 +65,30 @@ b AS (SELECT *, coalesce((rp - avg(rp) OVER m) / coalesce(nullif(stddev_pop(rp)
 SELECT permno, {label('target_mi')} AS month, {r6('0.9 * signal + 0.1 * zp')} AS signal FROM b""")
 def blend(spark, sf):
     out = X.blend(D.universe(spark, sf), "forecast", ["target_mi"], {"pe_pct": 0.1}, 0.9)
-    return monthly(out).select("permno", "month", F.round("signal", 6).alias("signal"))
+    return monthly(out).select("permno", "month", near("signal").alias("signal"))
 
 
 @query("c05_neutralise", with_(*TO_SCORED) + f"SELECT permno, {label('target_mi')} AS month, sector, {r6('residual')} AS residual FROM scored")
 def neutralise(spark, sf):
-    return monthly(D.scored(spark, sf)).select("permno", "month", "sector", F.round("residual", 6).alias("residual"))
+    return monthly(D.scored(spark, sf)).select("permno", "month", "sector", near("residual").alias("residual"))
 
 
 @query("c06_size_exposure", with_(*TO_SCORED) + f"SELECT permno, {label('target_mi')} AS month, {r6('size')} AS size FROM scored")
 def size_exposure(spark, sf):
     out = X.unit_rank(D.universe(spark, sf), "me", ["target_mi"], "size")
-    return monthly(out).select("permno", "month", F.round("size", 6).alias("size"))
+    return monthly(out).select("permno", "month", near("size").alias("size"))
 
 
 @query("c07_smooth", with_(*TO_SCORED) + f"SELECT permno, {label('target_mi')} AS month, {r6('score')} AS score FROM scored")
 def smooth(spark, sf):
     return monthly(X.smooth(D.scored(spark, sf).drop("score"), "residual", 3, out="score")).select(
-        "permno", "month", F.round("score", 6).alias("score"))
+        "permno", "month", near("score").alias("score"))
 
 
 @query("c08_trailing_percentile", with_(*TO_UNIVERSE) + f"SELECT permno, {label('mi')} AS month, {r6('pe_pct')} AS pe_pct FROM pe")
 def trailing_percentile(spark, sf):
     out = X.trailing_percentile(D.panel(spark, sf).select("permno", "mi", "ni_me"), "ni_me")
-    return monthly(out, "mi").select("permno", "month", F.round("pe_pct", 6).alias("pe_pct"))
+    return monthly(out, "mi").select("permno", "month", near("pe_pct").alias("pe_pct"))
 
 
 @query("c09_sector_rank_z", with_(*TO_UNIVERSE) + f"""
@@ -97,7 +97,7 @@ SELECT permno, {label('target_mi')} AS month, sector,
   {r6('(rk - avg(rk) OVER s) / nullif(stddev_pop(rk) OVER s, 0)')} AS z FROM r WINDOW s AS (PARTITION BY target_mi, sector)""")
 def sector_rank_z(spark, sf):
     out = X.sector_rank_z(D.universe(spark, sf), "forecast", "target_mi", "sector", "z")
-    return monthly(out).select("permno", "month", "sector", F.round("z", 6).alias("z"))
+    return monthly(out).select("permno", "month", "sector", near("z").alias("z"))
 
 
 @query("c10_quantile_bins", with_(*TO_SCORED) + f"""
@@ -128,6 +128,6 @@ SELECT permno, {label('target_mi')} AS month, {r6('12 * 0.03 * rvol_21d * score
 FROM scored WINDOW m AS (PARTITION BY target_mi)""")
 def alpha_forms(spark, sf):
     out = monthly(X.alpha_forms(D.scored(spark, sf), "target_mi", vol="rvol_21d"))
-    return out.select("permno", "month", *[F.round(c, 6).alias(c) for c in ("alpha_ic", "alpha_forecast", "alpha_score")])
+    return out.select("permno", "month", *[near(c).alias(c) for c in ("alpha_ic", "alpha_forecast", "alpha_score")])
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.registry import query
+from checks.registry import near, query
 from checks.views import TO_SCORED, label, r6, with_
 from crossweave.functions.columns import month_label
 from crossweave.operators import decisions as M
@@ -44,7 +44,7 @@ def wide(spark, sf):
 @query("m01_sector_inputs_long", with_(*TO_SCORED, INPUTS) + f"""
 SELECT {label('target_mi')} AS month, sector, {r6('share')} AS share, {r6('disp')} AS disp, {r6('vol')} AS vol FROM sl_""")
 def sector_inputs_long(spark, sf):
-    return long_inputs(spark, sf).select(month_label("target_mi").alias("month"), "sector", *[F.round(c, 6).alias(c) for c in ("share", "disp", "vol")])
+    return long_inputs(spark, sf).select(month_label("target_mi").alias("month"), "sector", *[near(c).alias(c) for c in ("share", "disp", "vol")])
 
 
 @query("m01_sector_inputs", with_(*TO_SCORED, INPUTS) + "SELECT * FROM wide")

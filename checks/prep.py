@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.registry import query
+from checks.registry import near, query
 from checks.views import FORECASTS, JOINED, PANEL, TO_UNIVERSE, label, r6, with_
 from crossweave.functions.columns import month_label
 from crossweave.operators import prep as P
@@ -40,13 +40,13 @@ SELECT permno, {label('target_mi')} AS target_month, {label('observed_mi')} AS o
 def lagged_join(spark, sf):
     out = P.lagged_join(D.forecasts(spark, sf), D.panel(spark, sf))
     return out.select("permno", month_label("target_mi").alias("target_month"), month_label("observed_mi").alias("observed_month"),
-                      F.round("forecast", 6).alias("forecast"), F.round("prc", 6).alias("prc"))
+                      near("forecast").alias("forecast"), near("prc").alias("prc"))
 
 
 @query("b05_beta_use", with_(PANEL) + f"""
 SELECT permno, month, {r6('least(greatest(coalesce(betabab_1260d, betadown_252d, beta_60m), -0.5), 1.5)')} AS beta_use FROM panel""")
 def beta_use(spark, sf):
-    return D.panel(spark, sf).select("permno", "month", F.round(P.beta_use(high=1.5), 6).alias("beta_use"))
+    return D.panel(spark, sf).select("permno", "month", near(P.beta_use(high=1.5)).alias("beta_use"))
 
 
 @query("b06_eligible", with_(*TO_UNIVERSE) + f"SELECT permno, {label('target_mi')} AS month FROM universe")
@@ -73,7 +73,7 @@ def eligible_imputed(spark, sf):
                            F.when(F.col("beta_use") >= 0.8, F.col("beta_use")).alias("beta_use"))
     out = P.eligible_imputed(joined, D.MIN_PRICE)
     return out.select("permno", month_label("target_mi").alias("month"),
-                      *[F.round(c, 6).alias(c) for c in ("me", "beta_use", "rvol_21d")])
+                      *[near(c).alias(c) for c in ("me", "beta_use", "rvol_21d")])
 
 
 @query("b08_sector_code", with_(PANEL) + "SELECT coalesce(substr(gics, 1, 2), 'na') AS sector, count(*) AS n FROM panel GROUP BY 1")
@@ -103,7 +103,7 @@ SELECT month, {r6('median(ret - ret_exc)')} AS cash, max(ret - ret_exc) - min(re
 FROM panel WHERE ret IS NOT NULL GROUP BY 1""")
 def implied_cash(spark, sf):
     return P.implied_cash(D.panel(spark, sf), strict=True).select(
-        month_label("mi").alias("month"), F.round("cash", 6).alias("cash"), "consistent")
+        month_label("mi").alias("month"), near("cash").alias("cash"), "consistent")
 
 
 @query("b11_fill_labels", with_(PANEL) + """
@@ -131,6 +131,6 @@ SELECT month, count(*) AS missing_return_positions, {r6('sum(abs(ni_me))')} AS m
 def missing_exposure(spark, sf):
     held = D.panel(spark, sf).select("month", F.col("ni_me").alias("weight"), F.col("ret").alias("raw_return"))
     out = P.missing_exposure(held, ["month"])
-    return out.withColumn("missing_return_gross", F.round("missing_return_gross", 6))
+    return out.withColumn("missing_return_gross", near("missing_return_gross"))
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.registry import query
+from checks.registry import near, query
 from checks.views import FILINGS, PANEL, label, r6, with_
 from crossweave.functions.columns import month_label
 from crossweave.operators import quality as L
@@ -16,7 +16,7 @@ GROUPS = ("left early", "left late", "listed")
 
 
 def rounded(df, *columns, exact=()):
-    return df.select(*exact, *[F.round(c, 6).alias(c) for c in columns])
+    return df.select(*exact, *[near(c).alias(c) for c in columns])
 
 
 def customers(spark, sf):
@@ -142,7 +142,7 @@ def survivorship_flag(spark, sf):
 , n AS (SELECT mi, count(*) AS n FROM cust GROUP BY 1), lv AS (SELECT avg(n) AS level FROM n WHERE (mi - 1) // 12 = 2000)
 SELECT {label('min(mi)')} AS start, {r6('max(level)')} AS level FROM n, lv WHERE n >= 0.5 * level""")
 def real_start(spark, sf):
-    return L.real_start(customers(spark, sf), 2000).select(month_label("start").alias("start"), F.round("level", 6).alias("level"))
+    return L.real_start(customers(spark, sf), 2000).select(month_label("start").alias("start"), near("level").alias("level"))
 
 
 @query("l10_event_lag_buckets", with_(FILINGS) + f"""
@@ -187,7 +187,7 @@ def event_coverage(spark, sf):
 
 
 @query("l12_event_coverage_by_size", with_(EVENTS) + f"""
-SELECT size_last, {pivot_cols("round(avg(CAST(recent AS INTEGER)) FILTER (\"group\" = '{g}'), 6) + 0.0")} FROM fl GROUP BY 1""")
+SELECT size_last, {pivot_cols("round((avg(CAST(recent AS INTEGER)) FILTER (\"group\" = '{g}')) + 3e-11, 6) + 0.0")} FROM fl GROUP BY 1""")
 def event_coverage_by_size(spark, sf):
     return rounded(L.event_coverage_by_size(L.event_flags(*event_parts(spark, sf))), *GROUPS, exact=("size_last",))
 
@@ -197,7 +197,7 @@ def event_coverage_by_size(spark, sf):
 ey AS (SELECT DISTINCT permno, CAST((mi - 1) // 12 AS INTEGER) AS year FROM ev),
 hs AS (SELECT pr.*, CAST(ey.permno IS NOT NULL AS INTEGER) AS has FROM pr LEFT JOIN ey ON ey.permno = pr.permno AND ey.year = pr.year),
 ec AS (SELECT CAST((mi - 1) // 12 AS INTEGER) AS year, count(*) AS events FROM ev GROUP BY 1)
-SELECT year, {pivot_cols("round(avg(has) FILTER (\"group\" = '{g}'), 6) + 0.0")}, {r6('avg(has)')} AS "all", any_value(events) AS events FROM hs LEFT JOIN ec USING (year) GROUP BY 1""")
+SELECT year, {pivot_cols("round((avg(has) FILTER (\"group\" = '{g}')) + 3e-11, 6) + 0.0")}, {r6('avg(has)')} AS "all", any_value(events) AS events FROM hs LEFT JOIN ec USING (year) GROUP BY 1""")
 def event_coverage_by_year(spark, sf):
     return rounded(L.event_coverage_by_year(*event_parts(spark, sf)), *GROUPS, "all", exact=("year", "events"))
 
@@ -229,7 +229,7 @@ def plant_errors(spark, sf):
     for name, p in slices(spark, sf).items():
         one = p.agg(F.lit(name).alias("slice"), F.count(F.lit(1)).alias("rows"), F.count_distinct("permno").alias("entities"),
                     (F.count(F.lit(1)) - F.count_distinct("permno", "mi")).alias("duplicate_keys"),
-                    F.round(F.sum(F.when(F.col("mi") == SHIFT_FROM, F.col("ni_me"))), 6).alias("ni_me_before"))
+                    near(F.sum(F.when(F.col("mi") == SHIFT_FROM, F.col("ni_me")))).alias("ni_me_before"))
         parts = one if parts is None else parts.unionByName(one)
     return parts
 
@@ -249,7 +249,7 @@ def scorecard_sql():
                 "key_changed": f"(SELECT CAST(count(DISTINCT permno) AS DOUBLE) FROM k_{t} WHERE k <> prev)",
                 "switched_back": f"(SELECT CAST(count(DISTINCT permno) AS DOUBLE) FROM (SELECT permno FROM k_{t} WHERE n = 1 OR k <> prev GROUP BY permno, k HAVING count(*) > 1))",
                 "missing_size_ratio": f"(SELECT median(ratio) FROM r_{t})", "exit_share": exits, "survivorship_flag": f"CAST({exits} < 0.01 AS DOUBLE)"}.items():
-            rules.setdefault(rule, []).append(f"round({e}, 6) + 0.0 AS {n}")
+            rules.setdefault(rule, []).append(f"round(({e}) + 3e-11, 6) + 0.0 AS {n}")
     return with_(PANEL, MISS, SLICED, *ctes) + " UNION ALL ".join(f"SELECT '{r}' AS rule, {', '.join(cols)}" for r, cols in rules.items())
 
 

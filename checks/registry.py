@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -19,3 +20,8 @@ def query(name: str, sql: str | None = None):
             SQL[name] = sql
         return fn
     return register
+
+
+def near(c) -> Column:
+    """Six places, shifted like the SQL side so that exact halves round alike."""
+    return F.round((F.col(c) if isinstance(c, str) else c) + F.lit(3e-11), 6)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.registry import query
+from checks.registry import near, query
 from checks.views import PANEL, TO_BOOK, TO_CANDIDATES, label, r6, with_
 from crossweave.functions.columns import month_label
 from crossweave.operators import accounting as A
@@ -44,7 +44,7 @@ TO_RISK = (*TO_BOOK, MOM, LW)
 
 
 def month(df, *columns, exact=()):
-    return df.select(month_label("target_mi").alias("month"), *exact, *[F.round(c, 6).alias(c) for c in columns])
+    return df.select(month_label("target_mi").alias("month"), *exact, *[near(c).alias(c) for c in columns])
 
 
 def targets(spark, sf):
@@ -181,7 +181,7 @@ def dimson_beta(spark, sf):
     first = R.number_days(daily).groupBy((F.year("date") * 12 + F.month("date")).alias("mi")).agg(F.min("di").alias("di"))
     formations = D.panel(spark, sf).select("permno", "mi").join(first, "mi")
     b = R.dimson_beta(daily, groups, formations, minimum=40).join(first, "di")
-    return b.select("permno", month_label("mi").alias("month"), "days", F.round("sector_beta", 6).alias("sector_beta"))
+    return b.select("permno", month_label("mi").alias("month"), "days", near("sector_beta").alias("sector_beta"))
 
 
 @query("g09_exposures", with_(*TO_BOOK) + f"""

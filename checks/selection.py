@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.registry import query
+from checks.registry import near, query
 from checks.views import QUOTA, TO_BALANCED, TO_CANDIDATES, TO_SCORED, label, r6, selection, with_
 from crossweave.functions.columns import month_label
 from crossweave.operators import selection as E
@@ -57,8 +57,8 @@ def naive_long_short_return(spark, sf):
     book = Z.equal_weight(E.select_naive(D.scored(spark, sf), D.LEG), ["target_mi"], F.lit(2.0))
     realised = D.panel(spark, sf).select("permno", F.col("mi").alias("target_mi"), "ret")
     return (book.join(realised, ["permno", "target_mi"], "left").groupBy(month_label("target_mi").alias("month")).agg(
-        F.count(F.lit(1)).alias("names"), F.round(F.sum(F.abs("weight")), 6).alias("gross"), F.round(F.sum("weight"), 6).alias("net"),
-        F.round(F.sum(F.col("weight") * F.coalesce("ret", F.lit(0.0))), 6).alias("long_short_return")))
+        F.count(F.lit(1)).alias("names"), near(F.sum(F.abs("weight"))).alias("gross"), near(F.sum("weight")).alias("net"),
+        near(F.sum(F.col("weight") * F.coalesce("ret", F.lit(0.0)))).alias("long_short_return")))
 
 
 @query("e06_check_legs", with_(*TO_CANDIDATES) + f"""

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.registry import query
+from checks.registry import near, query
 from checks.views import FORECASTS, JOINED, PANEL, TO_SCORED, label, r6, unit_rank, with_
 from crossweave.functions.columns import month_label
 from crossweave.operators import crosssection as X
@@ -35,7 +35,7 @@ MEASURES = ("ic_raw", "ic_alpha", "spread_raw", "spread_alpha")
 
 
 def rounded(df, *columns, exact=()):
-    return df.select(*exact, *[F.round(c, 6).alias(c) for c in columns])
+    return df.select(*exact, *[near(c).alias(c) for c in columns])
 
 
 def checked(spark, sf):
@@ -217,7 +217,7 @@ def surv_sql():
         for state, cond in (("listed", "alive"), ("exited", "NOT alive")):
             rows += [(f"{tag}_{state}", f"count(*) FILTER ({tag} = 1 AND {cond})", "un"),
                      (f"{tag}_{state}_covered_pct", f"100 * avg(CAST(cov AS INTEGER)) FILTER ({tag} = 1 AND {cond})", "un")]
-    parts = [f"SELECT '{m}' AS metric, round(CAST({e} AS DOUBLE), 6) + 0.0 AS value FROM {s}" for m, e, s in rows]
+    parts = [f"SELECT '{m}' AS metric, round((CAST({e} AS DOUBLE)) + 3e-11, 6) + 0.0 AS value FROM {s}" for m, e, s in rows]
     parts.append(f"SELECT 'exits_' || ((last - 1) // 12), CAST(count(*) AS DOUBLE) FROM ml WHERE NOT {alive} GROUP BY 1")
     return with_(SURV) + " UNION ALL ".join(parts)
 
@@ -231,7 +231,7 @@ def mapping_survivorship(spark, sf):
     series = mapped.withColumn("mi", F.col("mi") + 2).unionByName(mapped).distinct()
     last = panel.agg(F.max("mi")).scalar()
     out = K.mapping_survivorship(series, panel, last, EARLY)
-    return out.withColumn("value", F.round("value", 6))
+    return out.withColumn("value", near("value"))
 
 
 SLOPES = "slp AS (SELECT s.target_mi, regr_slope(p.ret, s.score) AS slope FROM scored s JOIN panel p ON p.permno = s.permno AND p.mi = s.target_mi WHERE p.ret IS NOT NULL GROUP BY 1)"

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.registry import query
+from checks.registry import near, query
 from checks.views import (TO_BALANCED, TO_BOOK, TO_CANDIDATES, TO_SCORED, beta_matched, inverse_vol, label, r6, rank_tilt, with_)
 from crossweave.functions.columns import month_label
 from crossweave.operators import sizing as Z
@@ -13,7 +13,7 @@ W_COLS = f"SELECT {label('target_mi')} AS month, permno, {r6('weight')} AS weigh
 
 
 def weights(df, *more):
-    return df.select(month_label("target_mi").alias("month"), "permno", *more, F.round("weight", 6).alias("weight"))
+    return df.select(month_label("target_mi").alias("month"), "permno", *more, near("weight").alias("weight"))
 
 
 @query("f01_equal_weight", with_(*TO_CANDIDATES) + f"""
@@ -40,7 +40,7 @@ def tilt_sql(kind):
 
 
 def tilt(spark, sf, kind):
-    return weights(Z.rank_tilt(D.balanced_candidates(spark, sf), MONTH, kind, F.lit(0.75), F.lit(0.06), F.lit(0.001)))
+    return weights(Z.rank_tilt(D.balanced_candidates(spark, sf), MONTH, kind, F.lit(0.75), F.lit(0.06), F.lit(0.001), strict=False))
 
 
 @query("f04_rank_tilt_flat", tilt_sql("flat"))
@@ -75,7 +75,7 @@ SELECT {label('target_mi')} AS month, sector, {r6('count(*) / sum(count(*)) OVER
   {r6('1.25 * (count(*) / sum(count(*)) OVER (PARTITION BY target_mi)) * 2.0')} AS gross_limit FROM scored GROUP BY target_mi, sector""")
 def sector_gross_limits(spark, sf):
     out = Z.sector_gross_limits(D.scored(spark, sf), F.lit(1.25), F.lit(2.0))
-    return out.select(month_label("target_mi").alias("month"), "sector", F.round("share", 6).alias("share"), F.round("gross_limit", 6).alias("gross_limit"))
+    return out.select(month_label("target_mi").alias("month"), "sector", near("share").alias("share"), near("gross_limit").alias("gross_limit"))
 
 
 def balance_sql(value):

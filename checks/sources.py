@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from checks.registry import query
+from checks.registry import near, query
 from checks.views import FORECASTS, PANEL, label, r6, with_
 from crossweave.functions.columns import month_label
 from crossweave.session import stage_root
@@ -36,7 +36,7 @@ def load_series(spark, sf):
     back = io.load_series(spark, path, "LEVEL")
     return back.groupBy(F.date_format("observation_date", "yyyy-MM").alias("month")).agg(
         F.count(F.lit(1)).alias("days"), F.sum(F.col("LEVEL").isNull().cast("long")).alias("missing"),
-        F.round(F.min("LEVEL"), 6).alias("lowest"), F.round(F.max("LEVEL"), 6).alias("highest"))
+        near(F.min("LEVEL")).alias("lowest"), near(F.max("LEVEL")).alias("highest"))
 
 
 @query("a03_load_forecasts", with_(PANEL, FORECASTS) + f"""
@@ -44,7 +44,7 @@ SELECT permno, {label('target_mi')} AS target_month, {r6('alt_forecast')} AS for
 def load_forecasts(spark, sf):
     path = scratch(spark, "forecasts")
     D.forecasts(spark, sf).withColumn("target_month", month_label("target_mi")).write.parquet(path)
-    return io.load_forecasts(spark, path, "alt_forecast").withColumn("forecast", F.round("forecast", 6))
+    return io.load_forecasts(spark, path, "alt_forecast").withColumn("forecast", near("forecast"))
 
 
 @query("a04_write_holdings", with_(PANEL) + """

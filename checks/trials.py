@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks.accounting import summary_sql
-from checks.registry import query
+from checks.registry import near, query
 from checks.views import TO_BOOK, TO_CANDIDATES, TO_LEDGER, label, r6, with_
 from crossweave.functions.columns import month_label
 from crossweave.operators import accounting as A
@@ -58,15 +58,15 @@ def resolve_settings(spark, sf):
 
 @query("j03_trial_weights", with_(*TO_BOOK) + f"SELECT trial, {label('target_mi')} AS month, permno, side, {r6('weight')} AS weight FROM book")
 def trial_weights(spark, sf):
-    sized = J.size_trials(D.trials(spark, sf), D.schedules(spark, sf))
-    return sized.select("trial", month_label("target_mi").alias("month"), "permno", "side", F.round("weight", 6).alias("weight"))
+    sized = J.size_trials(D.trials(spark, sf), D.schedules(spark, sf), strict=False)
+    return sized.select("trial", month_label("target_mi").alias("month"), "permno", "side", near("weight").alias("weight"))
 
 
 @query("j03_run_trials", with_(*TO_LEDGER) + f"""
 SELECT trial, {label('target_mi')} AS month, {r6('total_net')} AS total_net, {r6('turnover')} AS turnover, {r6('market_return')} AS market_return FROM ledger""")
 def run_trials(spark, sf):
-    led = J.run_trials(D.trials(spark, sf), D.schedules(spark, sf), D.returns(spark, sf), D.cash(spark, sf), D.market(spark, sf))
-    return led.select("trial", month_label("target_mi").alias("month"), *[F.round(c, 6).alias(c) for c in ("total_net", "turnover", "market_return")])
+    led = J.run_trials(D.trials(spark, sf), D.schedules(spark, sf), D.returns(spark, sf), D.cash(spark, sf), D.market(spark, sf), strict=False)
+    return led.select("trial", month_label("target_mi").alias("month"), *[near(c).alias(c) for c in ("total_net", "turnover", "market_return")])
 
 
 @query("j04_leaderboard", with_(*TO_LEDGER) + summary_sql("trial", "ledger") + f"""
@@ -75,7 +75,7 @@ FROM summ JOIN trials USING (trial) WHERE trial <> 'equal_1.0'""")
 def leaderboard(spark, sf):
     settings = D.trials(spark, sf)
     board = J.leaderboard(settings, A.summarize(D.trial_ledger(spark, sf), ["trial"]), settings.filter("rule = 'equal'"))
-    return board.select("trial", "schedule", "rule", "gross_limit", "months", F.round("information_ratio", 6).alias("information_ratio"), F.round("cagr", 6).alias("cagr"))
+    return board.select("trial", "schedule", "rule", "gross_limit", "months", near("information_ratio").alias("information_ratio"), near("cagr").alias("cagr"))
 
 
 @query("j05_paired", with_(*TO_LEDGER) + f"""
@@ -85,7 +85,7 @@ def paired(spark, sf):
     cut = 1999 * 12 + 1
     mean = F.avg("total_net").alias("mean_net")
     both = J.paired(led.filter(F.col("target_mi") < cut).groupBy("trial").agg(mean), led.filter(F.col("target_mi") >= cut).groupBy("trial").agg(mean), ["mean_net"])
-    return both.select("trial", F.round("mean_net_before", 6).alias("mean_net_before"), F.round("mean_net_after", 6).alias("mean_net_after"))
+    return both.select("trial", near("mean_net_before").alias("mean_net_before"), near("mean_net_after").alias("mean_net_after"))
 
 
 @query("j06_check_complete", with_(*TO_LEDGER) + f"""
@@ -97,7 +97,7 @@ def check_complete(spark, sf):
     led = D.trial_ledger(spark, sf)
     violations = led.select("trial", (F.abs("net") - 0.1).alias("violation"))
     checked = J.check_complete(led, D.scored(spark, sf).select("target_mi").distinct(), violations)
-    return checked.select("trial", "months", "duplicates", F.round("max_violation", 6).alias("max_violation"), "complete")
+    return checked.select("trial", "months", "duplicates", near("max_violation").alias("max_violation"), "complete")
 
 
 @query("j07_match_positions", with_(*TO_BOOK) + f"""
@@ -121,4 +121,4 @@ def match_positions(spark, sf):
     m = J.match_positions(ref, ours, "target_mi")
     rounded = ("max_diff", "mean_diff", "within_1bp", "sign_agree", "corr")
     return m.select(month_label("target_mi").alias("month"), "matched", "ref_only", "ours_only", "no_ticker", "same_names", "shape_ok",
-                    *[F.round(c, 6).alias(c) for c in rounded])
+                    *[near(c).alias(c) for c in rounded])

@@ -8,7 +8,8 @@ def label(expr: str) -> str:
 
 
 def r6(expr: str) -> str:
-    return f"round({expr}, 6) + 0.0"
+    """Six places; the small shift keeps exact halves from rounding either way."""
+    return f"round(({expr}) + 3e-11, 6) + 0.0"
 
 
 MONEY = "CAST({0} AS DECIMAL(18,2))"
@@ -242,7 +243,7 @@ def rank_tilt(name: str, src: str, keys: str, kind: str) -> str:
     return f"""{name}1 AS (
   SELECT *, row_number() OVER (PARTITION BY {leg} ORDER BY side * score DESC, permno) AS rp, count(*) OVER (PARTITION BY {leg}) AS rc,
     count(*) FILTER (side > 0) OVER (PARTITION BY {keys}) AS nl FROM {src}),
-{name}2 AS (SELECT *, {tilt} AS tl, gross_limit / 2 * rc / nl AS rb FROM {name}1),
+{name}2 AS (SELECT *, {tilt} AS tl, greatest(least(gross_limit / 2 * rc / nl, rc * position_limit), rc * minimum_position_weight) AS rb FROM {name}1),
 {spread(name + '3', name + '2', leg, 'tl', 'rb', 'position_limit', 'minimum_position_weight', 'rp', 'aw')},
 {name} AS (SELECT * EXCLUDE (rp, rc, nl, tl, rb, aw), side * aw AS weight FROM {name}3)"""
 

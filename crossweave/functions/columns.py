@@ -68,3 +68,11 @@ def months_t_stat(c) -> Column:
     """mean / (sample sd / sqrt(T)) over the rows of a group."""
     c = col(c)
     return safe_div(F.avg(c), F.stddev_samp(c)) * F.sqrt(F.count(c))
+
+
+def safe_corr(a, b) -> Column:
+    """Pearson correlation over rows where both are known; NULL if either is constant."""
+    a, b = col(a), col(b)
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    spread = F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y))
+    return F.when(spread > 0, F.covar_pop(x, y) / spread)

@@ -294,8 +294,8 @@ def sector_share_of_gross(book: DataFrame, keys: list[str], named: str, month: s
     sg = book.groupBy(*keys, month, "sector").agg(F.sum(F.abs("weight")).alias("sg"))
     return sg.groupBy(*keys, month).agg(
         F.min_by("sector", F.struct(-F.col("sg"), F.col("sector"))).alias("largest_sector"),
-        (F.max("sg") / F.sum("sg")).alias("largest_sector_gross_share"),
-        (F.sum(F.when(F.col("sector") == named, F.col("sg")).otherwise(F.lit(0.0))) / F.sum("sg")).alias("named_gross_share"))
+        safe_div(F.max("sg"), F.sum("sg")).alias("largest_sector_gross_share"),
+        safe_div(F.sum(F.when(F.col("sector") == named, F.col("sg")).otherwise(F.lit(0.0))), F.sum("sg")).alias("named_gross_share"))
 
 
 def overlay_metrics(rows: DataFrame, shares: DataFrame, keys: list[str], month: str = "target_mi") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from crossweave.functions.columns import safe_div
 from crossweave.operators.sizing import expensive_flag, side_limits
 
 TOLERANCE = 1e-6
@@ -122,8 +123,8 @@ def concentration(book: DataFrame, keys: list[str], top: int = 10) -> DataFrame:
     w = W.partitionBy(*keys).orderBy(F.col("__a").desc(), F.col("permno").asc())
     ranked = book.withColumn("__a", a).withColumn("__n", F.row_number().over(w))
     return ranked.groupBy(*keys).agg(
-        (F.pow(F.sum("__a"), F.lit(2)) / F.sum(F.col("__a") * F.col("__a"))).alias("effective_names"),
-        (F.sum(F.when(F.col("__n") <= top, F.col("__a")).otherwise(F.lit(0.0))) / F.sum("__a")).alias("top_share"))
+        safe_div(F.pow(F.sum("__a"), F.lit(2)), F.sum(F.col("__a") * F.col("__a"))).alias("effective_names"),
+        safe_div(F.sum(F.when(F.col("__n") <= top, F.col("__a")).otherwise(F.lit(0.0))), F.sum("__a")).alias("top_share"))
 
 
 def position_count_flag(book: DataFrame, keys: list[str], low: int = MIN_NAMES, high: int = MAX_NAMES) -> DataFrame:
@@ -137,6 +138,6 @@ def liquidity_report(book: DataFrame, keys: list[str], uncapped: str = "liquidit
     a = F.abs("weight")
     over = a > F.col(limit) + TOLERANCE
     return book.groupBy(*keys).agg(
-        F.avg(over.cast("double")).alias("positions_over"), (F.sum(F.when(over, a).otherwise(F.lit(0.0))) / F.sum(a)).alias("gross_over"),
+        F.avg(over.cast("double")).alias("positions_over"), safe_div(F.sum(F.when(over, a).otherwise(F.lit(0.0))), F.sum(a)).alias("gross_over"),
         F.avg((F.col(uncapped) < F.col(floor)).cast("double")).alias("cap_below_floor"),
         F.avg((F.abs(a - F.col(floor)) <= TOLERANCE).cast("double")).alias("at_floor"))

@@ -141,7 +141,7 @@ def alpha_forms(df: DataFrame, month: str, ic: float = 0.03, score: str = "score
     """Three annualised expected-return scalings of a score or forecast."""
     stats = known_size(df.groupBy(month).agg(F.stddev_samp(score).alias("__ss"), F.avg(forecast).alias("__fm"),
                                   F.stddev_samp(forecast).alias("__fs")), "spreads")
-    z = F.col(score) / F.col("__ss")
+    z = F.try_divide(F.col(score), F.col("__ss"))
     return (df.join(stats, month)
             .withColumn("alpha_ic", 12 * F.lit(ic) * F.col(vol) * z)
             .withColumn("alpha_forecast", 12 * (F.col(forecast) - F.col("__fm")))

@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from crossweave.functions.columns import hit_share, months_t_stat, safe_div
+from crossweave.functions.columns import hit_share, months_t_stat, safe_corr, safe_div
 from crossweave.operators import crosssection as X
 from crossweave.operators.ranks import split_rank
 from crossweave.session import known_size
 
 
-def _corr(a: str, b: str) -> Column:
-    return F.when((F.var_pop(a) > 0) & (F.var_pop(b) > 0), F.corr(a, b))
-
-
 def rank_ic(df: DataFrame, a: str, b: str, keys: list[str], out: str = "rank_ic", entity: str = "permno") -> DataFrame:
     """Spearman correlation per group over rows where both are known; NULL if either is constant."""
     both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(
@@ -25,7 +21,7 @@ def rank_ic(df: DataFrame, a: str, b: str, keys: list[str], out: str = "rank_ic"
     # Both sides share one ranking pass and meet again on the entity.
     ranked = split_rank(both, [*keys, "__of"], "__x", entity, rank="__r").groupBy(*keys, entity).agg(
         F.max(F.when(F.col("__of") == "a", F.col("__r"))).alias("__ra"), F.max(F.when(F.col("__of") == "b", F.col("__r"))).alias("__rb"))
-    return ranked.groupBy(*keys).agg(_corr("__ra", "__rb").alias(out), F.count(F.lit(1)).alias("names"))
+    return ranked.groupBy(*keys).agg(safe_corr("__ra", "__rb").alias(out), F.count(F.lit(1)).alias("names"))
 
 
 def residual_alpha(df: DataFrame, ret: str, month: str = "target_mi", out: str = "alpha") -> DataFrame:
@@ -46,7 +42,7 @@ def signal_check(scores: DataFrame, returns: DataFrame, top: int = 100, month: s
     rows = residual_alpha(scores.join(r, ["permno", month]), "r", month).select(month, "permno", "score", "r", "alpha", "size", "beta_use")
     ic_raw = rank_ic(rows, "score", "r", [month], "ic_raw")
     ic_alpha = rank_ic(rows, "score", "alpha", [month], "ic_alpha").drop("names")
-    corr = rows.groupBy(month).agg(_corr("score", "size").alias("corr_score_size"), _corr("score", "beta_use").alias("corr_score_beta"))
+    corr = rows.groupBy(month).agg(safe_corr("score", "size").alias("corr_score_size"), safe_corr("score", "beta_use").alias("corr_score_beta"))
     return ic_raw.join(ic_alpha, month).join(_edge_means(rows, top, month), month).join(corr, month)
 
 

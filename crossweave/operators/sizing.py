@@ -81,10 +81,11 @@ def beta_matched(book: DataFrame, keys: list[str], gross: Column, cap: Column, n
 
 
 def rank_tilt(book: DataFrame, keys: list[str], kind: str, gross: Column, cap: Column, floor: Column, score: str = "score",
-              out: str = "weight") -> DataFrame:
+              out: str = "weight", strict: bool = True) -> DataFrame:
     """Sector-and-leg budgets by name count, tilted by rank: flat, linear or steep (1 / rank).
 
-    A budget above what the cap holds, or below the sum of floors, fails the job.
+    A budget above what the cap holds, or below the sum of floors, fails the job;
+    without `strict` such a group gets the cap, or its floors, and misses its budget.
     """
     leg = [*keys, "sector", "side"]
     whole = W.partitionBy(*leg)
@@ -94,9 +95,12 @@ def rank_tilt(book: DataFrame, keys: list[str], kind: str, gross: Column, cap: C
             .withColumn("__cap", cap).withColumn("__floor", floor)
             .withColumn("__budget", gross / 2 * F.col("__count") / n_long))
     tilts = {"flat": F.lit(1.0), "linear": (F.col("__count") - F.col("__place") + 1).cast("double"), "steep": 1.0 / F.col("__place")}
+    tilt = tilts[kind]
     bad = (F.col("__count") * F.col("__cap") < F.col("__budget") - 1e-12) | (F.col("__count") * F.col("__floor") > F.col("__budget") + 1e-12)
-    work = work.withColumn("__tilt", F.when(bad, F.raise_error(F.lit("sector budget outside what floor and cap allow")).cast("double"))
-                           .otherwise(tilts[kind]))
+    if strict:
+        tilt = F.when(bad, F.raise_error(F.lit("sector budget outside what floor and cap allow")).cast("double")).otherwise(tilt)
+    budget = F.greatest(F.least("__budget", F.col("__count") * F.col("__cap")), F.col("__count") * F.col("__floor"))
+    work = work.withColumn("__tilt", tilt).withColumn("__budget", budget)
     sized = _spread(work, leg, "__tilt", F.col("__budget"), F.col("__cap"), F.col("__floor"), out, tie="__place")
     return sized.withColumn(out, F.col("side") * F.col(out)).drop("__place", "__count", "__cap", "__floor", "__budget", "__tilt")
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crossweave.functions.columns import safe_corr
 from crossweave.operators import accounting as A
 from crossweave.operators import sizing as Z
 from crossweave.session import stage
@@ -109,7 +110,7 @@ def validate_settings(settings: DataFrame) -> DataFrame:
     return settings.select("trial", F.explode(problems).alias("problem"))
 
 
-def size_trials(trials: DataFrame, schedules: DataFrame, month: str = "target_mi") -> DataFrame:
+def size_trials(trials: DataFrame, schedules: DataFrame, month: str = "target_mi", strict: bool = True) -> DataFrame:
     """Weights of every trial on the candidate schedule it names.
 
     trials: trial, schedule, rule ('equal', 'beta_matched', 'rank_flat', 'rank_linear',
@@ -125,17 +126,17 @@ def size_trials(trials: DataFrame, schedules: DataFrame, month: str = "target_mi
 
     parts = [Z.equal_weight(of("equal"), keys, gross),
              Z.beta_matched(of("beta_matched"), keys, gross, cap, F.col("net_min"), F.col("net_max"))]
-    parts += [Z.rank_tilt(of(f"rank_{kind}"), keys, kind, gross, cap, floor) for kind in ("flat", "linear", "steep")]
+    parts += [Z.rank_tilt(of(f"rank_{kind}"), keys, kind, gross, cap, floor, strict=strict) for kind in ("flat", "linear", "steep")]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def run_trials(trials: DataFrame, schedules: DataFrame, returns: DataFrame, cash: DataFrame, market: DataFrame,
-               month: str = "target_mi") -> DataFrame:
+               month: str = "target_mi", strict: bool = True) -> DataFrame:
     """Ledgers of all trials at once: size, account, attach the market return.
 
     The sized book is staged, because the ledger reads it several times.
     """
-    sized = stage(size_trials(trials, schedules, month), "sized")
+    sized = stage(size_trials(trials, schedules, month, strict), "sized")
     led = A.ledger(sized, returns, cash, ["trial"], month=month)
     return led.join(market.select(F.col("mi").alias(month), "market_return"), month, "left")
 
@@ -189,7 +190,7 @@ def match_positions(ref: DataFrame, ours: DataFrame, by: str = "date") -> DataFr
         F.sum(F.col("ref").isNull().cast("long")).alias("ours_only"), F.max(diff).alias("max_diff"), F.avg(diff).alias("mean_diff"),
         F.avg(F.when(matched, (diff < 1e-4).cast("double"))).alias("within_1bp"),
         F.avg(F.when(matched, (F.col("ref") * F.col("ours") > 0).cast("double"))).alias("sign_agree"),
-        F.corr("ref", "ours").alias("corr"))
+        safe_corr("ref", "ours").alias("corr"))
     out = out.join(none, by, "left")
     same = (F.col("ref_only") == F.coalesce("no_ticker", F.lit(0))) & (F.col("ours_only") == 0)
     return out.withColumn("same_names", same).withColumn("shape_ok", same & (F.col("max_diff") < 1e-4))

@@ -222,7 +222,7 @@ def book(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crossweave.operators import trials as J
 
     def build():
-        sized = J.size_trials(trials(spark, sf_dir), schedules(spark, sf_dir))
+        sized = J.size_trials(trials(spark, sf_dir), schedules(spark, sf_dir), strict=False)
         limit = Z.liquidity_cap(F.lit(3.0), F.lit(0.10), F.lit(2e7), F.col("minimum_position_weight"), F.col("position_limit"))
         raw = 3.0 * 0.10 * F.coalesce(F.col("dolvol_126d"), F.lit(0.0)) / 2e7
         return A.with_returns(sized, returns(spark, sf_dir)).withColumn("liquidity_limit", limit).withColumn("liquidity_uncapped", raw)
@@ -234,6 +234,7 @@ def trial_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crossweave.operators import trials as J
 
     def build():
-        led = J.run_trials(trials(spark, sf_dir), schedules(spark, sf_dir), returns(spark, sf_dir), cash(spark, sf_dir), market(spark, sf_dir))
+        led = J.run_trials(trials(spark, sf_dir), schedules(spark, sf_dir), returns(spark, sf_dir), cash(spark, sf_dir), market(spark, sf_dir),
+                           strict=False)
         return A.attach_hurdle(led, A.official_hurdle(cash(spark, sf_dir)))
     return shared_stage(spark, sf_dir, "ledger", build)
