@@ -39,20 +39,25 @@ def nonfinite_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.explode(F.array(*parts)).alias("p")).select("p.*")
 
 
+def without_history(forecasts: DataFrame, panel: DataFrame) -> DataFrame:
+    """Forecasts whose prior month has no panel row."""
+    lagged = panel.select("permno", (F.col("mi") + 1).alias("target_mi"))
+    return forecasts.select("permno", "target_mi").join(lagged, ["permno", "target_mi"], "left_anti")
+
+
 def lagged_join(forecasts: DataFrame, panel: DataFrame, keep_missing: bool = False) -> DataFrame:
     """Attach each forecast's prior-month characteristics.
 
-    The month before the target supplies the row. A forecast without one fails
-    the job, unless keep_missing leaves it in place with NULLs.
+    The month before the target supplies the row. A forecast without one is an
+    error, unless keep_missing leaves it in place with NULLs. The check runs first,
+    on the key columns only: as an expression of the join it would be optimised away
+    by any later filter on a characteristic.
     """
+    if not keep_missing and not without_history(forecasts, panel).isEmpty():
+        raise ValueError("Some forecasts have no prior-month characteristics.")
     drop = [c for c in ("ret", "ret_exc", "ret_exc_lead1m", "month") if c in panel.columns]
     lagged = panel.drop(*drop).withColumn("target_mi", F.col("mi") + 1).withColumnRenamed("mi", "observed_mi")
-    joined = forecasts.join(lagged, ["permno", "target_mi"], "left")
-    if keep_missing:
-        return joined
-    return joined.withColumn("observed_mi", F.when(F.col("observed_mi").isNotNull(), F.col("observed_mi")).otherwise(
-        F.raise_error(F.format_string("forecast of %s for month %s has no prior-month row",
-                                      F.col("permno").cast("string"), F.col("target_mi").cast("string"))).cast("int")))
+    return forecasts.join(lagged, ["permno", "target_mi"], "left" if keep_missing else "inner")
 
 
 def beta_use(columns=BETA_COLUMNS, low: float = -0.5, high: float = 3.5) -> Column:

@@ -197,15 +197,23 @@ def dimson_beta(daily: DataFrame, groups: DataFrame, formations: DataFrame, days
         "permno", "di", F.col("daily_return").alias("y"), "m0", "m1", F.lit(0).alias("__mark"))
     blank = F.lit(None).cast("double")
     marks = formations.select("permno", "di", blank.alias("y"), blank.alias("m0"), blank.alias("m1"), F.lit(1).alias("__mark"))
-    w = W.partitionBy("permno").orderBy("di").rangeBetween(-(days - 1), -1)
-    n = F.count("y").over(w)
+    # Two growing frames and a difference: each row is added once, whatever the window's length.
+    order = W.partitionBy("permno").orderBy("di")
+    until, before = order.rangeBetween(W.unboundedPreceding, -1), order.rangeBetween(W.unboundedPreceding, -days)
 
-    def cross(a, b):
-        return n * F.covar_pop(a, b).over(w)
+    def total(term):
+        return F.coalesce(F.sum(term).over(until), F.lit(0.0)) - F.coalesce(F.sum(term).over(before), F.lit(0.0))
 
-    wide = usable.unionByName(marks).select(
-        "permno", "di", "__mark", n.alias("n"), cross("m0", "m0").alias("s11"), cross("m0", "m1").alias("s12"), cross("m1", "m1").alias("s22"),
-        cross("m0", "y").alias("s1y"), cross("m1", "y").alias("s2y")).filter("__mark = 1")
+    c = F.col
+    terms = {"n": F.when(c("y").isNotNull(), F.lit(1.0)), "y": c("y"), "m0": c("m0"), "m1": c("m1"), "m00": c("m0") * c("m0"), "m01": c("m0") * c("m1"),
+             "m11": c("m1") * c("m1"), "m0y": c("m0") * c("y"), "m1y": c("m1") * c("y")}
+    sums = usable.unionByName(marks).select("permno", "di", "__mark", *[total(t).alias(f"t_{k}") for k, t in terms.items()]).filter("__mark = 1")
+
+    def centred(product, a, b):
+        return c(f"t_{product}") - F.coalesce(F.try_divide(c(f"t_{a}") * c(f"t_{b}"), c("t_n")), F.lit(0.0))
+
+    wide = sums.select("permno", "di", c("t_n").cast("long").alias("n"), centred("m00", "m0", "m0").alias("s11"), centred("m01", "m0", "m1").alias("s12"),
+                       centred("m11", "m1", "m1").alias("s22"), centred("m0y", "m0", "y").alias("s1y"), centred("m1y", "m1", "y").alias("s2y"))
     b1, b2 = two_slopes(*[F.col(c) for c in ("s11", "s12", "s22", "s1y", "s2y")])
     beta = F.when(F.col("n") >= minimum, F.least(F.greatest(b1 + b2, F.lit(low)), F.lit(high))).otherwise(F.lit(1.0))
     return wide.select("permno", "di", F.col("n").alias("days"), beta.alias("sector_beta"))

@@ -20,6 +20,10 @@ CHARACTERISTICS = ("beta_60m", "betabab_1260d", "betadown_252d", "rvol_21d", "re
                    "disc_top", "tax_top", "qty_line")
 
 
+def _index(label: str) -> int:
+    return int(label[:4]) * 12 + int(label[5:])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -99,7 +103,7 @@ def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (p.select("permno", (F.col("mi") + 1).alias("target_mi"),
                      (F.col("avg_disc") * 0.4 - F.col("avg_tax") * 0.2 - 0.01).alias("forecast"),
                      (F.col("avg_tax") * 0.2).alias("alt_forecast"))
-            .filter(month_label("target_mi").between(WINDOW_START, WINDOW_END)))
+            .filter(F.col("target_mi").between(_index(WINDOW_START), _index(WINDOW_END))))
 
 
 def alt_series(spark: SparkSession, sf_dir: str) -> DataFrame:
