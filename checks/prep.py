@@ -82,20 +82,20 @@ def sector_code(spark, sf):
 
 
 @query("b09_missing_months", """
-WITH c AS (SELECT DISTINCT o_custkey AS permno, year(o_orderdate) * 12 + month(o_orderdate) AS mi FROM orders),
-m AS (SELECT DISTINCT mi FROM c)
-SELECT mi FROM m WHERE mi NOT IN (SELECT mi FROM c WHERE permno % 300 = 0)""")
+WITH c AS (SELECT o_custkey, year(o_orderdate) * 12 + month(o_orderdate) AS mi, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS me FROM orders GROUP BY 1, 2)
+SELECT DISTINCT mi FROM c WHERE mi NOT IN (SELECT mi FROM c WHERE me > 900000)""")
 def missing_months(spark, sf):
     c = D.customer_months(spark, sf)
-    return P.missing_months(c.filter("permno % 300 = 0"), c, "mi")
+    return P.missing_months(c.filter("me > 900000"), c, "mi")
 
 
 @query("b09_month_gaps", """
-WITH c AS (SELECT DISTINCT year(o_orderdate) * 12 + month(o_orderdate) AS mi FROM orders WHERE o_custkey % 300 = 0),
+WITH a AS (SELECT o_custkey, year(o_orderdate) * 12 + month(o_orderdate) AS mi, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS me FROM orders GROUP BY 1, 2),
+c AS (SELECT DISTINCT mi FROM a WHERE me > 900000),
 f AS (SELECT unnest(generate_series(min(mi), max(mi))) AS mi FROM c)
 SELECT CAST(mi AS INTEGER) AS mi FROM f WHERE mi NOT IN (SELECT mi FROM c)""")
 def month_gaps(spark, sf):
-    return P.month_gaps(D.customer_months(spark, sf).filter("permno % 300 = 0"), "mi")
+    return P.month_gaps(D.customer_months(spark, sf).filter("me > 900000"), "mi")
 
 
 @query("b10_implied_cash", with_(PANEL) + f"""

@@ -190,10 +190,10 @@ def pairwise_xs_corr(spark, sf):
     return rounded(K.pairwise_xs_corr(left, right, 20, ["pair"]), "mean_corr", "mean_overlap", exact=("pair", "months_used"))
 
 
-SURV = """cp AS (SELECT o_custkey AS permno, year(o_orderdate) * 12 + month(o_orderdate) AS mi, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS me, any_value(c_mktsegment) AS sector
+SURV = """cp AS (SELECT o_custkey AS permno, year(o_orderdate) * 12 + month(o_orderdate) AS mi, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS me, any_value(c_mktsegment) AS sector, any_value(c_acctbal) AS acct
   FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2),
 cpan AS (SELECT *, CASE WHEN me > 300000 THEN 'mega' WHEN me > 200000 THEN 'large' WHEN me > 100000 THEN 'small' ELSE 'micro' END AS size_grp FROM cp),
-ser AS (SELECT permno, mi + 2 AS mi FROM cpan WHERE permno % 3 = 0 UNION SELECT permno, mi FROM cpan WHERE permno % 3 = 0),
+ser AS (SELECT permno, mi + 2 AS mi FROM cpan WHERE acct > 5000 UNION SELECT permno, mi FROM cpan WHERE acct > 5000),
 life AS (SELECT permno, min(mi) AS first, max(mi) AS last FROM cpan GROUP BY 1),
 lastm AS (SELECT max(mi) AS m FROM cpan),
 ml AS (SELECT permno, first, last FROM (SELECT DISTINCT permno FROM ser) LEFT JOIN life USING (permno)),
@@ -224,10 +224,10 @@ def surv_sql():
 
 @query("k10_mapping_survivorship", surv_sql())
 def mapping_survivorship(spark, sf):
-    customers = D.table(spark, sf, "customer").select(F.col("c_custkey").alias("permno"), F.col("c_mktsegment").alias("sector"))
+    customers = D.table(spark, sf, "customer").select(F.col("c_custkey").alias("permno"), F.col("c_mktsegment").alias("sector"), F.col("c_acctbal").alias("acct"))
     size = F.when(F.col("me") > 300_000, "mega").when(F.col("me") > 200_000, "large").when(F.col("me") > 100_000, "small").otherwise("micro")
     panel = D.customer_months(spark, sf).join(customers, "permno").withColumn("size_grp", size)
-    mapped = panel.filter("permno % 3 = 0").select("permno", "mi")
+    mapped = panel.filter("acct > 5000").select("permno", "mi")
     series = mapped.withColumn("mi", F.col("mi") + 2).unionByName(mapped).distinct()
     last = panel.agg(F.max("mi")).scalar()
     out = K.mapping_survivorship(series, panel, last, EARLY)

@@ -23,14 +23,15 @@ def year_of(mi: str = "mi") -> Column:
     return F.floor((F.col(mi) - 1) / 12).cast("int")
 
 
-def timing_consistency(panel: DataFrame, month: str = "mi", drop: float = 0.5) -> DataFrame:
+def timing_consistency(panel: DataFrame, month: str = "mi", drop: float = 0.5, by: list[str] | None = None) -> DataFrame:
     """Share of rows per month whose paired columns agree; flags months far below the median month."""
     ret_ok = F.abs(F.col("ret_1_0") - F.col("ret")) < MATCH
     me_ok = F.abs(F.col("market_equity") - F.col("me")) / F.abs("me") < MATCH
+    by = list(by or [])
     # One row per calendar month from here on.
-    m = panel.groupBy(month).agg(_share(ret_ok).alias("ret_ok"), _share(me_ok).alias("me_ok"))
-    typical = m.agg(F.median("ret_ok").alias("r"), F.median("me_ok").alias("e"))
-    low = (F.col("ret_ok") < typical.select("r").scalar() - drop) | (F.col("me_ok") < typical.select("e").scalar() - drop)
+    m = panel.groupBy(*by, month).agg(_share(ret_ok).alias("ret_ok"), _share(me_ok).alias("me_ok"))
+    whole = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))
+    low = (F.col("ret_ok") < F.median("ret_ok").over(whole) - drop) | (F.col("me_ok") < F.median("me_ok").over(whole) - drop)
     return m.withColumn("flagged", low)
 
 
@@ -45,10 +46,11 @@ def vintage_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if any(word in c.lower() for word in VINTAGE_WORDS)]
 
 
-def ticker_owners(panel: DataFrame, month: str = "mi") -> DataFrame:
+def ticker_owners(panel: DataFrame, month: str = "mi", by: list[str] | None = None) -> DataFrame:
     """(ticker, month) pairs owned by more than one entity."""
-    pairs = panel.filter("ticker IS NOT NULL").select("ticker", month, "permno").distinct()
-    return pairs.groupBy("ticker", month).agg(F.count(F.lit(1)).alias("owners")).filter("owners > 1")
+    by = list(by or [])
+    pairs = panel.filter("ticker IS NOT NULL").select(*by, "ticker", month, "permno").distinct()
+    return pairs.groupBy(*by, "ticker", month).agg(F.count(F.lit(1)).alias("owners")).filter("owners > 1")
 
 
 def ticker_map_check(panel: DataFrame, month: str = "mi") -> DataFrame:
@@ -58,16 +60,17 @@ def ticker_map_check(panel: DataFrame, month: str = "mi") -> DataFrame:
     return ticker_owners(panel, month).agg(F.count(F.lit(1)).alias("shared_ticker_months")).withColumn("reused_tickers", reused.scalar())
 
 
-def key_changes(panel: DataFrame, order: str = "mi") -> DataFrame:
-    """One row: entities whose secondary key changes, and entities that return to an earlier key."""
+def key_changes(panel: DataFrame, order: str = "mi", by: list[str] | None = None) -> DataFrame:
+    """One row (per `by`): entities whose secondary key changes, and entities that return to an earlier key."""
     key = F.concat_ws("-", "gvkey", "iid")
-    w = W.partitionBy("permno").orderBy(order, "k")
-    rows = panel.select("permno", order, key.alias("k")).withColumn("prev", F.lag("k").over(w)).withColumn("n", F.row_number().over(w))
+    entity = [*(by or []), "permno"]
+    w = W.partitionBy(*entity).orderBy(order, "k")
+    rows = panel.select(*entity, order, key.alias("k")).withColumn("prev", F.lag("k").over(w)).withColumn("n", F.row_number().over(w))
     runs = rows.filter((F.col("n") == 1) | (F.col("k") != F.col("prev")))
-    per = runs.groupBy("permno", "k").agg(F.count(F.lit(1)).alias("times")).groupBy("permno").agg(
+    per = runs.groupBy(*entity, "k").agg(F.count(F.lit(1)).alias("times")).groupBy(*entity).agg(
         F.sum("times").alias("runs"), F.max("times").alias("most"))
-    return per.agg(F.coalesce(F.sum((F.col("runs") > 1).cast("long")), F.lit(0)).alias("changed"),
-                   F.coalesce(F.sum((F.col("most") > 1).cast("long")), F.lit(0)).alias("switched_back"))
+    return per.groupBy(*(by or [])).agg(F.coalesce(F.sum((F.col("runs") > 1).cast("long")), F.lit(0)).alias("changed"),
+                                        F.coalesce(F.sum((F.col("most") > 1).cast("long")), F.lit(0)).alias("switched_back"))
 
 
 def with_miss_share(panel: DataFrame, columns: list[str]) -> DataFrame:
@@ -88,17 +91,18 @@ def missingness_bands(panel: DataFrame) -> DataFrame:
     return counts.join(medians, "band", "left")
 
 
-def missingness_ratio(panel: DataFrame, month: str = "mi", high: float = 0.5) -> DataFrame:
-    """One row: median over months of (median size of high-missing rows / of the others)."""
+def missingness_ratio(panel: DataFrame, month: str = "mi", high: float = 0.5, by: list[str] | None = None) -> DataFrame:
+    """One row (per `by`): median over months of (median size of high-missing rows / of the others)."""
     split = panel.withColumn("high", F.col("miss_share") > high)
-    med = group_quantiles(split, [month, "high"], "me", "permno", {"m": 0.5})
-    ratio = med.groupBy(month).agg((F.max(F.when(F.col("high"), F.col("m"))) / F.max(F.when(~F.col("high"), F.col("m")))).alias("ratio"))
-    return ratio.agg(F.median("ratio").alias("ratio"), F.count("ratio").alias("months"))
+    by = list(by or [])
+    med = group_quantiles(split, [*by, month, "high"], "me", "permno", {"m": 0.5})
+    ratio = med.groupBy(*by, month).agg((F.max(F.when(F.col("high"), F.col("m"))) / F.max(F.when(~F.col("high"), F.col("m")))).alias("ratio"))
+    return ratio.groupBy(*by).agg(F.median("ratio").alias("ratio"), F.count("ratio").alias("months"))
 
 
-def lifetimes(panel: DataFrame, end, early: int, month: str = "mi") -> DataFrame:
+def lifetimes(panel: DataFrame, end, early: int, month: str = "mi", by: list[str] | None = None) -> DataFrame:
     """First and last month per entity and its group: listed, left early or left late."""
-    life = panel.groupBy("permno").agg(F.min(month).alias("first"), F.max(month).alias("last"))
+    life = panel.groupBy(*(by or []), "permno").agg(F.min(month).alias("first"), F.max(month).alias("last"))
     return life.withColumn("group", F.when(F.col("last") == end, "listed").when(F.col("last") < early, "left early").otherwise("left late"))
 
 
@@ -113,10 +117,10 @@ def coverage_by_year(panel: DataFrame, life: DataFrame, base_year: int, month: s
     return out.withColumn("vs_base", F.col("all") / base)
 
 
-def survivorship_flag(life: DataFrame, end, limit: float = 0.01) -> DataFrame:
-    """One row: share of entities gone before the end; too few exits is the flag."""
+def survivorship_flag(life: DataFrame, end, limit: float = 0.01, by: list[str] | None = None) -> DataFrame:
+    """One row (per `by`): share of entities gone before the end; too few exits is the flag."""
     share = _share(F.col("last") < end)
-    return life.agg(F.count(F.lit(1)).alias("entities"), share.alias("exit_share"), (share < limit).alias("flagged"))
+    return life.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("entities"), share.alias("exit_share"), (share < limit).alias("flagged"))
 
 
 def real_start(panel: DataFrame, base_year: int, month: str = "mi", share: float = 0.5) -> DataFrame:
@@ -220,16 +224,21 @@ def plant_ticker_error(panel: DataFrame, pick: DataFrame) -> DataFrame:
 
 
 def rules_scorecard(slices: dict[str, DataFrame], end: int, early: int, month: str = "mi") -> DataFrame:
-    """(rule, one column per slice): the panel rules on clean and altered copies."""
-    parts = []
-    for name, p in slices.items():
-        timing = timing_consistency(p, month).agg(F.sum(F.col("flagged").cast("double")).alias("timing_months_flagged"))
-        dup = duplicate_keys(p, [["permno", month]]).select(F.col("duplicates").cast("double").alias("duplicate_keys"))
-        tick = ticker_map_check(p, month).select(F.col("shared_ticker_months").cast("double").alias("shared_ticker_months"))
-        change = key_changes(p, month).select(F.col("changed").cast("double").alias("key_changed"), F.col("switched_back").cast("double").alias("switched_back"))
-        miss = missingness_ratio(p, month).select(F.col("ratio").alias("missing_size_ratio"))
-        exits = survivorship_flag(lifetimes(p, end, early, month), end).select("exit_share", F.col("flagged").cast("double").alias("survivorship_flag"))
-        for frame in (timing, dup, tick, change, miss, exits):
-            parts.append(X.unpivot(frame, [], frame.columns, "rule", "value").withColumn("slice", F.lit(name)))
-    long = reduce(lambda a, b: a.unionByName(b), parts)
+    """(rule, one column per slice): the panel rules on clean and altered copies, in one plan keyed by slice."""
+    p = reduce(lambda a, b: a.unionByName(b), [df.withColumn("slice", F.lit(name)) for name, df in slices.items()])
+    by = ["slice"]
+
+    def double(c, name):
+        return F.col(c).cast("double").alias(name)
+
+    copies = p.groupBy(*by, "permno", month).agg(F.count(F.lit(1)).alias("n"))
+    shared = ticker_owners(p, month, by).groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("shared_ticker_months"))
+    parts = [
+        timing_consistency(p, month, by=by).groupBy(*by).agg(F.sum(F.col("flagged").cast("double")).alias("timing_months_flagged")),
+        copies.groupBy(*by).agg(F.sum(F.col("n") - 1).cast("double").alias("duplicate_keys")),
+        copies.select(*by).distinct().join(shared, by, "left").na.fill(0.0, ["shared_ticker_months"]),
+        key_changes(p, month, by).select(*by, double("changed", "key_changed"), double("switched_back", "switched_back")),
+        missingness_ratio(p, month, by=by).select(*by, double("ratio", "missing_size_ratio")),
+        survivorship_flag(lifetimes(p, end, early, month, by), end, by=by).select(*by, "exit_share", double("flagged", "survivorship_flag"))]
+    long = reduce(lambda a, b: a.unionByName(b), [X.unpivot(f, by, [c for c in f.columns if c != "slice"], "rule", "value") for f in parts])
     return long.groupBy("rule").pivot("slice", list(slices)).agg(F.first("value"))
