@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-MODULES = ("token_files", "packing", "hyperplanes", "token_counts", "probminhash")
+MODULES = ("token_files", "packing", "hyperplanes", "token_counts", "automaton", "additive", "probminhash")
 
 
 def load() -> tuple[dict, dict]:
