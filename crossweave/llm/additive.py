@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from crossweave.llm.registry import query, table
 from crossweave.llm.words import sub_batches, word_hashes
-from crossweave.session import stage
 
 FEATURES = ("words", "word_bytes", "symbols", "upper", "digits", "wide", "stops", "commas", "marks", "spaces", "lines",
             "distinct", "most_common", "adjacent", "repeated_lines", "line_share", "short_words", "long_words")
@@ -169,59 +168,54 @@ class AdditiveModel:
         return 1 / (1 + np.exp(-logit))
 
 
-def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, key, features) of every row; key is a hash of the text."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ((t or "").encode() for t in batch.column(2).to_pylist()))
-            for part in sub_batches(rows, 2):
-                x = features([t for _, _, t in part])
-                yield pa.RecordBatch.from_arrays([pa.array([d for d, _, _ in part], batch.schema.field(0).type), pa.array([k for _, k, _ in part], pa.int64()),
-                                                  pa.array(list(x), pa.list_(pa.float64()))], names=["id", "key", "features"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"id {kind}, key long, features array<double>")
-
-
 def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(rows: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str = "doc_id", label_col: str = "quality") -> AdditiveModel:
-    """The model, from at most `sample` labelled rows of text_features that are not held out, drawn by a hash of the id.
+def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text",
+          label_col: str = "quality") -> AdditiveModel:
+    """The model, from the texts of at most `sample` labelled ids that are not held out, drawn by a hash of the id.
 
-    That bound is the only use of a sample: scores are for all rows. Ids labelled both ways, null labels
-    and null ids are left out. Without rows of both classes the model is the smoothed share of label 1.
+    That bound is the only use of a sample (and bounds what is broadcast and collected); scores are for all rows. Ids
+    labelled both ways, null labels and null ids are left out. Without rows of both classes the model is the smoothed share of label 1.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where(
-        F.col("y").isin(0.0, 1.0) & ~held_out("id")).groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z")
-    drawn = rows.join(known, "id").select("features", "y", F.xxhash64("id").alias("o"), "key").orderBy("o", "key").limit(sample).collect()
-    return AdditiveModel().fit(np.array([r.features for r in drawn]).reshape(len(drawn), len(FEATURES)), np.array([r.y for r in drawn]))
+        F.col("y").isin(0.0, 1.0) & F.col("id").isNotNull() & ~held_out("id"))
+    known = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z")
+    drawn = known.orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "y")
 
-
-def scored(rows: DataFrame, model: AdditiveModel) -> DataFrame:
-    """(id, key, score) by bin additions over Arrow batches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.score(x))], names=["id", "key", "score"])
+            for part in sub_batches(zip(batch.column("y").to_pylist(), ((t or "").encode() for t in batch.column("text").to_pylist())), 1):
+                yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in part], pa.float64()), pa.array(list(features([t for _, t in part])), pa.list_(pa.float64()))],
+                                                 names=["y", "x"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, key long, score double")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id").select("y", "text")
+    rows = texts.mapInArrow(run, "y double, x array<double>").limit(2 * sample).collect()
+    rows.sort(key=lambda r: (r.y, r.x))  # the fit does not depend on the order in which tasks end
+    return AdditiveModel().fit(np.array([r.x for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r.y for r in rows]))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> DataFrame:
-    """(id, key, score) of every row of docs. The texts are read once; features are written and used for fit and scores.
+def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = 20_000, text_col: str = "text") -> DataFrame:
+    """docs, all its columns, with a column __score (0 to 1, higher for label 1), in one pass over the texts without a shuffle.
 
     Null and empty texts get a score like any other text; null ids are scored but not learned from; repeated
-    rows are scored each; an empty table gives no rows; other columns of either table are not read.
+    rows are scored each; an empty table gives no rows; other columns are carried along.
     """
-    rows = stage(text_features(docs), "features")
-    return scored(rows, train(rows, labels, sample))
+    model = train(docs, labels, sample, text_col=text_col)
+    out = docs.withColumn("__score", F.lit(None).cast("double"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = [np.zeros(0)]
+            for part in sub_batches((((t or "").encode(),) for t in batch.column(text_col).to_pylist()), 0):
+                score.append(model.score(features([t for t, in part])))
+            yield batch.set_column(batch.num_columns - 1, batch.schema.field(batch.num_columns - 1), pa.array(np.concatenate(score)))
+
+    return out.mapInArrow(run, out.schema)
 
 
 @query("op7_additive_quality")
 def op7_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return out.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    out = quality_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", held_out().alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.3).cast("int").alias("predicted"))
