@@ -177,7 +177,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = GRAM) -> Data
     long = keyed.where(F.octet_length("text") >= length)
     named = stage(long.mapInArrow(find, "key binary, gram long, place int, first int, last int"), "anchors")
     at = F.xxhash64("key", "place")
-    again = named.groupBy("gram").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).where("lo <> hi").select("gram")
+    # written first, so that the join reads plain tables on both sides and a gram with very many rows is split
+    again = stage(named.groupBy("gram").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).where("lo <> hi").select("gram"), "again")
     # copies of a text repeat its anchors, which the set removes
     wanted = named.join(again, "gram").groupBy("key").agg(F.collect_set(F.struct("place", "gram", "first", "last")).alias("anchors"))
     # one row of each text, picked by its least id, so that no copies meet in a task
