@@ -224,7 +224,8 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -
     A document with very many partners is compared in shares: its text goes once to each share, the partners' texts
     to one share each, so no task holds more than one text and a batch.
     """
-    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
+    # written first, so that the join below reads plain tables on both sides and a hot document is split
+    shares = stage(pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).alias("shares")), "shares")
     members = pairs.join(shares, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("shares")))
     members = members.join(texts.withColumnRenamed("doc", "b"), "b").select("a", "salt", "b", "text")
     heads = shares.join(texts.withColumnRenamed("doc", "a"), "a").select(
