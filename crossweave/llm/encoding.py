@@ -38,7 +38,7 @@ class TextEncoder:
     Chunks are encoded by the tokenizers library itself; equality with the uncut text is tested.
     """
 
-    def __init__(self, path: str, spaces: str, limit: int = 700_000):
+    def __init__(self, path: str, spaces: str, limit: int = 1_600_000):
         from tokenizers import Tokenizer
         tokenizer = Tokenizer.from_file(path)
         self.spaces = spaces
