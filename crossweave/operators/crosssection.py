@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from crossweave.functions.ols import two_slopes
 from crossweave.operators.ranks import rank_moments, split_rank
-from crossweave.session import known_size
 
 
 def unpivot(df: DataFrame, ids: list[str], columns: list[str], name: str = "feature", value: str = "value") -> DataFrame:
@@ -37,7 +36,7 @@ def rank_keep_missing(df: DataFrame, columns: list[str], month: str, entity: str
 
 def demean_and_clip(df: DataFrame, y: str, month: str, clip_sd: float = 3.0, out: str = "target") -> DataFrame:
     """Subtract the month mean, then clip at clip_sd population sds of the whole sample."""
-    means = known_size(df.groupBy(month).agg(F.avg(y).alias("__mean")), "means")
+    means = df.groupBy(month).agg(F.avg(y).alias("__mean"))
     centred = df.join(means, month).withColumn(out, F.col(y) - F.col("__mean"))
     bound = centred.agg(F.stddev_pop(out) * clip_sd).scalar()
     value = F.when(F.col(out).isNotNull(), F.least(F.greatest(F.col(out), -bound), bound))
@@ -48,7 +47,7 @@ def unit_rank(df: DataFrame, value: str, keys: list[str], out: str, entity: str
     """Average-tie rank, centred and divided by its population sd (by 1 if that is 0)."""
     ranked = split_rank(df, keys, value, entity, kind="average", rank="__ur")
     scale = F.when(F.col("rank_sd") > 0, F.col("rank_sd")).otherwise(F.lit(1.0))
-    scaled = ranked.join(known_size(rank_moments(df, keys, value), "moments"), keys, "left")
+    scaled = ranked.join(rank_moments(df, keys, value), keys, "left")
     return scaled.withColumn(out, (F.col("__ur") - F.col("rank_mean")) / scale).drop("__ur", "rank_mean", "rank_sd")
 
 
@@ -69,10 +68,11 @@ def neutralise(df: DataFrame, y: str, x1: str, x2: str, month: str, sector: str,
     """Residual of the month's regression of y on x1, x2 and sector dummies.
 
     Centring inside (month, sector) removes the dummies, so the fit needs one
-    aggregation to (month, sector) moments; only that small table is joined back.
+    aggregation to (month, sector) moments; only that small table is joined back. Rows in
+    which y or an x is null take no part in the fit and get a null residual.
     """
     n = F.count(F.lit(1))
-    cells = df.groupBy(month, sector).agg(
+    cells = df.where(F.col(y).isNotNull() & F.col(x1).isNotNull() & F.col(x2).isNotNull()).groupBy(month, sector).agg(
         F.avg(y).alias("my"), F.avg(x1).alias("m1"), F.avg(x2).alias("m2"),
         (n * F.var_pop(x1)).alias("s11"), (n * F.covar_pop(x1, x2)).alias("s12"), (n * F.var_pop(x2)).alias("s22"),
         (n * F.covar_pop(x1, y)).alias("s1y"), (n * F.covar_pop(x2, y)).alias("s2y"))
@@ -83,7 +83,7 @@ def neutralise(df: DataFrame, y: str, x1: str, x2: str, month: str, sector: str,
         month, sector, "__b1", "__b2",
         (F.col("my") - F.col("__b1") * F.col("m1") - F.col("__b2") * F.col("m2")).alias("__a"))
     resid = F.col(y) - F.col("__a") - F.col("__b1") * F.col(x1) - F.col("__b2") * F.col(x2)
-    return df.join(known_size(fit, "fit"), [month, sector]).withColumn(out, resid).drop("__a", "__b1", "__b2")
+    return df.join(fit, [month, sector], "left").withColumn(out, resid).drop("__a", "__b1", "__b2")
 
 
 def smooth(df: DataFrame, value: str, months: int = 3, entity: str = "permno", order: str = "target_mi",
@@ -117,7 +117,7 @@ def sector_rank_z(df: DataFrame, value: str, month: str, sector: str, out: str,
     """Average-tie rank within (month, sector) as a population z-score; NULL where all ranks tie."""
     ranked = split_rank(df, [month, sector], value, entity, kind="average", rank="__sr")
     z = F.when(F.col("rank_sd") > 0, (F.col("__sr") - F.col("rank_mean")) / F.col("rank_sd"))
-    scored = ranked.join(known_size(rank_moments(df, [month, sector], value), "moments"), [month, sector], "left")
+    scored = ranked.join(rank_moments(df, [month, sector], value), [month, sector], "left")
     return scored.withColumn(out, z).drop("__sr", "rank_mean", "rank_sd")
 
 
@@ -139,8 +139,8 @@ def top_n(df: DataFrame, value: str, n: int, keys: list[str], largest: bool = Tr
 def alpha_forms(df: DataFrame, month: str, ic: float = 0.03, score: str = "score", forecast: str = "forecast",
                 vol: str = "vol") -> DataFrame:
     """Three annualised expected-return scalings of a score or forecast."""
-    stats = known_size(df.groupBy(month).agg(F.stddev_samp(score).alias("__ss"), F.avg(forecast).alias("__fm"),
-                                  F.stddev_samp(forecast).alias("__fs")), "spreads")
+    stats = df.groupBy(month).agg(F.stddev_samp(score).alias("__ss"), F.avg(forecast).alias("__fm"),
+                                  F.stddev_samp(forecast).alias("__fs"))
     z = F.try_divide(F.col(score), F.col("__ss"))
     return (df.join(stats, month)
             .withColumn("alpha_ic", 12 * F.lit(ic) * F.col(vol) * z)

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from crossweave.functions.columns import hit_share, months_t_stat, safe_corr, safe_div
 from crossweave.operators import crosssection as X
 from crossweave.operators.ranks import split_rank
-from crossweave.session import known_size
 
 
 def rank_ic(df: DataFrame, a: str, b: str, keys: list[str], out: str = "rank_ic", entity: str = "permno") -> DataFrame:
@@ -87,7 +86,7 @@ def signal_universe(signal: DataFrame, panel: DataFrame, min_price: float = 5.0,
         (F.col("prc") >= min_price) & F.col("size_grp").isin(*sizes) & F.col("sector").isNotNull() & F.col("ret_exc_lead1m").isNotNull())
     big = d.groupBy(*by, "mi", "sector").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= min_sector)
     wide = big.groupBy(*by, "mi").agg(F.count(F.lit(1)).alias("__s")).filter("__s >= 2")
-    cells = known_size(big.select(*by, "mi", "sector").join(wide.select(*by, "mi"), [*by, "mi"]), "cells")
+    cells = big.select(*by, "mi", "sector").join(wide.select(*by, "mi"), [*by, "mi"])
     return d.join(cells, [*by, "mi", "sector"], "left_semi")
 
 

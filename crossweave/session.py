@@ -78,16 +78,3 @@ def shared_stage(spark: SparkSession, source: str, tag: str, build) -> DataFrame
         _shared_stages[key] = (_write_stage(df, tag), df.schema)
     path, schema = _shared_stages[key]
     return spark.read.schema(schema).parquet(path)
-
-
-def known_size(df: DataFrame, tag: str) -> DataFrame:
-    """df, staged first if Spark's estimate of it is above the broadcast threshold.
-
-    An aggregate over a large table is estimated near the size of its input, so a
-    join with it would shuffle the large side before its true size is seen. Staged,
-    its size is that of its files: below the threshold Spark broadcasts it, above it
-    the join shuffles (and splits skewed keys).
-    """
-    conf = df.sparkSession._jsparkSession.sessionState().conf()
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df if estimate <= int(conf.autoBroadcastJoinThreshold()) else stage(df, tag)
