@@ -23,7 +23,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TERM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+_LOWER = {i: i + 32 for i in range(65, 91)}
 #: Characters on each side of an entity that are searched for its context words.
 REACH = 400
 
@@ -67,7 +68,7 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
 
 
 def context(text: str, spans: list[tuple[int, int, int]], reach: int = REACH, words: int = 8) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the words around each base span, nearest first, outside all base spans."""
+    """(entity, term, start, end) of the words around each base span, nearest first, outside all base spans; terms in lower case for A-Z."""
     out = []
     for start, kind, end in spans:
         entity = f"{KINDS[kind]}:{text[start:end].lower()}"
@@ -75,7 +76,7 @@ def context(text: str, spans: list[tuple[int, int, int]], reach: int = REACH, wo
         before = [m.span() for m in _TERM.finditer(text, lo, start) if m.start() > lo or lo == 0]
         after = [m.span() for m in _TERM.finditer(text, end, hi) if m.end() < hi or hi == len(text)]
         near = before[::-1][:words] + after[:words]
-        out += [(entity, text[a:b].lower(), a, b) for a, b in near if not any(a < e and s < b for s, _, e in spans)]
+        out += [(entity, text[a:b].translate(_LOWER), a, b) for a, b in near if not any(a < e and s < b for s, _, e in spans)]
     return out
 
 
@@ -125,7 +126,7 @@ def disclosing_terms(scanned: DataFrame, docs: DataFrame, text_col: str = "text"
     documents show both and at least the share `certainty` of the term's documents do. Counts are over all documents.
     """
     seen = scanned.where(F.size("near") > 0).select("doc", "key", F.explode("near").alias("c")).select(
-        "doc", "key", F.col("c.entity").alias("entity"), F.lower("c.term").alias("term")).distinct()
+        "doc", "key", F.col("c.entity").alias("entity"), F.col("c.term").alias("term")).distinct()
     both = seen.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
     alone = scanned.where(F.size("spans") > 0).select("doc", "key", F.explode(F.array_distinct(F.transform("near", lambda c: c.entity))).alias("entity"))
     alone = alone.groupBy("entity").agg(F.count("*").alias("n_entity"))
@@ -149,7 +150,7 @@ def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     "spans array<struct<start:bigint,kind:bigint,end:bigint>>, near array<struct<entity:string,term:string,start:bigint,end:bigint>>"), "personal")
     telling = disclosing_terms(scanned, docs, text_col, **thresholds)
     marked = scanned.where(F.size("near") > 0).select("doc", "key", F.explode("near").alias("c")).select(
-        "doc", "key", "c.start", "c.end", "c.entity", F.lower("c.term").alias("term"))
+        "doc", "key", "c.start", "c.end", "c.entity", F.col("c.term").alias("term"))
     marked = marked.join(telling, ["entity", "term"]).groupBy("doc", "key").agg(
         F.sort_array(F.collect_set(F.struct("start", F.lit(KINDS.index("term")).cast("long").alias("kind"), "end"))).alias("terms"))
     other = marked.select(F.col("doc").alias("doc2"), F.col("key").alias("key2"), "terms")

@@ -42,6 +42,8 @@ def signatures(element: np.ndarray, owner: np.ndarray, weight: np.ndarray, texts
     the element and the arrival's number, hence equal for equal elements of any two texts. Two texts agree in a component with the
     probability Jaccard similarity of their weights. All texts of a batch go through the rounds together.
     """
+    if size > 2048:
+        raise ValueError("11 bits of a hash choose the component")
     first = np.full(texts * size, np.inf)
     kept = np.zeros(texts * size, dtype=np.uint64)
     time = np.zeros(len(element))
