@@ -19,6 +19,8 @@ from crossweave.session import stage
 
 #: Documents below this score go; those with more than this share of their words in benchmark windows go whole.
 LEAST_QUALITY, MOST_OVERLAP = 0.3, 0.5
+#: Chunks whose ids a worker remembers when packing: its memory stays with a worker that also runs the other stages.
+REMEMBERED = 200_000
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -53,7 +55,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences of at most 1024 tokens; null texts have the end id only."""
-    return pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), "lead", 0)
+    return pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), "lead", 0, memory=REMEMBERED)
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("benchmark_free", benchmark_free), ("personal_data", personal_data), ("packing", packing)]

@@ -56,11 +56,12 @@ class TextEncoder:
         return (self.first[parts[0]] if parts[0] else b"") + b"".join(map(self.later.__getitem__, parts[1:]))
 
 
-_encoders: dict[tuple[str, str], TextEncoder] = {}
+_encoders: dict[tuple[str, str, int], TextEncoder] = {}
 
 
-def encoder(path: str, spaces: str) -> TextEncoder:
-    """One encoder per worker process, kept from task to task."""
-    if (path, spaces) not in _encoders:
-        _encoders[path, spaces] = TextEncoder(path, spaces)
-    return _encoders[path, spaces]
+def encoder(path: str, spaces: str, memory: int = 1_600_000) -> TextEncoder:
+    """One encoder per worker process that remembers up to `memory` chunks, kept from task to task."""
+    key = path, spaces, memory
+    if key not in _encoders:
+        _encoders[key] = TextEncoder(path, spaces, memory)
+    return _encoders[key]

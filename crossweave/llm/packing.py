@@ -117,11 +117,13 @@ class Packer:
 
 
 def pack_documents(docs: DataFrame, path: str, spaces: str, end_id: int, tiers: tuple[int, ...] = TIERS, step: int = 8192,
-                   pool: int = 1_000_000, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                   pool: int = 1_000_000, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text",
+                   memory: int = 1_600_000) -> DataFrame:
     """One row per piece: where it comes from, its checksum, and its place in a sequence.
 
     Texts are encoded and packed in the task that reads them, so no token crosses the network and no group
-    is gathered; at most about `pool` tokens wait in a task. A task leaves one sequence that may need padding.
+    is gathered; at most about `pool` tokens wait in a task, and a worker
+    remembers the ids of up to `memory` chunks (it changes the speed only). A task leaves one sequence that may need padding.
     with_ids adds the ids themselves. step_group numbers groups of sequences with equal numbers of tokens.
 
     A null text is empty and has end_id only; null ids and repeated rows are packed like any other row;
@@ -130,7 +132,7 @@ def pack_documents(docs: DataFrame, path: str, spaces: str, end_id: int, tiers:
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path, spaces).encode, end_id.to_bytes(4, "little")
+        encode, end = encoder(path, spaces, memory).encode, end_id.to_bytes(4, "little")
         packer = Packer(tiers, step)
         base = TaskContext.get().partitionId() << 32
         sequence = group_no = 0
