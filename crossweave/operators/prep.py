@@ -92,7 +92,7 @@ def eligible_imputed(df: DataFrame, min_price: float = MIN_PRICE, month: str = "
     long = kept.select(month, "permno", F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in fallbacks])).alias("p")) \
         .select(month, "permno", "p.column", "p.value")
-    medians = group_quantiles(long, [month, "column"], "value", "permno", {"mid": 0.5})
+    medians = group_quantiles(long, [month, "column"], "value", {"mid": 0.5})
     wide = medians.groupBy(month).pivot("column", list(fallbacks)).agg(F.first("mid"))
     wide = wide.select(month, *[F.col(c).alias(f"__{c}") for c in fallbacks])
     kept = kept.join(wide, month, "left")

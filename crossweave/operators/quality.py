@@ -86,7 +86,7 @@ def _band() -> Column:
 def missingness_bands(panel: DataFrame) -> DataFrame:
     """Rows, exact median size and micro/nano share per band of row missingness."""
     banded = panel.withColumn("band", _band())
-    medians = group_quantiles(banded, ["band"], "me", "permno", {"median_me": 0.5})
+    medians = group_quantiles(banded, ["band"], "me", {"median_me": 0.5})
     counts = banded.groupBy("band").agg(F.count(F.lit(1)).alias("rows"), _share(F.col("size_grp").isin("micro", "nano")).alias("micro_nano_share"))
     return counts.join(medians, "band", "left")
 
@@ -95,7 +95,7 @@ def missingness_ratio(panel: DataFrame, month: str = "mi", high: float = 0.5, by
     """One row (per `by`): median over months of (median size of high-missing rows / of the others)."""
     split = panel.withColumn("high", F.col("miss_share") > high)
     by = list(by or [])
-    med = group_quantiles(split, [*by, month, "high"], "me", "permno", {"m": 0.5})
+    med = group_quantiles(split, [*by, month, "high"], "me", {"m": 0.5})
     ratio = med.groupBy(*by, month).agg((F.max(F.when(F.col("high"), F.col("m"))) / F.max(F.when(~F.col("high"), F.col("m")))).alias("ratio"))
     return ratio.groupBy(*by).agg(F.median("ratio").alias("ratio"), F.count("ratio").alias("months"))
 

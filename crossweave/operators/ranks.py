@@ -1,18 +1,17 @@
 """Ranks inside groups without putting a whole group into one task.
 
 A month's cross-section can hold a third of all rows, so a plain window over the
-month would sort it in one task. Here each large group is split at approximate
-quantiles of the ranked value; rows are ranked inside a (group, slice) and the
-rows of lower slices are added. The result is exact: the cuts only decide how
-the work is divided.
-
-Every value that is itself a cut gets a slice of its own. Values with very many
-copies are always cuts, so a slice is either a bounded range of values or copies
-of one value; the latter need no sort (average and dense ranks) or are cut again
-by the tie-break column (row numbers).
-
-The broadcast tables hold groups above `slice_rows` rows only, with at most about
-two rows per `slice_rows` input rows, so their size is bounded by construction.
+month would sort it in one task. Here the values are counted per (group, value),
+which combines in the map tasks; the counts are dealt out by ranges of (group,
+value), so a large group lies in many partitions; a window runs over each
+(group, partition) cell; and one row per cell carries what lies in lower cells.
+There is one path for groups of every size, and nothing is broadcast by force:
+AQE broadcasts the counts where they are small, and splits the rows of a value
+with very many copies where they are not. Row numbers deal out the rows
+themselves, by ranges of (group, value, tie).
+
+The dealt table is written (see `stage`), because the cells' offsets and the
+cells must come from the same ranges.
 """
 
 from __future__ import annotations
@@ -21,104 +20,66 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SLICE_ROWS_CONF = "spark.crossweave.rank.sliceRows"
-SLICE_ROWS = 1_000_000
-GRID = 1024
-SALTS = 1024
-_QUANTILES = "array(" + ",".join(f"{i / GRID}D" for i in range(1, GRID)) + ")"
+from crossweave.session import stage
 
 
-def _slice_rows(df: DataFrame, slice_rows: int | None) -> int:
-    return slice_rows or int(df.sparkSession.conf.get(SLICE_ROWS_CONF, str(SLICE_ROWS)))
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on keys that may be NULL; the right side's copies of the keys go."""
+    named = right.select(*[F.col(k).alias(f"__k{i}") if k in keys else F.col(k) for i, k in
+                           sorted((keys.index(k) if k in keys else -1, k) for k in right.columns)])
+    on = [left[k].eqNullSafe(named[f"__k{i}"]) for i, k in enumerate(keys)]
+    return left.join(named, on, how).drop(*[f"__k{i}" for i in range(len(keys))])
 
 
-def _thin(cuts: Column, slices: Column) -> Column:
-    """Keep about `slices` of the GRID - 1 cuts."""
-    step = F.greatest(F.lit(1), F.floor(F.lit(GRID) / slices))
-    return F.array_distinct(F.filter(cuts, lambda c, i: F.pmod(i + 1, step) == 0))
+def _dealt(df: DataFrame, keys: list[str], order: list[str], weight: Column) -> DataFrame:
+    """df dealt out by ranges of (keys, order), with what lies before and in total.
 
+    Adds __part, __run (sum of `weight` up to and with the row, in its group and
+    partition), __off (the same in lower partitions) and __all (in the group).
+    """
+    cells = stage(df.withColumn("__w", weight).repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+    group = W.partitionBy(*keys)
+    lower = group.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = (cells.groupBy(*keys, "__part").agg(F.sum("__w").alias("__sum"))
+               .select(*keys, "__part", F.coalesce(F.sum("__sum").over(lower), F.lit(0)).alias("__off"), F.sum("__sum").over(group).alias("__all")))
+    inside = W.partitionBy(*keys, "__part").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return _joined(cells.withColumn("__run", F.sum("__w").over(inside)), offsets, [*keys, "__part"], "left")
+
+
+def value_counts(df: DataFrame, keys: list[str], value: str, distinct: bool = False) -> DataFrame:
+    """One row per group and non-null value: (keys, __v, __t, __below, __all).
 
-def _below(cuts: Column, value: Column) -> Column:
-    return F.size(F.filter(cuts, lambda c: c < value))
+    __t counts the value's copies, __below the rows of the group with lower
+    values, __all the rows of the group; with `distinct`, the last two count
+    different values instead.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__t"))
+    out = _dealt(counts, keys, ["__v"], F.lit(1).cast("long") if distinct else F.col("__t"))
+    return out.select(*keys, "__v", "__t", (F.col("__off") + F.col("__run") - F.col("__w")).alias("__below"), "__all")
 
 
 def split_rank(df: DataFrame, keys: list[str], value: str, tie: str, *, kind: str = "average",
-               rank: str = "rank", total: str | None = None, ties: str | None = None,
-               ascending: bool = True, slice_rows: int | None = None) -> DataFrame:
+               rank: str = "rank", total: str | None = None, ties: str | None = None, ascending: bool = True) -> DataFrame:
     """Add the rank of `value` inside `keys` (NULL stays NULL).
 
     kind: "average" (ties share their mean rank), "dense", or "row" (ties ordered
-    by `tie` ascending, so all ranks differ). `tie` is an integer entity key; it
-    also spreads rows that need no sort. total / ties: optional output columns
+    by `tie` ascending, so all ranks differ). total / ties: optional output columns
     with the group's non-null row count (distinct values for "dense") and the
     number of copies of the row's value ("average" only).
     """
-    limit = _slice_rows(df, slice_rows)
     v = F.col(value).cast("double")
-    work = df.withColumn("__v", v if ascending else -v)
-    quantiles = F.expr(_QUANTILES)
-    known = work.filter(F.col("__v").isNotNull())
-    cuts = (known.groupBy(*keys)
-            .agg(F.count(F.lit(1)).alias("__n"),
-                 F.percentile_approx("__v", quantiles, 4 * GRID).alias("__cuts"),
-                 *([F.percentile_approx(tie, quantiles, 4 * GRID).alias("__tcuts")] if kind == "row" else []))
-            .filter(F.col("__n") > limit)
-            .withColumn("__slices", F.least(F.lit(GRID), F.ceil(F.col("__n") / F.lit(limit)) * 2)))
-    thin = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
-    cuts = cuts.select(*thin, _thin(F.col("__cuts"), F.col("__slices")).alias("__cuts"),
-                       *([_thin(F.col("__tcuts"), F.col("__slices")).alias("__tcuts")] if kind == "row" else []))
-
-    def on_keys(left):
-        return [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
-
-    def place(frame: DataFrame, how: str) -> DataFrame:
-        frame = frame.join(F.broadcast(cuts), on_keys(frame), how).drop(*[f"__k{i}" for i in range(len(keys))])
-        single = F.coalesce(F.array_contains("__cuts", F.col("__v")), F.lit(False))
-        frame = (frame.withColumn("__one", single)
-                 .withColumn("__slice", F.when(F.col("__cuts").isNull(), F.lit(0))
-                             .otherwise(_below(F.col("__cuts"), F.col("__v")) * 2 + single.cast("int"))))
-        if kind == "row":
-            sub = F.when(F.col("__one"), _below(F.col("__tcuts"), F.col(tie))).otherwise(F.lit(0))
-            return frame.withColumn("__sub", sub).drop("__cuts", "__tcuts")
-        return frame.withColumn("__sub", F.lit(0)).drop("__cuts")
-
-    # Rows per slice of the large groups, then the running total of lower slices.
-    counted = place(known.select(*keys, "__v", *([tie] if tie not in keys else [])), "inner")
-    if kind == "dense":
-        counted = counted.select(*keys, "__slice", "__sub", "__v").distinct()
-    order = W.partitionBy(*keys).orderBy("__slice", "__sub")
-    sizes = (counted.groupBy(*keys, "__slice", "__sub").agg(F.count(F.lit(1)).alias("__in"))
-             .withColumn("__off", F.sum("__in").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("__in"))
-             .withColumn("__all", F.sum("__in").over(W.partitionBy(*keys)))
-             .select(*thin, F.col("__slice").alias("__slice_at"), F.col("__sub").alias("__sub_at"), "__in", "__off", "__all"))
-    placed = place(work, "left")
-    placed = placed.join(F.broadcast(sizes),
-                         on_keys(placed) + [F.col("__slice") == F.col("__slice_at"), F.col("__sub") == F.col("__sub_at")], "left")
-
-    # Rows that need no order inside their slice are spread by salt.
-    flat = F.col("__v").isNull() if kind == "row" else (F.col("__v").isNull() | F.col("__one"))
-    placed = placed.withColumn("__salt", F.when(flat, F.pmod(F.xxhash64(tie), F.lit(SALTS)).cast("int")).otherwise(F.lit(-1)))
-    part = [*keys, "__slice", "__sub", "__salt"]
-    inside = W.partitionBy(*part).orderBy("__v", tie) if kind == "row" else W.partitionBy(*part).orderBy("__v")
-    peers = inside.rangeBetween(W.currentRow, W.currentRow)
-    whole = W.partitionBy(*part)
-    off = F.coalesce(F.col("__off"), F.lit(0))
+    work = df.withColumn("__value", v if ascending else -v)
     if kind == "row":
-        value_rank = off + F.row_number().over(inside)
-    elif kind == "dense":
-        value_rank = off + F.when(F.col("__one"), F.lit(1)).otherwise(F.dense_rank().over(inside))
+        out = _dealt(work, keys, ["__value", tie], F.col("__value").isNotNull().cast("long"))
+        place, n = F.col("__off") + F.col("__run"), F.col("__all")
     else:
-        placed = placed.withColumn("__eq", F.when(F.col("__one"), F.col("__in")).otherwise(F.count("__v").over(peers)))
-        below = F.when(F.col("__one"), F.lit(0)).otherwise(F.rank().over(inside) - 1)
-        value_rank = off + below + (F.col("__eq") + 1) / 2
-    known_row = F.col("__v").isNotNull()
-    out = placed.withColumn(rank, F.when(known_row, value_rank))
-    if total:
-        in_part = F.max(F.col(rank)).over(whole) if kind == "dense" else F.count("__v").over(whole)
-        out = out.withColumn(total, F.when(known_row, F.coalesce(F.col("__all"), in_part).cast("long")))
-    if ties:
-        out = out.withColumn(ties, F.when(known_row, F.col("__eq")))
-    return out.select(*df.columns, rank, *([total] if total else []), *([ties] if ties else []))
+        counts = value_counts(work, keys, "__value", distinct=kind == "dense")
+        out = _joined(work, counts.withColumnRenamed("__v", "__value"), [*keys, "__value"], "left")
+        place = F.col("__below") + (F.lit(1) if kind == "dense" else (F.col("__t") + 1) / 2)
+        n = F.col("__all")
+    known = F.col("__value").isNotNull()
+    added = {rank: place, **({total: n} if total else {}), **({ties: F.col("__t")} if ties else {})}
+    return out.select(*df.columns, *[F.when(known, c).alias(name) for name, c in added.items()])
 
 
 def rank_moments(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -134,24 +95,25 @@ def rank_moments(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return sums.select(*keys, ((n + 1) / 2).alias("rank_mean"), F.sqrt(variance).alias("rank_sd"))
 
 
-def group_quantiles(df: DataFrame, keys: list[str], value: str, tie: str, points: dict[str, float],
-                    slice_rows: int | None = None) -> DataFrame:
-    """Exact linear-interpolated quantiles per group, from ranks.
+def group_quantiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
+    """Exact linear-interpolated quantiles per group, from the counts of its values.
 
     One row per group with a non-null value; `points` maps output column to the
     quantile. Unlike percentile(), no task holds all values of a group: the two
-    neighbouring order statistics are picked by row number.
+    neighbouring order statistics are picked by the rows below and up to a value.
     """
-    ranked = split_rank(df.filter(F.col(value).isNotNull()).select(*keys, value, tie), keys, value, tie,
-                        kind="row", rank="__r", total="__n", slice_rows=slice_rows)
+    last = F.col("__all") - 1
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("__below") <= place) & (place < F.col("__below") + F.col("__t")), F.col("__v")))
+
     picks = []
     for i, q in enumerate(points.values()):
-        pos = F.lit(float(q)) * (F.col("__n") - 1)
-        picks += [F.max(F.when(F.col("__r") - 1 == F.floor(pos), F.col(value))).alias(f"__lo{i}"),
-                  F.max(F.when(F.col("__r") - 1 == F.ceil(pos), F.col(value))).alias(f"__hi{i}")]
-    out = ranked.groupBy(*keys).agg(F.max("__n").alias("__n"), *picks)
+        pos = F.lit(float(q)) * last
+        picks += [at(F.floor(pos)).alias(f"__lo{i}"), at(F.ceil(pos)).alias(f"__hi{i}")]
+    out = value_counts(df, keys, value).groupBy(*keys).agg(F.max("__all").alias("__all"), *picks)
     cols = []
     for i, (name, q) in enumerate(points.items()):
-        frac = F.lit(float(q)) * (F.col("__n") - 1) - F.floor(F.lit(float(q)) * (F.col("__n") - 1))
+        frac = F.lit(float(q)) * last - F.floor(F.lit(float(q)) * last)
         cols.append((F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * frac).alias(name))
     return out.select(*keys, *cols)

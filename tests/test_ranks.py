@@ -1,8 +1,12 @@
-"""Split ranks against pandas: hot groups, heavy ties, missing values, tiny slices."""
+"""Split ranks against pandas: hot groups, heavy ties, missing values, few and many partitions."""
+
+import contextlib
+import io
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from crossweave.operators import crosssection as X
 from crossweave.operators import ranks as R
@@ -26,12 +30,21 @@ def frame(spark, skewed):
     return spark.createDataFrame(rows, "permno long, g int, v double")
 
 
-@pytest.mark.parametrize("slice_rows", [40, 1_000_000])
+@pytest.fixture(params=[1, 40])
+def partitions(spark, request):
+    """Everything in one partition, and hardly any rows in each."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", str(request.param))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield request.param
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("ascending", [True, False])
 @pytest.mark.parametrize("kind", ["average", "dense", "row"])
-def test_split_rank(frame, skewed, kind, ascending, slice_rows):
-    got = R.split_rank(frame, ["g"], "v", "permno", kind=kind, rank="r", total="n", ascending=ascending,
-                       slice_rows=slice_rows).toPandas().set_index("permno").sort_index()
+def test_split_rank(frame, skewed, kind, ascending, partitions):
+    got = R.split_rank(frame, ["g"], "v", "permno", kind=kind, rank="r", total="n", ascending=ascending).toPandas().set_index("permno").sort_index()
     method = {"average": "average", "dense": "dense", "row": "first"}[kind]
     want = skewed.groupby("g").v.rank(method=method, ascending=ascending)
     pd.testing.assert_series_equal(got.r.astype(float), want.set_axis(got.index), check_names=False)
@@ -39,17 +52,40 @@ def test_split_rank(frame, skewed, kind, ascending, slice_rows):
     pd.testing.assert_series_equal(got.n.astype(float), total.astype(float).set_axis(got.index), check_names=False)
 
 
-def test_slices_are_bounded(spark, frame):
-    """The hot group is spread over many (slice, sub, salt) cells instead of one window partition."""
-    ranked = R.split_rank(frame, ["g"], "v", "permno", kind="row", rank="r", slice_rows=40)
-    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
-    assert "__slice" in plan and "__salt" in plan
-    assert ranked.filter("g = 0").select("r").distinct().count() == frame.filter("g = 0 AND v IS NOT NULL").count() + 1
+def test_missing_keys_and_copies(spark):
+    rows = [(1, None, 2.0), (2, None, 2.0), (3, None, 5.0), (4, 7, None), (5, 7, float("nan")), (6, 7, -0.0), (7, 7, 0.0)]
+    df = spark.createDataFrame(rows, "permno long, g int, v double")
+    got = {r.permno: (r.r, r.t) for r in R.split_rank(df, ["g"], "v", "permno", rank="r", ties="t").collect()}
+    assert got == {1: (1.5, 2), 2: (1.5, 2), 3: (3.0, 1), 4: (None, None), 5: (3.0, 1), 6: (1.5, 2), 7: (1.5, 2)}
+    same = spark.createDataFrame([(1, 1, 3.0)] * 3, "permno long, g int, v double")
+    assert sorted(r.r for r in R.split_rank(same, ["g"], "v", "permno", kind="row", rank="r").collect()) == [1, 2, 3]
 
 
-@pytest.mark.parametrize("slice_rows", [40, 1_000_000])
-def test_group_quantiles(frame, skewed, slice_rows):
-    got = R.group_quantiles(frame, ["g"], "v", "permno", {"q05": 0.05, "mid": 0.5, "q95": 0.95}, slice_rows).toPandas().set_index("g").sort_index()
+@pytest.mark.parametrize("values", [100, 1000])
+@pytest.mark.parametrize("kind", ["average", "dense", "row"])
+def test_nothing_is_broadcast_by_force(spark, kind, values):
+    """With automatic broadcasts off, no plan has one, however often values repeat; a large group lies in many cells."""
+    df = spark.range(20_000).selectExpr("id permno", "cast(if(id % 3 = 0, 0, id % 7) as int) g", f"cast(pmod(hash(id), {values}) as double) v")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ranked = R.split_rank(df, ["g"], "v", "permno", kind=kind, rank="r")
+        text = io.StringIO()
+        with contextlib.redirect_stdout(text):
+            ranked.explain()
+        assert "Broadcast" not in text.getvalue()
+        assert ranked.filter("r is not null").count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_large_group_lies_in_many_partitions(frame, spark, partitions):
+    cells = R._dealt(frame.where("v is not null"), ["g"], ["v", "permno"], F.lit(1).cast("long")).where("g = 0").groupBy("__part").count().collect()
+    assert partitions == 1 or (len(cells) > 5 and max(r["count"] for r in cells) < 2 * 9000 / partitions)
+
+
+def test_group_quantiles(frame, skewed, partitions):
+    got = R.group_quantiles(frame, ["g"], "v", {"q05": 0.05, "mid": 0.5, "q95": 0.95}).toPandas().set_index("g").sort_index()
     for name, q in (("q05", 0.05), ("mid", 0.5), ("q95", 0.95)):
         np.testing.assert_allclose(got[name], skewed.groupby("g").v.quantile(q).sort_index())
 
