@@ -36,10 +36,9 @@ ACCOUNT = ("total_gross", "total_net", "cash", "turnover", "cost", "gross", "net
 COUNTS = ("positions", "missing_return_positions")
 
 
-@query("i02_account", with_(*TO_LEDGER) + sel(*ACCOUNT, exact=COUNTS) + " WHERE trial = 'matched_1.0'")
+@query("i02_account", with_(*TO_LEDGER) + sel(*ACCOUNT, exact=COUNTS))
 def account(spark, sf):
-    one = D.book(spark, sf).filter("trial = 'matched_1.0'").drop("raw_return", "filled")
-    led = A.ledger(one, D.returns(spark, sf), D.cash(spark, sf), KEYS)
+    led = A.ledger(D.book(spark, sf).drop("raw_return", "filled"), D.returns(spark, sf), D.cash(spark, sf), KEYS)
     return out(led, *ACCOUNT, exact=COUNTS)
 
 

@@ -4,11 +4,10 @@ from pyspark.sql import functions as F
 
 from checks.accounting import BREACHES, LEDGER_FLAGS, NAME_FLAGS, TO_DRIFTED, TOTALS, breach_rows, drifted_rows, flag_sql
 from checks.registry import near, query
-from checks.risk import FROM, TO_RISK, factors, history_z
+from checks.risk import TO_RISK, book_variance
 from checks.views import LEDGER, TO_BOOK, TO_LEDGER, label, r6, with_
 from crossweave.functions.columns import month_label
 from crossweave.operators import audits as H
-from crossweave.operators import risk as R
 from crossweave.operators import sizing as Z
 from crossweave.operators import trials as J
 from crossweave.sources import demo_tables as D
@@ -33,7 +32,7 @@ RULES = {
 
 @query("h01_constraint_audit", with_(*TO_RISK, LEDGER) + f"""
 , gl AS (SELECT target_mi, sector, 1.25 * (count(*) / sum(count(*)) OVER (PARTITION BY target_mi)) AS share125 FROM scored GROUP BY target_mi, sector),
-hb AS (SELECT * FROM book WHERE schedule = 'global' AND target_mi >= {FROM}),
+hb AS (SELECT * FROM book),
 hs AS (SELECT b.trial, b.target_mi, b.sector, sum(weight) AS sn, sum(abs(weight)) AS sg, any_value(share125) * any_value(gross_limit) AS cap
   FROM hb b JOIN gl ON gl.target_mi = b.target_mi AND gl.sector = b.sector GROUP BY 1, 2, 3),
 ht AS (SELECT trial, target_mi, max(abs(sn)) AS sector_net, max(sg - cap) AS over_sector FROM hs GROUP BY 1, 2),
@@ -47,15 +46,14 @@ hw AS (SELECT hm.*, sector_net, over_sector, turnover, variance FROM hm JOIN ht
 hr AS (""" + " UNION ALL ".join(f"SELECT trial, target_mi, '{n}' AS rule, {e} AS excess FROM hw" for n, e in RULES.items()) + f""")
 SELECT trial, {label('target_mi')} AS month, rule, {r6('greatest(excess, 0)')} AS violation, greatest(excess, 0) <= 1e-6 AS passed FROM hr WHERE excess IS NOT NULL""")
 def constraint_audit(spark, sf):
-    book = D.book(spark, sf).filter((F.col("schedule") == "global") & (F.col("target_mi") >= FROM))
+    book = D.book(spark, sf)
     for name, value in OPTIONAL.items():
         book = book.withColumn(name, F.lit(value))
     shares = Z.sector_gross_limits(D.scored(spark, sf), F.lit(1.25), F.lit(1.0)).select("target_mi", "sector", "gross_limit")
     limits = D.trials(spark, sf).select("trial", F.col("gross_limit").alias("g"))
     caps = book.select(*BY, "sector").distinct().join(shares, ["target_mi", "sector"]).join(limits, "trial") \
         .select(*BY, "sector", (F.col("gross_limit") * F.col("g")).alias("gross_limit"))
-    variance = R.portfolio_variance(book, factors(spark, sf), history_z(spark, sf), ["trial"])
-    audit = H.constraint_audit(book, BY, D.trial_ledger(spark, sf), variance, caps)
+    audit = H.constraint_audit(book, BY, D.trial_ledger(spark, sf), book_variance(spark, sf), caps)
     return out(audit, "violation", exact=("rule", "passed"))
 
 
@@ -117,7 +115,7 @@ def position_count_flag(spark, sf):
 
 
 @query("h07_validate_settings", """
-WITH o AS (SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'P'),
+WITH o AS (SELECT o_orderkey, o_custkey, o_totalprice FROM orders),
 t AS (SELECT 'trial_' || o_orderkey AS trial, (o_custkey % 50) / 20.0 AS gross, (o_custkey % 7) / 100.0 AS cap,
   CASE WHEN o_orderkey % 3 = 0 THEN 'none' WHEN o_orderkey % 3 = 1 THEN NULL ELSE CAST((o_custkey % 9) - 1 AS VARCHAR) END AS beta,
   (o_custkey % 30) / 2.0 AS months FROM o),
@@ -130,7 +128,7 @@ p AS (
   UNION ALL SELECT trial, 'unreadable: covariance_months' FROM t WHERE floor(months) <> months)
 SELECT * FROM p""")
 def validate_settings(spark, sf):
-    orders = D.table(spark, sf, "orders").filter("o_orderstatus = 'P'")
+    orders = D.table(spark, sf, "orders")
     text = F.when(F.col("o_orderkey") % 3 == 0, "none").when(F.col("o_orderkey") % 3 == 2, (F.col("o_custkey") % 9 - 1).cast("string"))
     trials = orders.select(
         F.concat(F.lit("trial_"), F.col("o_orderkey").cast("string")).alias("trial"),

@@ -164,10 +164,10 @@ def event_ticker_conflicts(spark, sf):
     return rounded(c, "share_differs", exact=("both_present", "differs", "owned_by_other", "cik_missing"))
 
 
-# Events of the customer panel: urgent orders only.
+# Events of the customer panel: every order, announced up to 29 months before it.
 EVENTS = f"""{CUST},
 {CLIFE},
-ev AS (SELECT o_custkey AS permno, year(o_orderdate) * 12 + month(o_orderdate) AS mi FROM orders WHERE o_orderpriority LIKE '1%'),
+ev AS (SELECT o_custkey AS permno, year(o_orderdate) * 12 + month(o_orderdate) - o_orderkey % 30 AS mi FROM orders),
 cs AS (SELECT permno, max_by(CASE WHEN me > 200000 THEN 'large' ELSE 'small' END, mi) AS size_last FROM cust GROUP BY 1),
 fl AS (SELECT lf.*, cs.size_last, lf.permno IN (SELECT permno FROM ev) AS ever,
     EXISTS (SELECT 1 FROM ev WHERE ev.permno = lf.permno AND ev.mi BETWEEN lf.last - 11 AND lf.last) AS recent FROM lf JOIN cs USING (permno))"""
@@ -175,8 +175,8 @@ fl AS (SELECT lf.*, cs.size_last, lf.permno IN (SELECT permno FROM ev) AS ever,
 
 def event_parts(spark, sf):
     panel = customers(spark, sf).withColumn("size_grp", F.when(F.col("me") > 200_000, "large").otherwise("small"))
-    events = D.table(spark, sf, "orders").filter("o_orderpriority LIKE '1%'").select(
-        F.col("o_custkey").alias("permno"), (F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("mi"))
+    announced = F.year("o_orderdate") * 12 + F.month("o_orderdate") - F.col("o_orderkey") % 30
+    events = D.table(spark, sf, "orders").select(F.col("o_custkey").alias("permno"), announced.alias("mi"))
     return events, panel, customer_life(spark, sf)
 
 

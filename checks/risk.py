@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks.registry import near, query
-from checks.views import PANEL, TO_BOOK, TO_CANDIDATES, label, r6, with_
+from checks.views import PANEL, TO_BOOK, label, r6, with_
 from crossweave.functions.columns import month_label
 from crossweave.operators import accounting as A
 from crossweave.operators import prep as P
@@ -11,102 +11,116 @@ from crossweave.operators import risk as R
 from crossweave.session import shared_stage
 from crossweave.sources import demo_tables as D
 
-FROM = 1996 * 12 + 3  # a year of history before the first estimate
+SETS = """sets AS (SELECT DISTINCT 'global' AS schedule, target_mi, permno, rvol_21d FROM candidates
+  UNION ALL SELECT DISTINCT 'balanced', target_mi, permno, rvol_21d FROM bcand)"""
 
-MOM = f"""cset AS (SELECT DISTINCT target_mi, permno, rvol_21d FROM candidates WHERE target_mi >= {FROM}),
-hh AS (SELECT c.target_mi, c.permno, any_value(c.rvol_21d) AS vol, count(p.ret) AS observations, avg(p.ret) AS mean, stddev_pop(p.ret) AS ssd
-  FROM cset c LEFT JOIN panel p ON p.permno = c.permno AND p.mi BETWEEN c.target_mi - 36 AND c.target_mi - 1 GROUP BY 1, 2),
-mom AS (SELECT target_mi, permno, observations, mean, observations >= 12 AND coalesce(ssd, 0) > 1e-8 AS reliable,
+MOM = f"""{SETS},
+hh AS (SELECT c.schedule, c.target_mi, c.permno, any_value(c.rvol_21d) AS vol, count(p.ret) AS observations, avg(p.ret) AS mean, stddev_pop(p.ret) AS ssd
+  FROM sets c LEFT JOIN panel p ON p.permno = c.permno AND p.mi BETWEEN c.target_mi - 36 AND c.target_mi - 1 GROUP BY 1, 2, 3),
+mom AS (SELECT schedule, target_mi, permno, observations, mean, observations >= 12 AND coalesce(ssd, 0) > 1e-8 AS reliable,
   greatest(CASE WHEN observations >= 12 AND coalesce(ssd, 0) > 1e-8 THEN ssd ELSE vol * sqrt(21) END, 1e-4) AS sd,
   least(36, target_mi - (SELECT min(mi) FROM panel)) AS periods FROM hh),
-z AS (SELECT m.target_mi, m.permno, p.mi, (p.ret - m.mean) / m.sd AS z FROM mom m JOIN panel p
+z AS (SELECT m.schedule, m.target_mi, m.permno, p.mi, (p.ret - m.mean) / m.sd AS z FROM mom m JOIN panel p
   ON p.permno = m.permno AND p.mi BETWEEN m.target_mi - 36 AND m.target_mi - 1 WHERE m.reliable AND p.ret IS NOT NULL)"""
 
-LW = """gram AS (SELECT a.target_mi, a.mi AS s, b.mi AS t, sum(a.z * b.z) AS g FROM z a JOIN z b
-  ON a.target_mi = b.target_mi AND a.permno = b.permno GROUP BY 1, 2, 3),
-gs AS (SELECT target_mi, sum(CASE WHEN s = t THEN g ELSE 0 END) AS tr, sum(CASE WHEN s = t THEN g * g ELSE 0 END) AS quart, sum(g * g) AS fro FROM gram GROUP BY 1),
-sz AS (SELECT target_mi, count(*) AS n, max(periods) AS t FROM mom GROUP BY 1),
-l1 AS (SELECT target_mi, n, t, tr / t AS tr, (fro / (t * t) - (tr / t) ** 2 / n) / n AS d, (quart / t - fro / (t * t)) / (n * t) AS b FROM gs JOIN sz USING (target_mi)),
-lw AS (SELECT target_mi, n AS names, t AS periods, CASE WHEN least(b, d) > 0 AND d > 0 THEN least(b, d) / d ELSE 0 END AS delta, tr / n AS mu FROM l1),
+LW = """gram AS (SELECT a.schedule, a.target_mi, a.mi AS s, b.mi AS t, sum(a.z * b.z) AS g FROM z a JOIN z b
+  ON a.schedule = b.schedule AND a.target_mi = b.target_mi AND a.permno = b.permno GROUP BY 1, 2, 3, 4),
+gs AS (SELECT schedule, target_mi, sum(CASE WHEN s = t THEN g ELSE 0 END) AS tr, sum(CASE WHEN s = t THEN g * g ELSE 0 END) AS quart, sum(g * g) AS fro FROM gram GROUP BY 1, 2),
+sz AS (SELECT schedule, target_mi, count(*) AS n, max(periods) AS t FROM mom GROUP BY 1, 2),
+l1 AS (SELECT schedule, target_mi, n, t, tr / t AS tr, (fro / (t * t) - (tr / t) ** 2 / n) / n AS d, (quart / t - fro / (t * t)) / (n * t) AS b FROM sz LEFT JOIN gs USING (schedule, target_mi)),
+lw AS (SELECT schedule, target_mi, n AS names, t AS periods, CASE WHEN least(b, d) > 0 AND d > 0 THEN least(b, d) / d ELSE 0 END AS delta, coalesce(tr / n, 0) AS mu FROM l1),
 fac AS (
   SELECT m.*, l.delta, l.mu, CASE WHEN reliable THEN sd / sqrt(greatest((1 - delta) * coalesce(zz, 0) / m.periods + delta * mu, 1e-12)) ELSE 0 END AS a,
     CASE WHEN reliable THEN 0 ELSE sd END AS sd_unrel
-  FROM mom m JOIN lw l USING (target_mi) LEFT JOIN (SELECT target_mi, permno, sum(z * z) AS zz FROM z GROUP BY 1, 2) USING (target_mi, permno)),
+  FROM mom m JOIN lw l USING (schedule, target_mi) LEFT JOIN (SELECT schedule, target_mi, permno, sum(z * z) AS zz FROM z GROUP BY 1, 2, 3) USING (schedule, target_mi, permno)),
 pv AS (
   SELECT b.trial, b.target_mi, max(delta) AS delta, max(mu) AS mu, max(periods) AS t, sum((a * weight) ** 2) AS aa, sum((sd_unrel * weight) ** 2) AS uu, sum(weight ** 2) AS ww
-  FROM book b JOIN fac USING (target_mi, permno) WHERE b.schedule = 'global' GROUP BY 1, 2),
+  FROM book b JOIN fac USING (schedule, target_mi, permno) GROUP BY 1, 2),
 pf AS (SELECT trial, target_mi, sum(f * f) AS ff FROM (
-  SELECT b.trial, b.target_mi, z.mi, sum(z.z * a * weight) AS f FROM book b JOIN fac USING (target_mi, permno) JOIN z USING (target_mi, permno)
-  WHERE b.schedule = 'global' GROUP BY 1, 2, 3) GROUP BY 1, 2),
+  SELECT b.trial, b.target_mi, z.mi, sum(z.z * a * weight) AS f FROM book b JOIN fac USING (schedule, target_mi, permno) JOIN z USING (schedule, target_mi, permno)
+  GROUP BY 1, 2, 3) GROUP BY 1, 2),
 var AS (SELECT trial, target_mi, (1 - delta) / t * coalesce(ff, 0) + delta * mu * aa + uu + 1e-10 * ww AS variance FROM pv LEFT JOIN pf USING (trial, target_mi))"""
 
-TO_RISK = (*TO_BOOK, MOM, LW)
+TO_SETS = (*TO_BOOK, MOM)
+TO_RISK = (*TO_SETS, LW)
+
+# Each schedule is a set of names of its own: its books are measured with the covariance of its own names.
+SCHEDULES = ("global", "balanced")
 
 
 def month(df, *columns, exact=()):
     return df.select(month_label("target_mi").alias("month"), *exact, *[near(c).alias(c) for c in columns])
 
 
-def targets(spark, sf):
-    return D.candidates(spark, sf).filter(F.col("target_mi") >= FROM).select("target_mi", "permno", "rvol_21d").distinct()
+def per_schedule(make):
+    """make(schedule) for both schedules, side by side."""
+    first, second = (make(s).withColumn("schedule", F.lit(s)) for s in SCHEDULES)
+    return first.unionByName(second)
+
+
+def targets(spark, sf, schedule):
+    names = D.candidates(spark, sf) if schedule == "global" else D.balanced_candidates(spark, sf)
+    return names.select("target_mi", "permno", "rvol_21d").distinct()
 
 
-def moments(spark, sf):
-    return shared_stage(spark, sf, "moments", lambda: R.trailing_moments(D.returns(spark, sf), targets(spark, sf), strict=True))
+def moments(spark, sf, schedule):
+    return shared_stage(spark, sf, f"moments_{schedule}", lambda: R.trailing_moments(D.returns(spark, sf), targets(spark, sf, schedule)))
 
 
-def history_z(spark, sf):
-    return shared_stage(spark, sf, "history_z", lambda: R.standardised_history(D.returns(spark, sf), moments(spark, sf)))
+def history_z(spark, sf, schedule):
+    return shared_stage(spark, sf, f"history_z_{schedule}", lambda: R.standardised_history(D.returns(spark, sf), moments(spark, sf, schedule)))
 
 
-def shrink(spark, sf):
-    return shared_stage(spark, sf, "shrink", lambda: R.shrinkage_intensity(moments(spark, sf), history_z(spark, sf)))
+def factors(spark, sf, schedule):
+    m, z = moments(spark, sf, schedule), history_z(spark, sf, schedule)
+    return R.name_factors(m, z, shared_stage(spark, sf, f"shrink_{schedule}", lambda: R.shrinkage_intensity(m, z)))
 
 
-def factors(spark, sf):
-    return R.name_factors(moments(spark, sf), history_z(spark, sf), shrink(spark, sf))
+def books(spark, sf, schedule):
+    return D.book(spark, sf).filter(F.col("schedule") == schedule)
 
 
-def global_book(spark, sf):
-    return D.book(spark, sf).filter((F.col("schedule") == "global") & (F.col("target_mi") >= FROM))
+def book_variance(spark, sf):
+    """Variance of every trial's book each month."""
+    return per_schedule(lambda s: R.portfolio_variance(books(spark, sf, s), factors(spark, sf, s), history_z(spark, sf, s), ["trial"])).drop("schedule")
 
 
-@query("g01_trailing_moments", with_(*TO_CANDIDATES, MOM) + f"""
-SELECT {label('target_mi')} AS month, permno, observations, reliable, {r6('mean')} AS mean, {r6('sd')} AS sd FROM mom""")
+@query("g01_trailing_moments", with_(*TO_SETS) + f"""
+SELECT schedule, {label('target_mi')} AS month, permno, observations, reliable, {r6('mean')} AS mean, {r6('sd')} AS sd FROM mom""")
 def trailing_moments(spark, sf):
-    return month(R.trailing_moments(D.returns(spark, sf), targets(spark, sf)), "mean", "sd", exact=("permno", "observations", "reliable"))
+    m = per_schedule(lambda s: R.trailing_moments(D.returns(spark, sf), targets(spark, sf, s)))
+    return month(m, "mean", "sd", exact=("schedule", "permno", "observations", "reliable"))
 
 
-@query("g02_standardised_history", with_(*TO_CANDIDATES, MOM) + f"""
-SELECT {label('target_mi')} AS month, permno, {label('mi')} AS history_month, {r6('z')} AS z FROM z""")
+@query("g02_standardised_history", with_(*TO_SETS) + f"""
+SELECT schedule, {label('target_mi')} AS month, permno, {label('mi')} AS history_month, {r6('z')} AS z FROM z""")
 def standardised_history(spark, sf):
-    z = R.standardised_history(D.returns(spark, sf), moments(spark, sf))
-    return month(z, "z", exact=("permno", month_label("mi").alias("history_month")))
+    z = per_schedule(lambda s: R.standardised_history(D.returns(spark, sf), moments(spark, sf, s)))
+    return month(z, "z", exact=("schedule", "permno", month_label("mi").alias("history_month")))
 
 
 @query("g03_shrinkage_intensity", with_(*TO_RISK) + f"""
-SELECT {label('target_mi')} AS month, names, CAST(periods AS INTEGER) AS periods, {r6('delta')} AS delta, {r6('mu')} AS mu FROM lw""")
+SELECT schedule, {label('target_mi')} AS month, names, CAST(periods AS INTEGER) AS periods, {r6('delta')} AS delta, {r6('mu')} AS mu FROM lw""")
 def shrinkage_intensity(spark, sf):
-    return month(R.shrinkage_intensity(moments(spark, sf), history_z(spark, sf)), "delta", "mu", exact=("names", "periods"))
+    lw = per_schedule(lambda s: R.shrinkage_intensity(moments(spark, sf, s), history_z(spark, sf, s)))
+    return month(lw, "delta", "mu", exact=("schedule", "names", "periods"))
 
 
 @query("g04_portfolio_variance", with_(*TO_RISK) + f"SELECT trial, {label('target_mi')} AS month, {r6('sqrt(variance)')} AS monthly_vol FROM var")
 def portfolio_variance(spark, sf):
-    v = R.portfolio_variance(global_book(spark, sf), factors(spark, sf), history_z(spark, sf), ["trial"])
-    return month(v.withColumn("monthly_vol", F.sqrt("variance")), "monthly_vol", exact=("trial",))
+    return month(book_variance(spark, sf).withColumn("monthly_vol", F.sqrt("variance")), "monthly_vol", exact=("trial",))
 
 
 @query("g05_covariance_times_weights", with_(*TO_RISK) + f"""
-, path AS (SELECT b.trial, b.target_mi, z.mi, sum(z.z * a * weight) AS f FROM book b JOIN fac USING (target_mi, permno) JOIN z USING (target_mi, permno)
-  WHERE b.schedule = 'global' GROUP BY 1, 2, 3),
-bf AS (SELECT p.trial, p.target_mi, z.permno, sum(z.z * fac.a * p.f) AS bf FROM path p JOIN z USING (target_mi, mi)
-  JOIN fac ON fac.target_mi = z.target_mi AND fac.permno = z.permno GROUP BY 1, 2, 3)
+, path AS (SELECT b.trial, b.schedule, b.target_mi, z.mi, sum(z.z * a * weight) AS f FROM book b JOIN fac USING (schedule, target_mi, permno)
+  JOIN z USING (schedule, target_mi, permno) GROUP BY 1, 2, 3, 4),
+bf AS (SELECT p.trial, p.target_mi, z.permno, sum(z.z * fac.a * p.f) AS bf FROM path p JOIN z USING (schedule, target_mi, mi)
+  JOIN fac ON fac.schedule = z.schedule AND fac.target_mi = z.target_mi AND fac.permno = z.permno GROUP BY 1, 2, 3)
 SELECT b.trial, {label('b.target_mi')} AS month, b.permno, {r6('1000 * (sd * sd + 1e-10)')} AS variance,
   {r6('1000 * ((1 - delta) / periods * coalesce(bf, 0) + ((CASE WHEN reliable THEN delta * mu * a * a ELSE sd_unrel ** 2 END) + 1e-10) * weight)')} AS covariance_with_book
-FROM book b JOIN fac USING (target_mi, permno) LEFT JOIN bf ON bf.trial = b.trial AND bf.target_mi = b.target_mi AND bf.permno = b.permno
-WHERE b.schedule = 'global'""")
+FROM book b JOIN fac USING (schedule, target_mi, permno) LEFT JOIN bf ON bf.trial = b.trial AND bf.target_mi = b.target_mi AND bf.permno = b.permno""")
 def covariance_times_weights(spark, sf):
-    c = R.covariance_times_weights(global_book(spark, sf), factors(spark, sf), history_z(spark, sf), ["trial"])
+    c = per_schedule(lambda s: R.covariance_times_weights(books(spark, sf, s), factors(spark, sf, s), history_z(spark, sf, s), ["trial"]))
     c = c.withColumn("variance", 1000 * F.col("variance")).withColumn("covariance_with_book", 1000 * F.col("covariance_with_book"))
     return month(c, "variance", "covariance_with_book", exact=("trial", "permno"))
 
@@ -117,48 +131,50 @@ dret AS (SELECT permno, date, CASE WHEN lag(unit) OVER (PARTITION BY permno ORDE
   THEN 0.2 * least(greatest(unit / lag(unit) OVER (PARTITION BY permno ORDER BY date) - 1, -0.5), 0.5) END AS r FROM dcell),
 daily AS (SELECT permno, date, r, year(date) * 12 + month(date) AS dmi FROM dret WHERE r IS NOT NULL)"""
 
-DRISK = f"""dset AS (SELECT DISTINCT target_mi, permno, rvol_21d FROM candidates WHERE target_mi >= {FROM}),
-dh AS (SELECT c.target_mi, c.permno, any_value(c.rvol_21d) AS vol, count(d.r) AS observations, avg(d.r) AS mean, stddev_pop(d.r) AS ssd
-  FROM dset c LEFT JOIN daily d ON d.permno = c.permno AND d.dmi BETWEEN c.target_mi - 36 AND c.target_mi - 1 GROUP BY 1, 2),
-dn AS (SELECT t.target_mi, count(DISTINCT d.date) AS periods FROM (SELECT DISTINCT target_mi FROM dset) t JOIN daily d ON d.dmi BETWEEN t.target_mi - 36 AND t.target_mi - 1 GROUP BY 1),
+DRISK = """dh AS (SELECT c.schedule, c.target_mi, c.permno, any_value(c.rvol_21d) AS vol, count(d.r) AS observations, avg(d.r) AS mean, stddev_pop(d.r) AS ssd
+  FROM sets c LEFT JOIN daily d ON d.permno = c.permno AND d.dmi BETWEEN c.target_mi - 36 AND c.target_mi - 1 GROUP BY 1, 2, 3),
+dn AS (SELECT t.target_mi, count(DISTINCT d.date) AS periods FROM (SELECT DISTINCT target_mi FROM sets) t LEFT JOIN daily d ON d.dmi BETWEEN t.target_mi - 36 AND t.target_mi - 1 GROUP BY 1),
 dmom AS (SELECT dh.*, periods, observations >= 40 AND coalesce(ssd, 0) > 1e-8 AS reliable,
   greatest(CASE WHEN observations >= 40 AND coalesce(ssd, 0) > 1e-8 THEN ssd ELSE vol END, 1e-5) AS sd FROM dh JOIN dn USING (target_mi)),
-dz AS (SELECT m.target_mi, m.permno, d.date, (d.r - m.mean) / m.sd AS z FROM dmom m JOIN daily d ON d.permno = m.permno AND d.dmi BETWEEN m.target_mi - 36 AND m.target_mi - 1 WHERE reliable),
-dg AS (SELECT a.target_mi, sum(a.z * b.z) AS g FROM dz a JOIN dz b ON a.target_mi = b.target_mi AND a.date = b.date GROUP BY a.target_mi, a.permno, b.permno),
-df AS (SELECT target_mi, sum(g * g) AS fro FROM dg GROUP BY 1),
-dq AS (SELECT target_mi, sum(q) AS tr, sum(q * q) AS quart FROM (SELECT target_mi, date, sum(z * z) AS q FROM dz GROUP BY 1, 2) GROUP BY 1),
-ds AS (SELECT target_mi, count(*) AS n, max(periods) AS t FROM dmom GROUP BY 1),
-d1 AS (SELECT target_mi, n, t, tr / t AS tr, (fro / (t * t) - (tr / t) ** 2 / n) / n AS d, (quart / t - fro / (t * t)) / (n * t) AS b FROM df JOIN dq USING (target_mi) JOIN ds USING (target_mi)),
-dlw AS (SELECT target_mi, n AS names, CAST(t AS BIGINT) AS periods, CASE WHEN least(b, d) > 0 AND d > 0 THEN least(b, d) / d ELSE 0 END AS delta, tr / n AS mu FROM d1),
-dfac AS (SELECT m.target_mi, m.permno, m.periods, l.delta, l.mu, CASE WHEN reliable THEN sd / sqrt(greatest((1 - delta) * coalesce(zz, 0) / m.periods + delta * mu, 1e-12)) ELSE 0 END AS a,
+dz AS (SELECT m.schedule, m.target_mi, m.permno, d.date, (d.r - m.mean) / m.sd AS z FROM dmom m JOIN daily d ON d.permno = m.permno AND d.dmi BETWEEN m.target_mi - 36 AND m.target_mi - 1 WHERE reliable),
+dg AS (SELECT a.schedule, a.target_mi, sum(a.z * b.z) AS g FROM dz a JOIN dz b ON a.schedule = b.schedule AND a.target_mi = b.target_mi AND a.date = b.date GROUP BY a.schedule, a.target_mi, a.permno, b.permno),
+df AS (SELECT schedule, target_mi, sum(g * g) AS fro FROM dg GROUP BY 1, 2),
+dq AS (SELECT schedule, target_mi, sum(q) AS tr, sum(q * q) AS quart FROM (SELECT schedule, target_mi, date, sum(z * z) AS q FROM dz GROUP BY 1, 2, 3) GROUP BY 1, 2),
+ds AS (SELECT schedule, target_mi, count(*) AS n, nullif(max(periods), 0) AS t FROM dmom GROUP BY 1, 2),
+d1 AS (SELECT schedule, target_mi, n, t, tr / t AS tr, (fro / (t * t) - (tr / t) ** 2 / n) / n AS d, (quart / t - fro / (t * t)) / (n * t) AS b
+  FROM ds LEFT JOIN df USING (schedule, target_mi) LEFT JOIN dq USING (schedule, target_mi)),
+dlw AS (SELECT schedule, target_mi, n AS names, CAST(t AS BIGINT) AS periods, CASE WHEN least(b, d) > 0 AND d > 0 THEN least(b, d) / d ELSE 0 END AS delta, coalesce(tr / n, 0) AS mu FROM d1),
+dfac AS (SELECT m.schedule, m.target_mi, m.permno, nullif(m.periods, 0) AS periods, l.delta, l.mu,
+    CASE WHEN reliable THEN sd / sqrt(greatest((1 - delta) * coalesce(zz, 0) / m.periods + delta * mu, 1e-12)) ELSE 0 END AS a,
     CASE WHEN reliable THEN 0 ELSE sd END AS sd_unrel
-  FROM dmom m JOIN dlw l USING (target_mi) LEFT JOIN (SELECT target_mi, permno, sum(z * z) AS zz FROM dz GROUP BY 1, 2) USING (target_mi, permno)),
-dpv AS (SELECT b.target_mi, max(delta) AS delta, max(mu) AS mu, max(periods) AS t, sum((a * weight) ** 2) AS aa, sum((sd_unrel * weight) ** 2) AS uu, sum(weight ** 2) AS ww
-  FROM book b JOIN dfac USING (target_mi, permno) WHERE b.trial = 'equal_1.0' GROUP BY 1),
-dpf AS (SELECT target_mi, sum(f * f) AS ff FROM (SELECT b.target_mi, dz.date, sum(dz.z * a * weight) AS f FROM book b JOIN dfac USING (target_mi, permno)
-  JOIN dz USING (target_mi, permno) WHERE b.trial = 'equal_1.0' GROUP BY 1, 2) GROUP BY 1)"""
+  FROM dmom m JOIN dlw l USING (schedule, target_mi) LEFT JOIN (SELECT schedule, target_mi, permno, sum(z * z) AS zz FROM dz GROUP BY 1, 2, 3) USING (schedule, target_mi, permno)),
+dpv AS (SELECT b.trial, b.schedule, b.target_mi, max(delta) AS delta, max(mu) AS mu, max(periods) AS t, sum((a * weight) ** 2) AS aa, sum((sd_unrel * weight) ** 2) AS uu, sum(weight ** 2) AS ww
+  FROM book b JOIN dfac USING (schedule, target_mi, permno) GROUP BY 1, 2, 3),
+dpf AS (SELECT trial, target_mi, sum(f * f) AS ff FROM (SELECT b.trial, b.target_mi, dz.date, sum(dz.z * a * weight) AS f FROM book b JOIN dfac USING (schedule, target_mi, permno)
+  JOIN dz USING (schedule, target_mi, permno) GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
 
 
-@query("g06_daily_risk", with_(*TO_BOOK, DAILY, DRISK) + f"""
-SELECT {label('target_mi')} AS month, {r6('dlw.delta')} AS delta, {r6('dlw.mu')} AS mu,
-  {r6('sqrt(21 * ((1 - dpv.delta) / t * coalesce(ff, 0) + dpv.delta * dpv.mu * aa + uu) + 1e-10 * ww)')} AS monthly_vol
-FROM dlw JOIN dpv USING (target_mi) LEFT JOIN dpf USING (target_mi)""")
+@query("g06_daily_risk", with_(*TO_BOOK, SETS, DAILY, DRISK) + f"""
+SELECT trial, {label('target_mi')} AS month, {r6('dlw.delta')} AS delta, {r6('dlw.mu')} AS mu,
+  {r6('sqrt(21 * (coalesce((1 - dpv.delta) / t * ff, 0) + dpv.delta * dpv.mu * aa + uu) + 1e-10 * ww)')} AS monthly_vol
+FROM dlw JOIN dpv USING (schedule, target_mi) LEFT JOIN dpf USING (trial, target_mi)""")
 def daily_risk(spark, sf):
-    m, z = R.daily_moments(D.daily(spark, sf), targets(spark, sf), minimum=40)
-    m, z = shared_stage(spark, sf, "daily_moments", lambda: m), shared_stage(spark, sf, "daily_z", lambda: z)
-    lw = shared_stage(spark, sf, "daily_lw", lambda: R.daily_shrinkage(m, z))
-    weights = global_book(spark, sf).filter("trial = 'equal_1.0'")
-    v = R.portfolio_variance(weights, R.name_factors(m, z, lw), z, scale=21.0)
-    return month(lw.join(v, "target_mi").withColumn("monthly_vol", F.sqrt("variance")), "delta", "mu", "monthly_vol")
+    def one(schedule):
+        m, z = R.daily_moments(D.daily(spark, sf), targets(spark, sf, schedule), minimum=40)
+        m, z = shared_stage(spark, sf, f"daily_moments_{schedule}", lambda: m), shared_stage(spark, sf, f"daily_z_{schedule}", lambda: z)
+        lw = shared_stage(spark, sf, f"daily_lw_{schedule}", lambda: R.daily_shrinkage(m, z))
+        v = R.portfolio_variance(books(spark, sf, schedule), R.name_factors(m, z, lw), z, ["trial"], scale=21.0)
+        return lw.join(v, "target_mi")
+    return month(per_schedule(one).withColumn("monthly_vol", F.sqrt("variance")), "delta", "mu", "monthly_vol", exact=("trial",))
 
 
-@query("g07_risk_audit", with_(*TO_CANDIDATES, MOM) + f"""
-SELECT {label('target_mi')} AS month, {label('greatest(target_mi - 36, (SELECT min(mi) FROM panel))')} AS history_start, {label('(target_mi - 1)')} AS history_end,
+@query("g07_risk_audit", with_(*TO_SETS) + f"""
+SELECT schedule, {label('target_mi')} AS month, {label('greatest(target_mi - 36, (SELECT min(mi) FROM panel))')} AS history_start, {label('(target_mi - 1)')} AS history_end,
   CAST(max(periods) AS INTEGER) AS history_months, count(*) FILTER (NOT reliable) AS fallback_vol_stocks,
-  {r6('1 - sum(observations) / (count(*) * max(periods))')} AS missing_history_fraction FROM mom GROUP BY target_mi""")
+  {r6('1 - sum(observations) / (count(*) * max(periods))')} AS missing_history_fraction FROM mom GROUP BY schedule, target_mi""")
 def risk_audit(spark, sf):
-    a = R.risk_audit(D.returns(spark, sf), targets(spark, sf), moments(spark, sf))
-    return month(a, "missing_history_fraction", exact=(month_label("history_start").alias("history_start"), month_label("history_end").alias("history_end"),
+    a = per_schedule(lambda s: R.risk_audit(D.returns(spark, sf), targets(spark, sf, s), moments(spark, sf, s)))
+    return month(a, "missing_history_fraction", exact=("schedule", month_label("history_start").alias("history_start"), month_label("history_end").alias("history_end"),
                                                        "history_months", "fallback_vol_stocks"))
 
 

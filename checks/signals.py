@@ -173,21 +173,36 @@ def by_year(spark, sf):
     return rounded(K.by_year(stats(spark, sf), BY), "avg_names", "mean_ic", "hit_rate", "ls_mean_pct", "ls_t", exact=("dataset", "year", "months"))
 
 
+SOURCES = ("foot", "card", "web")
+TEST_MONTHS = WINDOWS["test"]
+
+
 @query("k09_pairwise_xs_corr", with_(PANEL, YOY, USE) + f"""
-, pr AS (SELECT 'foot vs card' AS pair, a.permno, a.mi, a.z AS a, b.z AS b FROM sigu a JOIN sigu b ON a.permno = b.permno AND a.mi = b.mi AND a.dataset = 'foot' AND b.dataset = 'card'
-  UNION ALL SELECT 'foot vs momentum', permno, mi, z, z_mom FROM sigu WHERE dataset = 'foot'),
-{spearman('pr', 'a', 'b', 'pair, mi', 'pc')},
-pn AS (SELECT pair, mi, count(*) AS n FROM pr GROUP BY 1, 2)
-SELECT pn.pair, {r6('avg(c) FILTER (pn.n >= 20)')} AS mean_corr, count(*) FILTER (pn.n >= 20) AS months_used, {r6('avg(pn.n)')} AS mean_overlap
-FROM pn LEFT JOIN pc USING (pair, mi) GROUP BY 1""")
+, both_ AS (SELECT a.dataset || ' vs ' || b.dataset AS pair, a.permno, a.mi, a.z AS a, b.z AS b FROM sigu a JOIN sigu b ON a.permno = b.permno AND a.mi = b.mi
+    AND (a.dataset, b.dataset) IN (('foot', 'card'), ('foot', 'web'), ('card', 'web'))
+  UNION ALL SELECT dataset || ' vs momentum', permno, mi, z, z_mom FROM sigu),
+pr AS (SELECT *, 'all' AS win FROM both_ UNION ALL SELECT *, 'test' FROM both_ WHERE mi + 1 BETWEEN {TEST_MONTHS[0]} AND {TEST_MONTHS[1]}),
+{spearman('pr', 'a', 'b', 'win, pair, mi', 'pc')},
+pn AS (SELECT win, pair, mi, count(*) AS n FROM pr GROUP BY 1, 2, 3)
+SELECT pn.win AS "window", pn.pair, {r6('avg(c) FILTER (pn.n >= 20)')} AS mean_corr, count(*) FILTER (pn.n >= 20) AS months_used, {r6('avg(pn.n)')} AS mean_overlap
+FROM pn LEFT JOIN pc USING (win, pair, mi) GROUP BY 1, 2""")
 def pairwise_xs_corr(spark, sf):
+    """Every pair of sources, and each source against momentum, over the test window and over all months."""
     u = universe(spark, sf)
-    foot, card = u.filter("dataset = 'foot'"), u.filter("dataset = 'card'")
-    a = foot.select("permno", "mi", F.col("z").alias("a"))
-    left = a.withColumn("pair", F.lit("foot vs card")).unionByName(a.withColumn("pair", F.lit("foot vs momentum")))
-    right = card.select("permno", "mi", F.col("z").alias("b"), F.lit("foot vs card").alias("pair")).unionByName(
-        foot.select("permno", "mi", F.col("z_mom").alias("b"), F.lit("foot vs momentum").alias("pair")))
-    return rounded(K.pairwise_xs_corr(left, right, 20, ["pair"]), "mean_corr", "mean_overlap", exact=("pair", "months_used"))
+    first = {a: [f"{a} vs {b}" for b in SOURCES[i + 1:]] + [f"{a} vs momentum"] for i, a in enumerate(SOURCES)}
+    second = {b: [f"{a} vs {b}" for a in SOURCES[:i]] for i, b in enumerate(SOURCES)}
+
+    def pairs_of(table):
+        return F.element_at(F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))]), F.col("dataset"))
+
+    def windows(df):
+        test = F.when((F.col("mi") + 1).between(*TEST_MONTHS), F.lit("test"))
+        return df.withColumn("window", F.explode(F.array_compact(F.array(F.lit("all"), test))))
+
+    left = windows(u.select("permno", "mi", F.col("z").alias("a"), F.explode(pairs_of(first)).alias("pair")))
+    right = u.select("permno", "mi", F.col("z").alias("b"), F.explode(pairs_of(second)).alias("pair")).unionByName(
+        u.select("permno", "mi", F.col("z_mom").alias("b"), F.concat("dataset", F.lit(" vs momentum")).alias("pair")))
+    return rounded(K.pairwise_xs_corr(left, windows(right), 20, ["window", "pair"]), "mean_corr", "mean_overlap", exact=("window", "pair", "months_used"))
 
 
 SURV = """cp AS (SELECT o_custkey AS permno, year(o_orderdate) * 12 + month(o_orderdate) AS mi, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS me, any_value(c_mktsegment) AS sector, any_value(c_acctbal) AS acct

@@ -23,8 +23,9 @@ def _months(keys: list[str], month: str):
 
 
 def with_returns(book: DataFrame, returns: DataFrame, month: str = "target_mi") -> DataFrame:
-    """Attach the holding month's return: raw_return (may be missing) and filled (missing = 0)."""
-    r = returns.select("permno", F.col("mi").alias(month), F.col("ret").alias("raw_return"))
+    """Attach the holding month's return: raw_return (may be missing) and filled (missing = 0). A return below -1 fails the job."""
+    possible = F.when(F.col("ret") < -1, F.raise_error(F.lit("a return is below -1")).cast("double")).otherwise(F.col("ret"))
+    r = returns.select("permno", F.col("mi").alias(month), possible.alias("raw_return"))
     return book.join(r, ["permno", month], "left").withColumn("filled", F.coalesce("raw_return", F.lit(0.0)))
 
 
@@ -55,11 +56,12 @@ def drift_fold(book: DataFrame, inputs: DataFrame, keys: list[str], month: str =
     """Month-by-month turnover, cost and net return when the book drifts by its own net return.
 
     inputs: (keys, month, gross_return, cost_rate, other_cost). Net return at or
-    below -1 fails the job.
+    below -1 fails the job, and so does a month of the book without inputs.
     """
     pairs = previous_pairs(book, keys, month, weight=weight).groupBy(*keys, month).agg(
         F.sort_array(F.collect_list(F.struct("permno", "w", "d"))).alias("pairs"))
-    rows = (pairs.join(inputs, [*keys, month]).groupBy(*keys)
+    gross = F.coalesce("gross_return", F.raise_error(F.lit("a month of the book has no return or cost")).cast("double"))
+    rows = (pairs.join(inputs, [*keys, month], "left").withColumn("gross_return", gross).groupBy(*keys)
             .agg(F.sort_array(F.collect_list(F.struct(month, "gross_return", "cost_rate", "other_cost", "pairs"))).alias("rows")))
     out_type = f"array<struct<{month}:int,turnover:double,cost:double,total_net:double>>"
     init = F.struct(F.lit(0.0).alias("net"), F.array().cast(out_type).alias("out"))
@@ -81,10 +83,11 @@ def drift_fold(book: DataFrame, inputs: DataFrame, keys: list[str], month: str =
 
 
 def gross_returns(book: DataFrame, cash: DataFrame, keys: list[str], month: str = "target_mi", weight: str = "weight") -> DataFrame:
-    """cash + sum of w x (r - cash) per month. `book` carries `filled`; cash is (mi, cash)."""
-    c = cash.select(F.col("mi").alias(month), "cash")
+    """cash + sum of w x (r - cash) per month. `book` carries `filled`; cash is (mi, cash). A month without cash fails the job."""
+    c = cash.select(F.col("mi").alias(month), F.col("cash").alias("__cash"))
+    known = F.coalesce("__cash", F.raise_error(F.lit("a month has no cash rate")).cast("double"))
     sums = book.groupBy(*keys, month).agg(F.sum(F.col(weight) * F.col("filled")).alias("__wr"), F.sum(weight).alias("__w"))
-    return sums.join(c, month).select(*keys, month, "cash", (F.col("cash") + F.col("__wr") - F.col("__w") * F.col("cash")).alias("total_gross"))
+    return sums.join(c, month, "left").withColumn("cash", known).select(*keys, month, "cash", (F.col("cash") + F.col("__wr") - F.col("__w") * F.col("cash")).alias("total_gross"))
 
 
 def exposures(book: DataFrame, keys: list[str], month: str = "target_mi", weight: str = "weight") -> DataFrame:

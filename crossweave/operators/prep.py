@@ -48,11 +48,17 @@ def lagged_join(forecasts: DataFrame, panel: DataFrame, keep_missing: bool = Fal
     """Attach each forecast's prior-month characteristics.
 
     The month before the target supplies the row. A forecast without one is an
-    error, unless keep_missing leaves it in place with NULLs. The check runs first,
-    on the key columns only: as an expression of the join it would be optimised away
-    by any later filter on a characteristic.
+    error, unless keep_missing leaves it in place with NULLs; one with several
+    always is. The check runs first, in one pass over the key columns: as an
+    expression of the join it would be optimised away by any later filter on a
+    characteristic.
     """
-    if not keep_missing and not without_history(forecasts, panel).isEmpty():
+    rows = panel.groupBy("permno", (F.col("mi") + 1).alias("target_mi")).agg(F.count(F.lit(1)).alias("__n"))
+    found = forecasts.select("permno", "target_mi").join(rows, ["permno", "target_mi"], "left").agg(
+        F.coalesce(F.max(F.col("__n").isNull().cast("int")), F.lit(0)).alias("missing"), F.coalesce(F.max("__n"), F.lit(0)).alias("most")).first()
+    if found["most"] > 1:
+        raise ValueError("Some forecasts have several prior-month rows.")
+    if found["missing"] and not keep_missing:
         raise ValueError("Some forecasts have no prior-month characteristics.")
     drop = [c for c in ("ret", "ret_exc", "ret_exc_lead1m", "month") if c in panel.columns]
     lagged = panel.drop(*drop).withColumn("target_mi", F.col("mi") + 1).withColumnRenamed("mi", "observed_mi")

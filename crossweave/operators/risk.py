@@ -2,8 +2,8 @@
 
 The shrunk covariance of N names over T past periods is never formed as N x N: with
 z the standardised history, w'Sw needs only the T sums over names of z x a x w, and
-the shrinkage intensity only the T x T Gram matrix. Candidates are a bounded book;
-history windows are a fixed number of periods.
+the shrinkage intensity only the T x T Gram matrix, or on days blocks of names.
+History windows are a fixed number of periods.
 """
 
 from __future__ import annotations
@@ -19,48 +19,65 @@ from crossweave.functions.ols import two_slopes
 JITTER = 1e-10
 
 
+def number_months(history: DataFrame, targets: DataFrame, month: str = "target_mi") -> DataFrame:
+    """(mi, k) for every month of either table: k - 1 months of history lie before mi, gaps not counted.
+
+    One row per calendar month, so the single ordered window is small.
+    """
+    every = history.select("mi", F.lit(1).alias("__in")).unionByName(targets.select(F.col(month).alias("mi"), F.lit(0).alias("__in")))
+    w = W.partitionBy(F.lit(1)).orderBy("mi").rowsBetween(W.unboundedPreceding, -1)
+    return every.groupBy("mi").agg(F.max("__in").alias("__in")).select(
+        "mi", (F.coalesce(F.sum("__in").over(w), F.lit(0)) + 1).cast("int").alias("k"))
+
+
 def trailing_moments(history: DataFrame, candidates: DataFrame, months: int = 36, minimum: int = 12, vol: str = "rvol_21d",
                      vol_scale: float = 21 ** 0.5, floor: float = 1e-4, month: str = "target_mi", strict: bool = False) -> DataFrame:
-    """Count, mean and population sd of each candidate's last `months` periods strictly before the target.
+    """Count, mean and population sd of each candidate in the last `months` months present strictly before the target.
 
     history: (permno, mi, ret). One pass per entity: candidate rows are laid between
-    the history rows and look back over a range of periods. Fewer than `minimum`
+    the history rows and look back over a range of numbered months. Fewer than `minimum`
     observations or no spread makes the estimate unreliable; its sd is then the
-    candidate's own daily volatility, scaled.
+    candidate's own daily volatility, scaled. strict refuses targets with fewer than
+    `minimum` months of history.
     """
+    numbers = number_months(history, candidates, month)
     keys = candidates.select("permno", F.col(month).alias("mi"), F.col(vol).alias("__vol"), F.lit(None).cast("double").alias("ret"),
                              F.lit(1).alias("__mark"))
     known = history.select("permno", "mi", F.lit(None).cast("double").alias("__vol"), "ret", F.lit(0).alias("__mark"))
-    w = W.partitionBy("permno").orderBy("mi").rangeBetween(-months, -1)
-    out = (known.unionByName(keys).withColumn("observations", F.count("ret").over(w)).withColumn("mean", F.avg("ret").over(w))
+    w = W.partitionBy("permno").orderBy("k").rangeBetween(-months, -1)
+    out = (known.unionByName(keys).join(numbers, "mi").withColumn("observations", F.count("ret").over(w)).withColumn("mean", F.avg("ret").over(w))
            .withColumn("sample_sd", F.stddev_pop("ret").over(w)).filter("__mark = 1"))
     reliable = (F.col("observations") >= minimum) & (F.coalesce("sample_sd", F.lit(0.0)) > 1e-8)
     out = out.withColumn("reliable", reliable).withColumn(
         "sd", F.greatest(F.when(reliable, F.col("sample_sd")).otherwise(F.col("__vol") * vol_scale), F.lit(floor)))
-    span = history.select("mi").distinct()
-    starts = span.agg(F.min("mi")).scalar()
-    periods = F.least(F.lit(months), F.col("mi") - starts)
+    periods = F.least(F.lit(months), F.col("k") - 1)
     if strict:
         periods = F.when(periods >= minimum, periods).otherwise(F.raise_error(F.lit("insufficient historical months")).cast("int"))
     return out.select("permno", F.col("mi").alias(month), "observations", "mean", "reliable", "sd", periods.alias("periods"))
 
 
 def standardised_history(history: DataFrame, moments: DataFrame, months: int = 36, month: str = "target_mi") -> DataFrame:
-    """(month, permno, mi, z) of reliable candidates; missing periods are 0 and left out."""
+    """(month, permno, mi, z) of reliable candidates; missing periods are 0 and left out.
+
+    Targets are laid out over their numbered months first, so that they meet the history by (entity, month).
+    """
+    numbers = number_months(history, moments, month)
+    window = (numbers.withColumnRenamed("mi", month).join(moments.select(month).distinct(), month, "left_semi").filter("k > 1")
+              .select(month, F.explode(F.sequence(F.greatest(F.lit(1), F.col("k") - months), F.col("k") - 1)).alias("k")))
+    present = numbers.join(history.select("mi").distinct(), "mi", "left_semi")
     past = history.filter(F.col("ret").isNotNull()).select("permno", "mi", "ret")
-    joined = moments.filter("reliable").join(past, "permno").filter(
-        (F.col("mi") < F.col(month)) & (F.col("mi") >= F.col(month) - months))
+    joined = moments.filter("reliable").join(window.join(present, "k").drop("k"), month).join(past, ["permno", "mi"])
     return joined.select(month, "permno", "mi", ((F.col("ret") - F.col("mean")) / F.col("sd")).alias("z"))
 
 
 def _intensity(sums: DataFrame, month: str) -> DataFrame:
-    """delta and mu from N, T, sum of diag(G), sum of diag(G) squared and sum of G squared."""
-    n, t = F.col("names"), F.col("periods")
+    """delta and mu from N, T, sum of diag(G), sum of diag(G) squared and sum of G squared; 0 and 0 for a month without reliable names."""
+    n, t = F.col("names"), F.when(F.col("periods") > 0, F.col("periods"))
     tr, fro = F.col("tr") / t, F.col("fro") / (t * t)
     d = (fro - tr * tr / n) / n
     b = F.least((F.col("quart") / t - fro) / (n * t), d)
     delta = F.when((b > 0) & (d > 0), b / d).otherwise(F.lit(0.0))
-    return sums.select(month, "names", "periods", delta.alias("delta"), (tr / n).alias("mu"))
+    return sums.select(month, "names", "periods", delta.alias("delta"), F.coalesce(tr / n, F.lit(0.0)).alias("mu"))
 
 
 def shrinkage_intensity(moments: DataFrame, z: DataFrame, month: str = "target_mi") -> DataFrame:
@@ -79,14 +96,15 @@ def shrinkage_intensity(moments: DataFrame, z: DataFrame, month: str = "target_m
         F.sum(F.when(diagonal, F.col("g")).otherwise(F.lit(0.0))).alias("tr"),
         F.sum(F.when(diagonal, F.col("g") * F.col("g")).otherwise(F.lit(0.0))).alias("quart"),
         F.sum(F.when(diagonal, F.col("g") * F.col("g")).otherwise(2 * F.col("g") * F.col("g"))).alias("fro"))
-    return _intensity(sums.join(size, month), month)
+    return _intensity(size.join(sums, month, "left"), month)
 
 
 def name_factors(moments: DataFrame, z: DataFrame, shrink: DataFrame, month: str = "target_mi") -> DataFrame:
     """Per candidate: factor scale a (0 if unreliable) and own sd outside the factor block."""
     own = z.groupBy(month, "permno").agg(F.sum(F.col("z") * F.col("z")).alias("zz"))
     joined = moments.join(own, [month, "permno"], "left").join(shrink.select(month, "delta", "mu"), month)
-    diag = F.greatest((1 - F.col("delta")) * F.coalesce("zz", F.lit(0.0)) / F.col("periods") + F.col("delta") * F.col("mu"), F.lit(1e-12))
+    own_share = F.coalesce(F.try_divide((1 - F.col("delta")) * F.col("zz"), F.col("periods")), F.lit(0.0))
+    diag = F.greatest(own_share + F.col("delta") * F.col("mu"), F.lit(1e-12))
     return joined.select(month, "permno", "delta", "mu", "periods", "sd", "reliable",
                          F.when(F.col("reliable"), F.col("sd") / F.sqrt(diag)).otherwise(F.lit(0.0)).alias("a"),
                          F.when(F.col("reliable"), F.lit(0.0)).otherwise(F.col("sd")).alias("sd_unrel"))
@@ -104,7 +122,8 @@ def portfolio_variance(weights: DataFrame, factors: DataFrame, z: DataFrame, key
         F.sum(F.pow(F.col("sd_unrel") * F.col("weight"), F.lit(2))).alias("uu"), F.sum(F.col("weight") * F.col("weight")).alias("ww"))
     path = (w.filter("a > 0").join(z, [month, "permno"]).groupBy(*by, "mi").agg(F.sum(F.col("z") * aw).alias("f"))
             .groupBy(*by).agg(F.sum(F.col("f") * F.col("f")).alias("ff")))
-    total = ((1 - F.col("delta")) / F.col("periods") * F.coalesce("ff", F.lit(0.0)) + F.col("delta") * F.col("mu") * F.col("aa")
+    common = F.coalesce(F.try_divide((1 - F.col("delta")) * F.col("ff"), F.col("periods")), F.lit(0.0))
+    total = (common + F.col("delta") * F.col("mu") * F.col("aa")
              + F.col("uu")) * scale + JITTER * F.col("ww")
     return own.join(path, by, "left").select(*by, total.alias("variance"))
 
@@ -119,20 +138,23 @@ def covariance_times_weights(weights: DataFrame, factors: DataFrame, z: DataFram
     path = loaded.groupBy(*by, "mi").agg(F.sum(F.col("b") * F.col("weight")).alias("f"))
     common = loaded.join(path, [*by, "mi"]).groupBy(*by, "permno").agg(F.sum(F.col("b") * F.col("f")).alias("bf"))
     own = F.when(F.col("reliable"), F.col("delta") * F.col("mu") * F.col("a") * F.col("a")).otherwise(F.col("sd_unrel") * F.col("sd_unrel"))
-    product = (1 - F.col("delta")) / F.col("periods") * F.coalesce("bf", F.lit(0.0)) + (own + JITTER) * F.col("weight")
+    shared = F.coalesce(F.try_divide((1 - F.col("delta")) * F.col("bf"), F.col("periods")), F.lit(0.0))
+    product = shared + (own + JITTER) * F.col("weight")
     return w.join(common, [*by, "permno"], "left").select(
         *by, "permno", (F.col("sd") * F.col("sd") + JITTER).alias("variance"), product.alias("covariance_with_book"))
 
 
 def risk_audit(history: DataFrame, candidates: DataFrame, moments: DataFrame, months: int = 36, month: str = "target_mi") -> DataFrame:
-    """History span, names on the fallback volatility, missing share of the history matrix."""
-    first = history.agg(F.min("mi")).scalar()
-    start = F.greatest(F.col(month) - months, first)
+    """History span, names on the fallback volatility, missing share of the history matrix (NULL without history)."""
+    numbers = number_months(history, candidates, month)
+    present = numbers.join(history.select("mi").distinct(), "mi", "left_semi")
+    targets = numbers.withColumnRenamed("mi", month).join(candidates.select(month).distinct(), month, "left_semi")
+    spans = targets.join(present.select(F.col("mi").alias("history_start"), F.col("k").alias("f")), F.col("f") == F.greatest(F.lit(1), F.col("k") - months), "left") \
+        .join(present.select(F.col("mi").alias("history_end"), F.col("k").alias("l")), F.col("l") == F.col("k") - 1, "left")
     m = moments.groupBy(month).agg(
         F.max("periods").alias("history_months"), F.sum((~F.col("reliable")).cast("long")).alias("fallback_vol_stocks"),
-        (1 - F.sum("observations") / (F.count(F.lit(1)) * F.max("periods"))).alias("missing_history_fraction"))
-    return m.select(month, start.alias("history_start"), (F.col(month) - 1).alias("history_end"), "history_months",
-                    "fallback_vol_stocks", "missing_history_fraction")
+        (1 - F.try_divide(F.sum("observations"), F.count(F.lit(1)) * F.max("periods"))).alias("missing_history_fraction"))
+    return m.join(spans, month).select(month, "history_start", "history_end", "history_months", "fallback_vol_stocks", "missing_history_fraction")
 
 
 def number_days(daily: DataFrame, date: str = "date") -> DataFrame:
@@ -145,14 +167,15 @@ def daily_moments(daily: DataFrame, candidates: DataFrame, months: int = 36, min
                   vol: str = "rvol_21d") -> tuple[DataFrame, DataFrame]:
     """Moments and standardised returns on the days of the `months` months before each target month."""
     d = daily.withColumn("day_mi", F.year("date") * 12 + F.month("date")).filter(F.col("daily_return").isNotNull())
-    pairs = candidates.select(month, "permno", vol).join(d, "permno").filter(
-        (F.col("day_mi") < F.col(month)) & (F.col("day_mi") >= F.col(month) - months))
+    window = F.explode(F.sequence(F.col(month) - months, F.col(month) - 1)).alias("day_mi")
+    pairs = candidates.select(month, "permno", vol, window).join(d, ["permno", "day_mi"])
     stats = pairs.groupBy(month, "permno").agg(F.count(F.lit(1)).alias("observations"), F.avg("daily_return").alias("mean"),
                                                F.stddev_pop("daily_return").alias("sample_sd"))
     days = d.groupBy("day_mi").agg(F.count_distinct("date").alias("days"))
     targets = candidates.select(month).distinct()
     span = targets.select(month, F.explode(F.sequence(F.col(month) - months, F.col(month) - 1)).alias("day_mi")) \
         .join(days, "day_mi").groupBy(month).agg(F.sum("days").alias("periods"))
+    span = targets.join(span, month, "left").na.fill(0, ["periods"])
     reliable = (F.coalesce("observations", F.lit(0)) >= minimum) & (F.coalesce("sample_sd", F.lit(0.0)) > 1e-8)
     moments = (candidates.select(month, "permno", vol).join(stats, [month, "permno"], "left").join(span, month)
                .select(month, "permno", F.coalesce("observations", F.lit(0)).alias("observations"), "mean", reliable.alias("reliable"),
@@ -162,23 +185,38 @@ def daily_moments(daily: DataFrame, candidates: DataFrame, months: int = 36, min
     return moments, z
 
 
-def daily_shrinkage(moments: DataFrame, z: DataFrame, month: str = "target_mi") -> DataFrame:
-    """shrinkage_intensity on days. One group is a month's book times its window of days, a few hundred
-    thousand numbers whatever the universe, so its Gram norm is a matrix product inside the task."""
+def daily_shrinkage(moments: DataFrame, z: DataFrame, month: str = "target_mi", block: int = 64) -> DataFrame:
+    """shrinkage_intensity on days, where a Gram matrix of days would be the larger one.
+
+    Names are dealt into blocks of about `block`; a task multiplies two blocks over the window's days, so that what it
+    holds does not grow with the number of names.
+    """
     size = moments.groupBy(month).agg(F.count(F.lit(1)).alias("names"), F.max("periods").alias("periods"))
+    day = z.groupBy(month, "mi").agg(F.sum(F.col("z") * F.col("z")).alias("q"))
+    diagonal = day.groupBy(month).agg(F.sum("q").alias("tr"), F.sum(F.col("q") * F.col("q")).alias("quart"))
     dtype = z.schema[month].dataType.simpleString()
-
-    def norms(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, _ = pd.factorize(pdf["mi"])
-        cols, _ = pd.factorize(pdf["permno"])
-        m = np.zeros((rows.max() + 1, cols.max() + 1))
-        m[rows, cols] = pdf["z"].to_numpy()
-        day = (m * m).sum(axis=1)
-        gram = m.T @ m
-        return pd.DataFrame({month: [pdf[month].iloc[0]], "tr": [day.sum()], "quart": [(day * day).sum()], "fro": [(gram * gram).sum()]})
-
-    sums = z.groupBy(month).applyInPandas(norms, f"{month} {dtype}, tr double, quart double, fro double")
-    return _intensity(sums.join(size, month), month)
+    dealt = z.join(size.select(month, F.ceil(F.col("names") / block).cast("int").alias("n")), month) \
+        .withColumn("b", F.pmod(F.xxhash64("permno"), F.col("n")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o")
+    tiles = dealt.select(month, "permno", "mi", "z", "b", other).select(
+        month, "permno", "mi", "z", "b", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"))
+
+    def norm(pdf: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
+        days, _ = pd.factorize(pdf["mi"])
+
+        def matrix(b):
+            own = (pdf["b"] == b).to_numpy()
+            cols, names = pd.factorize(pdf["permno"][own])
+            m = np.zeros((days.max() + 1, len(names)))
+            m[days[own], cols] = pdf["z"].to_numpy()[own]
+            return m
+
+        gram = matrix(lo).T @ matrix(hi)
+        return pd.DataFrame({month: [pdf[month].iloc[0]], "fro": [(gram * gram).sum() * (1 if lo == hi else 2)]})
+
+    fro = tiles.groupBy(month, "lo", "hi").applyInPandas(norm, f"{month} {dtype}, fro double").groupBy(month).agg(F.sum("fro").alias("fro"))
+    return _intensity(size.join(diagonal.join(fro, month), month, "left"), month)
 
 
 def dimson_beta(daily: DataFrame, groups: DataFrame, formations: DataFrame, days: int = 252, minimum: int = 126,

@@ -15,6 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 IDS = "array<bigint>"
+#: Deepest rank that Spark cuts to in the map tasks (its windowGroupLimitThreshold), and the parts a month is dealt into beyond it.
+MAP_SIDE_DEPTH, PARTS = 1000, 64
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -29,9 +31,25 @@ def _pick(ids: Column, held: Column, n: Column, zone: Column, skip_kept: Column,
         k, F.slice(F.array_except(ids, F.concat(k, skip_fill)), F.lit(1), n - F.size(k))))
 
 
+def _head(df: DataFrame, keys: list[str], order: list[Column], depth: int, rank: str) -> DataFrame:
+    """The first `depth` rows of each group with their rank. Deep heads are cut in parts of the group first, so that no task sorts a whole month."""
+    if depth > MAP_SIDE_DEPTH:
+        parts = W.partitionBy(*keys, "__part").orderBy(*order)
+        df = (df.withColumn("__part", F.pmod(F.xxhash64("permno"), F.lit(PARTS))).withColumn(rank, F.row_number().over(parts))
+              .filter(F.col(rank) <= depth).drop("__part", rank))
+    return df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= depth)
+
+
+def _full(legs: Column, n_long, n_short, strict: bool) -> Column:
+    """The legs; strict fails the job when one is short."""
+    if not strict:
+        return legs
+    whole = (F.size(legs["longs"]) == n_long) & (F.size(legs["shorts"]) == n_short)
+    return F.when(whole, legs).otherwise(F.raise_error(F.lit("a leg is short of names")).cast(f"struct<longs:{IDS},shorts:{IDS}>"))
+
+
 def _ordered_ids(df: DataFrame, keys: list[str], order: list[Column], depth: int, out: str) -> DataFrame:
-    w = W.partitionBy(*keys).orderBy(*order)
-    head = df.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= depth)
+    head = _head(df, keys, order, depth, "__n")
     pairs = F.sort_array(F.collect_list(F.struct("__n", F.col("permno").cast("bigint").alias("id"))))
     return head.groupBy(*keys).agg(F.transform(pairs, lambda p: p["id"]).alias(out))
 
@@ -66,12 +84,14 @@ def _fold(months: DataFrame, keys: list[str], month: str, fields: list[str], ste
 
 
 def select_asymmetric(scores: DataFrame, n_long: int, n_short: int, buffer: float = 2.5, short_min_me: float = 500.0,
-                      keys: list[str] | None = None, month: str = "target_mi", keep_excludes_opposite: bool = True) -> DataFrame:
+                      keys: list[str] | None = None, month: str = "target_mi", keep_excludes_opposite: bool = True,
+                      strict: bool = True) -> DataFrame:
     """Long and short candidates with retention: (keys, month, permno, side, place).
 
     Long order: score down, permno up. Short order: its exact reverse among names of
     at least short_min_me. A name held on the other side last month is not bought;
-    keep_excludes_opposite applies that to retained longs as well.
+    keep_excludes_opposite applies that to retained longs as well. strict fails the job
+    when a month cannot fill both legs.
     """
     keys = list(keys or [])
     by = [*keys, month]
@@ -85,9 +105,10 @@ def select_asymmetric(scores: DataFrame, n_long: int, n_short: int, buffer: floa
     def step(acc, x):
         skip = acc["hs"] if keep_excludes_opposite else _empty()
         chosen = _pick(x["ids_l"], acc["hl"], F.lit(n_long), F.lit(zone_l), skip, acc["hs"])
-        return _let(chosen, lambda long_ids: F.struct(
+        legs = _let(chosen, lambda long_ids: F.struct(
             long_ids.alias("longs"),
             _pick(x["ids_s"], acc["hs"], F.lit(n_short), F.lit(zone_s), long_ids, long_ids).alias("shorts")))
+        return _let(legs, lambda both: _full(both, n_long, n_short, strict))
 
     return _explode_picks(_fold(months, keys, month, ["ids_l", "ids_s"], step), keys, month)
 
@@ -97,13 +118,14 @@ def select_global(scores: DataFrame, n: int = 150, buffer: float = 2.5, short_mi
     return select_asymmetric(scores, n, n, buffer, short_min_me, keep_excludes_opposite=False, **kw)
 
 
-def sector_quota(scores: DataFrame, n: int, short_min_me: float = 500.0, month: str = "target_mi") -> DataFrame:
+def sector_quota(scores: DataFrame, n: int, short_min_me: float = 500.0, month: str = "target_mi", strict: bool = True) -> DataFrame:
     """Slots per (month, sector), equal on both legs.
 
     The floor of n times the sector's share, capped by the thinner leg's supply;
     what is left goes slot by slot to the sector with most spare capacity (ties:
     the later sector). Slot j of a sector's spare capacity has priority j, so
-    taking the highest priorities is the same greedy choice.
+    taking the highest priorities is the same greedy choice. strict fails the job
+    when a month's sectors cannot take n slots.
     """
     supply = scores.groupBy(month, "sector").agg(
         F.count(F.lit(1)).alias("names"), F.sum((F.col("me") >= short_min_me).cast("long")).alias("short_names"))
@@ -117,19 +139,22 @@ def sector_quota(scores: DataFrame, n: int, short_min_me: float = 500.0, month:
     order = W.partitionBy(month).orderBy(F.col("slot").desc(), F.col("sector").desc())
     extra = (slots.withColumn("__n", F.row_number().over(order)).filter("__n <= rem")
              .groupBy(month, "sector").agg(F.count(F.lit(1)).alias("extra")))
-    return (base.join(extra, [month, "sector"], "left")
-            .select(month, "sector", "names", "short_names", (F.col("want") + F.coalesce("extra", F.lit(0))).cast("int").alias("slots")))
+    slots = (F.col("want") + F.coalesce("extra", F.lit(0))).cast("int")
+    if strict:  # a month's sectors are few
+        filled = F.sum(slots).over(W.partitionBy(month)) == n
+        slots = F.when(filled, slots).otherwise(F.raise_error(F.lit("sectors cannot fill the quota")).cast("int"))
+    return base.join(extra, [month, "sector"], "left").select(month, "sector", "names", "short_names", slots.alias("slots"))
 
 
 def select_sector_balanced(scores: DataFrame, n: int, buffer: float = 2.5, short_min_me: float = 500.0,
-                           month: str = "target_mi") -> DataFrame:
+                           month: str = "target_mi", strict: bool = True) -> DataFrame:
     """Quotas per sector, the same count on both legs, retention inside the sector.
 
     Shorts are ordered by score up, permno up. Incumbency is global: a name that
-    changed sector keeps it.
+    changed sector keeps it. strict fails the job when a quota or a leg stays short.
     """
     by = [month, "sector"]
-    quotas = sector_quota(scores, n, short_min_me, month).filter("slots > 0").select(*by, "slots")
+    quotas = sector_quota(scores, n, short_min_me, month, strict).filter("slots > 0").select(*by, "slots")
     depth = max(3 * n, int(n * buffer))
     longs = _ordered_ids(scores, by, [F.col("score").desc(), F.col("permno").asc()], depth, "ids_l")
     shorts = _ordered_ids(scores.filter(F.col("me") >= short_min_me), by,
@@ -145,19 +170,18 @@ def select_sector_balanced(scores: DataFrame, n: int, buffer: float = 2.5, short
             chosen = _pick(s["ids_l"], acc["hl"], s["slots"], s["zone"], _empty(), _empty())
             return _let(chosen, lambda long_ids: F.struct(
                 long_ids.alias("l"), _pick(s["ids_s"], acc["hs"], s["slots"], s["zone"], long_ids, long_ids).alias("s")))
-        return _let(F.transform(x["cells"], one), lambda picks: F.struct(
+        legs = _let(F.transform(x["cells"], one), lambda picks: F.struct(
             F.flatten(F.transform(picks, lambda p: p["l"])).alias("longs"),
             F.flatten(F.transform(picks, lambda p: p["s"])).alias("shorts")))
+        return _let(legs, lambda both: _full(both, n, n, strict))
 
     return _explode_picks(_fold(months, [], month, ["cells"], step), [], month)
 
 
 def select_naive(scores: DataFrame, n: int = 100, month: str = "target_mi") -> DataFrame:
     """First and last n of the order (score down, permno up); no memory."""
-    top = W.partitionBy(month).orderBy(F.col("score").desc(), F.col("permno").asc())
-    bottom = W.partitionBy(month).orderBy(F.col("score").asc(), F.col("permno").desc())
-    longs = scores.withColumn("place", F.row_number().over(top)).filter(F.col("place") <= n).withColumn("side", F.lit(1))
-    shorts = scores.withColumn("place", F.row_number().over(bottom)).filter(F.col("place") <= n).withColumn("side", F.lit(-1))
+    longs = _head(scores, [month], [F.col("score").desc(), F.col("permno").asc()], n, "place").withColumn("side", F.lit(1))
+    shorts = _head(scores, [month], [F.col("score").asc(), F.col("permno").desc()], n, "place").withColumn("side", F.lit(-1))
     return longs.unionByName(shorts)
 
 
