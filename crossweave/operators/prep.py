@@ -38,12 +38,6 @@ def nonfinite_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.explode(F.array(*parts)).alias("p")).select("p.*")
 
 
-def without_history(forecasts: DataFrame, panel: DataFrame) -> DataFrame:
-    """Forecasts whose prior month has no panel row."""
-    lagged = panel.select("permno", (F.col("mi") + 1).alias("target_mi"))
-    return forecasts.select("permno", "target_mi").join(lagged, ["permno", "target_mi"], "left_anti")
-
-
 def lagged_join(forecasts: DataFrame, panel: DataFrame, keep_missing: bool = False) -> DataFrame:
     """Attach each forecast's prior-month characteristics.
 
