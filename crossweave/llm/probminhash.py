@@ -15,7 +15,8 @@ from crossweave.llm.registry import query, table
 from crossweave.llm.words import mix, shingles, sub_batches, word_hashes
 from crossweave.session import stage
 
-#: Components of a signature: BANDS bands of ROWS. At similarity 0.8, (1 - 0.8 ** 6) ** 32 = 6e-5 of the pairs share none.
+#: Components of a signature: BANDS bands of ROWS. A text has the bands of two signatures, one for each similarity that verification
+#: accepts. At 0.8 of either, (1 - 0.8 ** 6) ** 32 = 6e-5 of the pairs share no band of its signature.
 BANDS, ROWS = 32, 6
 #: Members that are compared with one copy of their partner's text, and members of a block of a bucket.
 SHARE, BLOCK = 256, 128
@@ -91,6 +92,28 @@ def similarity(a, b) -> float:
     return max(plain, probability_jaccard(a, b))
 
 
+def banded(sign: np.ndarray) -> np.ndarray:
+    """texts x BANDS buckets of signatures."""
+    band = np.zeros((len(sign), BANDS), dtype=np.uint64)
+    for r in range(ROWS):
+        band = mix(band + sign.reshape(len(sign), BANDS, ROWS)[:, :, r] + np.arange(BANDS, dtype=np.uint64) * np.uint64(2 * r + 1))
+    return band.astype(np.int64)
+
+
+def buckets(element: np.ndarray, owner: np.ndarray, weight: np.ndarray, texts: int) -> list[np.ndarray]:
+    """Distinct buckets of each text: the bands of its shingles weighted by occurrences, and those of its shingles with equal weights.
+
+    Both signatures are hashed alike, so a text that repeats nothing has the same bands twice, and meets others in either set.
+    """
+    out = list(banded(signatures(element, owner, weight, texts, BANDS * ROWS)))
+    again = np.unique(owner[weight > 1])
+    of = np.isin(owner, again)
+    equal = banded(signatures(element[of], np.searchsorted(again, owner[of]), np.ones(int(of.sum())), len(again), BANDS * ROWS))
+    for i, b in zip(again.tolist(), equal):
+        out[i] = np.union1d(out[i], b)
+    return out
+
+
 def _sign(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,11 +122,7 @@ def _sign(width: int):
                 hashes, ends = word_hashes([t for _, t in part])
                 starts = np.concatenate(([0], ends[:-1]))
                 element, owner, weight = weighted(*shingles(hashes, ends, width))
-                sign = signatures(element, owner, weight, len(part), BANDS * ROWS)
-                band = np.zeros((len(part), BANDS), dtype=np.uint64)
-                for r in range(ROWS):
-                    band = mix(band + sign.reshape(len(part), BANDS, ROWS)[:, :, r] + np.arange(BANDS, dtype=np.uint64) * np.uint64(2 * r + 1))
-                band = band.astype(np.int64)
+                band = buckets(element, owner, weight, len(part))
                 keys = [hashlib.md5(hashes[s:e].tobytes()).digest() if e > s else None for s, e in zip(starts, ends)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([d for d, _ in part], pa.int64()), pa.array(keys, pa.binary()),
@@ -239,7 +258,8 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -
 def near_documents(docs: DataFrame, threshold: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class_id, kept) of every document; a class is what links of similar texts connect, named by its least id.
 
-    1. Texts with the same words are one node. One pass over the texts makes signatures, without a shuffle of text.
+    1. Texts with the same words are one node. One pass over the texts makes signatures, without a shuffle of text: one with
+       occurrences as weights and, where a shingle repeats, one with equal weights.
     2. Every band bucket links its members to its least one, as candidates; these are verified on whole texts and connected.
     3. In buckets whose members are still in different classes, every pair across classes is compared too, in blocks. So no
        pair that shares a bucket stays untested unless it is connected already, and groups of copies cost a pair a member.

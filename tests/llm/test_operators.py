@@ -171,6 +171,20 @@ def test_links_within_equals_pairs():
     assert all(near[i, j] == (probminhash.similarity(texts[i], texts[j]) >= 0.45) for i in range(40) for j in range(40) if i != j)
 
 
+def test_near_documents_that_repeat_a_line(spark):
+    """Pairs near by plain shingles only, since a line of one copy repeats: plain similarity 1.0 and 0.92 by occurrences 0.385 and 0.23."""
+    rows = []
+    for g in range(40):
+        body = " ".join(f"w{g}x{i}" for i in range(304))
+        rows += [(4 * g, body), (4 * g + 1, body + "".join(f" w{g}x{i}" for i in range(24)) * 30)]
+        rows += [(4 * g + 2, "a" + body.replace(" ", " a")), (4 * g + 3, "a" + body.replace(" ", " a") + "".join(f" f{g}x{i}" for i in range(20)) * 40)]
+    sets = shingle_sets(rows)
+    near = {(a, a + 1) for a in range(0, 160, 2) if len(sets[a] & sets[a + 1]) >= 0.8 * len(sets[a] | sets[a + 1])}
+    got = {r.doc_id: r.class_id for r in probminhash.near_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(near) == 80 and [p for p in near if got[p[0]] != got[p[1]]] == []
+    assert len(set(got.values())) == 80
+
+
 def overlap_by_hand(docs, items, width):
     windows = defaultdict(set)
     for key, t in items:
