@@ -29,6 +29,8 @@ GRAM = 200
 #: Symbols of contexts that one transform holds, and contexts of a gram up to which a task takes them all (at most twice as many
 #: meet in a transform, so that all symbols stay below 2 ** 16).
 BIN, GROUP = 1_000_000, 20_000
+#: String starts of a text that anchors() sees at a time; with what is held beside them, places stay far below 2 ** 24.
+SLICE = 2_000_000
 
 
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
@@ -46,6 +48,8 @@ def anchors(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...
     none = np.zeros(0, dtype=np.int64)
     if len(data) < length:
         return none, none, none, none, none
+    if len(data) > 1 << 24:
+        raise ValueError("24 bits of a rated hash hold the place")
     hashes = gram_hashes(data, gram)
     width = length - gram + 1
     # hash above place: the minimum is the least hash, and the first of equal ones
@@ -168,9 +172,12 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = GRAM) -> Data
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(batch.column("key").to_pylist(), (t.encode() for t in batch.column("text").to_pylist()))
-            for part in sub_batches(rows, 1, 2_000_000):
-                o, h, p, lo, hi = anchors([t for _, t in part], length, gram)
-                keys = pa.array([k for k, _ in part], pa.binary()).take(pa.array(o))
+            # an anchor depends on its string alone, so slices that overlap by length - 1 bytes name every string once and alike
+            slices = ((k, at, t[at:at + SLICE + length - 1]) for k, t in rows for at in range(0, len(t) - length + 1, SLICE))
+            for part in sub_batches(slices, 2, 2_000_000):
+                o, h, p, lo, hi = anchors([t for _, _, t in part], length, gram)
+                keys = pa.array([k for k, _, _ in part], pa.binary()).take(pa.array(o))
+                p, lo, hi = (x + np.array([at for _, at, _ in part], dtype=np.int64)[o] for x in (p, lo, hi))
                 yield pa.RecordBatch.from_arrays([keys, *(pa.array(x, k) for x, k in zip((h, p, lo, hi), [pa.int64()] + [pa.int32()] * 3))],
                                                  names=["key", "gram", "place", "first", "last"])
 

@@ -288,6 +288,25 @@ def test_long_repeats(spark, monkeypatch, gram, group):
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
+def test_long_repeats_behind_16_million_bytes(spark):
+    letters = np.random.default_rng(6).integers(97, 123, 17_200_000, dtype=np.uint8).tobytes().decode()
+    docs = [(1, letters), (2, "short " + letters[-5000:-4000] + " end"), (3, letters[:500])]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in bwt_repeats.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    sha = [hashlib.sha256(t.encode()).hexdigest() for t in (letters[500:-5000] + letters[-4000:], "short  end", "")]
+    assert got == {1: (17_200_000, 1500, 2, sha[0]), 2: (1010, 1000, 1, sha[1]), 3: (500, 500, 1, sha[2])}
+
+
+@pytest.mark.parametrize("size", [1, 7, 50])
+def test_long_repeats_in_slices(spark, monkeypatch, size):
+    rng = random.Random(9)
+    base = ["".join(rng.choice("abc") for _ in range(60)) for _ in range(4)]
+    docs = spark.createDataFrame([(i, "".join(rng.choice([rng.choice(base)[rng.randrange(20):], "ab" * 15]) for _ in range(rng.randrange(6)))) for i in range(30)],
+                                 "doc_id long, text string")
+    want = sorted(map(tuple, bwt_repeats.remove_repeats(docs, 40, 8).collect()))
+    monkeypatch.setattr(bwt_repeats, "SLICE", size)
+    assert sum(r[2] for r in want) and sorted(map(tuple, bwt_repeats.remove_repeats(docs, 40, 8).collect())) == want
+
+
 def test_urls(spark):
     urls = ["http://A.Example.net/en/x?a=1&b=2", "https://x.net/y", "http://example.com/de/1", "http://example.com/fr/1", "http://b.org/fr/9#t", "http://net", None, "nothing", "x://q.org?z"] * 3
     df = spark.createDataFrame([(i, u, "h", "p") for i, u in enumerate(urls)], "page_id long, url string, host string, path string")
