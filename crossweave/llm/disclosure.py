@@ -25,8 +25,6 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
-#: Characters on each side of an entity that are searched for its context words.
-REACH = 400
 
 
 def _luhn(digits: str) -> bool:
@@ -67,48 +65,29 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def context(text: str, spans: list[tuple[int, int, int]], reach: int = REACH, words: int = 8) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the words around each base span, nearest first, outside all base spans; terms in lower case for A-Z."""
-    out = []
-    for start, kind, end in spans:
-        entity = f"{KINDS[kind]}:{text[start:end].lower()}"
-        lo, hi = max(0, start - reach), min(len(text), end + reach)
-        before = [m.span() for m in _TERM.finditer(text, lo, start) if m.start() > lo or lo == 0]
-        after = [m.span() for m in _TERM.finditer(text, end, hi) if m.end() < hi or hi == len(text)]
-        near = before[::-1][:words] + after[:words]
-        out += [(entity, text[a:b].translate(_LOWER), a, b) for a, b in near if not any(a < e and s < b for s, _, e in spans)]
-    return out
+def terms_of(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of every word of a text outside its base spans; terms in lower case for A-Z."""
+    for start, _, end in spans:
+        text = text[:start] + " " * (end - start) + text[end:]
+    return [(m[0], m.start(), m.end()) for m in _TERM.finditer(text.translate(_LOWER))]
 
 
-def _scan(reach: int, words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans_type = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int64()), ("end", pa.int64())]))
-        near_type = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
-            spans, near = [], []
-            for text in batch.column("text"):
-                text = text.as_py()
-                found = base_spans(text)
-                spans.append([dict(zip(("start", "kind", "end"), s)) for s in found])
-                near.append([dict(zip(("entity", "term", "start", "end"), c)) for c in context(text, found, reach, words)] if found else [])
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("key"), pa.array(spans, spans_type), pa.array(near, near_type)],
-                                             names=["doc", "key", "spans", "near"])
-    return run
+def _distinct(text: str, spans: list[tuple[int, int, int]]) -> set[str]:
+    return {t for t, _, _ in terms_of(text, spans)} if spans else {w.decode() for w in words_of(text)}
 
 
 def document_frequencies(docs: DataFrame, text_col: str = "text", flush: int = 300_000) -> DataFrame:
-    """(term, n): in how many documents each word occurs, over all of them, counted in the tasks before the shuffle."""
+    """(term, n): in how many documents each word occurs outside base spans, over all of them, counted in the tasks before the shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: Counter = Counter()
 
         def batch_of():
-            terms = list(tally)
-            return pa.RecordBatch.from_arrays([pa.array([t.decode() for t in terms], pa.string()), pa.array([tally[t] for t in terms], pa.int64())],
-                                              names=["term", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(tally), pa.string()), pa.array(list(tally.values()), pa.int64())], names=["term", "n"])
 
         for batch in batches:
             for text in batch.column(0):
-                tally.update(set(words_of(text.as_py())))
+                text = text.as_py()
+                tally.update(_distinct(text, base_spans(text)))
                 if len(tally) >= flush:
                     yield batch_of()
                     tally.clear()
@@ -117,45 +96,80 @@ def document_frequencies(docs: DataFrame, text_col: str = "text", flush: int = 3
     return docs.select(text_col).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def disclosing_terms(scanned: DataFrame, docs: DataFrame, text_col: str = "text", support: int = 3, bits: float = 5.0,
-                     certainty: float = 0.5) -> DataFrame:
+def _holding(common: frozenset):
+    """Entities and distinct words, without the common ones, of every text that holds an entity."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row, text in zip(batch.column("row").to_pylist(), batch.column("text")):
+                text = text.as_py()
+                spans = base_spans(text)
+                if spans:
+                    out.append((row, sorted({f"{KINDS[k]}:{text[a:b].lower()}" for a, k, b in spans}), sorted(_distinct(text, spans) - common)))
+            kinds = pa.int64(), pa.list_(pa.string()), pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 3, kinds)], names=["row", "entities", "terms"])
+    return run
+
+
+def disclosing_terms(docs: DataFrame, text_col: str = "text", support: int = 3, bits: float = 5.0, certainty: float = 0.5) -> DataFrame:
     """(entity, term, bits) of the terms that reveal an entity.
 
     With n documents in all, a term reveals log2(n * n(term, entity) / (n(term) * n(entity))) bits about an entity, the pointwise
-    mutual information of their occurrence in documents. It discloses the entity from `bits` on, if at least `support`
-    documents show both and at least the share `certainty` of the term's documents do. Counts are over all documents.
+    mutual information of their occurrence in whole documents. It discloses the entity from `bits` on, if at least `support`
+    documents show both and at least the share `certainty` of the term's documents do. Counts are over all documents; words inside
+    base spans are not counted.
+
+    n(term, entity) is at most n(term) and n(entity), so terms and entities that cannot reach the thresholds by their own counts go
+    before they are paired. Words of more than n / 2 ** bits documents are the only ones that fill a task's share alone, and
+    are few whatever n is (2 ** bits times the mean number of words of a document at most): they go while texts are read.
     """
-    seen = scanned.where(F.size("near") > 0).select("doc", "key", F.explode("near").alias("c")).select(
-        "doc", "key", F.col("c.entity").alias("entity"), F.col("c.term").alias("term")).distinct()
-    both = seen.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    alone = scanned.where(F.size("spans") > 0).select("doc", "key", F.explode(F.array_distinct(F.transform("near", lambda c: c.entity))).alias("entity"))
-    alone = alone.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    total = F.lit(scanned.count())
-    words = document_frequencies(docs, text_col)
-    known = both.join(words, "term").join(alone, "entity")
+    total, slack = docs.count(), 1 + 1e-9
+    most = total / 2.0 ** bits * slack
+    words = stage(document_frequencies(docs, text_col).where(F.col("n") >= support), "words")
+    common = frozenset(r.term for r in words.where(F.col("n") > most).select("term").collect())
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    held = stage(rows.mapInArrow(_holding(common), "row long, entities array<string>, terms array<string>"), "holding")
+    # written first, so that the joins read plain tables on both sides and a hot entity is split
+    known = stage(held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+                  .where((F.col("n_entity") >= support) & (F.col("n_entity") <= most)), "entities")
+    of = stage(held.select("row", F.explode("entities").alias("entity")).join(known, "entity"), "entities")
+    candidates = held.join(of.select("row").distinct(), "row", "left_semi").select("row", F.explode("terms").alias("term"))
+    pairs = candidates.join(words.where(F.col("n") <= most), "term").join(of, "row").where(F.col("n") * certainty <= F.col("n_entity") * slack)
+    both = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n").alias("n"), F.first("n_entity").alias("n_entity"))
     gain = F.log2(total * F.col("n_both") / (F.col("n") * F.col("n_entity")))
-    return known.select("entity", "term", gain.alias("bits"), (F.col("n_both") / F.col("n")).alias("share")).where(
+    return both.where(F.col("n_both") >= support).select("entity", "term", gain.alias("bits"), (F.col("n_both") / F.col("n")).alias("share")).where(
         (F.col("bits") >= bits) & (F.col("share") >= certainty)).select("entity", "term", "bits")
 
 
-def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH, words: int = 8, **thresholds) -> DataFrame:
-    """(doc, key, spans, terms) of every row: base spans (start, kind, end), and those of disclosing terms near an entity.
+def _mark(telling: frozenset):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int64()), ("end", pa.int64())]))
+        encoded = frozenset(t.encode() for t in telling)
+        for batch in batches:
+            spans, terms = [], []
+            for text in batch.column("text"):
+                text = text.as_py()
+                found = base_spans(text)
+                told = [] if encoded.isdisjoint(words_of(text)) else [(a, KINDS.index("term"), b) for t, a, b in terms_of(text, found) if t in telling]
+                for out, of in ((spans, found), (terms, told)):
+                    out.append([dict(zip(("start", "kind", "end"), s)) for s in of])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("key"), pa.array(spans, kind), pa.array(terms, kind)],
+                                             names=["doc", "key", "spans", "terms"])
+    return run
+
+
+def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
+    """(doc, key, spans, terms) of every row: base spans (start, kind, end), and those of disclosing terms wherever they stand.
 
-    key is a hash of the text. Two passes over the texts, neither of which shuffles them: one finds entities and their
-    context, one counts the words of all documents. Spans stay; terms are added where they stand near the entity they reveal.
+    key is a hash of the text. Three passes over the texts, none of which shuffles them: one counts the words of all documents, one
+    takes entities and words of the documents with entities, one marks. A term that discloses an entity is marked at every place
+    outside base spans in every text, with or without the entity. The disclosing terms, distinct, are held by each worker.
     A null or empty text has no spans; rows with null ids or repeated ids are judged each by its own text; other columns are not read.
     """
+    telling = frozenset(r.term for r in disclosing_terms(docs, text_col, **thresholds).select("term").distinct().collect())
     rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    scanned = stage(rows.mapInArrow(_scan(reach, words), f"doc {docs.schema[id_col].dataType.simpleString()}, key long, "
-                    "spans array<struct<start:bigint,kind:bigint,end:bigint>>, near array<struct<entity:string,term:string,start:bigint,end:bigint>>"), "personal")
-    telling = disclosing_terms(scanned, docs, text_col, **thresholds)
-    marked = scanned.where(F.size("near") > 0).select("doc", "key", F.explode("near").alias("c")).select(
-        "doc", "key", "c.start", "c.end", "c.entity", F.col("c.term").alias("term"))
-    marked = marked.join(telling, ["entity", "term"]).groupBy("doc", "key").agg(
-        F.sort_array(F.collect_set(F.struct("start", F.lit(KINDS.index("term")).cast("long").alias("kind"), "end"))).alias("terms"))
-    other = marked.select(F.col("doc").alias("doc2"), F.col("key").alias("key2"), "terms")
-    out = scanned.join(other, (F.col("key") == F.col("key2")) & F.col("doc").eqNullSafe(F.col("doc2")), "left")
-    return out.select("doc", "key", "spans", F.coalesce("terms", F.expr("array()").cast(out.schema["terms"].dataType)).alias("terms"))
+    span = "array<struct<start:bigint,kind:bigint,end:bigint>>"
+    return rows.mapInArrow(_mark(telling), f"doc {docs.schema[id_col].dataType.simpleString()}, key long, spans {span}, terms {span}")
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

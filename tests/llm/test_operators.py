@@ -268,6 +268,45 @@ def test_disclosing_terms(spark, edge_docs):
     assert disclosure.sanitise(edge_docs.limit(0)).count() == 0
 
 
+def test_disclosing_terms_far_from_the_entity(spark):
+    filler = " ".join(f"plain{i}" for i in range(120))
+    rows = [(i, f"Quartzman {filler} mail ann@x.org {filler} again quartzman") for i in range(4)] + [(4, "only QUARTZMAN was seen, not quartzmann")]
+    rows += [(5, "rarely ann@x.org"), (6, "bob@x.org near seldom"), (7, "bob@x.org near seldom")]
+    rows += [(10 + i, f"{filler} word{i} here") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in disclosure.sanitise(docs).collect()}
+    for i in range(4):
+        assert got[i] == f"[TERM] {filler} [TERM] [EMAIL] {filler} [TERM] [TERM]"
+    assert got[4] == "only [TERM] was seen, not quartzmann" and got[5] == "rarely [EMAIL]" and got[6] == "[EMAIL] near seldom"
+    assert all(got[d] == t for d, t in rows[8:])
+
+
+def test_disclosing_terms_equal_brute_force(spark):
+    rng = random.Random(12)
+    people = [(f"p{i}@mail.org", [f"name{i}", f"job{i % 5}", f"town{i % 11}"]) for i in range(20)]
+    texts = []
+    for _ in range(1500):
+        words = [f"w{int(rng.paretovariate(0.7)) % 500}" for _ in range(12)]
+        for mail, tells in rng.sample(people, rng.choice([0, 0, 0, 1, 2])):
+            words += [mail] * rng.randrange(2) + [t for t in tells if rng.random() < 0.7]
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+    held = [({f"email:{t[a:b]}" for a, _, b in disclosure.base_spans(t)}, {w for w in t.split() if "@" not in w}) for t in texts]
+    n, n_term, n_entity = len(texts), defaultdict(int), defaultdict(int)
+    both = defaultdict(int)
+    for entities, terms in held:
+        for t in terms:
+            n_term[t] += 1
+        for e in entities:
+            n_entity[e] += 1
+            for t in terms:
+                both[e, t] += 1
+    want = {k for k, m in both.items() if m >= 3 and np.log2(n * m / (n_term[k[1]] * n_entity[k[0]])) >= 5 and m >= 0.3 * n_term[k[1]]}
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = disclosure.disclosing_terms(docs, certainty=0.3).collect()
+    assert want and {(r.entity, r.term) for r in got} == want and len(got) == len(want)
+
+
 @pytest.mark.parametrize("gram,group", [(8, 20_000), (20, 20_000), (40, 20_000), (8, 3)])
 def test_long_repeats(spark, monkeypatch, gram, group):
     monkeypatch.setattr(bwt_repeats, "GROUP", group)
