@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-MODULES = ("token_files", "packing", "hyperplanes", "token_counts", "url_trees", "automaton", "additive", "probminhash", "disclosure", "bwt_repeats")
+MODULES = ("token_files", "packing", "hyperplanes", "token_counts", "url_trees", "automaton", "additive", "probminhash", "disclosure", "bwt_repeats", "infill", "manifest", "language_codes")
 
 
 def load() -> tuple[dict, dict]:
