@@ -15,6 +15,8 @@ from crossweave.llm.words import sub_batches
 
 #: Slots of the hashed n-grams and their lengths in bytes.
 SLOTS, GRAMS = 1 << 15, (2, 3, 4)
+#: N-grams without a word to say that are added to every text, so that a short text cannot be sure of its language.
+PRIOR = 30
 #: Bytes of text whose n-grams are held at a time; a longer text is taken in pieces of that size.
 PIECE = 500_000
 _ASCII_LETTER = re.compile("[A-Za-z]")
@@ -95,8 +97,8 @@ class LanguageCodes:
         self.slope, self.shift = np.ones(bits), np.zeros(bits)
         self.trust = np.full(self.code.shape, 1 / max(bits, 1))
 
-    def means(self, texts: list[bytes]) -> np.ndarray:
-        """texts x bits: the mean weight of each text's n-grams; a text of any length takes the memory of a piece."""
+    def means(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(texts x bits: the mean weight of each text's n-grams, their number); a text of any length takes the memory of a piece."""
         total, count = np.zeros((len(texts), self.weight.shape[1])), np.zeros(len(texts))
         for data, last, lo in pieces(texts):
             slots, places = slots_of(data)
@@ -109,10 +111,12 @@ class LanguageCodes:
             if full.any():
                 total[lo:lo + len(last)][full] += np.add.reduceat(self.weight[slots], edge[full], axis=0, dtype=np.float64)
             count[lo:lo + len(last)] += held
-        return total / np.maximum(count, 1)[:, None]
+        return total / np.maximum(count, 1)[:, None], count
 
     def margins(self, texts: list[bytes]) -> np.ndarray:
-        return self.slope * (self.means(texts) - self.shift)
+        """texts x bits: above 0 where the bit is more likely 1, drawn towards 0 in texts with few n-grams."""
+        mean, count = self.means(texts)
+        return self.slope * (mean - self.shift) * (count / (count + PRIOR))[:, None]
 
     def calibrate(self, count: np.ndarray, mean: np.ndarray, square: np.ndarray) -> None:
         """Curves of the bits from the number of texts of each language and their mean classifier values and squares (languages x bits)."""
@@ -149,13 +153,14 @@ class LanguageCodes:
 def pieces(texts: list[bytes]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, int]]:
     """(bytes, place behind each text, number of the first text) of runs of texts of about PIECE bytes.
 
-    So many line ends lie between texts that an n-gram of one never reaches into the next.
+    A space stands before each text and so many line ends behind it that no n-gram belongs to two texts. Of a text longer than PIECE
+    the few n-grams at its cuts count twice.
     """
     held, size, lo = [], 0, 0
     gap = b"\n" * (max(GRAMS) - 1)
 
     def joined():
-        return b"".join(t + gap for t in held), np.cumsum([len(t) + len(gap) for t in held]), lo
+        return b"".join(b" " + t + gap for t in held), np.cumsum([len(t) + len(gap) + 1 for t in held]), lo
 
     for i, text in enumerate(texts):
         for at in range(0, max(len(text), 1), PIECE):
@@ -237,7 +242,7 @@ def train(docs: DataFrame, sample: int = 4_000, most_languages: int = 400, id_co
         return model
 
     def moments(texts, language, total):
-        value = model.means(texts)
+        value = model.means(texts)[0]
         np.add.at(total, language, np.hstack([np.ones((len(texts), 1)), value, value ** 2]))
 
     got = sums(moments, 1 + 2 * bits)
