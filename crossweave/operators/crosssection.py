@@ -34,13 +34,19 @@ def rank_keep_missing(df: DataFrame, columns: list[str], month: str, entity: str
             .groupBy(entity, month).pivot("feature", columns).agg(F.first("ranked")))
 
 
-def demean_and_clip(df: DataFrame, y: str, month: str, clip_sd: float = 3.0, out: str = "target") -> DataFrame:
-    """Subtract the month mean, then clip at clip_sd population sds of the whole sample."""
-    means = df.groupBy(month).agg(F.avg(y).alias("__mean"))
-    centred = df.join(means, month).withColumn(out, F.col(y) - F.col("__mean"))
-    bound = centred.agg(F.stddev_pop(out) * clip_sd).scalar()
+def demean_and_clip(df: DataFrame, y: str, month: str, clip_sd: float = 3.0, out: str = "target", within: list[str] | None = None) -> DataFrame:
+    """Subtract the month mean, then clip at clip_sd population sds of the whole sample (of each sample, where `within` names their keys)."""
+    within = within or []
+    means = df.groupBy(*within, month).agg(F.avg(y).alias("__mean"))
+    centred = df.join(means, [*within, month]).withColumn(out, F.col(y) - F.col("__mean")).drop("__mean")
+    spread = F.stddev_pop(out) * clip_sd
+    if within:
+        centred = centred.join(centred.groupBy(*within).agg(spread.alias("__bound")), within)
+        bound = F.col("__bound")
+    else:
+        bound = centred.agg(spread).scalar()
     value = F.when(F.col(out).isNotNull(), F.least(F.greatest(F.col(out), -bound), bound))
-    return centred.withColumn(out, value).drop("__mean")
+    return centred.withColumn(out, value).drop("__bound")
 
 
 def unit_rank(df: DataFrame, value: str, keys: list[str], out: str, entity: str = "permno") -> DataFrame:
