@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crossweave.llm.held import release
 from crossweave.llm.registry import query, table
 from crossweave.llm.words import sub_batches, word_hashes
 
@@ -185,6 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str
     drawn = known.orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for part in sub_batches(zip(batch.column("y").to_pylist(), ((t or "").encode() for t in batch.column("text").to_pylist())), 1):
                 yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in part], pa.float64()), pa.array(list(features([t for _, t in part])), pa.list_(pa.float64()))],
@@ -206,6 +208,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = 20_000, tex
     out = docs.withColumn("__score", F.lit(None).cast("double"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             score = [np.zeros(0)]
             for part in sub_batches((((t or "").encode(),) for t in batch.column(text_col).to_pylist()), 0):

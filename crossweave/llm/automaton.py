@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crossweave.llm.held import held
 from crossweave.llm.registry import query, table
 
 # Words are runs of ASCII digits, ASCII letters (lower-cased) and characters from U+0080 up.
@@ -124,17 +125,10 @@ class SuffixAutomaton:
         return spans, items
 
 
-_automata: dict[str, SuffixAutomaton] = {}
-
-
 def _automaton(items: list[tuple], width: int) -> SuffixAutomaton:
     """One automaton per worker and item block, kept from task to task."""
     key = hashlib.sha256(repr((width, items)).encode()).hexdigest()
-    if key not in _automata:
-        if len(_automata) >= 2:
-            _automata.clear()
-        _automata[key] = SuffixAutomaton([(k, words_of(t)) for k, t in items], width)
-    return _automata[key]
+    return held(("automaton", key), lambda: SuffixAutomaton([(k, words_of(t)) for k, t in items], width))
 
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int, limit_bytes: int) -> list[list[tuple]]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import struct
 
+from crossweave.llm.held import held
+
 # Fixed value: the characters with the Unicode property White_Space, without the space itself.
 ODD_SPACE = "\t\n\x0b\x0c\r\x85\xa0  -     　"
 _PAIRED = re.compile(f"[{ODD_SPACE}] | [{ODD_SPACE} ]")
@@ -56,12 +58,6 @@ class TextEncoder:
         return (self.first[parts[0]] if parts[0] else b"") + b"".join(map(self.later.__getitem__, parts[1:]))
 
 
-_encoders: dict[tuple[str, str, int], TextEncoder] = {}
-
-
 def encoder(path: str, spaces: str, memory: int = 1_600_000) -> TextEncoder:
     """One encoder per worker process that remembers up to `memory` chunks, kept from task to task."""
-    key = path, spaces, memory
-    if key not in _encoders:
-        _encoders[key] = TextEncoder(path, spaces, memory)
-    return _encoders[key]
+    return held(("encoder", path, spaces, memory), lambda: TextEncoder(path, spaces, memory))

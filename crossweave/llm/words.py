@@ -16,6 +16,8 @@ _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[0x41:0x5B] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
+#: Powers that a worker keeps; a longer table, for one very long text, is made anew each time.
+MOST_KEPT = 1 << 20
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -34,15 +36,15 @@ def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        have = np.full(size, base, dtype=np.uint64)
+        have = np.full(1 << max(16, int(n - 1).bit_length()), base, dtype=np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        _powers[base] = have
+        if len(have) <= MOST_KEPT:
+            _powers[base] = have
     return have[:n]
 
 
-def sub_batches(rows: Iterable[tuple], size: int, limit: int = 4_000_000) -> Iterator[list[tuple]]:
+def sub_batches(rows: Iterable[tuple], size: int, limit: int = 750_000) -> Iterator[list[tuple]]:
     """Consecutive rows until their text (bytes at position `size`) reaches limit bytes."""
     held, total = [], 0
     for row in rows:
