@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crossweave.llm.components import components
+from crossweave.llm.held import release
 from crossweave.llm.registry import query, table
 from crossweave.llm.words import mix, shingles, sub_batches, word_hashes
 from crossweave.session import stage
@@ -116,6 +117,7 @@ def buckets(element: np.ndarray, owner: np.ndarray, weight: np.ndarray, texts: i
 
 def _sign(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             texts = ((t or "").encode() for t in batch.column("text").to_pylist())
             for part in sub_batches(zip(batch.column("doc").to_pylist(), texts), 1):
@@ -156,11 +158,12 @@ def links_within(texts: list[tuple[np.ndarray, np.ndarray]], open_: np.ndarray,
     Products of the text-by-shingle incidence matrix count the common shingles, which decides the plain Jaccard
     similarity. The probability Jaccard similarity is at most the share of either text's weight that lies in common
     shingles (each of its terms is at most x_i / sum x, and y_i / sum y), so it is computed only where both shares
-    reach the threshold.
+    reach the threshold. Where no shingle of either text repeats, both similarities are the same.
     """
     n, count = len(texts), np.array([len(e) for e, _ in texts])
     element, owner = np.concatenate([e for e, _ in texts]), np.repeat(np.arange(n), count)
     weight = np.concatenate([w / w.sum() if len(w) else w for _, w in texts]).astype(np.float64)
+    repeats = np.array([bool((w > 1).any()) for _, w in texts])
     _, column, uses = np.unique(element, return_inverse=True, return_counts=True)
     shared = uses > 1
     place = (np.cumsum(shared) - 1)[column]
@@ -177,7 +180,7 @@ def links_within(texts: list[tuple[np.ndarray, np.ndarray]], open_: np.ndarray,
         mass += part @ has.T
     union = count[:, None] + count[None, :] - common
     near = open_ & (common >= threshold * union - 1e-9) & (common > 0)
-    maybe = open_ & ~near & (np.minimum(mass, mass.T) >= threshold - 1e-4)
+    maybe = open_ & ~near & (repeats[:, None] | repeats[None, :]) & (np.minimum(mass, mass.T) >= threshold - 1e-4)
     for i, j in zip(*np.nonzero(np.triu(maybe))):
         near[i, j] = near[j, i] = similarity(texts[i], texts[j]) >= threshold
     return near
@@ -224,17 +227,34 @@ def _across(width: int, threshold: float):
     return run
 
 
-def across_classes(placed: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
-    """Links (a, b) that connect what is similar across the classes of a bucket; placed has bucket, node and class.
+def block_pairs(placed: DataFrame) -> DataFrame:
+    """(bucket, one, two, node, class, block): the members of every pair of blocks that is to be compared; placed has bucket, node and class.
 
-    Buckets with one class are left out. The others are cut into blocks, and every pair of blocks is compared whole in a
-    group of its own, which returns at most one link a member: all pairs are looked at, none is emitted for its own sake.
+    Buckets with one class are left out. Of the others, a class of BLOCK members or more is cut into blocks of its own, and smaller
+    classes share blocks whole. Every pair of blocks that holds different classes is compared whole, in a group of its own, which returns
+    at most one link a member: all pairs of classes are looked at, none is emitted for its own sake. A group of copies that are
+    connected already is never compared with itself, so a few strangers beside it cost it as many copies as the strangers fill blocks.
     """
-    open_ = placed.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = placed.join(open_.where("lo < hi").select("bucket", "blocks"), "bucket")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "node", "class", "block")
+    sizes = placed.groupBy("bucket", "class").agg(F.count("*").alias("n"))
+    small = F.col("n") < BLOCK
+    open_ = sizes.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"),
+                                        F.ceil(F.coalesce(F.sum(F.when(small, F.col("n"))), F.lit(0)) / BLOCK).cast("int").alias("shared"))
+    sizes = stage(sizes.join(open_.where("lo < hi"), "bucket").select(
+        "bucket", "class", small.alias("small"), F.when(small, F.col("shared")).otherwise(F.ceil(F.col("n") / BLOCK)).cast("int").alias("blocks")), "sizes")
+    # shared blocks are numbered from -1 down, a class's own from 0 up
+    dealt = F.when(F.col("small"), -1 - F.pmod(F.xxhash64("class"), F.col("blocks"))).otherwise(F.pmod(F.xxhash64("node"), F.col("blocks"))).cast("int")
+    owner = F.when(F.col("small"), F.lit(None).cast("long")).otherwise(F.col("class"))
+    members = stage(placed.join(sizes, ["bucket", "class"]).select("bucket", "node", "class", F.struct(owner.alias("owner"), dealt.alias("part")).alias("block")), "members")
+    blocks = members.groupBy("bucket", "block").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
+    one, two = (blocks.select("bucket", F.col("block").alias(k), F.col("lo").alias(f"lo_{k}"), F.col("hi").alias(f"hi_{k}")) for k in ("one", "two"))
+    pairs = one.join(two, "bucket").where((F.col("one") <= F.col("two")) & (F.least("lo_one", "lo_two") < F.greatest("hi_one", "hi_two")))
+    pairs = pairs.select("bucket", F.xxhash64("one").alias("one"), F.xxhash64("two").alias("two"), F.explode(F.array_distinct(F.array("one", "two"))).alias("block"))
+    return members.join(pairs, ["bucket", "block"]).select("bucket", "one", "two", "node", "class", F.xxhash64("block").alias("block"))
+
+
+def across_classes(placed: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
+    """Links (a, b) that connect what is similar across the classes of a bucket; placed has bucket, node and class."""
+    rows = block_pairs(placed)
     rows = rows.join(texts.withColumnRenamed("doc", "node"), "node").repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two")
     return rows.mapInArrow(_across(width, threshold), "a long, b long")
 

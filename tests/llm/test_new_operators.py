@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks.compare import compare, duck
-from crossweave.llm import infill, language_codes, manifest, registry
+from crossweave.llm import infill, language_codes, manifest, probminhash, registry
 
 SF = "/root/testdata/sf0.001"
 UNIT = re.compile("[A-Za-z]+|[^A-Za-z]")
@@ -202,3 +202,57 @@ def test_no_or_one_language(spark, label, want):
     assert got[0] == want and got[99] == "und"
     with pytest.raises(ValueError):
         language_codes.train(docs.withColumn("lang", F.col("doc_id").cast("string")), most_languages=3)
+
+
+@pytest.mark.parametrize("n", [300, 1200])
+def test_near_copies_are_compared_in_linear_rows(spark, monkeypatch, n):
+    """One group of near copies, and beside it texts that are like none: members of a class never meet each other again."""
+    rng = random.Random(n)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(120)] = f"x{rng.randrange(10 ** 9)}"
+        rows.append((i, " ".join(words)))
+    seen = []
+    whole = probminhash.block_pairs
+
+    def counted(placed):
+        out = probminhash.stage(whole(placed), "counted")
+        seen.append((placed.count(), out.count()))
+        return out
+    monkeypatch.setattr(probminhash, "block_pairs", counted)
+    got = {r.doc_id: r.class_id for r in probminhash.near_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert seen[0][1] <= 2 * seen[0][0]
+    sets = [frozenset(zip(*(t.split()[k:] for k in range(5)))) for _, t in rows]
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    for i in range(n):
+        for j in range(i):
+            if find(i) != find(j) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    assert all(got[i] == find(i) for i in range(n))
+
+
+def test_blocks_hold_every_pair_of_classes(spark, monkeypatch):
+    monkeypatch.setattr(probminhash, "BLOCK", 4)
+    rng = random.Random(3)
+    placed = [(b, 100 * b + i, rng.choice([1, 1, 1, 1, 2, 3, 4, 5, 6]) if b else 1) for b in range(3) for i in range(40)]
+    rows = probminhash.block_pairs(spark.createDataFrame(placed, "bucket long, node long, class long")).collect()
+    held = {}
+    for r in rows:
+        held.setdefault((r.bucket, r.one, r.two), []).append(r)
+    met = set()
+    for group in held.values():
+        assert len({r.node for r in group}) == len(group) <= 20
+        met |= {(a.node, b.node) for a in group for b in group}
+    for b, x, c in placed:
+        for d, y, e in placed:
+            if b == d and c != e:
+                assert (x, y) in met
+    assert not any(r.bucket == 0 for r in rows)
