@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from crossweave.functions.ols import two_slopes
-from crossweave.operators.ranks import rank_moments, split_rank
+from crossweave.operators.columnar import ranked_columns
+from crossweave.operators.ranks import split_rank
 
 
 def unpivot(df: DataFrame, ids: list[str], columns: list[str], name: str = "feature", value: str = "value") -> DataFrame:
@@ -16,22 +17,16 @@ def unpivot(df: DataFrame, ids: list[str], columns: list[str], name: str = "feat
         .select(*ids, f"__p.{name}", f"__p.{value}")
 
 
-def rank_keep_missing_long(df: DataFrame, columns: list[str], month: str, entity: str = "permno") -> DataFrame:
-    """Dense ranks scaled to [-1, 1], one row per (entity, month, feature).
-
-    All features share one shuffle on (month, feature) instead of one sort each.
-    A feature with a single distinct value in a month becomes NULL.
-    """
-    long = unpivot(df, [entity, month], columns)
-    ranked = split_rank(long, [month, "feature"], "value", entity, kind="dense", rank="__r", total="__top")
-    scaled = F.when(F.col("__top") > 1, (F.col("__r") - 1) / (F.col("__top") - 1) * 2 - 1)
-    return ranked.select(entity, month, "feature", scaled.alias("ranked"))
+def rank_keep_missing(df: DataFrame, columns: list[str], month: str, entity: str = "permno") -> DataFrame:
+    """(entity, month) and one ranked column per feature: dense ranks scaled to [-1, 1]. A feature with a single distinct value in
+    a month becomes NULL. All features share one deal, and rows are not multiplied by their number."""
+    ranked = ranked_columns(df.select(entity, month, *columns), [month], {c: f"__r_{c}" for c in columns}, "scaled")
+    return ranked.select(entity, month, *[F.col(f"__r_{c}").alias(c) for c in columns])
 
 
-def rank_keep_missing(df: DataFrame, columns: list[str], month: str, entity: str = "permno") -> DataFrame:
-    """Wide form of rank_keep_missing_long: (entity, month) plus one ranked column per feature."""
-    return (rank_keep_missing_long(df, columns, month, entity)
-            .groupBy(entity, month).pivot("feature", columns).agg(F.first("ranked")))
+def rank_keep_missing_long(df: DataFrame, columns: list[str], month: str, entity: str = "permno") -> DataFrame:
+    """Long form of rank_keep_missing: one row per (entity, month, feature)."""
+    return unpivot(rank_keep_missing(df, columns, month, entity), [entity, month], columns, value="ranked")
 
 
 def demean_and_clip(df: DataFrame, y: str, month: str, clip_sd: float = 3.0, out: str = "target", within: list[str] | None = None) -> DataFrame:
@@ -49,25 +44,24 @@ def demean_and_clip(df: DataFrame, y: str, month: str, clip_sd: float = 3.0, out
     return centred.withColumn(out, value).drop("__bound")
 
 
-def unit_rank(df: DataFrame, value: str, keys: list[str], out: str, entity: str = "permno") -> DataFrame:
-    """Average-tie rank, centred and divided by its population sd (by 1 if that is 0)."""
-    ranked = split_rank(df, keys, value, entity, kind="average", rank="__ur")
-    scale = F.when(F.col("rank_sd") > 0, F.col("rank_sd")).otherwise(F.lit(1.0))
-    scaled = ranked.join(rank_moments(df, keys, value), keys, "left")
-    return scaled.withColumn(out, (F.col("__ur") - F.col("rank_mean")) / scale).drop("__ur", "rank_mean", "rank_sd")
+def unit_ranks(df: DataFrame, values: dict[str, str], keys: list[str]) -> DataFrame:
+    """Average-tie ranks of several columns (input to output), each centred and divided by its population sd (by 1 if that is 0)."""
+    return ranked_columns(df, keys, values, "unit")
+
+
+def unit_rank(df: DataFrame, value: str, keys: list[str], out: str) -> DataFrame:
+    return unit_ranks(df, {value: out}, keys)
 
 
 def blend(df: DataFrame, forecast: str, keys: list[str], extra: dict[str, float] | None = None,
           forecast_weight: float = 1.0, out: str = "signal") -> DataFrame:
     """Weighted sum of unit ranks; rows an extra signal does not cover count as 0."""
-    df = unit_rank(df, forecast, keys, "__u0")
+    extra = extra or {}
+    made = {forecast: "__u0", **{name: f"__u{i}" for i, name in enumerate(extra, 1)}}
     total: Column = F.lit(forecast_weight) * F.col("__u0")
-    made = ["__u0"]
-    for i, (name, weight) in enumerate((extra or {}).items(), 1):
-        df = unit_rank(df, name, keys, f"__u{i}")
+    for i, weight in enumerate(extra.values(), 1):
         total = total + F.lit(weight) * F.coalesce(F.col(f"__u{i}"), F.lit(0.0))
-        made.append(f"__u{i}")
-    return df.withColumn(out, total).drop(*made)
+    return unit_ranks(df, made, keys).withColumn(out, total).drop(*made.values())
 
 
 def neutralise(df: DataFrame, y: str, x1: str, x2: str, month: str, sector: str, out: str) -> DataFrame:
@@ -119,12 +113,9 @@ def attach_trailing_percentile(df: DataFrame, panel: DataFrame, value: str = "ni
     return df.join(pct.select("permno", F.col("mi").alias("observed_mi"), out), ["permno", "observed_mi"], "left")
 
 
-def sector_rank_z(df: DataFrame, value: str, month: str, sector: str, out: str, entity: str = "permno") -> DataFrame:
+def sector_rank_z(df: DataFrame, value: str, month: str, sector: str, out: str) -> DataFrame:
     """Average-tie rank within (month, sector) as a population z-score; NULL where all ranks tie."""
-    ranked = split_rank(df, [month, sector], value, entity, kind="average", rank="__sr")
-    z = F.when(F.col("rank_sd") > 0, (F.col("__sr") - F.col("rank_mean")) / F.col("rank_sd"))
-    scored = ranked.join(rank_moments(df, [month, sector], value), [month, sector], "left")
-    return scored.withColumn(out, z).drop("__sr", "rank_mean", "rank_sd")
+    return ranked_columns(df, [month, sector], {value: out}, "z")
 
 
 def quantile_bins(df: DataFrame, value: str, month: str, bins: int = 10, out: str = "decile", entity: str = "permno") -> DataFrame:
