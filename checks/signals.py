@@ -103,9 +103,7 @@ def universe(spark, sf):
     def build():
         p = panel_for_signals(spark, sf)
         d = K.signal_universe(K.yoy_signal(D.alt_series(spark, sf), p, BY), p, 1500.0, by=BY)
-        d = stage(d.withColumn("grp", F.concat_ws(":", "dataset", F.col("mi").cast("string"))), "alt_rows")
-        d = stage(X.sector_rank_z(d, "growth", "grp", "sector", "z"), "alt_ranked")
-        d = X.sector_rank_z(d, "ret_12_1", "grp", "sector", "z_mom").drop("grp")
+        d = X.sector_ranks_z(d, {"growth": "z", "ret_12_1": "z_mom"}, ["dataset", "mi", "sector"])
         # Equal ranks in equal-sized sectors must tie exactly.
         return d.withColumn("z", F.round("z", 10)).withColumn("z_mom", F.round("z_mom", 10))
     return shared_stage(spark, sf, "alt_universe", build)

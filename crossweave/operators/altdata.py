@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from crossweave.functions.columns import clip, month_end, month_index
-from crossweave.operators.ranks import split_rank
+from crossweave.operators.columnar import ranked_columns
 
 LIMIT = 2.0
 
@@ -53,9 +53,7 @@ def growth_features(series: DataFrame, by: list[str] | None = None) -> DataFrame
 
 def sector_percentile(features: DataFrame, value: str, keys: list[str], out: str = "rank") -> DataFrame:
     """Average-tie percentile within the keys, centred: -0.5 to 0.5 (0 for a single name)."""
-    r = split_rank(features, keys, value, "permno", rank="__r", total="__n")
-    share = F.when(F.col("__n") > 1, (F.col("__r") - 1) / (F.col("__n") - 1) - 0.5).when(F.col("__n") == 1, F.lit(0.0))
-    return r.withColumn(out, share).drop("__r", "__n")
+    return ranked_columns(features, keys, {value: out}, "percentile")
 
 
 def combined_score(ranked: DataFrame, sources: list[str], dataset: str = "dataset", month: str = "formation_mi") -> DataFrame:

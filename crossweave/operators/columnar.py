@@ -110,13 +110,15 @@ def _form(form: str, dense, below, copies, different, rows, ties) -> np.ndarray:
     average = below + (copies + 1) / 2
     if form == "average":
         return average
+    if form == "percentile":
+        return (average - 1) / (rows - 1) - 0.5 if rows > 1 else np.zeros(len(dense))
     spread = np.sqrt(max((rows ** 3 - rows - ties) / (12 * rows), 0.0))
     if form == "z" and not spread > 0:
         return np.full(len(dense), np.nan)
     return (average - (rows + 1) / 2) / (spread if spread > 0 else 1.0)
 
 
-FORMS = ("scaled", "average", "unit", "z")
+FORMS = ("scaled", "average", "percentile", "unit", "z")
 
 
 def _look_up(columns: list[str], outs: list[str], form: str, schema: StructType):
@@ -159,7 +161,7 @@ def _edges(rows: DataFrame, columns: list[str]) -> dict[tuple[str, int], list[fl
 def ranked_columns(df: DataFrame, keys: list[str], columns: dict[str, str], form: str) -> DataFrame:
     """df with the rank of each column inside `keys` beside it; `columns` maps input to output columns, nulls stay null.
 
-    form: "average" (ties share their mean rank), "scaled" (dense ranks from -1 to 1, null where a group has one value), "unit"
+    form: "average" (ties share their mean rank), "percentile" (the same from -0.5 to 0.5, 0 for a single row), "scaled" (dense ranks from -1 to 1, null where a group has one value), "unit"
     (average ranks less their mean, over their population sd, or over 1 where that is 0) or "z" (the same, null where it is 0).
     A null key is a group; NaN ranks above all other values; an empty table stays empty.
     """

@@ -54,14 +54,14 @@ def unit_rank(df: DataFrame, value: str, keys: list[str], out: str) -> DataFrame
 
 
 def blend(df: DataFrame, forecast: str, keys: list[str], extra: dict[str, float] | None = None,
-          forecast_weight: float = 1.0, out: str = "signal") -> DataFrame:
-    """Weighted sum of unit ranks; rows an extra signal does not cover count as 0."""
+          forecast_weight: float = 1.0, out: str = "signal", also: dict[str, str] | None = None) -> DataFrame:
+    """Weighted sum of unit ranks; rows an extra signal does not cover count as 0. `also` names columns whose unit ranks come from the same deal."""
     extra = extra or {}
     made = {forecast: "__u0", **{name: f"__u{i}" for i, name in enumerate(extra, 1)}}
     total: Column = F.lit(forecast_weight) * F.col("__u0")
     for i, weight in enumerate(extra.values(), 1):
         total = total + F.lit(weight) * F.coalesce(F.col(f"__u{i}"), F.lit(0.0))
-    return unit_ranks(df, made, keys).withColumn(out, total).drop(*made.values())
+    return unit_ranks(df, made | (also or {}), keys).withColumn(out, total).drop(*made.values())
 
 
 def neutralise(df: DataFrame, y: str, x1: str, x2: str, month: str, sector: str, out: str) -> DataFrame:
@@ -113,9 +113,13 @@ def attach_trailing_percentile(df: DataFrame, panel: DataFrame, value: str = "ni
     return df.join(pct.select("permno", F.col("mi").alias("observed_mi"), out), ["permno", "observed_mi"], "left")
 
 
+def sector_ranks_z(df: DataFrame, values: dict[str, str], keys: list[str]) -> DataFrame:
+    """Average-tie ranks of several columns (input to output) within the keys as population z-scores; NULL where all ranks tie."""
+    return ranked_columns(df, keys, values, "z")
+
+
 def sector_rank_z(df: DataFrame, value: str, month: str, sector: str, out: str) -> DataFrame:
-    """Average-tie rank within (month, sector) as a population z-score; NULL where all ranks tie."""
-    return ranked_columns(df, [month, sector], {value: out}, "z")
+    return sector_ranks_z(df, {value: out}, [month, sector])
 
 
 def quantile_bins(df: DataFrame, value: str, month: str, bins: int = 10, out: str = "decile", entity: str = "permno") -> DataFrame:

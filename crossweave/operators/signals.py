@@ -8,19 +8,31 @@ from pyspark.sql import functions as F
 
 from crossweave.functions.columns import hit_share, months_t_stat, safe_corr, safe_div
 from crossweave.operators import crosssection as X
+from crossweave.operators.columnar import ranked_columns
 from crossweave.operators.ranks import split_rank
+from crossweave.session import stage
 
 
-def rank_ic(df: DataFrame, a: str, b: str, keys: list[str], out: str = "rank_ic", entity: str = "permno") -> DataFrame:
-    """Spearman correlation per group over rows where both are known; NULL if either is constant."""
-    both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(
-        *keys, entity, F.explode(F.array(F.struct(F.lit("a").alias("__of"), F.col(a).cast("double").alias("__x")),
-                                         F.struct(F.lit("b").alias("__of"), F.col(b).cast("double").alias("__x")))).alias("__p")) \
-        .select(*keys, entity, "__p.__of", "__p.__x")
-    # Both sides share one ranking pass and meet again on the entity.
-    ranked = split_rank(both, [*keys, "__of"], "__x", entity, rank="__r").groupBy(*keys, entity).agg(
-        F.max(F.when(F.col("__of") == "a", F.col("__r"))).alias("__ra"), F.max(F.when(F.col("__of") == "b", F.col("__r"))).alias("__rb"))
-    return ranked.groupBy(*keys).agg(safe_corr("__ra", "__rb").alias(out), F.count(F.lit(1)).alias("names"))
+def rank_ics(df: DataFrame, pairs: dict[str, tuple[str, str]], keys: list[str]) -> DataFrame:
+    """Spearman correlation per group of each pair of columns, over the rows where both are known; NULL if either is constant.
+
+    pairs: output column -> (a, b); names_<output> counts the pair's rows. A column is ranked among the rows in which its partner is
+    known, all of them in one deal. Groups without such a row for any pair are left out.
+    """
+    masked, ranks, out = [], {}, []
+    for i, (name, (a, b)) in enumerate(pairs.items()):
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        for side, c in (("a", a), ("b", b)):
+            masked.append(F.when(both, F.col(c).cast("double")).alias(f"__{side}{i}"))
+            ranks[f"__{side}{i}"] = f"__r{side}{i}"
+        out += [safe_corr(f"__ra{i}", f"__rb{i}").alias(name), F.count(f"__a{i}").alias(f"names_{name}")]
+    rows = df.select(*keys, *masked).where(F.coalesce(*[F.col(f"__a{i}") for i in range(len(pairs))]).isNotNull())
+    return ranked_columns(rows, keys, ranks, "average").groupBy(*keys).agg(*out)
+
+
+def rank_ic(df: DataFrame, a: str, b: str, keys: list[str], out: str = "rank_ic") -> DataFrame:
+    """Spearman correlation per group over rows where both are known, with their number as names; NULL if either is constant."""
+    return rank_ics(df, {out: (a, b)}, keys).withColumnRenamed(f"names_{out}", "names")
 
 
 def residual_alpha(df: DataFrame, ret: str, month: str = "target_mi", out: str = "alpha") -> DataFrame:
@@ -39,10 +51,12 @@ def signal_check(scores: DataFrame, returns: DataFrame, top: int = 100, month: s
     """Per month: names, rank ICs with return and residual alpha, top-bottom spreads, score vs size and beta."""
     r = returns.select("permno", F.col("mi").alias(month), F.col("ret").alias("r"))
     rows = residual_alpha(scores.join(r, ["permno", month]), "r", month).select(month, "permno", "score", "r", "alpha", "size", "beta_use")
-    ic_raw = rank_ic(rows, "score", "r", [month], "ic_raw")
-    ic_alpha = rank_ic(rows, "score", "alpha", [month], "ic_alpha").drop("names")
+    # written, because the ranks, both edges and the correlations read it
+    rows = stage(rows, "signal_rows")
+    ics = rank_ics(rows, {"ic_raw": ("score", "r"), "ic_alpha": ("score", "alpha")}, [month])
+    ics = ics.where(F.col("names_ic_alpha") > 0).withColumnRenamed("names_ic_raw", "names").drop("names_ic_alpha")
     corr = rows.groupBy(month).agg(safe_corr("score", "size").alias("corr_score_size"), safe_corr("score", "beta_use").alias("corr_score_beta"))
-    return ic_raw.join(ic_alpha, month).join(_edge_means(rows, top, month), month).join(corr, month)
+    return ics.join(_edge_means(rows, top, month), month).join(corr, month)
 
 
 def decile_alpha(scores: DataFrame, returns: DataFrame, month: str = "target_mi", bins: int = 10) -> DataFrame:

@@ -28,8 +28,6 @@ def score(universe_df: DataFrame, extra_signals: dict[str, float] | None = None,
 
     The residual is rounded so that float noise cannot decide a rank.
     """
-    # A rank reads its input several times (cuts, counts, rows), so chained ranks start from staged tables.
-    ranked = stage(X.blend(universe_df, "forecast", ["target_mi"], extra_signals), "signal")
-    ranked = stage(X.unit_rank(ranked, "me", ["target_mi"], "size"), "size")
+    ranked = stage(X.blend(universe_df, "forecast", ["target_mi"], extra_signals, also={"me": "size"}), "signal")
     resid = X.neutralise(ranked, "signal", "size", "beta_use", "target_mi", "sector", "residual")
     return X.smooth(resid, "residual", smooth_months, out="score").withColumn("score", F.round("score", decimals))

@@ -37,6 +37,8 @@ def test_forms_equal_pandas(spark, monkeypatch, form, large, bits):
         by = pdf.groupby("g")[c]
         if form == "scaled":
             want = (by.rank(method="dense") - 1) / (by.transform("nunique") - 1) * 2 - 1
+        elif form == "percentile":
+            want = (by.rank() - 1) / (by.transform("count") - 1) - 0.5
         else:
             r = by.rank()
             want = r if form == "average" else (r - r.groupby(pdf.g).transform("mean")) / r.groupby(pdf.g).transform(lambda v: v.std(ddof=0))
