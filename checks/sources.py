@@ -128,3 +128,53 @@ def matching_runs(spark, sf):
     runs, ledgers = run_tables(spark, sf)
     current = runs.filter("experiment = 'exp_0' AND run = 0").select("experiment", "run", "forecast", "prediction_hash")
     return io.matching_runs(current, runs, ledgers)
+
+
+#: Run folders that the queries write: experiment, run number, whether it is complete, whether its summary is of the older form.
+RUN_FOLDERS = ((0, 2, True, False), (0, 10, True, False), (0, 11, False, False), (1, 3, True, True), (1, 1, True, False), (2, 7, True, False))
+FOLDER_SQL = f"""
+WITH f AS (SELECT * FROM (VALUES {', '.join(map(str, RUN_FOLDERS))}) f(e, r, complete, older)),
+led AS (SELECT e, r, complete, older, strftime(o_orderdate, '%Y') AS target_month, count(*) AS orders,
+    CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total
+  FROM orders JOIN f ON o_custkey % 3 = e AND o_custkey % 7 <> r % 7 GROUP BY ALL)
+"""
+
+
+def written_runs(spark, sf):
+    """Folders <root>/<experiment>/outputs/run_<n> as separate jobs leave them, made of the orders."""
+    root = scratch(spark, "runs")
+    orders = D.table(spark, sf, "orders")
+    for e, r, complete, older in RUN_FOLDERS:
+        folder = f"{root}/exp {e}/outputs/run_{r}"
+        led = orders.where((F.col("o_custkey") % 3 == e) & (F.col("o_custkey") % 7 != r % 7)).groupBy(F.date_format("o_orderdate", "yyyy").alias("target_month")).agg(
+            F.count(F.lit(1)).alias("orders"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
+        led = led.coalesce(1).cache()
+        io.write_table(led if not older else led.select("total", "target_month"), f"{folder}/monthly_returns.csv")
+        turnover = [] if older else [F.max("orders").alias("mean_one_way_turnover")]
+        io.write_table(led.agg(F.sum("orders").alias("orders"), *turnover).coalesce(1), f"{folder}/summary.csv")
+        meta = led.agg(F.collect_list("target_month").alias("months")).select(F.to_json(F.struct(
+            F.lit("complete" if complete else "running").alias("status"), F.lit(f"exp {e}").alias("experiment"), F.lit("f").alias("forecast"),
+            F.lit("abc").alias("prediction_sha256"), "months")).alias("value"))
+        meta.coalesce(1).write.text(f"{folder}/run.json")
+        led.unpersist()
+    return root
+
+
+@query("a06_run_folders", FOLDER_SQL + """
+, s AS (SELECT e, r, complete, older, sum(orders) AS orders, max(orders) AS turnover, min(target_month) AS start, max(target_month) AS "end" FROM led GROUP BY ALL)
+SELECT 'exp ' || e AS experiment, 'run_' || r AS run, CAST(r AS BIGINT) AS run_number, 'f' AS forecast, start, "end", CAST(orders AS BIGINT) AS orders, CAST(turnover AS DOUBLE) AS mean_one_way_turnover
+FROM s WHERE complete AND NOT older QUALIFY row_number() OVER (PARTITION BY e, start, "end" ORDER BY r DESC) = 1""")
+def run_folders(spark, sf):
+    """The comparison table of written folders: an incomplete run and one of the older form do not count; 10 comes after 2."""
+    made = io.run_comparison(spark, written_runs(spark, sf), "orders long, mean_one_way_turnover double")
+    return made.drop("status", "prediction_hash")
+
+
+@query("a07_run_ledgers", FOLDER_SQL + f"""
+SELECT 'exp ' || e AS experiment, 'run_' || r AS run, complete, target_month, CASE WHEN NOT older THEN orders END AS orders, {r6('total')} AS total FROM led""")
+def run_ledgers(spark, sf):
+    """Monthly rows of all folders by column name; the older form lacks a column and has the others in another order."""
+    root = written_runs(spark, sf)
+    rows = io.run_tables(spark, root, "monthly_returns.csv", "target_month string, orders long, total double")
+    return rows.join(io.run_folders(spark, root), ["experiment", "run"]).select(
+        "experiment", "run", (F.col("status") == "complete").alias("complete"), "target_month", "orders", near("total").alias("total"))

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from crossweave.functions.columns import clip, finite_or_null, is_finite, month_index, month_label
 from crossweave.operators.ranks import group_quantiles
+from crossweave.session import Checks, stage
 
+# Beta sources in order of preference, least price, excluded sizes, and the spread allowed in a month's cash return.
 BETA_COLUMNS = ("betabab_1260d", "betadown_252d", "beta_60m")
 MIN_PRICE = 5.0
 EXCLUDED_SIZES = ("nano", "micro")
@@ -38,25 +40,45 @@ def nonfinite_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.explode(F.array(*parts)).alias("p")).select("p.*")
 
 
-def lagged_join(forecasts: DataFrame, panel: DataFrame, keep_missing: bool = False) -> DataFrame:
+def checked_rows(df: DataFrame, keys: list[str], finite: list[str] | None = None, name: str = "rows", checks: Checks | None = None) -> DataFrame:
+    """Rows whose keys must be unique and whose `finite` columns must be known, neither NaN nor infinite.
+
+    The counts are taken by the pass that writes the rows: a stage of this operator's own, or, with `checks`, the caller's (see
+    session.stage). Rows are dealt by their keys for that; a key is numbered within itself, so only copies of a key share a sort.
+    """
+    numbered = df.withColumn("__copy", F.row_number().over(W.partitionBy(*keys).orderBy(F.lit(1))))
+    odd = {f"odd_{i}": F.sum((~is_finite(c)).cast("long")) for i, c in enumerate(finite or [])}
+
+    def message(seen: dict) -> str | None:
+        wrong = [f"{seen['copies']} {name} repeat another's {', '.join(keys)}."] if seen["copies"] else []
+        wrong += [f"{seen[f'odd_{i}']} {name} have no finite {c}." for i, c in enumerate(finite or []) if seen[f"odd_{i}"]]
+        return " ".join(wrong) or None
+
+    mine = checks or Checks()
+    watched = mine.watch(numbered, message, copies=F.sum((F.col("__copy") > 1).cast("long")), **odd).drop("__copy")
+    return watched if checks else stage(watched, "checked", checks=mine)
+
+
+def lagged_join(forecasts: DataFrame, panel: DataFrame, keep_missing: bool = False, checks: Checks | None = None) -> DataFrame:
     """Attach each forecast's prior-month characteristics.
 
-    The month before the target supplies the row. A forecast without one is an
-    error, unless keep_missing leaves it in place with NULLs; one with several
-    always is. The check runs first, in one pass over the key columns: as an
-    expression of the join it would be optimised away by any later filter on a
-    characteristic.
+    The month before the target supplies the row. A forecast without one is an error, unless keep_missing leaves it in place
+    with NULLs; one with several always is. Both are counted by the pass that writes the joined rows, a stage of this operator's
+    own or, with `checks`, the caller's. Rows of a (permno, month) meet in one place for the join, where they are also numbered.
     """
-    rows = panel.groupBy("permno", (F.col("mi") + 1).alias("target_mi")).agg(F.count(F.lit(1)).alias("__n"))
-    found = forecasts.select("permno", "target_mi").join(rows, ["permno", "target_mi"], "left").agg(
-        F.coalesce(F.max(F.col("__n").isNull().cast("int")), F.lit(0)).alias("missing"), F.coalesce(F.max("__n"), F.lit(0)).alias("most")).first()
-    if found["most"] > 1:
-        raise ValueError("Some forecasts have several prior-month rows.")
-    if found["missing"] and not keep_missing:
-        raise ValueError("Some forecasts have no prior-month characteristics.")
     drop = [c for c in ("ret", "ret_exc", "ret_exc_lead1m", "month") if c in panel.columns]
     lagged = panel.drop(*drop).withColumn("target_mi", F.col("mi") + 1).withColumnRenamed("mi", "observed_mi")
-    return forecasts.join(lagged, ["permno", "target_mi"], "left" if keep_missing else "inner")
+    copy = F.row_number().over(W.partitionBy("permno", "target_mi").orderBy(F.lit(1)))
+    joined = forecasts.join(lagged.withColumn("__copy", copy), ["permno", "target_mi"], "left")
+
+    def message(seen: dict) -> str | None:
+        if seen["several"]:
+            return "Some forecasts have several prior-month rows."
+        return "Some forecasts have no prior-month characteristics." if seen["missing"] and not keep_missing else None
+
+    mine = checks or Checks()
+    watched = mine.watch(joined, message, missing=F.sum(F.col("__copy").isNull().cast("long")), several=F.sum((F.col("__copy") > 1).cast("long"))).drop("__copy")
+    return watched if checks else stage(watched, "lagged", checks=mine)
 
 
 def beta_use(columns=BETA_COLUMNS, low: float = -0.5, high: float = 3.5) -> Column:

@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from crossweave.operators import crosssection as X
 from crossweave.operators import prep as P
-from crossweave.session import stage
+from crossweave.session import Checks, stage
 
 KEEP = ("permno", "target_mi", "observed_mi", "eom", "forecast", "alt_forecast", "prc", "me", "size_grp", "gics", "sector",
         "rvol_21d", "dolvol_126d", "ticker", "company_name", "beta_use", "pe_pct")
 
 
-def universe(forecasts: DataFrame, panel: DataFrame, min_price: float, with_valuation: bool = True) -> DataFrame:
+def universe(forecasts: DataFrame, panel: DataFrame, min_price: float, with_valuation: bool = True, checks: Checks | None = None) -> DataFrame:
     """Lagged join -> beta -> screen -> sector -> valuation percentile, in that order."""
-    joined = P.lagged_join(forecasts, panel).withColumn("beta_use", P.beta_use())
+    joined = P.lagged_join(forecasts, panel, checks=checks).withColumn("beta_use", P.beta_use())
     kept = P.eligible(joined, min_price).withColumn("sector", P.sector_code())
     if with_valuation:
         kept = X.attach_trailing_percentile(kept, panel)

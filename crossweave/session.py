@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql.types import StructType
 
 DEFAULTS = {
@@ -17,7 +18,7 @@ DEFAULTS = {
 }
 
 _local_dirs: dict[str, str] = {}
-_shared_stages: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+_shared_stages: dict[tuple, tuple[str, StructType]] = {}
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -60,21 +61,62 @@ def _write_stage(df: DataFrame, tag: str, partition_by: list[str] | None = None)
     return path
 
 
-def stage(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write df as a Parquet table and read it back.
+class Checks:
+    """Conditions on rows whose counts are taken by the very pass that writes them; the job fails after it if one does not hold.
+
+    A retried task may count its rows twice, so conditions compare counts with zero, never with each other.
+    """
+
+    def __init__(self):
+        self._found: list[tuple[Observation, Callable[[dict], str | None]]] = []
+
+    def watch(self, df: DataFrame, message: Callable[[dict], str | None], **counts: Column) -> DataFrame:
+        """df, watched: message gets the aggregates by name and returns what is wrong, or None. Filters above do not reach below it."""
+        seen = Observation()
+        self._found.append((seen, message))
+        return df.observe(seen, *[c.alias(name) for name, c in counts.items()])
+
+    def verify(self) -> None:
+        found, self._found = self._found, []
+        wrong = [m for m in (message(seen.get) for seen, message in found) if m]
+        if wrong:
+            raise ValueError(" ".join(wrong))
+
+
+def stage(df: DataFrame, tag: str, partition_by: list[str] | None = None, checks: Checks | None = None) -> DataFrame:
+    """Write df as a Parquet table and read it back; then verify the checks that watched it.
 
     Later plans start from columnar files (pruned, with statistics), a lost
     executor re-reads files instead of replaying the history, and several
     consumers do not recompute the same input.
     """
-    return df.sparkSession.read.schema(df.schema).parquet(_write_stage(df, tag, partition_by))
-
-
-def shared_stage(spark: SparkSession, source: str, tag: str, build) -> DataFrame:
-    """Stage build() once per application and source; later calls reuse the table."""
-    key = (spark.sparkContext.applicationId, source, tag)
+    path = _write_stage(df, tag, partition_by)
+    if checks:
+        checks.verify()
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fingerprint(spark: SparkSession, source: str) -> int:
+    """Number that follows the names, sizes and times of the files under source, wherever Spark can list them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return 0
+    found, each = [], files.listFiles(path, True)
+    while each.hasNext():
+        f = each.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hash(tuple(sorted(found)))
+
+
+def shared_stage(spark: SparkSession, source: str, tag: str, build, checks: Checks | None = None) -> DataFrame:
+    """Stage build() once per application and state of the files under source; later calls reuse the table, rewritten inputs do not."""
+    key = (spark.sparkContext.applicationId, source, fingerprint(spark, source), tag)
     if key not in _shared_stages:
         df = build()
-        _shared_stages[key] = (_write_stage(df, tag), df.schema)
+        path = _write_stage(df, tag)
+        if checks:
+            checks.verify()
+        _shared_stages[key] = (path, df.schema)
     path, schema = _shared_stages[key]
     return spark.read.schema(schema).parquet(path)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from crossweave.functions.columns import clip, month_end, month_index, month_label
 from crossweave.operators.ranks import split_rank
-from crossweave.session import shared_stage, stage
+from crossweave.session import Checks, shared_stage, stage
 
 WINDOW_START, WINDOW_END = "1995-02", "2001-07"
 SIZE_GROUPS = ("nano", "micro", "small", "large", "mega")
@@ -156,8 +156,9 @@ SHORT_MIN_ME = 200_000.0
 
 def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crossweave.plans import score as S
+    checks = Checks()
     return shared_stage(spark, sf_dir, "universe",
-                        lambda: S.universe(forecasts(spark, sf_dir), panel(spark, sf_dir), MIN_PRICE))
+                        lambda: S.universe(forecasts(spark, sf_dir), panel(spark, sf_dir), MIN_PRICE, checks=checks), checks)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:

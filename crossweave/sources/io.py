@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from crossweave.functions.columns import month_label
 from crossweave.operators.prep import month_keys
@@ -59,6 +63,64 @@ def usable_checkpoint(checkpoint: DataFrame, pending: DataFrame, trial: str = "t
     return checkpoint.join(pending.select(trial), trial, "left_anti")
 
 
+RUN_JSON = "status string, experiment string, forecast string, prediction_sha256 string, months array<string>"
+
+
+def run_number(run: Column) -> Column:
+    """Number at the end of a run folder's name; a name without one counts as 0."""
+    return F.coalesce(F.nullif(F.regexp_extract(run, "([0-9]+)$", 1), F.lit("")).cast("long"), F.lit(0))
+
+
+def _folder() -> list[Column]:
+    """Experiment and run of a file in <root>/<experiment>/outputs/<run>/."""
+    path = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), "\\+", "%2B"))
+    pattern = "([^/]+)/outputs/([^/]+)/"
+    return [F.regexp_extract(path, pattern, 1).alias("experiment"), F.regexp_extract(path, pattern, 2).alias("run")]
+
+
+def run_folders(spark: SparkSession, root: str) -> DataFrame:
+    """One row per run folder with a run.json: experiment, run, run_number, status, forecast, prediction_hash, months, start, end.
+
+    Experiment and run are names of folders, the rest is what the run wrote about itself; a file that is no JSON has nulls.
+    """
+    raw = spark.read.text(f"{root}/*/outputs/*/run.json", wholetext=True).select(*_folder(), F.from_json("value", RUN_JSON).alias("j"))
+    months = F.sort_array("j.months")
+    return raw.select("experiment", "run", run_number(F.col("run")).alias("run_number"), F.coalesce("j.status", F.lit("unknown")).alias("status"), "j.forecast",
+                      F.col("j.prediction_sha256").alias("prediction_hash"), months.alias("months"),
+                      F.try_element_at(months, F.lit(1)).alias("start"), F.try_element_at(months, F.lit(-1)).alias("end"))
+
+
+def run_tables(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
+    """Rows of the CSV `name` of all run folders, with experiment and run, by column name.
+
+    Runs of different ages have different columns: files are read together with those of the same header, a column that a file lacks is NULL
+    and one that `schema` does not name is left out. `has` lists the file's columns. The driver sees headers and paths, not rows.
+    """
+    wanted = T.StructType.fromDDL(schema)
+    glob = f"{root}/*/outputs/*/{name}"
+    first = spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.element_at(F.split("value", "\r?\n", 2), 1).alias("header"))
+    headers = first.where("header <> ''").groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("header").collect()
+    out = None
+    for r in headers:
+        names = next(csv.reader([r["header"]]))
+        paths = [unquote(p) for p in r["paths"]]
+        rows = spark.read.option("header", True).schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(paths)
+        cast = [F.expr(f"try_cast(`{f.name}` as {f.dataType.simpleString()})") if f.name in names else F.lit(None).cast(f.dataType) for f in wanted]
+        part = rows.select(*_folder(), F.array(*map(F.lit, names)).alias("has"), *[c.alias(f.name) for c, f in zip(cast, wanted)])
+        out = part if out is None else out.unionByName(part)
+    empty = T.StructType.fromDDL(f"experiment string, run string, has array<string>, {schema}")
+    return out if out is not None else spark.createDataFrame([], empty)
+
+
+def run_comparison(spark: SparkSession, root: str, schema: str, needs: tuple[str, ...] = ("mean_one_way_turnover",)) -> DataFrame:
+    """Summary rows of the last complete run per experiment, inputs and window. Runs whose summary lacks a column of `needs` were made
+    under older rules and are left out before the last is picked."""
+    runs = run_folders(spark, root).where("status = 'complete'").drop("months")
+    rows = run_tables(spark, root, "summary.csv", schema).where(F.size(F.array_except(F.array(*map(F.lit, needs)), F.col("has"))) == 0).drop("has")
+    both = rows.join(runs, ["experiment", "run"]).withColumn("__order", F.struct("run_number", "run"))
+    return latest_runs(both, run="__order").drop("__order")
+
+
 def latest_runs(summaries: DataFrame, keys=("experiment", "forecast", "prediction_hash", "start", "end"),
                 run: str = "run", status: str = "status") -> DataFrame:
     """The last complete run per experiment, inputs and window."""
@@ -71,15 +133,17 @@ def matching_runs(current: DataFrame, others: DataFrame, ledgers: DataFrame) ->
     """The current run's ledger plus, per other experiment, its newest complete run with equal
     forecast, input hash and month list.
 
-    current: one row (experiment, run, forecast, prediction_hash); others: run rows with
+    current: one row (experiment, run, forecast, prediction_hash), more or none are refused; others: run rows with
     status; ledgers: (experiment, run, month, ...).
     """
+    if len(current.take(2)) != 1:
+        raise ValueError("The current run is one row.")
     months = ledgers.groupBy("experiment", "run").agg(F.sort_array(F.collect_list("month")).alias("months"))
     mine = current.join(months, ["experiment", "run"]).select(
         F.col("experiment").alias("__e"), F.col("forecast").alias("__f"), F.col("prediction_hash").alias("__h"),
         F.col("months").alias("__m"))
     same = (others.filter("status = 'complete'").join(months, ["experiment", "run"])
-            .join(F.broadcast(mine.limit(1)), (F.col("forecast") == F.col("__f")) & (F.col("prediction_hash") == F.col("__h"))
+            .join(F.broadcast(mine), (F.col("forecast") == F.col("__f")) & (F.col("prediction_hash") == F.col("__h"))
                   & (F.col("months") == F.col("__m")) & (F.col("experiment") != F.col("__e"))))
     newest = same.groupBy("experiment").agg(F.max("run").alias("run"))
     chosen = newest.unionByName(current.select("experiment", "run"))
