@@ -338,6 +338,11 @@ def sector_share_of_gross(spark, sf):
     return out(s, "largest_sector_gross_share", "named_gross_share", exact=("largest_sector",))
 
 
-@query("i20_bootstrap_ir")
+@query("i20_bootstrap_ir", with_(*TO_LEDGER) + f"""
+, nb AS (SELECT trial, total_net - hurdle AS active, row_number() OVER (PARTITION BY trial ORDER BY target_mi) - 1 AS slot, count(*) OVER (PARTITION BY trial) AS months FROM ledger),
+dr AS (SELECT trial, rep, ('0x' || substr(md5('42:' || rep || ':' || slot), 1, 12))::BIGINT % months AS slot FROM nb, (SELECT unnest(generate_series(1, 500)) AS rep)),
+ir AS (SELECT dr.trial, rep, sqrt(12) * avg(active) / nullif(stddev_samp(active), 0) AS ir FROM dr JOIN nb ON nb.trial = dr.trial AND nb.slot = dr.slot GROUP BY 1, 2)
+SELECT trial, count(ir) AS reps, {r6('avg(ir)')} AS mean_ir, {r6('stddev_samp(ir)')} AS se_ir FROM ir GROUP BY 1""")
 def bootstrap_ir(spark, sf):
-    return A.bootstrap_ir(D.trial_ledger(spark, sf), KEYS, 500, 42)
+    made = A.bootstrap_ir(D.trial_ledger(spark, sf), KEYS, 500, 42)
+    return made.select("trial", "reps", near("mean_ir").alias("mean_ir"), near("se_ir").alias("se_ir"))

@@ -115,25 +115,33 @@ def position_count_flag(spark, sf):
 
 
 @query("h07_validate_settings", """
-WITH o AS (SELECT o_orderkey, o_custkey, o_totalprice FROM orders),
-t AS (SELECT 'trial_' || o_orderkey AS trial, (o_custkey % 50) / 20.0 AS gross, (o_custkey % 7) / 100.0 AS cap,
-  CASE WHEN o_orderkey % 3 = 0 THEN 'none' WHEN o_orderkey % 3 = 1 THEN NULL ELSE CAST((o_custkey % 9) - 1 AS VARCHAR) END AS beta,
-  (o_custkey % 30) / 2.0 AS months FROM o),
+WITH t AS (SELECT CASE WHEN o_orderkey % 40 = 0 THEN 'trial_same' ELSE 'trial_' || o_orderkey END AS trial,
+  CASE WHEN o_custkey % 50 = 49 THEN 'NaN'::DOUBLE ELSE (o_custkey % 50) / 20.0 END AS gross, (o_custkey % 7) / 100.0 AS cap,
+  CASE WHEN o_orderkey % 3 = 2 THEN CASE WHEN o_custkey % 9 = 8 THEN 'Infinity'::DOUBLE ELSE (o_custkey % 9) - 1 END END AS beta,
+  (o_custkey % 30) / 2.0 AS months, CASE WHEN o_orderkey % 5 > 0 THEN (o_custkey % 6) / 100.0 END AS dear, (o_custkey % 8) / 6.0 AS scale FROM orders),
 p AS (
-  SELECT trial, 'gross_limit must be in (0, 2]' AS problem FROM t WHERE NOT (gross > 0 AND gross <= 2)
-  UNION ALL SELECT trial, 'position_limit must be in (0, 0.05]' FROM t WHERE NOT (cap > 0 AND cap <= 0.05)
-  UNION ALL SELECT trial, 'minimum weight must be above dust and at most the position limit' FROM t WHERE NOT (0.001 <= cap)
-  UNION ALL SELECT trial, 'beta_limit must be nonnegative' FROM t WHERE try_cast(beta AS DOUBLE) < 0
-  UNION ALL SELECT trial, 'covariance history requires 2 <= minimum <= window' FROM t WHERE floor(months) <> months OR NOT (12 <= months)
-  UNION ALL SELECT trial, 'unreadable: covariance_months' FROM t WHERE floor(months) <> months)
+  SELECT trial, 'gross_limit: above 0, at most 2' AS problem FROM t WHERE isnan(gross) OR NOT (gross > 0 AND gross <= 2)
+  UNION ALL SELECT trial, 'position_limit: above 0, at most 0.05' FROM t WHERE NOT (cap > 0 AND cap <= 0.05)
+  UNION ALL SELECT trial, 'minimum_position_weight: above 1e-6, at most position_limit' FROM t WHERE NOT (0.001 <= cap)
+  UNION ALL SELECT trial, 'beta_limit: empty, or finite and not below 0' FROM t WHERE beta < 0 OR isinf(beta)
+  UNION ALL SELECT trial, 'covariance_min_observations: from 2 to covariance_months' FROM t WHERE floor(months) <> months OR NOT (12 <= months)
+  UNION ALL SELECT trial, 'expensive_long_cap: from minimum_position_weight to position_limit' FROM t WHERE NOT (dear >= 0.001 AND dear <= cap)
+  UNION ALL SELECT trial, 'score_scale: above 0, at most 1' FROM t WHERE NOT (scale > 0 AND scale <= 1)
+  UNION ALL SELECT trial, 'trial: a name of its own' FROM t WHERE trial IN (SELECT trial FROM t GROUP BY 1 HAVING count(*) > 1)
+  UNION ALL SELECT trial, 'cannot be read: covariance_months' FROM t WHERE floor(months) <> months)
 SELECT * FROM p""")
 def validate_settings(spark, sf):
     orders = D.table(spark, sf, "orders")
-    text = F.when(F.col("o_orderkey") % 3 == 0, "none").when(F.col("o_orderkey") % 3 == 2, (F.col("o_custkey") % 9 - 1).cast("string"))
+    customer, order = F.col("o_custkey"), F.col("o_orderkey")
+
+    def text(c):
+        return c.cast("string")
+    beta = F.when(customer % 9 == 8, "inf").otherwise(text(customer % 9 - 1))
     trials = orders.select(
-        F.concat(F.lit("trial_"), F.col("o_orderkey").cast("string")).alias("trial"),
-        (F.col("o_custkey") % 50 / 20.0).cast("string").alias("gross_limit"), (F.col("o_custkey") % 7 / 100.0).cast("string").alias("position_limit"),
-        text.alias("beta_limit"), (F.col("o_custkey") % 30 / 2.0).cast("string").alias("covariance_months"))
+        F.when(order % 40 == 0, "trial_same").otherwise(F.concat(F.lit("trial_"), text(order))).alias("trial"),
+        F.when(customer % 50 == 49, "nan").otherwise(text(customer % 50 / 20.0)).alias("gross_limit"), text(customer % 7 / 100.0).alias("position_limit"),
+        F.when(order % 3 == 0, "none").when(order % 3 == 2, beta).alias("beta_limit"), text(customer % 30 / 2.0).alias("covariance_months"),
+        F.when(order % 5 > 0, text(customer % 6 / 100.0)).alias("expensive_long_cap"), text(customer % 8 / 6.0).alias("score_scale"))
     return J.validate_settings(J.resolve_settings(trials))
 
 

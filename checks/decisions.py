@@ -57,7 +57,10 @@ def decide(spark, sf):
     return M.decide(wide(spark, sf), LABELS).select("ID", "band", "cap")
 
 
-@query("m02_decide_reason")
+@query("m02_decide_reason", with_(*TO_SCORED, INPUTS) + """
+SELECT ID, band, cap, printf('median sector vol %s (%s) -> band %s; ', coalesce(printf('%.2f', round(v + 3e-11, 2)), 'unknown'), CASE WHEN v >= 0.25 THEN 'high' WHEN v <= 0.12 THEN 'calm' ELSE 'normal' END, band)
+  || CASE WHEN cap = '1.5x' THEN printf('sector %s dispersion %.1fx median, loosen cap', top, round(ratio + 3e-11, 1)) ELSE printf('dispersion spread %.1fx, tight cap', round(ratio + 3e-11, 1)) END AS reason
+FROM dec""")
 def decide_reason(spark, sf):
     return M.decide(wide(spark, sf), LABELS)
 

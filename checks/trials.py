@@ -11,28 +11,35 @@ from crossweave.operators import trials as J
 from crossweave.sources import demo_tables as D
 
 
-def grid_sql():
-    """The grid as plain VALUES, written from the listed axes."""
-    rows = [("baseline", None, None)]
-    rows += [(f"{name}_{v}", name, v) for name, values in J.AXES.items() for v in values]
-    rows += [(f"cost_stress_{v}bps", "trading_cost_bps", v) for v in J.COST_STRESS]
-    gross = {t: v for t, n, v in rows if n == "gross_limit"}
-    cap = {t: v for t, n, v in rows if n == "position_limit"}
-    for g in J.MIX["gross_limit"]:
-        for p in J.MIX["position_limit"]:
-            for c in J.MIX["cost_penalty"]:
-                gross[f"mix_g{g}_p{p}_c{c}"], cap[f"mix_g{g}_p{p}_c{c}"] = g, p
-                rows.append((f"mix_g{g}_p{p}_c{c}", None, None))
-    return "(VALUES " + ", ".join(f"('{t}', CAST({gross.get(t, '2.0')} AS DOUBLE), CAST({cap.get(t, '0.05')} AS DOUBLE))" for t, _, _ in rows) + ") g(trial, gross_limit, cap)"
+# Fixed values, written out: the trials of the grid with their gross and position limits.
+GRID_SQL = """(
+  SELECT trial, 2.0::DOUBLE AS gross_limit, 0.05::DOUBLE AS cap FROM (VALUES ('baseline'),
+    ('annual_vol_limit_0.05'), ('annual_vol_limit_0.075'), ('annual_vol_limit_0.1'), ('annual_vol_limit_0.125'), ('annual_vol_limit_0.15'), ('annual_vol_limit_0.2'),
+    ('risk_penalty_10.0'), ('risk_penalty_30.0'), ('risk_penalty_300.0'), ('risk_penalty_1000.0'), ('risk_penalty_3000.0'),
+    ('cost_penalty_10.0'), ('cost_penalty_50.0'), ('cost_penalty_100.0'), ('cost_penalty_300.0'),
+    ('beta_limit_0.05'), ('beta_limit_0.1'), ('beta_limit_0.2'), ('beta_limit_None'),
+    ('sector_limit_0.0'), ('sector_limit_0.025'), ('sector_limit_0.05'), ('sector_limit_0.1'), ('size_limit_0.0'), ('size_limit_0.05'), ('size_limit_0.1'),
+    ('covariance_months_12'), ('covariance_months_24'), ('covariance_months_60'),
+    ('turnover_limit_0.75'), ('turnover_limit_1.0'), ('turnover_limit_1.5'), ('turnover_limit_2.0'),
+    ('cost_stress_35.0bps'), ('cost_stress_50.0bps'), ('cost_stress_100.0bps'),
+    ('a0_control'), ('a1_units'), ('a2_risk_lo'), ('a3_risk_hi'), ('a4_turnover'), ('a5_beta_off')) t(trial)
+  UNION ALL SELECT * FROM (VALUES ('gross_limit_0.75', 0.75, 0.05), ('gross_limit_1.0', 1.0, 0.05), ('gross_limit_1.25', 1.25, 0.05), ('gross_limit_1.5', 1.5, 0.05),
+    ('gross_limit_1.75', 1.75, 0.05), ('position_limit_0.005', 2.0, 0.005), ('position_limit_0.01', 2.0, 0.01), ('position_limit_0.015', 2.0, 0.015), ('position_limit_0.025', 2.0, 0.025),
+    ('refine_r10.0_sector', 2.0, 0.025), ('refine_r30.0_sector', 2.0, 0.025))
+  UNION ALL SELECT 'mix_g' || g || '_p' || p || '_c' || c, g::DOUBLE, p::DOUBLE FROM (VALUES ('1.0'), ('1.5'), ('2.0')) g(g), (VALUES ('0.01'), ('0.025')) p(p), (VALUES ('10.0'), ('100.0')) c(c)
+  UNION ALL SELECT 'refine_r' || r || '_p' || p || '_g' || g, g::DOUBLE, p::DOUBLE FROM (VALUES ('3.0'), ('10.0'), ('30.0')) r(r), (VALUES ('0.015'), ('0.025')) p(p), (VALUES ('1.5'), ('2.0')) g(g)
+  UNION ALL SELECT 'refine_r' || r || '_p' || p || '_v' || v, 2.0, p::DOUBLE FROM (VALUES ('10.0'), ('30.0')) r(r), (VALUES ('0.015'), ('0.025')) p(p), (VALUES ('0.1'), ('0.125'), ('0.15')) v(v)
+  ) g(trial, gross_limit, cap)"""
 
 
 @query("j01_trial_grid_feasible", with_(*TO_CANDIDATES) + f"""
 , c AS (SELECT target_mi, count(*) AS names FROM candidates GROUP BY 1)
 SELECT trial, count(*) FILTER (names * cap >= gross_limit) AS months_cap_holds_gross, count(*) FILTER (names * 0.001 <= gross_limit) AS months_floor_fits
-FROM c, {grid_sql()} GROUP BY 1""")
+FROM c, {GRID_SQL} GROUP BY 1""")
 def trial_grid_feasible(spark, sf):
-    """Months of the schedule in which each grid trial's floor and cap can hold its gross."""
-    settings = J.resolve_settings(J.trial_grid(spark)).select("trial", "gross_limit", "position_limit", "minimum_position_weight",
+    """Months of the schedule in which the floor and cap of each trial of the grid, its refinements and the arms can hold its gross."""
+    every = J.trial_grid(spark).unionByName(J.trial_grid(spark, refine=True)).unionByName(J.arm_trials(spark))
+    settings = J.resolve_settings(every).select("trial", "gross_limit", "position_limit", "minimum_position_weight",
                                                               F.lit("global").alias("schedule"))
     months = D.schedules(spark, sf).groupBy("schedule", "target_mi").agg(F.count(F.lit(1)).alias("names"))
     both = months.join(settings, "schedule")
@@ -107,18 +114,23 @@ r AS (SELECT target_mi, ticker, sum(position) / any_value(g) AS ref FROM ref JOI
 o AS (SELECT target_mi, ticker, sum(weight) / any_value(g) AS ours FROM our JOIN (SELECT target_mi, sum(abs(weight)) AS g FROM our GROUP BY 1) USING (target_mi)
   WHERE ticker IS NOT NULL GROUP BY 1, 2),
 j AS (SELECT * FROM r FULL JOIN o USING (target_mi, ticker)),
-n AS (SELECT target_mi, count(*) FILTER (ticker IS NULL) AS no_ticker FROM our GROUP BY 1)
+n AS (SELECT target_mi, count(*) FILTER (ticker IS NULL) AS no_ticker, sum(abs(weight)) AS our_gross FROM our GROUP BY 1),
+g AS (SELECT target_mi, sum(abs(weight)) * 3e6 AS ref_gross FROM book WHERE trial = 'matched_1.0' AND ticker IS NOT NULL GROUP BY 1),
+e AS (SELECT target_mi, sum(abs(weight)) * 3e6 AS expected FROM book WHERE trial = 'matched_1.0' GROUP BY 1)
 SELECT {label('j.target_mi')} AS month, count(*) FILTER (ref IS NOT NULL AND ours IS NOT NULL) AS matched, count(*) FILTER (ours IS NULL) AS ref_only,
   count(*) FILTER (ref IS NULL) AS ours_only, any_value(no_ticker) AS no_ticker, {r6('max(abs(ref - ours))')} AS max_diff, {r6('avg(abs(ref - ours))')} AS mean_diff,
   {r6('avg(CAST(abs(ref - ours) < 1e-4 AS INTEGER))')} AS within_1bp, {r6('avg(CAST(ref * ours > 0 AS INTEGER))')} AS sign_agree, {r6('corr(ref, ours)')} AS corr,
   count(*) FILTER (ours IS NULL) = any_value(no_ticker) AND count(*) FILTER (ref IS NULL) = 0 AS same_names,
-  count(*) FILTER (ours IS NULL) = any_value(no_ticker) AND count(*) FILTER (ref IS NULL) = 0 AND max(abs(ref - ours)) < 1e-4 AS shape_ok
-FROM j LEFT JOIN n USING (target_mi) GROUP BY j.target_mi""")
+  count(*) FILTER (ours IS NULL) = any_value(no_ticker) AND count(*) FILTER (ref IS NULL) = 0 AND max(abs(ref - ours)) < 1e-4 AS shape_ok,
+  {r6('any_value(ref_gross) / 1e6')} AS ref_gross, {r6('any_value(our_gross)')} AS our_gross, {r6('any_value(ref_gross / expected)')} AS scale_ratio,
+  any_value(abs(ref_gross / expected - 1) < 0.01) AS scale_ok
+FROM j LEFT JOIN n USING (target_mi) LEFT JOIN g USING (target_mi) LEFT JOIN e USING (target_mi) GROUP BY j.target_mi""")
 def match_positions(spark, sf):
     book = D.book(spark, sf)
     ref = book.filter("trial = 'matched_1.0' AND ticker IS NOT NULL").select("target_mi", "ticker", (F.col("weight") * 3e6).alias("position"))
     ours = book.filter("trial = 'equal_1.0'").select("target_mi", "ticker", "weight")
-    m = J.match_positions(ref, ours, "target_mi")
-    rounded = ("max_diff", "mean_diff", "within_1bp", "sign_agree", "corr")
-    return m.select(month_label("target_mi").alias("month"), "matched", "ref_only", "ours_only", "no_ticker", "same_names", "shape_ok",
+    expected = book.filter("trial = 'matched_1.0'").groupBy("target_mi").agg((F.sum(F.abs("weight")) * 3e6).alias("gross"))
+    m = J.match_positions(ref, ours, "target_mi", expected).withColumn("ref_gross", F.col("ref_gross") / 1e6).withColumnRenamed("ours_gross", "our_gross")
+    rounded = ("max_diff", "mean_diff", "within_1bp", "sign_agree", "corr", "ref_gross", "our_gross", "scale_ratio")
+    return m.select(month_label("target_mi").alias("month"), "matched", "ref_only", "ours_only", "no_ticker", "same_names", "shape_ok", "scale_ok",
                     *[near(c).alias(c) for c in rounded])

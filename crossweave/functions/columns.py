@@ -18,7 +18,8 @@ def month_index(date) -> Column:
 def month_label(index) -> Column:
     """yyyy-MM label of a month index."""
     i = col(index) - 1
-    return F.format_string("%04d-%02d", F.floor(i / 12).cast("int"), (F.pmod(i, F.lit(12)) + 1).cast("int"))
+    # format_string would build a formatter for every row
+    return F.concat(F.lpad(F.floor(i / 12).cast("int").cast("string"), 4, "0"), F.lit("-"), F.lpad((F.pmod(i, F.lit(12)) + 1).cast("int").cast("string"), 2, "0"))
 
 
 def month_index_of(label) -> Column:

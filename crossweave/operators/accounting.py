@@ -1,9 +1,7 @@
 """Turnover, returns after cost, overlays and performance summaries.
 
-Ledgers hold one row per (method, month) and books a leg's worth of names per month,
-so windows over a method's months and arrays over a month's book stay small. The only
-sequential part, drifting the book by its own net return, is a fold over months whose
-state is one number.
+Ledgers hold one row per (method, month), so windows and arrays over a method's months stay small. The only sequential
+part, drifting the book by its own net return, is a walk over months whose state and inputs are a few numbers each.
 """
 
 from __future__ import annotations
@@ -13,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from crossweave.functions.columns import month_index, month_index_of, safe_div
+from crossweave.session import stage
 
 NAV0 = 1e9
 PREMIUM = 0.04
@@ -52,34 +51,66 @@ def turnover(book: DataFrame, net: DataFrame, keys: list[str], month: str = "tar
     return pairs.groupBy(*keys, month).agg(F.sum(moved).alias("turnover"))
 
 
-def drift_fold(book: DataFrame, inputs: DataFrame, keys: list[str], month: str = "target_mi", weight: str = "weight") -> DataFrame:
-    """Month-by-month turnover, cost and net return when the book drifts by its own net return.
+def _pieces(pairs: DataFrame, guess: DataFrame, keys: list[str], month: str) -> DataFrame:
+    """(keys, month, const, slope, low, high): each month's turnover as const + slope * s for s in [low, high], around the guessed s.
 
-    inputs: (keys, month, gross_return, cost_rate, other_cost). Net return at or
-    below -1 fails the job, and so does a month of the book without inputs.
+    Turnover is the sum of abs(w - d * s), so it is linear between the breakpoints w / d; only names whose breakpoint lies between
+    the guess and the true s would count with the wrong sign.
     """
-    pairs = previous_pairs(book, keys, month, weight=weight).groupBy(*keys, month).agg(
-        F.sort_array(F.collect_list(F.struct("permno", "w", "d"))).alias("pairs"))
-    gross = F.coalesce("gross_return", F.raise_error(F.lit("a month of the book has no return or cost")).cast("double"))
-    rows = (pairs.join(inputs, [*keys, month], "left").withColumn("gross_return", gross).groupBy(*keys)
-            .agg(F.sort_array(F.collect_list(F.struct(month, "gross_return", "cost_rate", "other_cost", "pairs"))).alias("rows")))
-    out_type = f"array<struct<{month}:int,turnover:double,cost:double,total_net:double>>"
-    init = F.struct(F.lit(0.0).alias("net"), F.array().cast(out_type).alias("out"))
+    w, d, s = F.col("w"), F.col("d"), F.col("s")
+    cut = F.when(d != 0, w / d)
+    above = F.when(cut > s, 1.0).otherwise(-1.0)
+    infinite = F.lit(float("inf"))
+    return pairs.join(guess, [*keys, month], "left").na.fill(1.0, ["s"]).groupBy(*keys, month).agg(
+        F.sum(F.when(d != 0, F.signum(d) * w * above).otherwise(F.abs(w))).alias("const"), F.sum(-F.abs(d) * above).alias("slope"),
+        F.coalesce(F.max(F.when(cut <= s, cut)), -infinite).alias("low"), F.coalesce(F.min(F.when(cut > s, cut)), infinite).alias("high"))
+
+
+def _walk(rows: DataFrame, keys: list[str], month: str) -> DataFrame:
+    """Months of a trial in order, each with s = 1 / (1 + net return of the month before); a row of the fold is a month's few numbers."""
+    fields = (month, "gross_return", "cost_rate", "other_cost", "const", "slope", "low", "high")
+    gathered = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("rows"))
+    out_type = f"array<struct<{month}:int,s:double,inside:boolean,turnover:double,cost:double,total_net:double>>"
+    init = F.struct(F.lit(0.0).alias("net"), F.lit(None).cast("int").alias("at"), F.array().cast(out_type).alias("out"))
 
     def step(acc, x):
-        moved = F.aggregate(x["pairs"], F.lit(0.0), lambda s, p: s + F.abs(p["w"] - p["d"] / (1 + acc["net"])))
+        at = x[month].cast("int")
+        gap = F.when(acc["at"] + 1 != at, F.raise_error(F.lit("a month is missing inside a book")).cast("double")).otherwise(F.lit(0.0))
+        s = 1 / (1 + acc["net"]) + F.coalesce(gap, F.lit(0.0))
 
-        def book_month(traded):
+        def book_month(s):
+            traded = x["const"] + x["slope"] * s
             cost = traded * x["cost_rate"] + x["other_cost"]
-            net = F.when(x["gross_return"] - cost > -1, x["gross_return"] - cost) \
-                .otherwise(F.raise_error(F.lit("portfolio bankruptcy")).cast("double"))
-            return F.struct(net.alias("net"), F.concat(acc["out"], F.array(F.struct(
-                x[month].cast("int").alias(month), traded.alias("turnover"), cost.alias("cost"), net.alias("total_net")))).alias("out"))
+            net = F.when(x["gross_return"] - cost > -1, x["gross_return"] - cost).otherwise(F.raise_error(F.lit("portfolio bankruptcy")).cast("double"))
+            inside = (x["slope"] == 0) | ((s >= x["low"]) & (s <= x["high"]))
+            return F.struct(net.alias("net"), at.alias("at"), F.concat(acc["out"], F.array(F.struct(
+                at.alias(month), s.alias("s"), inside.alias("inside"), traded.alias("turnover"), cost.alias("cost"), net.alias("total_net")))).alias("out"))
+
+        return F.transform(F.array(s), book_month)[0]
 
-        return F.transform(F.array(moved), book_month)[0]
+    return gathered.select(*keys, F.explode(F.aggregate("rows", init, step, lambda acc: acc["out"])).alias("m")).select(*keys, "m.*")
 
-    folded = rows.select(*keys, F.explode(F.aggregate("rows", init, step, lambda acc: acc["out"])).alias("m"))
-    return folded.select(*keys, "m.*")
+
+def drift_fold(book: DataFrame, inputs: DataFrame, keys: list[str], month: str = "target_mi", weight: str = "weight") -> DataFrame:
+    """Month-by-month turnover, cost and net return when the book drifts by its own net return.
+
+    inputs: (keys, month, gross_return, cost_rate, other_cost). Net return at or below -1 fails the job, and so do a month of
+    the book without inputs and a month missing between two of a book.
+
+    A month's turnover depends on the month before through one number s = 1 / (1 + net), and is piecewise linear in it. So
+    names are summed up to the piece around a guessed s, in parallel over all months, and only those few numbers are walked through in
+    order. A walk that leaves a piece is repeated with the pieces around what it found; cost moves s little, so that two or three
+    rounds end it, with the exact result.
+    """
+    gross = F.coalesce("gross_return", F.raise_error(F.lit("a month of the book has no return or cost")).cast("double"))
+    pairs = stage(previous_pairs(book, keys, month, weight=weight), "pairs")
+    known = stage(pairs.select(*keys, month).distinct().join(inputs, [*keys, month], "left").withColumn("gross_return", gross), "inputs")
+    guess = inputs.select(*keys, (F.col(month) + 1).alias(month), (1 / (1 + F.col("gross_return"))).alias("s")).where(F.col("gross_return") > -1)
+    while True:
+        walked = stage(_walk(known.join(_pieces(pairs, guess, keys, month), [*keys, month]), keys, month), "walked")
+        if walked.where(~F.col("inside")).isEmpty():
+            return walked.drop("s", "inside")
+        guess = walked.select(*keys, month, "s")
 
 
 def gross_returns(book: DataFrame, cash: DataFrame, keys: list[str], month: str = "target_mi", weight: str = "weight") -> DataFrame:
@@ -110,13 +141,19 @@ def sector_exposure_table(book: DataFrame, keys: list[str], month: str = "target
 
 
 def ledger(book: DataFrame, returns: DataFrame, cash: DataFrame, keys: list[str], cost_bps: str = "trading_cost_bps",
-           month: str = "target_mi", premium: float = PREMIUM) -> DataFrame:
-    """Monthly ledger of every trial at once: returns, cost, turnover and exposures."""
+           month: str = "target_mi", premium: float = PREMIUM, variance: DataFrame | None = None) -> DataFrame:
+    """Monthly ledger of every trial at once: returns, cost, turnover and exposures.
+
+    variance (keys, month, variance), if given, adds predicted_monthly_vol; a month without it has NULL.
+    """
     book = with_returns(book, returns, month)
     rate = book.groupBy(*keys, month).agg((F.max(cost_bps) / 10000).alias("cost_rate"), F.lit(0.0).alias("other_cost"))
     gross = gross_returns(book, cash, keys, month)
     inputs = gross.join(rate, [*keys, month]).withColumnRenamed("total_gross", "gross_return")
     folded = drift_fold(book, inputs, keys, month)
+    if variance is not None:
+        vol = F.sqrt(F.greatest(F.col("variance"), F.lit(0.0))).alias("predicted_monthly_vol")
+        folded = folded.join(variance.select(*keys, month, vol), [*keys, month], "left")
     return (folded.join(gross, [*keys, month]).join(exposures(book, keys, month), [*keys, month])
             .withColumn("hurdle", F.col("cash") + F.lit(premium) / 12).withColumn("one_way_turnover", F.col("turnover") / 2))
 
@@ -225,21 +262,15 @@ def hedge_ratio(rows: DataFrame, keys: list[str], window: int = 24, minimum: int
         w = _months(keys, month).rowsBetween(-window, -1)
         enough = F.count(F.lit(1)).over(w) >= minimum
         return rows.withColumn(out, F.when(enough, F.regr_slope(x, mx).over(w)).otherwise(F.lit(0.0)))
-    valid = F.col(x).isNotNull() & F.col(mx).isNotNull()
-    pair = F.when(valid, F.struct(F.col(x).cast("double").alias("x"), F.col(mx).cast("double").alias("m")))
-    past = F.slice(F.reverse(F.collect_list(pair).over(_months(keys, month).rowsBetween(W.unboundedPreceding, -1))), 1, window)
-    rows = rows.withColumn("__p", past)
-    n = F.size("__p")
-    zero = F.lit(0.0)
-
-    def total(term):
-        return F.aggregate(F.transform("__p", term), zero, lambda a, b: a + b)
-
-    rows = (rows.withColumn("__mm", F.try_divide(total(lambda p: p["m"]), n))
-            .withColumn("__mx", F.try_divide(total(lambda p: p["x"]), n)))
-    sxy = total(lambda p: (p["m"] - F.col("__mm")) * (p["x"] - F.col("__mx")))
-    sxx = total(lambda p: (p["m"] - F.col("__mm")) * (p["m"] - F.col("__mm")))
-    return rows.withColumn(out, F.when(n >= minimum, F.try_divide(sxy, sxx)).otherwise(zero)).drop("__p", "__mm", "__mx")
+    known = F.col(x).isNotNull() & F.col(mx).isNotNull()
+    # every row looks up the fit that ends at the last known row before it, by that row's number among the known ones
+    numbered = rows.withColumn("__seen", F.count(F.when(known, 1)).over(_months(keys, month).rowsBetween(W.unboundedPreceding, -1)))
+    last = _months(keys, month).rowsBetween(-(window - 1), 0)
+    fits = numbered.where(known).select(*[F.col(k).alias(f"__{k}") for k in keys], (F.col("__seen") + 1).alias("__number"),
+                                        F.count(F.lit(1)).over(last).alias("__n"), F.regr_slope(x, mx).over(last).alias("__slope"))
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col("__seen") == F.col("__number")]
+    fitted = numbered.join(fits, on, "left").withColumn(out, F.when(F.col("__n") >= minimum, F.col("__slope")).otherwise(F.lit(0.0)))
+    return fitted.drop("__seen", "__number", "__n", "__slope", *[f"__{k}" for k in keys])
 
 
 def vol_target(rows: DataFrame, keys: list[str], target: float = 0.10, window: int = 12, minimum: int = 12, low: float = 0.25,
@@ -341,12 +372,13 @@ def in_export_order(positions: DataFrame) -> DataFrame:
 
 
 def bootstrap_ir(ledger_df: DataFrame, keys: list[str], reps: int, seed: int, month: str = "target_mi") -> DataFrame:
-    """Bootstrap standard error of the IR: months redrawn with replacement, by hash, `reps` times."""
+    """Bootstrap standard error of the IR: months redrawn with replacement, `reps` times, by the md5 of seed, repetition and draw."""
     rows = ledger_df.select(*keys, month, (F.col("total_net") - F.col("hurdle")).alias("active"))
     numbered = (rows.withColumn("slot", F.row_number().over(_months(keys, month)) - 1)
                 .withColumn("months", F.count(F.lit(1)).over(W.partitionBy(*keys))))
     draws = numbered.select(*keys, F.col("slot").alias("draw"), "months", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
-    draws = draws.withColumn("slot", F.pmod(F.xxhash64("rep", "draw", F.lit(seed)), F.col("months")).cast("int"))
+    number = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("draw").cast("string"))), 1, 12), 16, 10)
+    draws = draws.withColumn("slot", F.pmod(number.cast("long"), F.col("months")).cast("int"))
     redrawn = draws.select(*keys, "rep", "slot").join(numbered.select(*keys, "slot", "active"), [*keys, "slot"])
     per_rep = redrawn.groupBy(*keys, "rep").agg(annual_ir(F.col("active")).alias("ir"))
     return per_rep.groupBy(*keys).agg(F.count("ir").alias("reps"), F.avg("ir").alias("mean_ir"), F.stddev_samp("ir").alias("se_ir"))

@@ -65,9 +65,12 @@ def decide(inputs: DataFrame, labels: str = LABELS) -> DataFrame:
     band = F.when(F.col("v") >= HIGH_VOL, F.lit(BANDS[0])).when(F.col("v") <= CALM_VOL, F.lit(BANDS[2])).otherwise(F.lit(BANDS[1]))
     mood = F.when(F.col("v") >= HIGH_VOL, "high").when(F.col("v") <= CALM_VOL, "calm").otherwise("normal")
     work = work.withColumn("cap", cap).withColumn("band", band)
-    why = F.when(F.col("cap") == CAPS[1], F.format_string("sector %s dispersion %.1fx median, loosen cap", "top", "ratio")) \
-        .otherwise(F.format_string("dispersion spread %.1fx, tight cap", "ratio"))
-    reason = F.concat(F.format_string("median sector vol %.2f (%s) -> band %s; ", F.col("v"), mood, F.col("band")), why)
+    # The wording of a reason. Numbers are rounded before they are printed, so that exact halves go one way.
+    v, ratio = F.round(F.col("v") + F.lit(3e-11), 2), F.round(F.col("ratio") + F.lit(3e-11), 1)
+    why = F.when(F.col("cap") == CAPS[1], F.format_string("sector %s dispersion %.1fx median, loosen cap", F.col("top"), ratio)) \
+        .otherwise(F.format_string("dispersion spread %.1fx, tight cap", ratio))
+    known = F.when(v.isNull(), "unknown").otherwise(F.format_string("%.2f", v))
+    reason = F.concat(F.format_string("median sector vol %s (%s) -> band %s; ", known, mood, F.col("band")), why)
     return work.select("ID", "band", "cap", reason.alias("reason"))
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from crossweave.functions.columns import safe_corr
+from crossweave.functions.columns import is_finite, safe_corr
 from crossweave.operators import accounting as A
 from crossweave.operators import sizing as Z
 from crossweave.session import stage
@@ -17,7 +17,7 @@ DEFAULTS = {
     "gross_limit": 2.0, "net_min": -0.5, "net_max": 0.5, "position_limit": 0.05, "minimum_position_weight": 0.001,
     "beta_limit": 0.0, "sector_limit": None, "size_limit": None, "turnover_limit": None, "annual_vol_limit": None,
     "expensive_percentile": 0.70, "expensive_long_cap": None, "risk_penalty": 100.0, "cost_penalty": 1.0,
-    "trading_cost_bps": 20.0, "covariance_months": 36, "covariance_min_observations": 12,
+    "trading_cost_bps": 20.0, "covariance_months": 36, "covariance_min_observations": 12, "score_scale": 1.0,
 }
 INTEGERS = ("covariance_months", "covariance_min_observations")
 
@@ -42,6 +42,15 @@ REFINE_GROSS = {"risk_penalty": ("3.0", "10.0", "30.0"), "position_limit": ("0.0
 REFINE_VOL = {"risk_penalty": ("10.0", "30.0"), "position_limit": ("0.015", "0.025"), "annual_vol_limit": ("0.1", "0.125", "0.15")}
 REFINE_SECTOR = {"risk_penalty": ("10.0", "30.0")}
 REFINE_SECTOR_COMMON = {"position_limit": "0.025", "sector_limit": "0.05", "cost_penalty": "10.0"}
+# The arms of the objective study, as settings that differ from the defaults.
+ARMS = {
+    "a0_control": {"score_scale": "1.0", "risk_penalty": "100.0"},
+    "a1_units": {"score_scale": "0.004339", "risk_penalty": "0.4339"},
+    "a2_risk_lo": {"score_scale": "0.004339", "risk_penalty": "0.2170"},
+    "a3_risk_hi": {"score_scale": "0.004339", "risk_penalty": "0.8678"},
+    "a4_turnover": {"score_scale": "0.004339", "risk_penalty": "0.4339", "turnover_limit": "1.0"},
+    "a5_beta_off": {"score_scale": "0.004339", "risk_penalty": "0.4339", "beta_limit": "None"},
+}
 
 
 def _product(spark: SparkSession, axes: dict[str, tuple[str, ...]], common: dict[str, str], label: str) -> DataFrame:
@@ -69,6 +78,12 @@ def trial_grid(spark: SparkSession, refine: bool = False) -> DataFrame:
     return grid.select("trial", *[F.col(c).cast("string").alias(c) if c in grid.columns else F.lit(None).cast("string").alias(c) for c in DEFAULTS])
 
 
+def arm_trials(spark: SparkSession) -> DataFrame:
+    """The arms as trial rows, in the form of trial_grid."""
+    rows = [(name, *[settings.get(c) for c in DEFAULTS]) for name, settings in ARMS.items()]
+    return spark.createDataFrame(rows, "trial string, " + ", ".join(f"{c} string" for c in DEFAULTS))
+
+
 def resolve_settings(trials: DataFrame, defaults: dict | None = None) -> DataFrame:
     """Typed settings: blank inherits, 'none' disables, integers must be whole. `unreadable` names bad cells."""
     defaults = defaults or DEFAULTS
@@ -89,25 +104,39 @@ def resolve_settings(trials: DataFrame, defaults: dict | None = None) -> DataFra
 
 
 def validate_settings(settings: DataFrame) -> DataFrame:
-    """Rejected rows: (trial, problem), one per failed rule."""
-    c = F.col
+    """Rejected rows: (trial, problem), one per broken rule. NaN and infinite values break every rule of their setting.
+
+    Names must be there and differ; each of several trials of one name is rejected.
+    """
+    def value(name):
+        return F.col(name)
+
+    def within(name, low, high, low_open=False):
+        above = value(name) > low if low_open else value(name) >= low
+        return is_finite(name) & above & (value(name) <= high)
+
+    floor, cap, dear = value("minimum_position_weight"), value("position_limit"), value("expensive_long_cap")
     rules = {
-        "gross_limit must be in (0, 2]": (c("gross_limit") > 0) & (c("gross_limit") <= 2),
-        "net limits must stay inside [-0.5, 0.5]": (c("net_min") >= -0.5) & (c("net_min") <= c("net_max")) & (c("net_max") <= 0.5),
-        "position_limit must be in (0, 0.05]": (c("position_limit") > 0) & (c("position_limit") <= 0.05),
-        "minimum weight must be above dust and at most the position limit":
-            (c("minimum_position_weight") > 1e-6) & (c("minimum_position_weight") <= c("position_limit")),
-        "expensive_percentile must be in (0, 1)": (c("expensive_percentile") > 0) & (c("expensive_percentile") < 1),
-        "covariance history requires 2 <= minimum <= window":
-            (c("covariance_min_observations") >= 2) & (c("covariance_min_observations") <= c("covariance_months")),
+        "gross_limit: above 0, at most 2": within("gross_limit", 0, 2, low_open=True),
+        "net_min, net_max: in order, both from -0.5 to 0.5":
+            within("net_min", -0.5, 0.5) & within("net_max", -0.5, 0.5) & (value("net_min") <= value("net_max")),
+        "position_limit: above 0, at most 0.05": within("position_limit", 0, 0.05, low_open=True),
+        "minimum_position_weight: above 1e-6, at most position_limit": is_finite("minimum_position_weight") & (floor > 1e-6) & (floor <= cap),
+        "expensive_percentile: between 0 and 1": is_finite("expensive_percentile") & (value("expensive_percentile") > 0) & (value("expensive_percentile") < 1),
+        "expensive_long_cap: from minimum_position_weight to position_limit": dear.isNull() | (is_finite("expensive_long_cap") & (dear >= floor) & (dear <= cap)),
+        "score_scale: above 0, at most 1": within("score_scale", 0, 1, low_open=True),
+        "covariance_min_observations: from 2 to covariance_months":
+            (value("covariance_min_observations") >= 2) & (value("covariance_min_observations") <= value("covariance_months")),
     }
-    for name in ("beta_limit", "sector_limit", "size_limit", "turnover_limit", "annual_vol_limit", "expensive_long_cap"):
-        rules[f"{name} must be nonnegative"] = c(name).isNull() | (c(name) >= 0)
+    for name in ("beta_limit", "sector_limit", "size_limit", "turnover_limit", "annual_vol_limit"):
+        rules[f"{name}: empty, or finite and not below 0"] = value(name).isNull() | (is_finite(name) & (value(name) >= 0))
     for name in ("risk_penalty", "cost_penalty", "trading_cost_bps"):
-        rules[f"{name} must be nonnegative"] = c(name) >= 0
+        rules[f"{name}: finite and not below 0"] = is_finite(name) & (value(name) >= 0)
+    alone = F.count(F.lit(1)).over(Window.partitionBy("trial")) == 1
+    rules["trial: a name of its own"] = F.col("trial").isNotNull() & (F.trim("trial") != "") & F.col("__alone")
     problems = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(text)) for text, ok in rules.items()],
-                                       F.when(c("unreadable") != "", F.concat(F.lit("unreadable: "), c("unreadable")))))
-    return settings.select("trial", F.explode(problems).alias("problem"))
+                                       F.when(F.col("unreadable") != "", F.concat(F.lit("cannot be read: "), F.col("unreadable")))))
+    return settings.withColumn("__alone", alone).select("trial", F.explode(problems).alias("problem"))
 
 
 def size_trials(trials: DataFrame, schedules: DataFrame, month: str = "target_mi", strict: bool = True) -> DataFrame:
@@ -171,18 +200,20 @@ def check_complete(ledger_df: DataFrame, months: DataFrame, violations: DataFram
     return seen.withColumn("complete", ok)
 
 
-def match_positions(ref: DataFrame, ours: DataFrame, by: str = "date") -> DataFrame:
+def match_positions(ref: DataFrame, ours: DataFrame, by: str = "date", expected: DataFrame | None = None) -> DataFrame:
     """Compare two books by ticker per date, each normalised by its gross.
 
-    ref: (date, ticker, position); ours: (date, ticker, weight), ticker may be NULL.
+    ref: (date, ticker, position); ours: (date, ticker, weight), ticker may be NULL. expected (date, gross): what the gross of
+    ref should be; scale_ok holds within one percent of it, and is NULL without it.
     """
     def side(df, value, name):
         total = df.groupBy(by).agg(F.sum(F.abs(value)).alias("__gross"))
         summed = df.filter(F.col("ticker").isNotNull()).groupBy(by, "ticker").agg(F.sum(value).alias("__v"))
-        return summed.join(total, by).select(by, "ticker", F.expr("try_divide(__v, __gross)").alias(name))
+        return summed.join(total, by).select(by, "ticker", F.expr("try_divide(__v, __gross)").alias(name)), total.withColumnRenamed("__gross", f"{name}_gross")
 
+    (left, ref_gross), (right, our_gross) = side(ref, "position", "ref"), side(ours, "weight", "ours")
     none = ours.groupBy(by).agg(F.sum(F.col("ticker").isNull().cast("long")).alias("no_ticker"))
-    both = side(ref, "position", "ref").join(side(ours, "weight", "ours"), [by, "ticker"], "full_outer")
+    both = left.join(right, [by, "ticker"], "full_outer")
     matched = F.col("ref").isNotNull() & F.col("ours").isNotNull()
     diff = F.abs(F.col("ref") - F.col("ours"))
     out = both.groupBy(by).agg(
@@ -191,6 +222,9 @@ def match_positions(ref: DataFrame, ours: DataFrame, by: str = "date") -> DataFr
         F.avg(F.when(matched, (diff < 1e-4).cast("double"))).alias("within_1bp"),
         F.avg(F.when(matched, (F.col("ref") * F.col("ours") > 0).cast("double"))).alias("sign_agree"),
         safe_corr("ref", "ours").alias("corr"))
-    out = out.join(none, by, "left")
+    out = out.join(none, by, "left").join(ref_gross, by, "left").join(our_gross, by, "left")
+    out = out.join(expected.select(by, F.col("gross").alias("__expected")), by, "left") if expected is not None else out.withColumn("__expected", F.lit(None).cast("double"))
     same = (F.col("ref_only") == F.coalesce("no_ticker", F.lit(0))) & (F.col("ours_only") == 0)
-    return out.withColumn("same_names", same).withColumn("shape_ok", same & (F.col("max_diff") < 1e-4))
+    out = out.withColumn("same_names", same).withColumn("shape_ok", same & (F.col("max_diff") < 1e-4))
+    ratio = F.try_divide(F.col("ref_gross"), F.col("__expected"))
+    return out.withColumn("scale_ratio", ratio).withColumn("scale_ok", F.abs(F.col("scale_ratio") - 1) < 0.01).drop("__expected")
