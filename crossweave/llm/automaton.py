@@ -147,11 +147,12 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int,
 
 
 def overlaps(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
-             item_text: str = "text", block_bytes: int = 2_000_000, limit_bytes: int = 64_000_000, keep: bool = False) -> DataFrame:
+             item_text: str = "text", block_bytes: int = 2_000_000, limit_bytes: int = 64_000_000, keep: bool = False, finish=None) -> DataFrame:
     """(id, text, n_words, spans, items) of every document: word ranges inside windows of items, and the items found.
 
     The items are a stated query set with a checked bound. Their automata (one per block of items) travel with the tasks,
     and documents stream past them in one stage, without a shuffle. keep=True carries all columns of docs, else id and text.
+    finish, if given, turns a batch and what was found in its rows into rows of docs, in the pass over the last block.
 
     Null texts and texts without words have no words and no hits; items with a null id or text or without words have no
     window; repeated rows are judged each, and repeated items count once; empty tables are fine on both sides.
@@ -161,8 +162,10 @@ def overlaps(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "
     added = "struct<n_words:bigint,spans:array<struct<first:bigint,last:bigint>>,items:array<string>>"
     out = docs.withColumn("__found", F.lit(None).cast(added))
     schema = out.schema
-    for block in blocks:
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+    for number, block in enumerate(blocks, 1):
+        last = finish if number == len(blocks) else None
+
+        def run(batches: Iterator[pa.RecordBatch], block=block, last=last) -> Iterator[pa.RecordBatch]:
             automaton = _automaton(block, width)
             for batch in batches:
                 found = []
@@ -174,8 +177,8 @@ def overlaps(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "
                         keys = {*map(str, keys), *before["items"]}
                     found.append({"n_words": len(words), "spans": [{"first": a, "last": b} for a, b in spans], "items": sorted(map(str, keys))})
                 at = batch.schema.get_field_index("__found")
-                yield batch.set_column(at, batch.schema.field(at), pa.array(found, batch.schema.field(at).type))
-        out = out.mapInArrow(run, schema)
+                yield last(batch, found) if last else batch.set_column(at, batch.schema.field(at), pa.array(found, batch.schema.field(at).type))
+        out = out.mapInArrow(run, docs.schema if last else schema)
     return out
 
 
@@ -193,29 +196,28 @@ def decontaminate(docs: DataFrame, items: DataFrame, max_span: int = 0, max_cove
                   id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """docs without documents of which more than max_coverage of the words lie in windows; spans of more than max_span
     words are cut out of the others (from the first byte of the first word to the last of the last). Columns stay."""
-    found = overlaps(docs, items, width, id_col, text_col, keep=True, **more)
     columns = docs.columns
-    schema = docs.schema
-    hit = F.expr("aggregate(__found.spans, 0L, (n, s) -> n + s.last - s.first)")
-    found = found.where((hit <= max_coverage * F.col("__found.n_words")) | (F.col("__found.n_words") == 0))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(text_col).to_pylist()
-            for i, found_ in enumerate(batch.column("__found").to_pylist()):
-                spans = [(s["first"], s["last"]) for s in found_["spans"] if s["last"] - s["first"] > max_span]
-                if spans:
-                    raw = texts[i].encode()
-                    place = [m.span() for m in _WORD.finditer(raw)]
-                    parts, at = [], 0
-                    for a, b in spans:
-                        parts.append(raw[at:place[a][0]])
-                        at = place[b - 1][1]
-                    texts[i] = b"".join([*parts, raw[at:]]).decode()
-            at = batch.schema.get_field_index(text_col)
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).select(columns)
-
-    return found.mapInArrow(run, schema)
+
+    def cut(batch: pa.RecordBatch, found: list[dict]) -> pa.RecordBatch:
+        texts, stay = batch.column(text_col).to_pylist(), []
+        for i, f in enumerate(found):
+            hit = sum(s["last"] - s["first"] for s in f["spans"])
+            if f["n_words"] and hit > max_coverage * f["n_words"]:
+                continue
+            stay.append(i)
+            spans = [(s["first"], s["last"]) for s in f["spans"] if s["last"] - s["first"] > max_span]
+            if spans:
+                raw = texts[i].encode()
+                place = [m.span() for m in _WORD.finditer(raw)]
+                parts, at = [], 0
+                for a, b in spans:
+                    parts.append(raw[at:place[a][0]])
+                    at = place[b - 1][1]
+                texts[i] = b"".join([*parts, raw[at:]]).decode()
+        at = batch.schema.get_field_index(text_col)
+        return batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).select(columns).take(pa.array(stay, pa.int64()))
+
+    return overlaps(docs, items, width, id_col, text_col, keep=True, finish=cut, **more)
 
 
 @query("op6_benchmark_overlap")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crossweave.llm.automaton import words_of
+from crossweave.llm.held import release
 from crossweave.llm.registry import query, table
 from crossweave.session import stage
 
@@ -76,9 +77,10 @@ def _distinct(text: str, spans: list[tuple[int, int, int]]) -> set[str]:
     return {t for t, _, _ in terms_of(text, spans)} if spans else {w.decode() for w in words_of(text)}
 
 
-def document_frequencies(docs: DataFrame, text_col: str = "text", flush: int = 300_000) -> DataFrame:
+def document_frequencies(docs: DataFrame, text_col: str = "text", flush: int = 150_000) -> DataFrame:
     """(term, n): in how many documents each word occurs outside base spans, over all of them, counted in the tasks before the shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         tally: Counter = Counter()
 
         def batch_of():
@@ -141,17 +143,23 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", support: int = 3,
         (F.col("bits") >= bits) & (F.col("share") >= certainty)).select("entity", "term", "bits")
 
 
+def _found(text: str | None, telling: frozenset, encoded: frozenset) -> tuple[list, list]:
+    """(base spans, spans of disclosing terms) of a text."""
+    base = base_spans(text)
+    if not telling or encoded.isdisjoint(words_of(text)):
+        return base, []
+    return base, [(a, KINDS.index("term"), b) for t, a, b in terms_of(text, base) if t in telling]
+
+
 def _mark(telling: frozenset):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int64()), ("end", pa.int64())]))
         encoded = frozenset(t.encode() for t in telling)
         for batch in batches:
             spans, terms = [], []
             for text in batch.column("text"):
-                text = text.as_py()
-                found = base_spans(text)
-                told = [] if encoded.isdisjoint(words_of(text)) else [(a, KINDS.index("term"), b) for t, a, b in terms_of(text, found) if t in telling]
-                for out, of in ((spans, found), (terms, told)):
+                for out, of in zip((spans, terms), _found(text.as_py(), telling, encoded)):
                     out.append([dict(zip(("start", "kind", "end"), s)) for s in of])
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("key"), pa.array(spans, kind), pa.array(terms, kind)],
                                              names=["doc", "key", "spans", "terms"])
@@ -172,37 +180,41 @@ def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.mapInArrow(_mark(telling), f"doc {docs.schema[id_col].dataType.simpleString()}, key long, spans {span}, terms {span}")
 
 
+def _generalised(text: str, spans: list[tuple[int, int, int]]) -> str:
+    merged: list[list[int]] = []
+    for a, kind, b in sorted(spans):
+        if merged and a < merged[-1][2]:
+            merged[-1][1:] = min(kind, merged[-1][1]), max(b, merged[-1][2])
+        else:
+            merged.append([a, kind, b])
+    parts, at = [], 0
+    for a, kind, b in merged:
+        parts += [text[at:a], f"[{KINDS[kind].upper()}]"]
+        at = b
+    return "".join([*parts, text[at:]])
+
+
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with base spans generalised to [EMAIL], [IP], [CARD] or [PHONE] and disclosing terms to [TERM]; columns stay.
 
-    Overlapping spans become one, named by the first kind listed. Rows without spans are unchanged.
+    Overlapping spans become one, named by the first kind listed. Rows without spans are unchanged. Spans are found and replaced in one
+    pass over the texts, which stay in their tasks.
     """
-    found = personal_spans(docs, id_col, text_col, **options).where((F.size("spans") > 0) | (F.size("terms") > 0))
-    found = found.select(F.col("doc").alias("__doc"), F.col("key").alias("__key"), F.concat("spans", "terms").alias("__spans")).dropDuplicates(["__doc", "__key"])
-    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col("__doc")) & (F.xxhash64(text_col) == F.col("__key")), "left")
-    columns = docs.columns
+    telling = frozenset(r.term for r in disclosing_terms(docs, text_col, **options).select("term").distinct().collect())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        encoded = frozenset(t.encode() for t in telling)
         for batch in batches:
-            texts = batch.column(text_col).to_pylist()
-            for i, spans in enumerate(batch.column("__spans").to_pylist()):
-                if not spans:
-                    continue
-                merged: list[list[int]] = []
-                for a, kind, b in sorted((s["start"], s["kind"], s["end"]) for s in spans):
-                    if merged and a < merged[-1][2]:
-                        merged[-1][1:] = min(kind, merged[-1][1]), max(b, merged[-1][2])
-                    else:
-                        merged.append([a, kind, b])
-                parts, at = [], 0
-                for a, kind, b in merged:
-                    parts += [texts[i][at:a], f"[{KINDS[kind].upper()}]"]
-                    at = b
-                texts[i] = "".join([*parts, texts[i][at:]])
+            texts = []
+            for text in batch.column(text_col):
+                text = text.as_py()
+                base, terms = _found(text, telling, encoded)
+                texts.append(_generalised(text, base + terms) if base or terms else text)
             at = batch.schema.get_field_index(text_col)
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).select(columns)
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    return joined.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def _joined(spans: F.Column) -> F.Column:

@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Hashable
 
+import pyarrow as pa
+
 _held: dict[Hashable, object] = {}
 
 
 def held(key: Hashable, make: Callable[[], object]) -> object:
     """The object of this key, kept from task to task until another key is asked for."""
     if key not in _held:
-        _held.clear()
+        release()
         _held[key] = make()
     return _held[key]
 
 
 def release() -> None:
-    """Called by stages that keep nothing, so that a reused worker lets go of the last stage's object."""
+    """Called by stages that keep nothing, so that a reused worker lets go of the last stage's object, and of the memory it has freed."""
     _held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
