@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks.registry import near, query
+from checks.risk import TO_RISK, book_variance
 from checks.views import CASH, MARKET, TO_BOOK, TO_LEDGER, label, r6, with_
 from crossweave.functions.columns import month_label
 from crossweave.operators import accounting as A
@@ -42,6 +43,13 @@ def account(spark, sf):
     return out(led, *ACCOUNT, exact=COUNTS)
 
 
+@query("i02_predicted_vol", with_(*TO_RISK) + f"SELECT trial, {label('target_mi')} AS month, {r6('sqrt(greatest(variance, 0))')} AS predicted_monthly_vol FROM var")
+def predicted_vol(spark, sf):
+    """The ledger's predicted volatility from the factor form of the book's variance."""
+    book = D.book(spark, sf).drop("raw_return", "filled")
+    return out(A.ledger(book, D.returns(spark, sf), D.cash(spark, sf), KEYS, variance=book_variance(spark, sf)), "predicted_monthly_vol")
+
+
 @query("i03_ledger", with_(*TO_LEDGER) + sel("total_net", "turnover", "cost", "hurdle", "market_return"))
 def ledger(spark, sf):
     return out(D.trial_ledger(spark, sf), "total_net", "turnover", "cost", "hurdle", "market_return")

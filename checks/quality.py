@@ -203,41 +203,41 @@ def event_coverage_by_year(spark, sf):
 
 
 SLICE = (1999 * 12 + 1, 2000 * 12 + 12)
+#: Overwritten columns less the two by which the timing rule recognises a later month.
+PARTIAL = [c for c in SHIFTED if c not in ("ret_1_0", "market_equity")]
 SLICED = f"""slice AS (SELECT * FROM missp WHERE mi BETWEEN {SLICE[0]} AND {SLICE[1]}),
 e1 AS (SELECT p.* REPLACE ({', '.join(f'CASE WHEN n.permno IS NOT NULL THEN n.{c} ELSE p.{c} END AS {c}' for c in SHIFTED)})
   FROM slice p LEFT JOIN (SELECT * FROM slice WHERE mi = {SHIFT_TO}) n ON n.permno = p.permno AND p.mi = {SHIFT_FROM}),
 e2 AS (SELECT * FROM slice WHERE permno IN (SELECT permno FROM slice GROUP BY 1 HAVING max(mi) = {SLICE[1]})),
 hold AS (SELECT ticker, permno, min(mi) AS since FROM slice WHERE ticker IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 6),
 hold2 AS (SELECT ticker, list(permno ORDER BY since, permno) AS h FROM hold GROUP BY 1 HAVING count(*) >= 2 ORDER BY ticker LIMIT 1),
-e3 AS (SELECT s.* REPLACE (CASE WHEN s.ticker = t.ticker AND s.permno = t.h[2] THEN t.h[1] ELSE s.permno END AS permno) FROM slice s, hold2 t)"""
+e3 AS (SELECT s.* REPLACE (CASE WHEN s.ticker = t.ticker AND s.permno = t.h[2] THEN t.h[1] ELSE s.permno END AS permno) FROM slice s, hold2 t),
+e4 AS (SELECT s.* REPLACE (CASE WHEN s.ticker = t.ticker AND s.permno = t.h[2] THEN t.h[1] ELSE s.permno END AS permno)
+  FROM (SELECT * FROM e1 WHERE permno IN (SELECT permno FROM e1 GROUP BY 1 HAVING max(mi) = {SLICE[1]})) s, hold2 t),
+e5 AS (SELECT p.* REPLACE ({', '.join(f'CASE WHEN n.permno IS NOT NULL THEN n.{c} ELSE p.{c} END AS {c}' for c in PARTIAL)})
+  FROM slice p LEFT JOIN (SELECT * FROM slice WHERE mi = {SHIFT_TO}) n ON n.permno = p.permno AND p.mi = {SHIFT_FROM})"""
 
+SLICES = (("clean", "slice"), ("lookahead", "e1"), ("survivors", "e2"), ("ticker", "e3"), ("all", "e4"), ("lookahead_partial", "e5"))
 
-def slices(spark, sf):
-    def build():
-        return miss_panel(spark, sf).filter(F.col("mi").between(*SLICE))
-    clean = shared_stage(spark, sf, "slice", build)
-    pick = L.shared_ticker(clean)
-    return {"clean": clean, "lookahead": stage(L.plant_lookahead(clean, SHIFTED, SHIFT_FROM, SHIFT_TO), "slice_e1"),
-            "survivors": stage(L.plant_survivorship(clean, SLICE[1]), "slice_e2"), "ticker": stage(L.plant_ticker_error(clean, pick), "slice_e3")}
+
+def copies(spark, sf):
+    clean = shared_stage(spark, sf, "slice", lambda: miss_panel(spark, sf).filter(F.col("mi").between(*SLICE)))
+    return L.planted_copies(clean, SHIFTED, PARTIAL, SHIFT_FROM, SHIFT_TO, SLICE[1], L.shared_ticker(clean))
 
 
 @query("l13_plant_errors", with_(PANEL, MISS, SLICED) + " UNION ALL ".join(
     f"SELECT '{n}' AS slice, count(*) AS rows, count(DISTINCT permno) AS entities, count(*) - count(DISTINCT (permno, mi)) AS duplicate_keys, "
-    f"{r6(f'sum(ni_me) FILTER (mi = {SHIFT_FROM})')} AS ni_me_before FROM {t}" for n, t in (("clean", "slice"), ("lookahead", "e1"), ("survivors", "e2"), ("ticker", "e3"))))
+    f"{r6(f'sum(ni_me) FILTER (mi = {SHIFT_FROM})')} AS ni_me_before, {r6(f'sum(ret_1_0) FILTER (mi = {SHIFT_FROM})')} AS ret_before FROM {t}" for n, t in SLICES))
 def plant_errors(spark, sf):
-    parts = None
-    for name, p in slices(spark, sf).items():
-        one = p.agg(F.lit(name).alias("slice"), F.count(F.lit(1)).alias("rows"), F.count_distinct("permno").alias("entities"),
-                    (F.count(F.lit(1)) - F.count_distinct("permno", "mi")).alias("duplicate_keys"),
-                    near(F.sum(F.when(F.col("mi") == SHIFT_FROM, F.col("ni_me")))).alias("ni_me_before"))
-        parts = one if parts is None else parts.unionByName(one)
-    return parts
+    before = F.col("mi") == SHIFT_FROM
+    return copies(spark, sf).groupBy("slice").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("permno").alias("entities"), (F.count(F.lit(1)) - F.count_distinct("permno", "mi")).alias("duplicate_keys"),
+        near(F.sum(F.when(before, F.col("ni_me")))).alias("ni_me_before"), near(F.sum(F.when(before, F.col("ret_1_0")))).alias("ret_before"))
 
 
 def scorecard_sql():
-    names = (("clean", "slice"), ("lookahead", "e1"), ("survivors", "e2"), ("ticker", "e3"))
     ctes, rules = [], {}
-    for n, t in names:
+    for n, t in SLICES:
         ctes.append(timing_sql(t, f"t_{t}"))
         ctes.append(f"k_{t} AS (SELECT permno, mi, row_number() OVER w AS n, gvkey || '-' || iid AS k, lag(gvkey || '-' || iid) OVER w AS prev FROM {t} WINDOW w AS (PARTITION BY permno ORDER BY mi, gvkey, iid))")
         ctes.append(f"r_{t} AS (SELECT mi, median(me) FILTER (miss_share > 0.5) / median(me) FILTER (miss_share <= 0.5) AS ratio FROM {t} GROUP BY 1)")
@@ -249,11 +249,11 @@ def scorecard_sql():
                 "key_changed": f"(SELECT CAST(count(DISTINCT permno) AS DOUBLE) FROM k_{t} WHERE k <> prev)",
                 "switched_back": f"(SELECT CAST(count(DISTINCT permno) AS DOUBLE) FROM (SELECT permno FROM k_{t} WHERE n = 1 OR k <> prev GROUP BY permno, k HAVING count(*) > 1))",
                 "missing_size_ratio": f"(SELECT median(ratio) FROM r_{t})", "exit_share": exits, "survivorship_flag": f"CAST({exits} < 0.01 AS DOUBLE)"}.items():
-            rules.setdefault(rule, []).append(f"round(({e}) + 3e-11, 6) + 0.0 AS {n}")
+            rules.setdefault(rule, []).append(f"round(({e}) + 3e-11, 6) + 0.0 AS \"{n}\"")
     return with_(PANEL, MISS, SLICED, *ctes) + " UNION ALL ".join(f"SELECT '{r}' AS rule, {', '.join(cols)}" for r, cols in rules.items())
 
 
 @query("l14_rules_scorecard", scorecard_sql())
 def rules_scorecard(spark, sf):
-    card = L.rules_scorecard(slices(spark, sf), SLICE[1], 2000 * 12 + 1)
-    return rounded(card, "clean", "lookahead", "survivors", "ticker", exact=("rule",))
+    names = [n for n, _ in SLICES]
+    return rounded(L.rules_scorecard(copies(spark, sf), names, SLICE[1], 2000 * 12 + 1), *names, exact=("rule",))

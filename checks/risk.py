@@ -112,13 +112,16 @@ def portfolio_variance(spark, sf):
 
 
 @query("g05_covariance_times_weights", with_(*TO_RISK) + f"""
-, path AS (SELECT b.trial, b.schedule, b.target_mi, z.mi, sum(z.z * a * weight) AS f FROM book b JOIN fac USING (schedule, target_mi, permno)
-  JOIN z USING (schedule, target_mi, permno) GROUP BY 1, 2, 3, 4),
-bf AS (SELECT p.trial, p.target_mi, z.permno, sum(z.z * fac.a * p.f) AS bf FROM path p JOIN z USING (schedule, target_mi, mi)
-  JOIN fac ON fac.schedule = z.schedule AND fac.target_mi = z.target_mi AND fac.permno = z.permno GROUP BY 1, 2, 3)
+, held AS MATERIALIZED (SELECT trial, schedule, target_mi, permno, weight FROM book),
+facm AS MATERIALIZED (SELECT * FROM fac),
+zb AS MATERIALIZED (SELECT h.trial, h.target_mi, h.permno, z.mi, z.z * f.a AS za, z.z * f.a * h.weight AS part FROM held h
+  JOIN facm f ON f.schedule = h.schedule AND f.target_mi = h.target_mi AND f.permno = h.permno
+  JOIN z ON z.schedule = h.schedule AND z.target_mi = h.target_mi AND z.permno = h.permno),
+path AS MATERIALIZED (SELECT trial, target_mi, mi, sum(part) AS f FROM zb GROUP BY 1, 2, 3),
+bf AS (SELECT zb.trial, zb.target_mi, zb.permno, sum(zb.za * p.f) AS bf FROM zb JOIN path p ON p.trial = zb.trial AND p.target_mi = zb.target_mi AND p.mi = zb.mi GROUP BY 1, 2, 3)
 SELECT b.trial, {label('b.target_mi')} AS month, b.permno, {r6('1000 * (sd * sd + 1e-10)')} AS variance,
   {r6('1000 * ((1 - delta) / periods * coalesce(bf, 0) + ((CASE WHEN reliable THEN delta * mu * a * a ELSE sd_unrel ** 2 END) + 1e-10) * weight)')} AS covariance_with_book
-FROM book b JOIN fac USING (schedule, target_mi, permno) LEFT JOIN bf ON bf.trial = b.trial AND bf.target_mi = b.target_mi AND bf.permno = b.permno""")
+FROM held b JOIN facm USING (schedule, target_mi, permno) LEFT JOIN bf ON bf.trial = b.trial AND bf.target_mi = b.target_mi AND bf.permno = b.permno""")
 def covariance_times_weights(spark, sf):
     c = per_schedule(lambda s: R.covariance_times_weights(books(spark, sf, s), factors(spark, sf, s), history_z(spark, sf, s), ["trial"]))
     c = c.withColumn("variance", 1000 * F.col("variance")).withColumn("covariance_with_book", 1000 * F.col("covariance_with_book"))

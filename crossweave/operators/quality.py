@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from crossweave.operators import crosssection as X
 from crossweave.operators.ranks import group_quantiles
+from crossweave.session import stage
 
 MATCH = 1e-4
+# Parts of column names that tell of vintages.
 VINTAGE_WORDS = ("vintage", "asof", "as_of", "revis", "restat")
 
 
@@ -223,9 +225,44 @@ def plant_ticker_error(panel: DataFrame, pick: DataFrame) -> DataFrame:
     return joined.withColumn("permno", F.coalesce("__to", "permno")).select(*panel.columns)
 
 
-def rules_scorecard(slices: dict[str, DataFrame], end: int, early: int, month: str = "mi") -> DataFrame:
-    """(rule, one column per slice): the panel rules on clean and altered copies, in one plan keyed by slice."""
-    p = reduce(lambda a, b: a.unionByName(b), [df.withColumn("slice", F.lit(name)) for name, df in slices.items()])
+#: Slices of planted_copies: the clean rows, each error alone, all three, and the look-ahead without the columns that give it away.
+COPIES = ("clean", "lookahead", "survivors", "ticker", "all", "lookahead_partial")
+
+
+def planted_copies(panel: DataFrame, columns: list[str], partial: list[str], month_from: int, month_to: int, end: int, pick: DataFrame,
+                   month: str = "mi") -> DataFrame:
+    """panel with a `slice` column: for each of COPIES the rows that the copy has, altered as it is.
+
+    Rows are tagged once with what the errors need (the later month's values, whether the entity stays to the end, the other holder of the
+    ticker); the copies are derived from the tags when they are read, so no altered copy is ever written. `columns` are
+    overwritten by the look-ahead, `partial` of them in the partial one.
+    """
+    src = panel.filter(F.col(month) == month_to).select("permno", F.lit(month_from).alias(month), F.struct(*columns).alias("__later"))
+    last = panel.groupBy("permno").agg((F.max(month) == end).alias("__stays"))
+    swap = pick.select("ticker", F.col("second_holder").alias("permno"), F.col("first_holder").alias("__to"))
+    tagged = stage(panel.join(src, ["permno", month], "left").join(last, "permno").join(F.broadcast(swap), ["ticker", "permno"], "left"), "tagged")
+    stays = F.col("__stays")
+    member = F.array_compact(F.array(*[F.when(stays, F.lit(c)) if c in ("survivors", "all") else F.lit(c) for c in COPIES]))
+    rows = tagged.withColumn("slice", F.explode(member))
+
+    def value(c):
+        if c == "permno":
+            return F.when(F.col("slice").isin("ticker", "all"), F.coalesce("__to", "permno")).otherwise(F.col("permno")).alias(c)
+        if c not in columns:
+            return F.col(c)
+        ahead = ("lookahead", "all", *(["lookahead_partial"] if c in partial else []))
+        return F.when(F.col("slice").isin(*ahead) & F.col("__later").isNotNull(), F.col(f"__later.{c}")).otherwise(F.col(c)).alias(c)
+
+    return rows.select("slice", *[value(c) for c in panel.columns])
+
+
+def tagged_slices(slices: dict[str, DataFrame]) -> DataFrame:
+    """Separate copies under one another, named by a `slice` column."""
+    return reduce(lambda a, b: a.unionByName(b), [df.withColumn("slice", F.lit(name)) for name, df in slices.items()])
+
+
+def rules_scorecard(p: DataFrame, names: list[str], end: int, early: int, month: str = "mi") -> DataFrame:
+    """(rule, one column per slice of `names`): the panel rules on clean and altered copies, in one plan keyed by slice."""
     by = ["slice"]
 
     def double(c, name):
@@ -241,4 +278,4 @@ def rules_scorecard(slices: dict[str, DataFrame], end: int, early: int, month: s
         missingness_ratio(p, month, by=by).select(*by, double("ratio", "missing_size_ratio")),
         survivorship_flag(lifetimes(p, end, early, month, by), end, by=by).select(*by, "exit_share", double("flagged", "survivorship_flag"))]
     long = reduce(lambda a, b: a.unionByName(b), [X.unpivot(f, by, [c for c in f.columns if c != "slice"], "rule", "value") for f in parts])
-    return long.groupBy("rule").pivot("slice", list(slices)).agg(F.first("value"))
+    return long.groupBy("rule").pivot("slice", list(names)).agg(F.first("value"))

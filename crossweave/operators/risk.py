@@ -185,37 +185,40 @@ def daily_moments(daily: DataFrame, candidates: DataFrame, months: int = 36, min
     return moments, z
 
 
-def daily_shrinkage(moments: DataFrame, z: DataFrame, month: str = "target_mi", block: int = 64) -> DataFrame:
-    """shrinkage_intensity on days, where a Gram matrix of days would be the larger one.
+def daily_shrinkage(moments: DataFrame, z: DataFrame, month: str = "target_mi") -> DataFrame:
+    """shrinkage_intensity on days: the squared norm of z'z, which that of zz' equals, from the smaller side.
 
-    Names are dealt into blocks of about `block`; a task multiplies two blocks over the window's days, so that what it
-    holds does not grow with the number of names.
+    A month with no more names than days is one block and multiplies names. With more, names are dealt into blocks of about as
+    many as there are days; each returns its share of the day-by-day matrix, and the shares are added up row by row. No
+    row is copied, and no task holds more than a matrix of days by days.
     """
     size = moments.groupBy(month).agg(F.count(F.lit(1)).alias("names"), F.max("periods").alias("periods"))
     day = z.groupBy(month, "mi").agg(F.sum(F.col("z") * F.col("z")).alias("q"))
     diagonal = day.groupBy(month).agg(F.sum("q").alias("tr"), F.sum(F.col("q") * F.col("q")).alias("quart"))
     dtype = z.schema[month].dataType.simpleString()
-    dealt = z.join(size.select(month, F.ceil(F.col("names") / block).cast("int").alias("n")), month) \
-        .withColumn("b", F.pmod(F.xxhash64("permno"), F.col("n")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o")
-    tiles = dealt.select(month, "permno", "mi", "z", "b", other).select(
-        month, "permno", "mi", "z", "b", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"))
-
-    def norm(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
-        days, _ = pd.factorize(pdf["mi"])
-
-        def matrix(b):
-            own = (pdf["b"] == b).to_numpy()
-            cols, names = pd.factorize(pdf["permno"][own])
-            m = np.zeros((days.max() + 1, len(names)))
-            m[days[own], cols] = pdf["z"].to_numpy()[own]
-            return m
-
-        gram = matrix(lo).T @ matrix(hi)
-        return pd.DataFrame({month: [pdf[month].iloc[0]], "fro": [(gram * gram).sum() * (1 if lo == hi else 2)]})
-
-    fro = tiles.groupBy(month, "lo", "hi").applyInPandas(norm, f"{month} {dtype}, fro double").groupBy(month).agg(F.sum("fro").alias("fro"))
+    # a month's days are numbered over its own few hundred rows
+    within = W.partitionBy(month)
+    days = day.select(month, "mi", (F.row_number().over(within.orderBy("mi")) - 1).alias("at"), F.count(F.lit(1)).over(within).cast("int").alias("days"))
+    blocks = F.greatest(F.ceil(F.col("names") / F.greatest("days", F.lit(1))), F.lit(1)).cast("int")
+    dealt = z.join(days, [month, "mi"]).join(size.select(month, "names"), month).withColumn("blocks", blocks) \
+        .withColumn("block", F.pmod(F.xxhash64("permno"), F.col("blocks")).cast("int")).select(month, "permno", "at", "days", "z", "blocks", "block")
+
+    def share(pdf: pd.DataFrame) -> pd.DataFrame:
+        cols, names = pd.factorize(pdf["permno"])
+        m = np.zeros((int(pdf["days"].iloc[0]), len(names)))
+        m[pdf["at"].to_numpy(), cols] = pdf["z"].to_numpy()
+        if pdf["blocks"].iloc[0] == 1:
+            gram = m.T @ m
+            return pd.DataFrame({month: [pdf[month].iloc[0]], "at": [-1], "products": [[float((gram * gram).sum())]]})
+        return pd.DataFrame({month: pdf[month].iloc[0], "at": np.arange(len(m)), "products": list(m @ m.T)})
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        products = np.sum(np.stack(pdf["products"].to_list()), axis=0)
+        fro = products.sum() if pdf["at"].iloc[0] < 0 else (products * products).sum()
+        return pd.DataFrame({month: [pdf[month].iloc[0]], "fro": [float(fro)]})
+
+    shares = dealt.groupBy(month, "block").applyInPandas(share, f"{month} {dtype}, at int, products array<double>")
+    fro = shares.groupBy(month, "at").applyInPandas(total, f"{month} {dtype}, fro double").groupBy(month).agg(F.sum("fro").alias("fro"))
     return _intensity(size.join(diagonal.join(fro, month), month, "left"), month)
 
 
