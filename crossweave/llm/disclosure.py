@@ -7,7 +7,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crossweave.llm.automaton import words_of
@@ -24,10 +24,15 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_NOT_DIGIT = re.compile(r"[^0-9]")
 _TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
 
 
+#: Characters from which a word of letters and digits also counts by its shape.
+LONG = 16
+
+
 def _luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -73,8 +78,32 @@ def terms_of(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, in
     return [(m[0], m.start(), m.end()) for m in _TERM.finditer(text.translate(_LOWER))]
 
 
+def shape(word: str) -> str | None:
+    """The general term that a long word of both letters and digits stands for, by its length; None for other words.
+
+    Keys and tokens are different in every text, so only what they have in common can occur together with anything.
+    """
+    if len(word) < LONG or word.isalpha() or not _DIGIT.search(word) or word.isdigit():
+        return None
+    return f"\x00mixed:{len(word).bit_length()}"
+
+
+def _with_shapes(words: set[str]) -> set[str]:
+    return words | {s for w in words if len(w) >= LONG and (s := shape(w))}
+
+
 def _distinct(text: str, spans: list[tuple[int, int, int]]) -> set[str]:
-    return {t for t, _, _ in terms_of(text, spans)} if spans else {w.decode() for w in words_of(text)}
+    """Distinct terms of a text outside its base spans: its words, and the shapes of the long ones."""
+    return _with_shapes({t for t, _, _ in terms_of(text, spans)} if spans else {w.decode() for w in words_of(text)})
+
+
+def levels(kind: int, value: str) -> list[str]:
+    """A protected entity at its levels: the value, and what it shares with others (an e-mail's domain, an address' network, a number's head)."""
+    value = value.lower()
+    general = {"email": lambda: value.partition("@")[2], "ip": lambda: value.rpartition(".")[0],
+               "card": lambda: _NOT_DIGIT.sub("", value)[:6], "phone": lambda: _NOT_DIGIT.sub("", value)[:4]}
+    name = KINDS[kind]
+    return [f"{name}:{value}", f"{name} group:{general[name]()}"]
 
 
 def document_frequencies(docs: DataFrame, text_col: str = "text", flush: int = 150_000) -> DataFrame:
@@ -107,17 +136,46 @@ def _holding(common: frozenset):
                 text = text.as_py()
                 spans = base_spans(text)
                 if spans:
-                    out.append((row, sorted({f"{KINDS[k]}:{text[a:b].lower()}" for a, k, b in spans}), sorted(_distinct(text, spans) - common)))
-            kinds = pa.int64(), pa.list_(pa.string()), pa.list_(pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 3, kinds)], names=["row", "entities", "terms"])
+                    out.append((row, sorted({e for a, k, b in spans for e in levels(k, text[a:b])}), sorted({KINDS[k] for _, k, _ in spans}),
+                                f"{KINDS[spans[0][1]]}:{text[spans[0][0]:spans[0][2]].lower()}", sorted(_distinct(text, spans) - common)))
+            kinds = pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string(), pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 5, kinds)], names=["row", "entities", "kinds", "value", "terms"])
     return run
 
 
-def disclosing_terms(docs: DataFrame, text_col: str = "text", support: int = 3, bits: float = 5.0, certainty: float = 0.5) -> DataFrame:
-    """(entity, term, bits) of the terms that reveal an entity.
+def _beyond_chance(n: Column, q: Column, p: Column, pairs: int, alarm: float) -> Column:
+    """Whether the share q of n documents is beyond what chance gives any of `pairs` terms but with probability `alarm`.
 
+    Were a term independent of an entity that the share p of all documents hold, at least the share q of its n documents
+    would hold it with probability 2 ** -(n * KL(q, p)) at most (Chernoff).
+    """
+    def part(x, y):
+        return F.when(x > 0, x * F.log2(x / y)).otherwise(0.0)
+    return (q > p) & (p < 1) & (n * (part(q, p) + part(1 - q, 1 - p)) >= F.log2(F.lit(max(pairs, 1) / alarm)))
+
+
+def _kind_terms(held: DataFrame, words: DataFrame, total: int, certainty: float, alarm: float) -> DataFrame:
+    """(entity, term, bits) of terms that reveal that a document holds personal data, of one kind or of any.
+
+    A kind is too common for many bits, so the threshold is on chance (see _beyond_chance), besides `certainty` for the share of a term's documents.
+    Documents with the same first value count once in it, so that copies of one document prove nothing.
+    """
+    rows = held.select("row", "value", F.explode(F.array_union(F.array(F.lit("any")), "kinds")).alias("kind"), "terms")
+    base = stage(rows.groupBy("kind").agg(F.count("*").alias("n_kind")), "kinds")
+    both = rows.select("kind", "value", F.explode("terms").alias("term")).groupBy("kind", "term").agg(F.count_distinct("value").alias("n_both"))
+    both = both.join(words, "term").join(F.broadcast(base), "kind")  # a row for each kind
+    p, q = F.col("n_kind") / total, F.col("n_both") / F.col("n")
+    sure = _beyond_chance(F.col("n"), q, p, words.count() * len(KINDS), alarm)
+    return both.where((q >= certainty) & sure).select(F.concat(F.lit("kind:"), "kind").alias("entity"), "term", F.log2(q / p).alias("bits"))
+
+
+def disclosing_terms(docs: DataFrame, text_col: str = "text", support: int = 3, bits: float = 5.0, certainty: float = 0.5, alarm: float = 0.01) -> DataFrame:
+    """(entity, term, bits) of the terms that reveal an entity. A term is a word, or the shape of long words of letters and digits.
+
+    Entities are protected at three levels: the value, the group it belongs to (see levels) and its kind (see _kind_terms). Groups and
+    kinds are common, so their terms must also be beyond chance, with the probability `alarm` of one wrong term of a level.
     With n documents in all, a term reveals log2(n * n(term, entity) / (n(term) * n(entity))) bits about an entity, the pointwise
-    mutual information of their occurrence in whole documents. It discloses the entity from `bits` on, if at least `support`
+    mutual information of their occurrence in whole documents. It discloses a value or group from `bits` on, if at least `support`
     documents show both and at least the share `certainty` of the term's documents do. Counts are over all documents; words inside
     base spans are not counted.
 
@@ -130,25 +188,32 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", support: int = 3,
     words = stage(document_frequencies(docs, text_col).where(F.col("n") >= support), "words")
     common = frozenset(r.term for r in words.where(F.col("n") > most).select("term").collect())
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-    held = stage(rows.mapInArrow(_holding(common), "row long, entities array<string>, terms array<string>"), "holding")
+    held = stage(rows.mapInArrow(_holding(common), "row long, entities array<string>, kinds array<string>, value string, terms array<string>"), "holding")
+    words = words.where(F.col("n") <= most)
     # written first, so that the joins read plain tables on both sides and a hot entity is split
     known = stage(held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
                   .where((F.col("n_entity") >= support) & (F.col("n_entity") <= most)), "entities")
     of = stage(held.select("row", F.explode("entities").alias("entity")).join(known, "entity"), "entities")
     candidates = held.join(of.select("row").distinct(), "row", "left_semi").select("row", F.explode("terms").alias("term"))
-    pairs = candidates.join(words.where(F.col("n") <= most), "term").join(of, "row").where(F.col("n") * certainty <= F.col("n_entity") * slack)
+    pairs = candidates.join(words, "term").join(of, "row").where(F.col("n") * certainty <= F.col("n_entity") * slack)
     both = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n").alias("n"), F.first("n_entity").alias("n_entity"))
     gain = F.log2(total * F.col("n_both") / (F.col("n") * F.col("n_entity")))
-    return both.where(F.col("n_both") >= support).select("entity", "term", gain.alias("bits"), (F.col("n_both") / F.col("n")).alias("share")).where(
-        (F.col("bits") >= bits) & (F.col("share") >= certainty)).select("entity", "term", "bits")
+    share = F.col("n_both") / F.col("n")
+    sure = _beyond_chance(F.col("n"), share, F.col("n_entity") / total, words.count() * known.count(), alarm)
+    told = both.where((F.col("n_both") >= support) & (share >= certainty) & (~F.contains("entity", F.lit(" group:")) | sure))
+    told = told.select("entity", "term", gain.alias("bits")).where(F.col("bits") >= bits)
+    return told.unionByName(_kind_terms(held, words, total, certainty, alarm))
 
 
 def _found(text: str | None, telling: frozenset, encoded: frozenset) -> tuple[list, list]:
     """(base spans, spans of disclosing terms) of a text."""
     base = base_spans(text)
-    if not telling or encoded.isdisjoint(words_of(text)):
+    if not telling:
+        return base, []
+    words = words_of(text)
+    if encoded.isdisjoint(words) and not any(len(w) >= LONG and shape(w.decode()) in telling for w in words):
         return base, []
-    return base, [(a, KINDS.index("term"), b) for t, a, b in terms_of(text, base) if t in telling]
+    return base, [(a, KINDS.index("term"), b) for t, a, b in terms_of(text, base) if t in telling or (len(t) >= LONG and shape(t) in telling)]
 
 
 def _mark(telling: frozenset):

@@ -304,7 +304,40 @@ def test_disclosing_terms_equal_brute_force(spark):
     want = {k for k, m in both.items() if m >= 3 and np.log2(n * m / (n_term[k[1]] * n_entity[k[0]])) >= 5 and m >= 0.3 * n_term[k[1]]}
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = disclosure.disclosing_terms(docs, certainty=0.3).collect()
-    assert want and {(r.entity, r.term) for r in got} == want and len(got) == len(want)
+    values = [r for r in got if r.entity.startswith("email:")]
+    assert want and {(r.entity, r.term) for r in values} == want and len(values) == len(want)
+    # kinds, from every document's words: chance is bounded over all (term, kind) pairs
+    usual = {t for t, m in n_term.items() if m > n / 32}
+    first = [min((a, f"email:{t[a:b]}") for a, _, b in disclosure.base_spans(t))[1] if e else None for t, (e, _) in zip(texts, held)]
+    p = sum(f is not None for f in first) / n
+    tested = 5 * sum(3 <= m <= n / 32 for m in n_term.values())
+    told = set()
+    for term, m in n_term.items():
+        q = len({f for f, (_, words) in zip(first, held) if f and term in words}) / m
+        if 3 <= m and term not in usual and q > p and q >= 0.3:
+            chance = m * (q * np.log2(q / p) + ((1 - q) * np.log2((1 - q) / (1 - p)) if q < 1 else 0))
+            if chance >= np.log2(tested / 0.01):
+                told.add(term)
+    assert {r.term for r in got if r.entity == "kind:email"} == told
+
+
+def test_secrets_are_told_by_their_shape(spark):
+    """Tokens that differ in every text stand beside personal data; words of texts without any stay, and copies prove nothing."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(900):
+        words = [f"w{rng.randrange(300)}" for _ in range(20)]
+        if i < 24:
+            words += ["token", f"{rng.getrandbits(160):040x}"] + ([f"p{i}@mail{i}.org"] if i % 4 else [])
+        if 40 <= i < 60:
+            words = ["copied", "sentence", "here", "ann@x.org"]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+    got = {r.doc_id: r for r in disclosure.personal_spans(spark.createDataFrame(rows, "doc_id long, text string")).withColumnRenamed("doc", "doc_id").collect()}
+    for i, text in rows:
+        marked = {text[s.start:s.end] for s in got[i].terms}
+        want = {w for w in text.split() if len(w) == 40 or w == "token"} if i < 24 else set()
+        assert marked == want or 40 <= i < 60
 
 
 @pytest.mark.parametrize("gram,group", [(8, 20_000), (20, 20_000), (40, 20_000), (8, 3)])
