@@ -353,14 +353,15 @@ def beta_with_se(rows: DataFrame, keys: list[str], y: str, x: str) -> DataFrame:
 
 
 def usd_positions(book: DataFrame, rows: DataFrame, keys: list[str], month: str = "target_mi") -> DataFrame:
-    """Dollar positions at the previous month end, plus one hedge row per month; rounded to cents.
+    """Dollar positions at the previous month end, plus one hedge row per month; rounded to cents. A row without a ticker fails the job.
 
     The export is sorted by date and size when written; see `in_export_order`.
     """
     from crossweave.functions.columns import month_end
     sized = book.join(rows.select(*keys, month, "k", "nav_open"), [*keys, month])
     date = month_end(F.col(month) - 1)
-    held = sized.select(*keys, date.alias("date"), F.col("ticker_filled").alias("ticker"), F.col("company_name_filled").alias("name"),
+    ticker = F.coalesce("ticker_filled", F.raise_error(F.lit("a position has no ticker")).cast("string"))
+    held = sized.select(*keys, date.alias("date"), ticker.alias("ticker"), F.col("company_name_filled").alias("name"),
                         F.round(F.col("weight") * F.col("k") * F.col("nav_open"), 2).alias("position_usd"))
     hedge = rows.select(*keys, date.alias("date"), F.lit("HEDGE").alias("ticker"), F.lit("index futures hedge").alias("name"),
                         F.round(-F.col("h") * F.col("k") * F.col("nav_open"), 2).alias("position_usd"))

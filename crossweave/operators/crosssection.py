@@ -11,6 +11,10 @@ from crossweave.operators.columnar import ranked_columns
 from crossweave.operators.ranks import split_rank
 
 
+#: Rows a group up to which Spark limits a row number in the map tasks.
+HEAD = 1000
+
+
 def unpivot(df: DataFrame, ids: list[str], columns: list[str], name: str = "feature", value: str = "value") -> DataFrame:
     return df.select(*ids, F.explode(F.array(*[
         F.struct(F.lit(c).alias(name), F.col(c).cast("double").alias(value)) for c in columns])).alias("__p")) \
@@ -131,10 +135,17 @@ def quantile_bins(df: DataFrame, value: str, month: str, bins: int = 10, out: st
 
 def top_n(df: DataFrame, value: str, n: int, keys: list[str], largest: bool = True, entity: str = "permno",
           rank: str = "position") -> DataFrame:
-    """First n rows per group by value, ties by entity. Spark keeps n rows per map task before the shuffle."""
+    """First n rows per group by value, ties by entity.
+
+    Up to HEAD rows a group Spark keeps only the first n of each map task before the shuffle. Longer heads, which would be one sort a group,
+    come from row numbers over ranges; the result is the same.
+    """
+    known = df.filter(F.col(value).isNotNull())
+    if n > HEAD:
+        return split_rank(known, keys, value, entity, kind="row", rank=rank, ascending=largest is False).filter(F.col(rank) <= n)
     order = F.col(value).desc() if largest else F.col(value).asc()
     w = W.partitionBy(*keys).orderBy(order, F.col(entity).asc())
-    return df.filter(F.col(value).isNotNull()).withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
+    return known.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
 
 
 def alpha_forms(df: DataFrame, month: str, ic: float = 0.03, score: str = "score", forecast: str = "forecast",

@@ -138,3 +138,10 @@ def test_trailing_percentile(spark):
     want = 1 - pdf.groupby("permno").v.transform(lambda s: s.rolling(60, min_periods=36).rank(pct=True))
     want[pdf.v <= 0] = np.nan
     np.testing.assert_allclose(out.pe_pct.astype(float), want)
+
+
+@pytest.mark.parametrize("largest", [True, False])
+def test_long_heads_equal_short_ones(frame, monkeypatch, largest):
+    short = {tuple(r) for r in X.top_n(frame, "v", 40, ["g"], largest).select("g", "permno", "position").collect()}
+    monkeypatch.setattr(X, "HEAD", 10)
+    assert {tuple(r) for r in X.top_n(frame, "v", 40, ["g"], largest).select("g", "permno", "position").collect()} == short
