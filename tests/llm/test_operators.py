@@ -389,6 +389,54 @@ def test_urls(spark):
     assert url_trees.judge(df.limit(0)).count() == 0
 
 
+def rule_by_hand(host, path):
+    best = None
+    for text, what in url_trees.RULES:
+        domain, _, rest = text.partition("/")
+        if (host == domain or host.endswith("." + domain)) and path.startswith("/" + rest) and (best is None or len(text) > len(best[0])):
+            best = text, what
+    return best or (None, None)
+
+
+def parts_by_hand(url):
+    if not url or "://" not in url:
+        return "", ""
+    rest = url[url.index("://") + 3:]
+    host = re.match(r"[^/?#]*", rest)[0]
+    return host.translate(LOWER), re.match(r"[^?#]*", rest[len(host):])[0]
+
+
+def test_url_rules_shares_and_trees(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    odd = spark.createDataFrame([(10_000_001, "https://a.net/" + "x1/" * 30_000), (10_000_002, "http://EXAMPLE.com/de/\n?q"), (10_000_003, "é://ü.org/fr/")], pages.schema)
+    rows = url_trees.featured(pages.unionByName(odd)).cache()
+    held = {r.id: r for r in rows.select("id", "url", "host", "path", "rule", "told", "y", "suffix", "site", "suffix_share").collect()}
+    for r in held.values():
+        assert (r.host, r.path) == parts_by_hand(r.url) and (r.rule, r.told) == rule_by_hand(r.host, r.path)
+    # a share never holds the label of the row's own site, whether the row is labelled or not
+    groups = {r.site: r.g for r in rows.select("site", F.pmod(F.xxhash64("site"), F.lit(url_trees.FOLDS)).alias("g")).distinct().collect()}
+    labels = defaultdict(list)
+    for r in held.values():
+        if r.y is not None:
+            labels[r.suffix, r.site].append(r.y)
+    for r in held.values():
+        other = [np.mean(v) for (suffix, site), v in labels.items() if suffix == r.suffix and groups[site] != groups[r.site]]
+        assert r.suffix_share == pytest.approx((sum(other) + 1) / (len(other) + 2))
+    # the table has three sites, one a suffix, so rows and not sites are held out
+    known = rows.where("y is not null")
+    fitted = url_trees.fit(known.where("pmod(xxhash64(url, 7), 4) > 0"), 8, 4)
+    importance = dict(zip(url_trees.FEATURES, fitted.featureImportances.toArray()))
+    assert sum(v > 0.01 for v in importance.values()) >= 5 and importance["suffix_share"] < 0.2
+    both = fitted.transform(url_trees.vectors(rows)).select("probability", url_trees.score_column(fitted).alias("s")).collect()
+    assert all(r.s == pytest.approx(r.probability[1]) for r in both)
+    # what the labels follow, a folder's language, hardly shows in lexical features: better than the opposite is all that is asked
+    away = known.where("pmod(xxhash64(url, 7), 4) = 0").withColumn("s", url_trees.score_column(fitted)).select("s", "y").collect()
+    share = np.mean([(r.s > 0.5) == (r.y == 1) for r in away])
+    print("held-out rows", len(away), "right", share, "blocked", np.mean([r.y for r in away]))
+    assert share >= 0.4
+    rows.unpersist()
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     docs = read(spark, "documents")
