@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql.types import StructType
@@ -18,6 +20,7 @@ DEFAULTS = {
 }
 
 _local_dirs: dict[str, str] = {}
+_shipped: set[str] = set()
 _shared_stages: dict[tuple, tuple[str, StructType]] = {}
 
 
@@ -61,6 +64,21 @@ def _write_stage(df: DataFrame, tag: str, partition_by: list[str] | None = None)
     return path
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers of the session, once; needed where they cannot import it from their own path."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    package = Path(__file__).resolve().parent
+    # the driver's own temporary file: Spark hands it to the executors
+    archive = Path(tempfile.mkdtemp(prefix="package-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+
+
 class Checks:
     """Conditions on rows whose counts are taken by the very pass that writes them; the job fails after it if one does not hold.
 
