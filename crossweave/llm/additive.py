@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crossweave.llm.held import release
-from crossweave.llm.registry import query, table
+from crossweave.llm.registry import query, refuse_names, table
 from crossweave.llm.words import sub_batches, word_hashes
 
 FEATURES = ("words", "word_bytes", "symbols", "upper", "digits", "wide", "stops", "commas", "marks", "spaces", "lines",
@@ -192,8 +192,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str
                 yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in part], pa.float64()), pa.array(list(features([t for _, t in part])), pa.list_(pa.float64()))],
                                                  names=["y", "x"])
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id").select("y", "text")
-    rows = texts.mapInArrow(run, "y double, x array<double>").limit(2 * sample).collect()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id")
+    # one text an id, the least where ids repeat, so that no more than `sample` rows come back
+    rows = texts.groupBy("id", "y").agg(F.min("text").alias("text")).select("y", "text").mapInArrow(run, "y double, x array<double>").collect()
     rows.sort(key=lambda r: (r.y, r.x))  # the fit does not depend on the order in which tasks end
     return AdditiveModel().fit(np.array([r.x for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r.y for r in rows]))
 
@@ -202,8 +203,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = 20_000, tex
     """docs, all its columns, with a column __score (0 to 1, higher for label 1), in one pass over the texts without a shuffle.
 
     Null and empty texts get a score like any other text; null ids are scored but not learned from; repeated
-    rows are scored each; an empty table gives no rows; other columns are carried along.
+    rows are scored each; an empty table gives no rows; other columns are carried along, but one named __score is refused.
     """
+    refuse_names(docs, "__score")
     model = train(docs, labels, sample, text_col=text_col)
     out = docs.withColumn("__score", F.lit(None).cast("double"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crossweave.llm.held import held
-from crossweave.llm.registry import query, table
+from crossweave.llm.registry import query, refuse_names, table
 
 # Words are runs of ASCII digits, ASCII letters (lower-cased) and characters from U+0080 up.
 _SPLIT = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -155,8 +155,10 @@ def overlaps(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "
     finish, if given, turns a batch and what was found in its rows into rows of docs, in the pass over the last block.
 
     Null texts and texts without words have no words and no hits; items with a null id or text or without words have no
-    window; repeated rows are judged each, and repeated items count once; empty tables are fine on both sides.
+    window; repeated rows are judged each, and repeated items count once; empty tables are fine on both sides. A column named
+    __found is refused.
     """
+    refuse_names(docs, "__found")
     docs = docs if keep else docs.select(id_col, text_col)
     blocks = item_blocks(items, item_id, item_text, block_bytes, limit_bytes)
     added = "struct<n_words:bigint,spans:array<struct<first:bigint,last:bigint>>,items:array<string>>"

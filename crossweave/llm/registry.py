@@ -33,6 +33,13 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def refuse_names(df: DataFrame, *names: str) -> None:
+    """Raises where a table has a column of a name that an operator adds, in any case: it would be overwritten without a word."""
+    taken = {c.lower() for c in df.columns} & set(names)
+    if taken:
+        raise ValueError(f"the table has columns named {sorted(taken)}; rename them")
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
     return public_tokenizers.path(name)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks.compare import compare, duck
-from crossweave.llm import infill, language_codes, manifest, probminhash, registry
+from crossweave.llm import additive, automaton, infill, language_codes, manifest, probminhash, registry
 
 SF = "/root/testdata/sf0.001"
 UNIT = re.compile("[A-Za-z]+|[^A-Za-z]")
@@ -256,3 +256,12 @@ def test_blocks_hold_every_pair_of_classes(spark, monkeypatch):
             if b == d and c != e:
                 assert (x, y) in met
     assert not any(r.bucket == 0 for r in rows)
+
+
+def test_reserved_names_are_refused(spark, edge_docs):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0)], "doc_id long, quality int")
+    items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    with pytest.raises(ValueError, match="__score"):
+        additive.quality_scores(edge_docs.withColumn("__Score", F.lit(1)), labels)
+    with pytest.raises(ValueError, match="__found"):
+        automaton.overlaps(edge_docs.withColumn("__found", F.lit(1)), items, keep=True)
