@@ -4,13 +4,16 @@ import hashlib
 import random
 import re
 import zlib
+from collections import defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from checks.compare import compare, duck
-from crossweave.llm import additive, automaton, infill, language_codes, manifest, probminhash, registry
+from crossweave.llm import additive, automaton, hyperplanes, infill, language_codes, manifest, packing, probminhash, registry
 
 SF = "/root/testdata/sf0.001"
 UNIT = re.compile("[A-Za-z]+|[^A-Za-z]")
@@ -265,3 +268,69 @@ def test_reserved_names_are_refused(spark, edge_docs):
         additive.quality_scores(edge_docs.withColumn("__Score", F.lit(1)), labels)
     with pytest.raises(ValueError, match="__found"):
         automaton.overlaps(edge_docs.withColumn("__found", F.lit(1)), items, keep=True)
+
+
+def test_planted_near_vectors_equal_brute_force(spark):
+    """Groups of vectors around 0.98, some within and some across labels, and repeated rows."""
+    rng = np.random.default_rng(31)
+    rows = []
+    for g in range(40):
+        centre = rng.normal(size=64)
+        for _ in range(int(rng.integers(2, 9))):
+            x = centre + rng.normal(size=64) * rng.choice([0.05, 0.1, 0.14, 0.2])
+            rows.append((len(rows), [float(v) for v in x * rng.uniform(0.1, 5)], int(g % 3 if rng.random() < 0.9 else 7)))
+    rows += [(len(rows) + i, rows[i][1], rows[i][2]) for i in range(10)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    label = np.array([r[2] for r in rows])
+    near = (x @ x.T >= 0.98) & (label[:, None] == label[None, :])
+    np.fill_diagonal(near, False)
+    got = {r.vec_id: r for r in hyperplanes.near_vectors(df).collect()}
+    assert near.sum() > 200
+    assert [got[i].n_links for i in range(len(rows))] == near.sum(1).tolist()
+    least = np.arange(len(rows))
+    for _ in range(len(rows)):
+        least = np.minimum(least, np.where(near, least[None, :], len(rows)).min(axis=1))
+    assert [got[i].component_id for i in range(len(rows))] == least.tolist()
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
+
+
+def test_packed_pieces_equal_the_ids(spark):
+    """Every id of every document lies in exactly one piece, with its checksum, and windows are gapless and full but for powers of two."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(
+        spark.createDataFrame([(900001, None), (900002, ""), (900003, "long text " * 3000)], "doc_id long, text string"))
+    rows = docs.collect()
+    encoded = Tokenizer.from_file(path).encode_batch([r.text or "" for r in rows], add_special_tokens=False)
+    ids = {r.doc_id: np.array([*e.ids, 0], "<u4") for r, e in zip(rows, encoded)}
+    pieces, windows = defaultdict(list), defaultdict(list)
+    for p in packing.pack_documents(docs, path, "lead", 0).collect():
+        mine = ids[p.doc_id]
+        assert p.doc_tokens == len(mine) and p.ids_crc32 == zlib.crc32(mine[p.start:p.start + p.length].tobytes())
+        pieces[p.doc_id].append((p.start, p.length))
+        windows[p.sequence_id].append((p.offset, p.length))
+    assert pieces.keys() == ids.keys()
+    for held, size in [(pieces[d], len(ids[d])) for d in ids] + [(w, None) for w in windows.values()]:
+        at = 0
+        for start, length in sorted(held):
+            assert start == at and length > 0
+            at += length
+        assert at == size if size is not None else at <= 1024
+
+
+def test_scores_equal_table_sums():
+    """The additive model's score is the logistic curve of an intercept and one entry of each table and each pair's grid."""
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(1500, len(additive.FEATURES))), 1)
+    model = additive.AdditiveModel().fit(x, (x[:, 0] * x[:, 1] + x[:, 2] > 0).astype(float))
+    for row in x[:200]:
+        total = model.intercept
+        fine, rough = model.place(row[None, :], model.edges)[0], model.place(row[None, :], model.wide)[0]
+        for j, t in enumerate(model.tables):
+            total += t[fine[j]]
+        for (a, b), grid in zip(model.pairs, model.grids):
+            total += grid[rough[a], rough[b]]
+        assert model.score(row[None, :])[0] == pytest.approx(1 / (1 + np.exp(-total)))
+        # a value on an edge falls on one side for good
+        assert (model.place(row[None, :], model.edges) == model.place(np.vstack([row, row]), model.edges)[:1]).all()
