@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import struct
 
+import numpy as np
+
 from crossweave.llm.held import held
 
 # Fixed value: the characters with the Unicode property White_Space, without the space itself.
@@ -13,6 +15,12 @@ _PAIRED = re.compile(f"[{ODD_SPACE}] | [{ODD_SPACE} ]")
 _CHUNK = re.compile(f"[ {ODD_SPACE}]*[^ {ODD_SPACE}]+|[ {ODD_SPACE}]+")
 
 
+# Letters and marks that stand for themselves in every normal form; no apostrophe, < or |, which start contractions and special strings.
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ!-&(-;=-@\[-`{}~ \t\n\r]+")
+_PIECE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^A-Za-zÀ-ÖØ-öø-ÿ0-9 \t\n\r]+")
+_AT_ONCE = 1 << 16
+
+
 class _Known(dict):
     """chunk -> its ids as little-endian 32-bit integers; emptied when it holds `limit` chunks."""
 
@@ -30,6 +38,58 @@ class _Known(dict):
         return out
 
 
+class _Words:
+    """Ids of words between spaces for a tokenizer that marks where a word ends; remembers up to `limit` short words.
+
+    New words of a text are cut into runs of letters, digits and other marks, as the tokenizer does itself,
+    and runs not seen before are encoded in one call, whose ids are cut behind those that end a word. Words
+    with other characters, or all words if the tokenizer has no such ids, are encoded one by one.
+    """
+
+    def __init__(self, tokenizer, limit: int):
+        self.tokenizer, self.limit = tokenizer, limit
+        self.known: dict[str, bytes] = {}
+        suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
+        if suffix:
+            self.ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _learn(self, pieces: list[str]) -> None:
+        ids = self._ids(" ".join(pieces))
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) == len(pieces) and (not len(ids) or cuts[-1] == len(ids)):
+            raw, edges = ids.tobytes(), [0, *(4 * cuts).tolist()]
+            self.known.update(zip(pieces, (raw[a:b] for a, b in zip(edges, edges[1:]))))
+        else:
+            self.known.update((p, self._ids(p).tobytes()) for p in pieces)
+
+    def _look(self, words: list[str]) -> bytes:
+        fresh = set(words).difference(self.known)
+        if fresh:
+            if len(self.known) + len(fresh) > self.limit:
+                self.known.clear()
+                fresh = set(words)
+            plain = {w: _PIECE.findall(w) for w in fresh if _PLAIN.fullmatch(w)}
+            pieces = list({p for run in plain.values() for p in run}.difference(self.known))
+            if pieces:
+                self._learn(pieces)
+            get = self.known.__getitem__
+            new = {w: b"".join(map(get, plain[w])) if w in plain else self._ids(w).tobytes() for w in fresh}
+            self.known.update(new)
+        out = b"".join(map(self.known.__getitem__, words))
+        if fresh:
+            for w in [w for w in fresh if len(w) >= 64] + [p for p in pieces if len(p) >= 64]:
+                self.known.pop(w, None)
+        return out
+
+    def encode(self, text: str) -> bytes:
+        words = text.split(" ")
+        return b"".join(self._look(words[i:i + _AT_ONCE]) for i in range(0, len(words), _AT_ONCE))
+
+
 class TextEncoder:
     """Encodes texts cut at single spaces, where neither tokenizer joins what stands on both sides.
 
@@ -44,17 +104,19 @@ class TextEncoder:
         from tokenizers import Tokenizer
         tokenizer = Tokenizer.from_file(path)
         self.spaces = spaces
-        self.first = _Known(tokenizer, "", limit)
-        self.later = _Known(tokenizer, " ", limit) if spaces == "lead" else self.first
+        if spaces == "drop":
+            self.words = _Words(tokenizer, limit)
+        else:
+            self.first, self.later = _Known(tokenizer, "", limit), _Known(tokenizer, " ", limit)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.spaces == "lead" and ("  " in text or " \n" in text or "\n " in text or _PAIRED.search(text)):
+        if self.spaces == "drop":
+            return self.words.encode(text)
+        if "  " in text or " \n" in text or "\n " in text or _PAIRED.search(text):
             return b"".join(map(self.first.__getitem__, _CHUNK.findall(text)))
         parts = text.split(" ")
-        if self.spaces == "drop":
-            return b"".join(map(self.first.__getitem__, parts))
         return (self.first[parts[0]] if parts[0] else b"") + b"".join(map(self.later.__getitem__, parts[1:]))
 
 

@@ -1,11 +1,12 @@
 """Adaptive context-mixing range coder for blocks of token ids.
 
-Every block starts from the same empty model, so blocks decode alone and in any order. Within a
-block, three predictors look at the ids before the next one: order 2 and order 1 each name one id
-(the last successor of a hashed context, with a confidence), order 0 gives adaptive frequencies of
-all ids. The share of each predictor comes from counts that two contexts have gathered and that
-are added up: the confidences of orders 2 and 1. The range coder then codes "as order 2 said", "as order 1
-said" or an escape, and after an escape the id by order 0.
+Every block starts from the same empty model, so blocks decode alone and in any order. A block lists
+its distinct ids first (ascending, high parts in unary, low parts packed); its ids are then places in
+that list. Three predictors look at the places before the next one: order 2 and order 1 each name one
+(the last successor of a context, with a confidence), order 0 gives adaptive frequencies of the list.
+The share of each predictor comes from counts that two contexts have gathered and that are added up:
+the confidences of orders 2 and 1, each with whether both name the same. One interval of the range coder
+says "as order 2 said", "as order 1 said", or which place order 0 has after an escape.
 
 Many blocks are coded in step, one numpy lane each, which is what makes it affordable in Python.
 """
@@ -17,165 +18,162 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"XWRC"
-HEADER = struct.Struct("<4sIII")  # magic, ids, crc32 of the ids, crc32 of the payload
+MAGIC = b"XWRD"
+HEADER = struct.Struct("<4sIIII")  # magic, ids, distinct ids, crc32 of the ids, crc32 of the payload
 BLOCK = 4096
-SLOTS = 1 << 12
-GAIN, FLAG_GAIN, FLAG_LIMIT = 24, 24, 1 << 13
-_TOP, _BOTTOM, _16 = np.uint64(1 << 48), np.uint64(1 << 32), np.uint64(16)
+SLOTS = 1 << 11
+PERIOD = 32  # steps between two looks at the frequencies that have been counted
+GAIN, SHARE_GAIN, SHARE_LIMIT = 8, 24, 1 << 12
+# three shares of a context in one number, each with those before it: order 2, order 1, escape
+_FIELD = (1 << 20) - 1
+_FIRST = 1 | 2 << 20 | 4 << 40
+_GAINS = np.array([SHARE_GAIN * (1 | 1 << 20 | 1 << 40), SHARE_GAIN * (1 << 20 | 1 << 40), SHARE_GAIN << 40])
+_ORDER_0 = np.array([0, 0, GAIN], dtype=np.int32)
+_HALVES = _FIELD >> 1 | (_FIELD >> 1) << 20 | (_FIELD >> 1) << 40
+_STEPS = 1 | 2 << 20 | 3 << 40
+# an entry is a place and a confidence of 2 bits; no block has a place BLOCK
+_NOTHING = BLOCK << 2
+_LEAST, _WORD = 1 << 31, (1 << 32) - 1
 
 
 class _Model:
-    """Predictors of `lanes` blocks over ids below `vocabulary`."""
-
-    def __init__(self, lanes: int, vocabulary: int):
-        self.bits = max(1, (vocabulary - 1).bit_length())
-        ids = 1 << self.bits
-        tree = np.zeros(ids, dtype=np.int32)
-        for level in range(self.bits):
-            half = ids >> (level + 1)
-            begin = np.arange(1 << level) * 2 * half
-            tree[1 << level:2 << level] = np.clip(vocabulary - begin, 0, half)
-        self.width = ids
-        self.tree = np.tile(tree, lanes)
-        self.total = np.full(lanes, vocabulary, dtype=np.int64)
-        self.table = {k: np.full(lanes * SLOTS, -1, dtype=np.int32) for k in (1, 2)}
-        self.flags = {k: np.ones(lanes * 15, dtype=np.int32) for k in (1, 2)}
-        self.lane = np.arange(lanes)
+    """Predictors of one block a lane; `known` is the number of distinct ids of each."""
+
+    def __init__(self, known: np.ndarray):
+        lanes = len(known)
+        edges = np.concatenate([[0], np.cumsum(known)]).astype(np.int64)
+        self.start, self.end = edges[:-1], edges[1:]
+        # 32 bits are enough: at most BLOCK * (GAIN + 1) a lane
+        self.counts = np.ones(edges[-1], dtype=np.int32)
+        self.sums = np.zeros(edges[-1] + 1, dtype=np.int32)
+        self.by_one = np.full(edges[-1], _NOTHING, dtype=np.int16)
+        self.by_two = np.full(lanes * SLOTS, _NOTHING, dtype=np.int16)
+        self.shares1 = np.full(lanes * 8, _FIRST, dtype=np.int64)
+        self.shares2 = np.full(lanes * 8, _FIRST, dtype=np.int64)
+        self.slots = np.arange(lanes) * SLOTS
+        self.states = np.arange(lanes) * 8
         self.one = np.zeros(lanes, dtype=np.int64)
-        self.two = np.zeros(lanes, dtype=np.int64)
-        self.levels = np.arange(self.bits)
+        self.mark = np.zeros(lanes, dtype=np.int64)  # of the place before the last one
+
+    def refresh(self) -> None:
+        """Takes over what was counted since the last time: frequencies of order 0, and shares that have grown large."""
+        np.cumsum(self.counts, out=self.sums[1:])
+        self.base = self.sums[self.start].astype(np.int64)
+        self.total = self.sums[self.end] - self.base
+        for shares in (self.shares1, self.shares2):
+            full = shares >> 40 > SHARE_LIMIT
+            shares[full] = (shares[full] >> 1 & _HALVES) + _STEPS
 
     def predict(self, n: int):
-        lane = self.lane[:n]
-        one, two = self.one[:n], self.two[:n]
-        self.at1 = lane * SLOTS + (one * 40503 >> 4 & SLOTS - 1)
-        self.at2 = lane * SLOTS + ((one * 40503 ^ two * 60493) >> 4 & SLOTS - 1)
-        e1, e2 = self.table[1][self.at1], self.table[2][self.at2]
-        self.e1, self.e2 = e1, e2
-        p1, p2 = e1 >> 2, e2 >> 2
-        c1, c2 = np.where(e1 < 0, 4, e1 & 3), np.where(e2 < 0, 4, e2 & 3)
-        self.f1, self.f2 = (lane * 5 + c1) * 3, (lane * 5 + c2) * 3
-        share = [self.flags[1][self.f1 + k] + self.flags[2][self.f2 + k] for k in range(3)]
-        share[0] *= e2 >= 0
-        share[1] *= (e1 >= 0) & (p1 != p2)
-        return p1, p2, np.stack(share, axis=1).astype(np.uint64)
-
-    def learn(self, n: int, ids: np.ndarray, flag: np.ndarray) -> None:
-        for k, at, entry in ((1, self.at1, self.e1), (2, self.at2, self.e2)):
-            same = entry >> 2 == ids
-            sure = entry & 3
-            grown = np.where(same, ids << 2 | np.minimum(sure + 1, 3), np.where((entry >= 0) & (sure > 0), entry - 1, ids << 2))
-            self.table[k][at] = grown
-        for k, at in ((1, self.f1), (2, self.f2)):
-            counts = self.flags[k]
-            counts[at + flag] += FLAG_GAIN
-            full = at[counts[at + flag] > FLAG_LIMIT]
-            for j in range(3):
-                counts[full + j] = (counts[full + j] + 1) >> 1
-        self.two[:n] = self.one[:n]
-        self.one[:n] = ids
-
-    def locate(self, lanes: np.ndarray, ids: np.ndarray):
-        """(cumulative, frequency, total) of ids under order 0, which then learns them."""
-        whole = ids[:, None] + self.width
-        node = whole >> (self.bits - self.levels)
-        right = (whole >> (self.bits - 1 - self.levels)) & 1
-        at = lanes[:, None] * self.width + node
-        left = self.tree[at].astype(np.int64)
-        low = (left * right).sum(axis=1)
-        total = self.total[lanes]
-        # what a left turn leaves out is all of the node that is not in its left half
-        size = total.copy()
-        for k in range(self.bits):
-            size = np.where(right[:, k] == 1, size - left[:, k], left[:, k])
-        self.tree[at] += (GAIN * (1 - right)).astype(np.int32)
-        self.total[lanes] += GAIN
-        return low, size, total
-
-    def find(self, lanes: np.ndarray, target: np.ndarray):
-        """(id, cumulative, frequency) that hold target under order 0, which then learns the id."""
-        node = np.ones(len(lanes), dtype=np.int64)
-        base, rest, size = lanes * self.width, target.copy(), self.total[lanes].copy()
-        for _ in range(self.bits):
-            at = base + node
-            left = self.tree[at].astype(np.int64)
-            right = rest >= left
-            self.tree[at] += np.where(right, 0, GAIN).astype(np.int32)
-            rest -= left * right
-            size = np.where(right, size - left, left)
-            node = 2 * node + right
-        self.total[lanes] += GAIN
-        return node - self.width, target - rest, size
-
-
-class _Coder:
-    """Carry-less range coder with 64-bit state and 16-bit output, one per lane."""
-
-    def __init__(self, lanes: int, words: np.ndarray, decode: bool):
-        self.low = np.zeros(lanes, dtype=np.uint64)
-        self.range = np.full(lanes, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
-        self.words, self.place = words, np.zeros(lanes, dtype=np.int64)
-        self.code = np.zeros(lanes, dtype=np.uint64) if decode else None
-        if decode:
-            for _ in range(4):
-                self.code = self.code << _16 | words[np.arange(lanes), self.place]
-                self.place += 1
-
-    def target(self, lanes, total: np.ndarray) -> np.ndarray:
-        self.step = self.range[lanes] // total
-        return np.minimum((self.code[lanes] - self.low[lanes]) // self.step, total - np.uint64(1))
-
-    def narrow(self, lanes: np.ndarray, low: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
-        step = self.range[lanes] // total
-        self.low[lanes] += step * low
-        self.range[lanes] = step * size
-        while len(lanes):
-            at, width = self.low[lanes], self.range[lanes]
-            settled = (at ^ (at + width)) < _TOP
-            cut = ~settled & (width < _BOTTOM)
-            move = settled | cut
-            if not move.any():
-                break
-            width = np.where(cut, (~at + np.uint64(1)) & (_BOTTOM - np.uint64(1)), width)
-            lanes, at, width = lanes[move], at[move], width[move]
-            if self.code is None:
-                self.words[lanes, self.place[lanes]] = (at >> np.uint64(48)).astype(np.uint16)
-            else:
-                self.code[lanes] = self.code[lanes] << _16 | self.words[lanes, self.place[lanes]]
-            self.place[lanes] += 1
-            self.low[lanes], self.range[lanes] = at << _16, width << _16
+        """Places that orders 1 and 2 name, and the upper edges of the three shares."""
+        one = self.one[:n]
+        self.at1 = self.start[:n] + one
+        mark = one * 2654435761 >> 7
+        self.at2 = (mark * 5 ^ self.mark[:n]) & SLOTS - 1
+        self.at2 += self.slots[:n]
+        self.mark = mark
+        self.e1, self.e2 = self.by_one.take(self.at1), self.by_two.take(self.at2)
+        self.p1, self.p2 = self.e1 >> 2, self.e2 >> 2
+        self.c1, self.c2 = self.e1 & 3, self.e2 & 3
+        same = (self.p1 == self.p2) << np.int16(2)
+        self.f1, self.f2 = self.states[:n] + (self.c1 | same), self.states[:n] + (self.c2 | same)
+        self.s1, self.s2 = self.shares1.take(self.f1), self.shares2.take(self.f2)
+        share = self.s1 + self.s2
+        return self.p1, self.p2, share & _FIELD, share >> 20 & _FIELD, share >> 40
+
+    def learn(self, x: np.ndarray, flag: np.ndarray, at: np.ndarray) -> None:
+        """x: the places (int16), flag: the predictor of each, at: where order 0 counts them, which it does after an escape."""
+        fresh = x << 2
+        sure = fresh | 3
+        fresh |= 1
+        for table, context, entry, place, confidence in ((self.by_one, self.at1, self.e1, self.p1, self.c1),
+                                                         (self.by_two, self.at2, self.e2, self.p2, self.c2)):
+            table[context] = np.where(place == x, np.minimum(entry + 1, sure), np.where(confidence > 1, entry - 1, fresh))
+        gain = _GAINS.take(flag)
+        self.shares1[self.f1] = self.s1 + gain
+        self.shares2[self.f2] = self.s2 + gain
+        self.counts[at] += _ORDER_0.take(flag)
+        self.one = x.astype(np.int64)
+
+
+def _list_ids(known: np.ndarray, vocabulary: int) -> bytes:
+    """Ascending distinct ids: low bits as they are, high parts as gaps in unary."""
+    low = (vocabulary // max(1, len(known))).bit_length() - 1
+    tails = np.packbits((known[:, None] >> np.arange(low) & 1).astype(np.uint8))
+    heads = np.zeros((vocabulary >> low) + len(known) + 1, dtype=np.uint8)
+    heads[(known >> low) + np.arange(len(known))] = 1
+    return tails.tobytes() + np.packbits(heads).tobytes()
+
+
+def _listed_ids(payload: memoryview, n: int, vocabulary: int) -> tuple[np.ndarray, int]:
+    """The ids that _list_ids wrote, and the bytes they took."""
+    low = (vocabulary // max(1, n)).bit_length() - 1
+    split = (n * low + 7) // 8
+    size = split + ((vocabulary >> low) + n + 8) // 8
+    bits = np.unpackbits(np.frombuffer(payload[:split], dtype=np.uint8), count=n * low).reshape(n, low)
+    heads = np.flatnonzero(np.unpackbits(np.frombuffer(payload[split:size], dtype=np.uint8)))
+    return (heads - np.arange(n) << low) + (bits.astype(np.int64) << np.arange(low)).sum(axis=1), size
+
+
+def _active(sizes: np.ndarray) -> np.ndarray:
+    """Lanes, longest first, that have a place at each step."""
+    return np.searchsorted(-sizes, -np.arange(int(sizes[0]) if len(sizes) else 0), side="left")
 
 
 def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
-    """Each block of ids (uint32, below vocabulary) as header and payload."""
+    """Each block of at most BLOCK ids (uint32, below vocabulary) as header and payload."""
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     sizes = np.array([len(blocks[i]) for i in order], dtype=np.int64)
-    longest = int(sizes[0]) if len(order) else 0
-    ids = np.zeros((longest, len(order)), dtype=np.int64)
+    if len(order) and sizes[0] > BLOCK:
+        raise ValueError(f"a block holds more than {BLOCK} ids")
+    active = _active(sizes)
+    places, known = np.zeros((len(active), len(order)), dtype=np.int16), []
+    seen, rank = np.zeros(vocabulary, dtype=bool), np.zeros(vocabulary, dtype=np.int16)
     for lane, i in enumerate(order):
-        ids[:sizes[lane], lane] = blocks[i]
-    model = _Model(len(order), vocabulary)
-    words = np.zeros((len(order), 5 * longest + 8), dtype=np.uint16)
-    coder = _Coder(len(order), words, False)
-    for k in range(longest):
-        n = int(np.searchsorted(-sizes, -k, side="left"))
-        lanes, x = model.lane[:n], ids[k, :n]
-        p1, p2, share = model.predict(n)
-        flag = np.where((p2 == x) & (share[:, 0] > 0), 0, np.where((p1 == x) & (share[:, 1] > 0), 1, 2))
-        edge = np.cumsum(share, axis=1)
-        size = share[lanes, flag]
-        coder.narrow(lanes, edge[lanes, flag] - size, size, edge[:, 2])
-        escaped = np.flatnonzero(flag == 2)
-        low, size, total = model.locate(escaped, x[escaped])
-        coder.narrow(escaped, low.astype(np.uint64), size.astype(np.uint64), total.astype(np.uint64))
-        model.learn(n, x, flag)
+        seen[blocks[i]] = True
+        known.append(np.flatnonzero(seen))
+        rank[known[-1]] = np.arange(len(known[-1]))
+        places[:sizes[lane], lane] = rank[blocks[i]]
+        seen[known[-1]] = False
+    model = _Model(np.array([len(k) for k in known], dtype=np.int64))
+    # a row a word, as the lanes are at about the same word
+    words = np.zeros((len(active) + 2, len(order)), dtype=np.int64)
+    flat, lanes = words.reshape(-1), len(order)
+    place = np.arange(lanes)
+    low, width = np.zeros(len(order), dtype=np.uint64), np.full(len(order), (1 << 63) - 1, dtype=np.int64)
+    for k, n in enumerate(active):
+        if k % PERIOD == 0:
+            model.refresh()
+        x = places[k, :n]
+        p1, p2, edge2, edge1, edge = model.predict(n)
+        in2, in1 = p2 == x, p1 == x
+        flag = np.where(in2, 0, 2 - in1)
+        total, at = model.total[:n], model.start[:n] + x
+        step = width[:n] // (edge * total)
+        first, second, rest, left = edge2 * total, edge1 * total, edge - edge1, model.sums.take(at)
+        from_ = np.where(in2, 0, np.where(in1, first, second + rest * (left - model.base[:n])))
+        size = np.where(in2, first, np.where(in1, second - first, rest * (model.sums.take(at + 1) - left)))
+        low[:n] += (from_ * step).view(np.uint64)
+        width[:n] = size * step
+        short = np.flatnonzero(width[:n] < _LEAST)
+        settled = low[short]
+        # 32 bits and, above them, what is to be carried into the words before
+        flat[place[short]] = (settled >> np.uint64(31)).view(np.int64)
+        place[short] += lanes
+        low[short] = (settled & np.uint64(_LEAST - 1)) << np.uint64(32)
+        width[short] <<= 32
+        model.learn(x, flag, at)
+    flat[place] = (low >> np.uint64(31)).view(np.int64)
+    flat[place + lanes] = ((low & np.uint64(_LEAST - 1)) << np.uint64(1)).view(np.int64)
+    while (carry := words >> 32).any():
+        words &= _WORD
+        words[:-1] += carry[1:]
+    words = np.ascontiguousarray(words.T, dtype="<u4")
     out: list[bytes] = [b""] * len(blocks)
     for lane, i in enumerate(order):
-        tail = np.array([coder.low[lane] >> np.uint64(s) & np.uint64(0xFFFF) for s in (48, 32, 16, 0)]).astype("<u2")
-        payload = words[lane, :coder.place[lane]].astype("<u2").tobytes() + tail.tobytes()
+        payload = _list_ids(known[lane], vocabulary) + words[lane, :place[lane] // lanes + 2].tobytes()
         raw = blocks[i].astype("<u4").tobytes()
-        out[i] = HEADER.pack(MAGIC, len(blocks[i]), zlib.crc32(raw), zlib.crc32(payload)) + payload
+        out[i] = HEADER.pack(MAGIC, len(blocks[i]), len(known[lane]), zlib.crc32(raw), zlib.crc32(payload)) + payload
     return out
 
 
@@ -183,40 +181,64 @@ def decode_blocks(coded: list[bytes], vocabulary: int) -> list[np.ndarray]:
     """The ids of each block; raises if a header, a payload or the decoded ids fail their check."""
     heads = []
     for c in coded:
-        magic, n, ids_crc, payload_crc = HEADER.unpack_from(c)
-        if magic != MAGIC or zlib.crc32(c[HEADER.size:]) != payload_crc:
+        magic, n, distinct, ids_crc, payload_crc = HEADER.unpack_from(c)
+        if magic != MAGIC or zlib.crc32(memoryview(c)[HEADER.size:]) != payload_crc:
             raise ValueError("damaged block")
-        heads.append((n, ids_crc))
+        heads.append((n, distinct, ids_crc))
     order = sorted(range(len(coded)), key=lambda i: -heads[i][0])
     sizes = np.array([heads[i][0] for i in order], dtype=np.int64)
-    longest = int(sizes[0]) if len(order) else 0
-    words = np.zeros((len(order), max((len(c) for c in coded), default=0) // 2 + 8), dtype=np.uint64)
-    for lane, i in enumerate(order):
-        held = np.frombuffer(coded[i], dtype="<u2", offset=HEADER.size)
-        words[lane, :len(held)] = held
-    model = _Model(len(order), vocabulary)
-    coder = _Coder(len(order), words, True)
-    ids = np.zeros((longest, len(order)), dtype=np.uint32)
-    for k in range(longest):
-        n = int(np.searchsorted(-sizes, -k, side="left"))
-        lanes = model.lane[:n]
-        p1, p2, share = model.predict(n)
-        edge = np.cumsum(share, axis=1)
-        target = coder.target(lanes, edge[:, 2])
-        flag = (target >= edge[:, 0]).astype(np.int64) + (target >= edge[:, 1])
-        size = share[lanes, flag]
-        coder.narrow(lanes, edge[lanes, flag] - size, size, edge[:, 2])
-        x = np.where(flag == 0, p2, p1).astype(np.int64)
-        escaped = np.flatnonzero(flag == 2)
-        total = model.total[escaped].astype(np.uint64)
-        x[escaped], low, size = model.find(escaped, coder.target(escaped, total).astype(np.int64))
-        coder.narrow(escaped, low.astype(np.uint64), size.astype(np.uint64), total)
-        model.learn(n, x, flag)
-        ids[k, :n] = x
+    active = _active(sizes)
+    known, held = [], []
+    for i in order:
+        payload = memoryview(coded[i])[HEADER.size:]
+        ids, used = _listed_ids(payload, heads[i][1], vocabulary)
+        known.append(ids)
+        held.append(np.frombuffer(payload[used:], dtype="<u4"))
+    lanes = len(order)
+    by_lane = np.zeros((lanes, max((len(h) for h in held), default=1) + 1), dtype="<u4")
+    for lane, h in enumerate(held):
+        by_lane[lane, :len(h)] = h
+    words = np.ascontiguousarray(by_lane.T)
+    del by_lane
+    ahead = words[:2].astype(np.int64)
+    code, width = ahead[0] << 31 | ahead[1] >> 1, np.full(lanes, (1 << 63) - 1, dtype=np.int64)
+    # the low bit of a lane's second word stands before its third
+    bit, place, words = ahead[1] & 1, np.arange(lanes) + 2 * lanes, words.reshape(-1)
+    model = _Model(np.array([len(ids) for ids in known], dtype=np.int64))
+    places = np.zeros((len(active), len(order)), dtype=np.int16)
+    for k, n in enumerate(active):
+        if k % PERIOD == 0:
+            model.refresh()
+        p1, p2, edge2, edge1, edge = model.predict(n)
+        total = model.total[:n]
+        step = width[:n] // (edge * total)
+        target = code[:n] // step
+        first, second = edge2 * total, edge1 * total
+        in2, in1 = target < first, target < second
+        flag = 2 - in1 - in2.astype(np.int64)
+        rest, base = edge - edge1, model.base[:n]
+        # what the divisions leave over belongs to no place, nor does what lies before the escape
+        inside = np.minimum(np.maximum(target - second, 0) // rest, total - 1) + base
+        after = model.sums.searchsorted(inside.astype(np.int32), side="right")
+        at = after - 1
+        left = model.sums.take(at)
+        from_ = np.where(in2, 0, np.where(in1, first, second + rest * (left - base)))
+        size = np.where(in2, first, np.where(in1, second - first, rest * (model.sums.take(after) - left)))
+        x = np.where(in2, p2, np.where(in1, p1, (at - model.start[:n]).astype(np.int16)))
+        code[:n] -= from_ * step
+        width[:n] = size * step
+        short = np.flatnonzero(width[:n] < _LEAST)
+        word = words.take(place[short]).astype(np.int64)
+        code[short] = code[short] << 32 | bit[short] << 31 | word >> 1
+        bit[short] = word & 1
+        place[short] += lanes
+        width[short] <<= 32
+        model.learn(x, flag, at)
+        places[k, :n] = x
     out: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)] * len(coded)
     for lane, i in enumerate(order):
-        got = np.ascontiguousarray(ids[:sizes[lane], lane])
-        if zlib.crc32(got.astype("<u4").tobytes()) != heads[i][1]:
+        got = known[lane][places[:sizes[lane], lane]].astype(np.uint32)
+        if zlib.crc32(got.astype("<u4").tobytes()) != heads[i][2]:
             raise ValueError("decoded ids differ from the encoded ones")
         out[i] = got
     return out

@@ -18,7 +18,7 @@ from crossweave.llm.range_coder import BLOCK, decode_blocks, encode_blocks, join
 from crossweave.llm.registry import query, table, tokenizer_path
 from crossweave.session import stage_root
 
-LANES = 512
+LANES = 1024
 FILE_SCHEMA = "part int, block long, before long, docs array<long>, first_doc long, sizes array<long>, starts boolean, payload binary"
 
 

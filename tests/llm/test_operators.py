@@ -68,6 +68,36 @@ def test_range_coder_round_trip_and_damage():
     assert range_coder.join_crc32(zlib.crc32(b"abc"), zlib.crc32(b"defgh"), 5) == zlib.crc32(b"abcdefgh")
 
 
+@pytest.mark.parametrize("vocabulary", [1, 2, 3, 100, 5000, 49408])
+def test_range_coder_on_alphabets_of_any_size(vocabulary):
+    rng = np.random.default_rng(vocabulary)
+    blocks = [rng.integers(0, vocabulary, n).astype(np.uint32) for n in (0, 1, 2, 31, 33, 700, 4095, 4096)]
+    blocks += [(rng.pareto(0.5, 4096) % vocabulary).astype(np.uint32), np.full(4096, vocabulary - 1, dtype=np.uint32)]
+    blocks += [(np.arange(4096) % vocabulary).astype(np.uint32), np.repeat(blocks[5], 5)[:3000]]
+    coded = range_coder.encode_blocks(blocks, vocabulary)
+    assert [len(b) for b in blocks] == [range_coder.HEADER.unpack_from(c)[1] for c in coded]
+    for part in (coded, coded[::-1], coded[3:4]):
+        want = blocks if part is coded else blocks[::-1] if len(part) > 1 else blocks[3:4]
+        assert all(np.array_equal(a, b) for a, b in zip(want, range_coder.decode_blocks(part, vocabulary), strict=True))
+    assert range_coder.encode_blocks([], vocabulary) == range_coder.decode_blocks([], vocabulary) == []
+    # one id over and over costs next to nothing, and evenly spread ids hardly more than their logarithm
+    assert len(coded[9]) < 200
+    assert len(coded[7]) < 4096 * np.log2(vocabulary) / 8 * 1.25 + 4096 / 8
+    with pytest.raises(ValueError):
+        range_coder.encode_blocks([np.zeros(4097, dtype=np.uint32)], vocabulary)
+
+
+def test_words_are_cut_as_the_library_cuts_them():
+    rng = random.Random(9)
+    marks = list("abABzé'ßÄıİ\n\t\r,.!?<|>0129²½ª×÷_-\\[]{}~^`´“”µ\x00\x1c\x85") + ["'s", "'ll", "<|endoftext|>", "word", "Ünder", " ", " "]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randrange(1, 30))) for _ in range(6000)] + [("word," * 30 + " ") * 3, "a" * 70 + " " + "b" * 70]
+    library = Tokenizer.from_file(WORD)
+    for limit in (40, 1_000_000):
+        words = TextEncoder(WORD, "drop", limit=limit)
+        for t in texts + texts[:50]:
+            assert np.frombuffer(words.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
 def test_token_files(spark, edge_docs, tmp_path):
     for name, docs in (("a", read(spark, "documents")), ("b", edge_docs), ("c", edge_docs.limit(0))):
         token_files.write_tokens(docs, f"{tmp_path}/{name}", WORD, "drop", 1, 49408)
