@@ -244,21 +244,20 @@ def decode_blocks(coded: list[bytes], vocabulary: int) -> list[np.ndarray]:
     return out
 
 
-def join_crc32(first: int, second: int, length: int) -> int:
-    """crc32 of two byte strings in a row from the crc32 of each and the length of the second."""
-    def times(a: int, b: int) -> int:  # product modulo the CRC polynomial, bit-reversed
-        out = 0
-        while a:
-            if a & 0x80000000:
-                out ^= b
-            a = a << 1 & 0xFFFFFFFF
-            b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+def shift_crc32(crcs: np.ndarray, behind: np.ndarray) -> np.ndarray:
+    """What byte strings with these crc32 give to that of a whole in which so many bytes stand behind each: their exclusive or is its crc32."""
+    def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:  # product modulo the CRC polynomial, bit-reversed
+        out = np.zeros_like(a)
+        for k in range(31, -1, -1):
+            out ^= np.where(a >> k & 1, b, 0)
+            b = b >> 1 ^ np.where(b & 1, 0xEDB88320, 0)
         return out
 
-    power, square = 0x80000000, 0x00800000  # x ** 0, x ** 8
-    while length:
-        if length & 1:
-            power = times(power, square)
+    out, rest = crcs.astype(np.int64), behind.astype(np.int64)
+    square = np.array([0x00800000])  # x ** 8
+    while rest.any():
+        odd = np.flatnonzero(rest & 1)
+        out[odd] = times(out[odd], np.repeat(square, len(odd)))
         square = times(square, square)
-        length >>= 1
-    return times(power, first) ^ second
+        rest >>= 1
+    return out

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from crossweave.llm.encoding import encoder
-from crossweave.llm.range_coder import BLOCK, decode_blocks, encode_blocks, join_crc32
+from crossweave.llm.range_coder import BLOCK, decode_blocks, encode_blocks, shift_crc32
 from crossweave.llm.registry import query, table, tokenizer_path
 from crossweave.session import stage_root
 
@@ -106,17 +106,15 @@ def read_tokens(spark: SparkSession, folder: str, vocabulary: int, id_col: str =
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 6, kinds)],
                                                  names=["doc", "part", "number", "place", "n", "crc"])
 
-    def joined(pieces) -> int:
-        crc = 0
-        for p in pieces:
-            crc = join_crc32(crc, p["crc"], 4 * p["n"])
-        return crc
-
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pieces = batch.column("pieces").to_pylist()
-            crc = pa.array([p[0]["crc"] if len(p) == 1 else joined(p) for p in pieces], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], crc], names=["doc", "part", "place", "n_tokens", "ids_crc32"])
+            pieces = batch.column("pieces")
+            n, crc = (pieces.flatten().field(k).to_numpy() for k in ("n", "crc"))
+            first = np.concatenate([[0], np.cumsum(pieces.value_lengths().to_numpy())])
+            ends = np.concatenate([[0], np.cumsum(n)])
+            behind = np.repeat(ends[first[1:]], np.diff(first)) - ends[1:]
+            crc = np.bitwise_xor.reduceat(shift_crc32(crc, 4 * behind), first[:-1]) if len(crc) else crc
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(crc, pa.int64())], names=["doc", "part", "place", "n_tokens", "ids_crc32"])
 
     blocks = spark.read.schema(FILE_SCHEMA).parquet(folder)
     pieces = blocks.select("payload", "docs", "sizes", "part", "first_doc", "before").mapInArrow(

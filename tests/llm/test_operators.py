@@ -65,7 +65,13 @@ def test_range_coder_round_trip_and_damage():
     assert (range_coder.decode_blocks(coded[2:3], 49408)[0] == blocks[2]).all()
     with pytest.raises(ValueError):
         range_coder.decode_blocks([coded[3][:-3] + b"abc"], 49408)
-    assert range_coder.join_crc32(zlib.crc32(b"abc"), zlib.crc32(b"defgh"), 5) == zlib.crc32(b"abcdefgh")
+
+
+def test_checksums_of_pieces_give_that_of_the_whole():
+    data, cuts = np.random.default_rng(4).bytes(70_000), [0, 3, 3, 8, 4096, 65_000, 70_000]
+    crcs = np.array([zlib.crc32(data[a:b]) for a, b in zip(cuts, cuts[1:])])
+    assert np.bitwise_xor.reduce(range_coder.shift_crc32(crcs, 70_000 - np.array(cuts[1:]))) == zlib.crc32(data)
+    assert range_coder.shift_crc32(crcs[:0], crcs[:0]).tolist() == []
 
 
 @pytest.mark.parametrize("vocabulary", [1, 2, 3, 100, 5000, 49408])
