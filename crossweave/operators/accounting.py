@@ -324,10 +324,13 @@ def scale_book_drifted(rows: DataFrame, book: DataFrame, keys: list[str], trade_
 
 
 def sector_share_of_gross(book: DataFrame, keys: list[str], named: str, month: str = "target_mi") -> DataFrame:
-    """Largest sector and its share of gross, and one named sector's share."""
+    """Largest sector and its share of gross, and one named sector's share. Of equal sectors the earlier name is the largest.
+
+    Sums of the same weights differ in their last bits by the order in which tasks add them, so sectors are compared at twelve places.
+    """
     sg = book.groupBy(*keys, month, "sector").agg(F.sum(F.abs("weight")).alias("sg"))
     return sg.groupBy(*keys, month).agg(
-        F.min_by("sector", F.struct(-F.col("sg"), F.col("sector"))).alias("largest_sector"),
+        F.min_by("sector", F.struct(-F.round("sg", 12), F.col("sector"))).alias("largest_sector"),
         safe_div(F.max("sg"), F.sum("sg")).alias("largest_sector_gross_share"),
         safe_div(F.sum(F.when(F.col("sector") == named, F.col("sg")).otherwise(F.lit(0.0))), F.sum("sg")).alias("named_gross_share"))
 

@@ -2,8 +2,7 @@
 
 import random
 
-from pyspark.sql import functions as F
-
+from crossweave.operators import accounting as A
 from crossweave.sources import demo_tables as D
 
 SF = "/root/testdata/sf0.001"
@@ -42,3 +41,10 @@ def test_size_bounds_split_like_ntile(spark):
 def test_cents_round_halves_away_from_zero(spark):
     rows = spark.createDataFrame([(v,) for v in (1.005, -1.005, 0.07, 1.23, -0.29, 104949.5, None)], "x double")
     assert [r[0] for r in rows.select(D._cents("x")).collect()] == [101, -101, 7, 123, -29, 10494950, None]
+
+
+def test_equal_sectors_tie_whatever_the_order_of_their_sums(spark):
+    """Ten times 0.1 is a bit less than 0.5 + 0.5 in doubles: the earlier name still wins, as in the SQL."""
+    rows = [("t", 1, "11", 0.1 if i % 2 else -0.1) for i in range(10)] + [("t", 1, "12", 0.5), ("t", 1, "12", -0.5)]
+    book = spark.createDataFrame(rows, "trial string, target_mi int, sector string, weight double").coalesce(1)
+    assert A.sector_share_of_gross(book, ["trial"], "12").first().largest_sector == "11"
