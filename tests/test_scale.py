@@ -2,7 +2,11 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from crossweave.operators import accounting as A
+from crossweave.operators import boosting as B
 from crossweave.sources import demo_tables as D
 
 SF = "/root/testdata/sf0.001"
@@ -48,3 +52,34 @@ def test_equal_sectors_tie_whatever_the_order_of_their_sums(spark):
     rows = [("t", 1, "11", 0.1 if i % 2 else -0.1) for i in range(10)] + [("t", 1, "12", 0.5), ("t", 1, "12", -0.5)]
     book = spark.createDataFrame(rows, "trial string, target_mi int, sector string, weight double").coalesce(1)
     assert A.sector_share_of_gross(book, ["trial"], "12").first().largest_sector == "11"
+
+
+def test_small_batches_meet_a_tree_together(monkeypatch):
+    """Each small batch used to walk its rows down the tree by itself, and rows that a round does not draw went along."""
+    rng = np.random.default_rng(1)
+    bins, labels = rng.integers(0, 64, (500, 3)).astype(np.int8), rng.normal(size=500)
+
+    def batch(a, b):
+        return pa.RecordBatch.from_arrays(
+            [pa.array([1998] * (b - a), pa.int32()), pa.array([True] * (b - a)), pa.array(list(bins[a:b]), pa.list_(pa.int8())),
+             pa.array([[v] for v in labels[a:b]]), pa.array([[0.0]] * (b - a)), pa.array(np.arange(a, b) * 7919)],
+            names=["fold", "train", "bins", "labels", "state", "draw"])
+
+    tree = B.Tree()
+    frontier = list(tree.split(0, 1, 30, False, 1.0, (0.1, -0.1)))
+    fit = B.Fit(1998, 0, 0, {}, 0.0, growing=tree, frontier=frontier, features=np.array([0, 2]))
+    walked, walk = [], B.leaf_of
+
+    def counted(t, x):
+        walked.append(len(x))
+        return walk(t, x)
+
+    monkeypatch.setattr(B, "leaf_of", counted)
+    out = next(B._histograms([fit], 0, False, 0.7, 63)(batch(a, a + 10) for a in range(0, 500, 10)))
+    drawn = B._drawn(np.arange(500) * 7919, 0, 0.7)
+    assert walked == [drawn.sum()]
+    side = np.where((bins[:, 1] > 0) & (bins[:, 1] <= 30), frontier[0], frontier[1])
+    for node, j, sums in zip(*(out.column(c).to_pylist() for c in ("node", "feature", "sums"))):
+        here = drawn & (side == node)
+        want = [np.bincount(bins[here, j], labels[here], 64), np.bincount(bins[here, j], minlength=64)]
+        np.testing.assert_allclose(np.frombuffer(sums, "<f8").reshape(2, 64), want, atol=1e-12)
