@@ -1,12 +1,18 @@
 """How the work of the panel queries grows: plans, and results beside the plain form."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
 
 from crossweave.operators import accounting as A
 from crossweave.operators import boosting as B
+from crossweave.operators import columnar as C
+from crossweave.operators import crosssection as X
+from crossweave.operators import ranks as R
+from crossweave.operators import signals as K
+from crossweave.session import stage
 from crossweave.sources import demo_tables as D
 
 SF = "/root/testdata/sf0.001"
@@ -83,3 +89,75 @@ def test_small_batches_meet_a_tree_together(monkeypatch):
         here = drawn & (side == node)
         want = [np.bincount(bins[here, j], labels[here], 64), np.bincount(bins[here, j], minlength=64)]
         np.testing.assert_allclose(np.frombuffer(sums, "<f8").reshape(2, 64), want, atol=1e-12)
+
+
+def test_lines_travel_once_to_their_history(spark, monkeypatch):
+    """The supplier months used to be sent again, to where their supplier's other months are."""
+    made = {}
+    monkeypatch.setattr(D, "stage", lambda df, tag: made.setdefault(tag, df))
+    D.build_panel(spark, SF)
+    by = re.findall(r"hashpartitioning\(([^()]*)\), REPARTITION_BY_COL", plan(made["cells"]))
+    assert by and all("permno#" in keys and "mi#" not in keys for keys in by)
+
+
+def test_panel_is_written_once(spark, monkeypatch):
+    tags, shared = [], D.shared_stage
+
+    def keep(session, source, tag, *rest):
+        tags.append(tag)
+        return shared(session, source, tag, *rest)
+
+    monkeypatch.setattr(D, "shared_stage", keep)
+    D.panel(spark, SF)
+    assert tags == ["cells", "size_bounds"]
+
+
+def test_rows_at_equals_row_numbers(spark):
+    """Also for odd values and steps that hold most rows; before, every row was dealt and numbered for four places a month."""
+    rng = random.Random(3)
+    odd = [float("nan"), float("inf"), float("-inf"), 0.0, -0.0, -1.5, 1e300, 1e-300, None]
+    rows = [(g, p, rng.choice([*odd, 7.0, 7.0, rng.gauss(0, 3)])) for g in (1, 2, None) for p in range(150)] + [(5, 0, 2.0), (6, 0, None)]
+    df = spark.createDataFrame(rows, "g int, permno long, v double")
+    got = R.rows_at(df, ["g"], "v", "permno", lambda n: R.F.array(R.F.lit(1).cast("long"), R.F.floor(n / 3), n, n)).collect()
+    for g in (1, 2, None, 5):
+        known = [(v if v == v else float("inf"), v != v, p) for h, p, v in rows if h == g and v is not None]
+        order = [p for *_, p in sorted(known)]
+        want = sorted((at, order[at - 1]) for at in (1, len(order) // 3, len(order), len(order)) if at)
+        assert sorted((r["__place"], r.permno) for r in got if r.g == g) == want
+    assert {r.g for r in got} == {1, 2, None, 5}
+
+
+def test_numbered_table_is_not_written_again(spark, monkeypatch):
+    df = spark.createDataFrame([(i % 3, i, float(i * 7 % 5)) for i in range(200)], "g int, permno long, v double").repartition(4)
+    plain = C.ranked_columns(df, ["g"], {"v": "r"}, "average").collect()
+    table, tags, write = stage(C.numbered(df), "t"), [], C.stage
+    monkeypatch.setattr(C, "stage", lambda rows, tag, **kw: tags.append(tag) or write(rows, tag, **kw))
+    out = C.ranked_columns(table, ["g"], {"v": "r"}, "average")
+    assert sorted(out.collect()) == sorted(plain) and out.columns == ["g", "permno", "v", "r"]
+    assert tags == ["places"]
+
+
+def test_fit_goes_to_the_rows(spark):
+    """The join with the month's fit used to send all rows by month and sector."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        df = spark.range(100).selectExpr("id % 3 AS m", "id % 2 AS s", "id * 1.0 AS y", "id % 7 * 1.0 AS x", "id % 5 * 1.0 AS z")
+        top = plan(X.neutralise(df, "y", "x", "z", "m", "s", "r")).split("BroadcastExchange")[0]
+        assert "BroadcastHashJoin" in top and "Exchange hashpartitioning" not in top
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_percentile_meets_rows_where_the_lagged_join_left_them(spark):
+    from crossweave.operators import prep as P
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        panel = spark.range(400).selectExpr("id % 5 AS permno", "CAST(id DIV 5 AS INT) AS mi", "id % 13 * 1.0 AS ni_me")
+        rows = P.lagged_join(panel.selectExpr("permno", "mi + 1 AS target_mi", "1.0 AS forecast"), panel, checks=D.Checks())
+        old, new = X.attach_trailing_percentile(rows, panel), X.attach_trailing_percentile(rows, panel, month="target_mi", ahead=1)
+        assert plan(new).count("Exchange hashpartitioning") == plan(old).count("Exchange hashpartitioning") - 1
+        assert sorted(old.select(*new.columns).collect(), key=str) == sorted(new.collect(), key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
