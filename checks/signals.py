@@ -102,7 +102,7 @@ def panel_for_signals(spark, sf):
 def universe(spark, sf):
     def build():
         p = panel_for_signals(spark, sf)
-        d = K.signal_universe(K.yoy_signal(D.alt_series(spark, sf), p, BY), p, 1500.0, by=BY)
+        d = K.signal_universe(K.yoy_signal(D.alt_series(spark, sf), p, BY), p, 1500.0, by=BY, with_numbers=True)
         d = X.sector_ranks_z(d, {"growth": "z", "ret_12_1": "z_mom"}, ["dataset", "mi", "sector"])
         # Equal ranks in equal-sized sectors must tie exactly.
         return d.withColumn("z", F.round("z", 10)).withColumn("z_mom", F.round("z_mom", 10))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from crossweave.functions.columns import hit_share, months_t_stat, safe_corr, safe_div
 from crossweave.operators import crosssection as X
-from crossweave.operators.columnar import ranked_columns
-from crossweave.operators.ranks import split_rank
+from crossweave.operators.columnar import ROW, numbered, ranked_columns
+from crossweave.operators.ranks import joined, rows_at
 from crossweave.session import stage
 
 
@@ -83,35 +83,55 @@ def signal_by_year(monthly: DataFrame, month: str = "target_mi") -> DataFrame:
 def yoy_signal(series: DataFrame, panel: DataFrame, by: list[str] | None = None) -> DataFrame:
     """value(t-1) / value(t-13) - 1 at t, where the entity has panel rows at t, t-1 and t-13."""
     by = list(by or [])
-    live = panel.select("permno", "mi")
-    known = series.join(live, ["permno", "mi"], "left_semi")
-    num = known.select(*by, "permno", (F.col("mi") + 1).alias("mi"), F.col("value").alias("num"))
-    den = known.select(*by, "permno", (F.col("mi") + 13).alias("mi"), F.col("value").alias("den"))
-    pair = num.join(den, [*by, "permno", "mi"]).filter(F.col("num").isNotNull() & (F.col("den") != 0))
-    growth = pair.select(*by, "permno", "mi", (F.col("num") / F.col("den") - 1).alias("growth"))
-    return growth.join(live, ["permno", "mi"], "left_semi")
+    keyed = F.lit(True)
+    for c in (*by, "permno", "mi"):
+        keyed = keyed & F.col(c).isNotNull()
+    values = series.filter(keyed).select(*by, "permno", "mi", "value", F.lit(False).alias("__live"))
+    live = panel.select(*[F.lit(None).cast(series.schema[c].dataType).alias(c) for c in by], "permno", "mi",
+                        F.lit(None).cast(series.schema["value"].dataType).alias("value"), F.lit(True).alias("__live"))
+    # An entity's values and panel months meet once; what the joins by month and series would look up are frames of its months.
+    rows = values.unionByName(live.filter("permno IS NOT NULL AND mi IS NOT NULL")).repartition("permno")
+    months = W.partitionBy("permno").orderBy("mi")
+    rows = rows.select("*", F.max("__live").over(months.rangeBetween(0, 0)).alias("__now"), F.max("__live").over(months.rangeBetween(1, 1)).alias("__next"))
+    known = rows.filter(~F.col("__live") & F.col("__now"))
+    # lists, so that several values of a month each meet the others, as in a join
+    past = W.partitionBy("permno", *by).orderBy("mi").rangeBetween(-12, -12)
+    pair = known.withColumn("__past", F.collect_list("value").over(past)).withColumn("den", F.explode("__past")).filter(F.col("__next") & F.col("value").isNotNull() & (F.col("den") != 0))
+    return pair.select(*by, "permno", (F.col("mi") + 1).alias("mi"), (F.col("value") / F.col("den") - 1).alias("growth"))
 
 
 def signal_universe(signal: DataFrame, panel: DataFrame, min_price: float = 5.0, sizes=("small", "large", "mega"),
-                    min_sector: int = 5, by: list[str] | None = None) -> DataFrame:
-    """Signal rows with a tradeable panel row and outcome, in sectors of min_sector names, in months of 2+ sectors."""
+                    min_sector: int = 5, by: list[str] | None = None, with_numbers: bool = False) -> DataFrame:
+    """Signal rows with a tradeable panel row and outcome, in sectors of min_sector names, in months of 2+ sectors.
+
+    The rows are written before they are counted. The cells they are kept by are few, and broadcast, so that the rows need not move for it.
+    with_numbers leaves their numbers, for a rank (see columnar.numbered).
+    """
     by = list(by or [])
-    d = signal.join(panel, ["permno", "mi"]).filter(
+    tradeable = panel.filter(
         (F.col("prc") >= min_price) & F.col("size_grp").isin(*sizes) & F.col("sector").isNotNull() & F.col("ret_exc_lead1m").isNotNull())
+    # sorted inside the tasks, so that a chunk of rows, as ranks take them, holds few groups
+    d = stage(numbered(signal.join(tradeable, ["permno", "mi"]).sortWithinPartitions(*by, "mi", "sector")), "tradeable", codec="zstd")
     big = d.groupBy(*by, "mi", "sector").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= min_sector)
     wide = big.groupBy(*by, "mi").agg(F.count(F.lit(1)).alias("__s")).filter("__s >= 2")
     cells = big.select(*by, "mi", "sector").join(wide.select(*by, "mi"), [*by, "mi"])
-    return d.join(cells, [*by, "mi", "sector"], "left_semi")
+    kept = d.join(F.broadcast(cells), [*by, "mi", "sector"], "left_semi")
+    return kept if with_numbers else kept.drop(ROW)
 
 
 def sector_tercile_spread(d: DataFrame, by: list[str] | None = None, value: str = "growth", ret: str = "ret_exc_lead1m") -> DataFrame:
-    """Mean return of the top third less the bottom third per sector, averaged by names; ties by entity."""
+    """Mean return of the top third less the bottom third per sector, averaged by names; ties by entity.
+
+    The last row of the bottom third and the first of the top third bound them, so only rows near those two places are sorted.
+    """
     keys = [*(by or []), "mi"]
-    r = split_rank(d, [*keys, "sector"], value, "permno", kind="row", rank="__r", total="__n")
-    k = F.floor(F.col("__n") / 3)
-    sector = r.groupBy(*keys, "sector").agg(
-        F.max("__n").alias("n"), F.avg(F.when(F.col("__r") > F.col("__n") - k, F.col(ret))).alias("hi"),
-        F.avg(F.when(F.col("__r") <= k, F.col(ret))).alias("lo"))
+    home, row = [*keys, "sector"], F.struct(value, "permno")
+    ends = rows_at(d, home, value, "permno", lambda n: F.when(n >= 3, F.array(F.floor(n / 3), n - F.floor(n / 3) + 1)).otherwise(F.array().cast("array<long>")))
+    bounds = ends.groupBy(*home).agg(F.min(row).alias("__lo"), F.max(row).alias("__hi"))
+    known = F.count(value)
+    sector = joined(d, F.broadcast(bounds), home, "left").groupBy(*home).agg(
+        F.when(known > 0, known).alias("n"), F.avg(F.when(row >= F.col("__hi"), F.col(ret))).alias("hi"),
+        F.avg(F.when(row <= F.col("__lo"), F.col(ret))).alias("lo"))
     return sector.groupBy(*keys).agg((F.sum(F.col("n") * (F.col("hi") - F.col("lo"))) / F.sum("n")).alias("ls"),
                                      F.sum("n").alias("names"), F.count(F.lit(1)).alias("sectors"))
 

@@ -179,7 +179,7 @@ def _universe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crossweave.plans import score as S
     checks = Checks()
     return shared_stage(spark, sf_dir, "universe",
-                        lambda: numbered(S.universe(forecasts(spark, sf_dir), panel(spark, sf_dir), MIN_PRICE, checks=checks)), checks)
+                        lambda: numbered(S.universe(forecasts(spark, sf_dir), panel(spark, sf_dir), MIN_PRICE, checks=checks).sortWithinPartitions("target_mi")), checks)
 
 
 def universe(spark: SparkSession, sf_dir: str) -> DataFrame:

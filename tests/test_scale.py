@@ -161,3 +161,49 @@ def test_percentile_meets_rows_where_the_lagged_join_left_them(spark):
         assert sorted(old.select(*new.columns).collect(), key=str) == sorted(new.collect(), key=str)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_yoy_signal_moves_rows_once_and_equals_the_joins(spark):
+    """Copies, gaps, nulls and months without a panel row; the joins sent the series six times."""
+    rng = random.Random(9)
+    F = R.F
+    rows = [(d, rng.choice([1, 2, 3, None]), rng.choice([*range(1, 40), None]), rng.choice([None, 0.0, -2.0, 1.5, 4.0])) for d in ("a", "b", None) for _ in range(300)]
+    series = spark.createDataFrame(rows, "d string, permno long, mi int, value double")
+    panel = spark.createDataFrame([(p, m) for p in (1, 2, None) for m in range(1, 42) if rng.random() < 0.8] + [(1, 14), (1, 14)], "permno long, mi int")
+    known = series.join(panel, ["permno", "mi"], "left_semi")
+    num, den = (known.select("d", "permno", (F.col("mi") + n).alias("mi"), F.col("value").alias(c)) for n, c in ((1, "n"), (13, "v")))
+    pair = num.join(den, ["d", "permno", "mi"]).filter("n IS NOT NULL AND v <> 0").join(panel, ["permno", "mi"], "left_semi")
+    want = pair.select("d", "permno", "mi", (F.col("n") / F.col("v") - 1).alias("growth")).collect()
+    got = K.yoy_signal(series, panel, ["d"])
+    steps = plan(got)
+    assert steps.count("Exchange hashpartitioning") == 1 and "Join" not in steps
+    assert len(want) > 50 and sorted(got.collect()) == sorted(want)
+
+
+def test_terciles_sort_only_rows_near_their_bounds(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(m, s, p, float(rng.randrange(-3, 9)), rng.gauss(0, 1)) for m in (1, 2) for s, n in (("x", 60), ("y", 2), ("z", 31)) for p in range(n)]
+    d = spark.createDataFrame(rows, "mi int, sector string, permno long, growth double, ret_exc_lead1m double")
+    dealt, split = [], R.split_rank
+    monkeypatch.setattr(R, "split_rank", lambda df, *a, **kw: dealt.append(df) or split(df, *a, **kw))
+    got = {r.mi: (r.ls, r.names, r.sectors) for r in K.sector_tercile_spread(d).collect()}
+    assert dealt[0].count() < 100  # of 186
+    for m in (1, 2):
+        total = 0.0
+        for s in "xz":
+            own = sorted((g, p, r) for a, b, p, g, r in rows if (a, b) == (m, s))
+            k = len(own) // 3
+            total += len(own) * (sum(r for *_, r in own[-k:]) - sum(r for *_, r in own[:k])) / k
+        assert got[m][1:] == (93, 3) and abs(got[m][0] - total / 93) < 1e-12
+
+
+def test_signal_universe_sends_rows_once(spark):
+    """The rows stay where they are written; their few cells come to them."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        panel = spark.range(200).selectExpr("id AS permno", "1 AS mi", "10.0 AS prc", "'large' AS size_grp", "CAST(id % 30 % 3 AS string) AS sector", "0.1 AS ret_exc_lead1m")
+        out = K.signal_universe(panel.selectExpr("permno", "mi", "1.0 AS growth"), panel)
+        assert "Exchange" not in plan(out).split("BroadcastExchange")[0] and out.count() == 200 and "__row" not in out.columns
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
