@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import struct
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 from crossweave.llm.held import held
 
@@ -19,6 +21,15 @@ _CHUNK = re.compile(f"[ {ODD_SPACE}]*[^ {ODD_SPACE}]+|[ {ODD_SPACE}]+")
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ!-&(-;=-@\[-`{}~ \t\n\r]+")
 _PIECE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^A-Za-zÀ-ÖØ-öø-ÿ0-9 \t\n\r]+")
 _AT_ONCE = 1 << 16
+# Kinds of bytes: white space, letters, digits, other marks that stand for themselves, and all others.
+_SPACE, _LETTER, _DIGIT, _MARK, _ODD = range(5)
+_KIND = np.full(256, _ODD, dtype=np.uint8)
+for _kind, _bytes in ((_MARK, b"!\"#$%&()*+,-./:;=>?@[\\]^_`{}~"), (_DIGIT, b"0123456789"), (_SPACE, b" \t\n\r"),
+                      (_LETTER, b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")):
+    _KIND[list(_bytes)] = _kind
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_TEXT_AT_ONCE = 1 << 22
 
 
 class _Known(dict):
@@ -53,10 +64,24 @@ class _Words:
         self.ends = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
         if suffix:
             self.ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+        # an ASCII letter is the same in either case if the tokenizer makes it small itself
+        small = tokenizer.normalizer is not None and tokenizer.normalizer.normalize_str("AZ") == "az"
+        self.case = _LOWER if small else np.arange(256, dtype=np.uint8)
+        # small letters alone reach the merges as they are
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        plain = tokenizer.normalizer is None or tokenizer.normalizer.normalize_str(letters) == letters
+        cut = tokenizer.pre_tokenizer.pre_tokenize_str(letters) if tokenizer.pre_tokenizer is not None else []
+        self.merge = tokenizer.model.tokenize if plain and cut == [(letters, (0, 26))] else None
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
+    def _learn_letters(self, pieces: list[str]) -> None:
+        found = list(map(self.merge, pieces))
+        raw = np.array([token.id for tokens in found for token in tokens], dtype="<u4").tobytes()
+        edges = [0, *(4 * np.cumsum(list(map(len, found)))).tolist()]
+        self.known.update(zip(pieces, (raw[a:b] for a, b in zip(edges, edges[1:]))))
+
     def _learn(self, pieces: list[str]) -> None:
         ids = self._ids(" ".join(pieces))
         cuts = np.flatnonzero(self.ends[ids]) + 1
@@ -66,29 +91,88 @@ class _Words:
         else:
             self.known.update((p, self._ids(p).tobytes()) for p in pieces)
 
-    def _look(self, words: list[str]) -> bytes:
-        fresh = set(words).difference(self.known)
-        if fresh:
-            if len(self.known) + len(fresh) > self.limit:
-                self.known.clear()
-                fresh = set(words)
-            plain = {w: _PIECE.findall(w) for w in fresh if _PLAIN.fullmatch(w)}
-            pieces = list({p for run in plain.values() for p in run}.difference(self.known))
-            if pieces:
-                self._learn(pieces)
-            get = self.known.__getitem__
-            new = {w: b"".join(map(get, plain[w])) if w in plain else self._ids(w).tobytes() for w in fresh}
-            self.known.update(new)
-        out = b"".join(map(self.known.__getitem__, words))
-        if fresh:
-            for w in [w for w in fresh if len(w) >= 64] + [p for p in pieces if len(p) >= 64]:
+    def _know(self, fresh: set[str]) -> list[str]:
+        """Learns words; returns what is too long to be remembered longer than its text."""
+        if len(self.known) + len(fresh) > self.limit:
+            self.known.clear()
+        alone = {w for w in fresh if w.isascii() and w.isalpha()}
+        plain = {w: _PIECE.findall(w) for w in fresh.difference(alone) if _PLAIN.fullmatch(w)}
+        pieces = alone.union(p for run in plain.values() for p in run).difference(self.known)
+        small = [p for p in pieces if p.isascii() and p.isalpha() and p.islower()] if self.merge else []
+        for learn, them in ((self._learn_letters, small), (self._learn, list(pieces.difference(small)))):
+            for i in range(0, len(them), _AT_ONCE):
+                learn(them[i:i + _AT_ONCE])
+        get = self.known.__getitem__
+        self.known.update({w: b"".join(map(get, plain[w])) if w in plain else self._ids(w).tobytes() for w in fresh.difference(alone)})
+        return [w for w in fresh.union(pieces) if len(w) >= 64]
+
+    def each(self, words: list[str]) -> list[bytes]:
+        """The ids of each of these words."""
+        out = list(map(self.known.get, words))
+        if None in out:
+            long = self._know({w for w, ids in zip(words, out) if ids is None})
+            out = [self.known[w] if ids is None else ids for w, ids in zip(words, out)]
+            for w in long:
                 self.known.pop(w, None)
         return out
 
+    def _look(self, words: list[str]) -> bytes:
+        return b"".join(self.each(words))
+
     def encode(self, text: str) -> bytes:
         words = text.split(" ")
         return b"".join(self._look(words[i:i + _AT_ONCE]) for i in range(0, len(words), _AT_ONCE))
 
+    def many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these texts, one after the other, and how many each has.
+
+        All texts are cut at once where the kind of a byte changes, before each digit too; every distinct piece is then looked up once.
+        Words between spaces that hold a byte of no such kind stay whole.
+        """
+        data = np.frombuffer(" ".join([*texts, ""]).encode(), dtype=np.uint8)
+        sizes = np.array([len(t) if t.isascii() else len(t.encode()) for t in texts], dtype=np.int64) + 1
+        kind = _KIND[data]
+        # the letters from À to ÿ are two bytes, of which × and ÷ alone are others
+        wide = np.flatnonzero(data == 0xC3)
+        wide = wide[(data[wide + 1] & 0xDF) != 0x97]
+        kind[wide] = kind[wide + 1] = _LETTER
+        cut = np.ones(len(data), dtype=bool)
+        np.not_equal(kind[1:], kind[:-1], out=cut[1:])
+        cut |= kind == _DIGIT
+        small = self.case[data]
+        odd = np.flatnonzero(kind == _ODD)
+        if len(odd):
+            # the word around each odd byte: from behind the space before it to the next space, which the last text has too
+            spaces = np.concatenate([[-1], np.flatnonzero(data == 32)])
+            word = np.searchsorted(spaces, odd)
+            word = word[np.diff(word, prepend=0) > 0]
+            first, last = spaces[word - 1] + 1, spaces[word]
+            inside = np.zeros(len(data) + 1, dtype=np.int8)
+            inside[first] = 1
+            inside[last] = -1
+            inside = np.cumsum(inside[:-1], dtype=np.int8).view(bool)
+            small[inside] = data[inside]
+            cut[inside] = False
+            cut[first] = cut[last] = True
+            kind = np.where(inside, _ODD, kind)
+        start = np.flatnonzero(cut)
+        length = np.diff(start, append=len(data))
+        # white space has no ids
+        some = np.flatnonzero(kind[start])
+        start, length = start[some], length[some]
+        small = small[kind != _SPACE]
+        del cut, odd, data
+        edges = np.concatenate([[0], np.cumsum(length)])
+        pieces = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(edges), pa.py_buffer(small)).dictionary_encode()
+        raw, which = self.each(pieces.dictionary.to_pylist()), pieces.indices.to_numpy()
+        del pieces, edges, length, some, small, kind
+        size, flat = np.fromiter(map(len, raw), np.int64, len(raw)) // 4, np.frombuffer(b"".join(raw), dtype="<u4")
+        n = size[which]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat((np.cumsum(size) - size)[which] - ends[:-1], n)
+        at += np.arange(len(at))
+        return flat[at], np.diff(ends[np.searchsorted(start, np.concatenate([[0], np.cumsum(sizes)]))])
+
 
 class TextEncoder:
     """Encodes texts cut at single spaces, where neither tokenizer joins what stands on both sides.
@@ -119,6 +203,21 @@ class TextEncoder:
         parts = text.split(" ")
         return (self.first[parts[0]] if parts[0] else b"") + b"".join(map(self.later.__getitem__, parts[1:]))
 
+    def encode_many(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The ids of consecutive texts as one array, and how many each has, for as many texts at a time as are worth it."""
+        held: list[str] = []
+        size = 0
+        for k, text in enumerate(texts, 1):
+            held.append(text or "")
+            size += len(held[-1])
+            if size >= _TEXT_AT_ONCE or k == len(texts):
+                if self.spaces == "drop":
+                    yield self.words.many(held)
+                else:
+                    raw = list(map(self.encode, held))
+                    yield np.frombuffer(b"".join(raw), dtype="<u4"), np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+                held, size = [], 0
+
 
 def encoder(path: str, spaces: str, memory: int = 1_600_000) -> TextEncoder:
     """One encoder per worker process that remembers up to `memory` chunks, kept from task to task."""

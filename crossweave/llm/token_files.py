@@ -18,10 +18,16 @@ from crossweave.llm.range_coder import BLOCK, decode_blocks, encode_blocks, shif
 from crossweave.llm.registry import query, table, tokenizer_path
 from crossweave.session import stage_root
 
-LANES = 1024
+LANES = 512
 FILE_SCHEMA = "part int, block long, before long, docs array<long>, first_doc long, sizes array<long>, starts boolean, payload binary"
 
 
+def _shares(n: int) -> list[tuple[int, int]]:
+    """Ranges of n blocks that are coded in step: about equal ones of at most LANES."""
+    parts = -(-n // LANES)
+    return [(n * k // parts, n * (k + 1) // parts) for k in range(parts)]
+
+
 def write_tokens(docs: DataFrame, folder: str, path: str, spaces: str, end_id: int, vocabulary: int,
                  id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the ids of every whole text, each with end_id behind it, in ascending id order.
@@ -36,16 +42,15 @@ def write_tokens(docs: DataFrame, folder: str, path: str, spaces: str, end_id: i
     other columns are not read.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(path, spaces).encode, TaskContext.get().partitionId()
-        end = end_id.to_bytes(4, "little")
-        held: list[bytes] = []
+        encode, part = encoder(path, spaces).encode_many, TaskContext.get().partitionId()
+        held: list[np.ndarray] = []
         marks: list[tuple] = []  # (id, document number, length) of what is held
         size = before = block = number = 0
         cut = -1  # number of the document whose first ids went out with an earlier block
 
         def flush(last: bool):
             nonlocal held, marks, size, before, block, cut
-            data = np.frombuffer(b"".join(held), dtype="<u4")
+            data = np.concatenate(held)
             n = len(data) if last else len(data) // BLOCK * BLOCK
             blocks = [data[i:min(i + BLOCK, n)] for i in range(0, n, BLOCK)]
             rows, k, left = [], 0, marks[0][2] if marks else 0
@@ -62,20 +67,20 @@ def write_tokens(docs: DataFrame, folder: str, path: str, spaces: str, end_id: i
                         left = marks[k][2] if k < len(marks) else 0
                 rows.append((part, block, before, [d for d, _ in mine], first, [t for _, t in mine], starts))
                 block, before = block + 1, before + len(ids)
-            coded = encode_blocks(blocks, vocabulary)
+            coded = [c for a, b in _shares(len(blocks)) for c in encode_blocks(blocks[a:b], vocabulary)]
             marks = ([(marks[k][0], marks[k][1], left)] + marks[k + 1:]) if k < len(marks) else []
-            held, size = ([data[n:].tobytes()] if n < len(data) else []), len(data) - n
+            held, size = [data[n:].copy()], len(data) - n
             columns = list(zip(*rows)) or [()] * 7
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.bool_()]
             return pa.RecordBatch.from_arrays([pa.array(c, k_) for c, k_ in zip(columns, kinds)] + [pa.array(coded, pa.binary())],
                                               names=[c.split()[0] for c in FILE_SCHEMA.split(", ")])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py()) + end
-                held.append(ids)
-                marks.append((doc, number, len(ids) // 4))
-                number, size = number + 1, size + len(ids) // 4
+            docs, at = batch.column(0).to_pylist(), 0
+            for ids, counts in encode(batch.column(1).to_pylist()):
+                held.append(np.insert(ids, np.cumsum(counts), end_id))
+                marks += zip(docs[at:at + len(counts)], range(number, number + len(counts)), (counts + 1).tolist())
+                at, number, size = at + len(counts), number + len(counts), size + len(held[-1])
                 if size >= LANES * BLOCK:
                     yield flush(False)
         if size:
@@ -94,8 +99,8 @@ def read_tokens(spark: SparkSession, folder: str, vocabulary: int, id_col: str =
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, LANES):
-                rows = batch.slice(lo, LANES).to_pylist()
+            for lo, hi in _shares(batch.num_rows):
+                rows = batch.slice(lo, hi - lo).to_pylist()
                 out = []
                 for row, ids in zip(rows, decode_blocks([r["payload"] for r in rows], vocabulary)):
                     raw, at = ids.astype("<u4").tobytes(), 0

@@ -93,6 +93,32 @@ def test_range_coder_on_alphabets_of_any_size(vocabulary):
         range_coder.encode_blocks([np.zeros(4097, dtype=np.uint32)], vocabulary)
 
 
+def test_stretches_of_a_block_are_coded_in_step():
+    rng = np.random.default_rng(8)
+    sizes = [0, 1, 63, 64, 65, 127, 128, 129, 511, 513, 520, 4089, 4095, 4096]
+    blocks = [(rng.pareto(1, n) % 49408).astype(np.uint32) for n in sizes]
+    # the steps follow a stretch, an eighth of a block, and all of its lanes learn together
+    lanes = range_coder._Lanes(np.array(sizes))
+    assert lanes.steps == len(lanes.active) == 512 and lanes.active[-1] == 7 + 7 + 8
+    coded = range_coder.encode_blocks(blocks, 49408)
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, range_coder.decode_blocks(coded, 49408), strict=True))
+    assert coded == [range_coder.encode_blocks([b], 49408)[0] for b in blocks]
+
+
+def test_many_texts_at_once_are_cut_as_the_library_cuts_them():
+    rng = random.Random(10)
+    marks = list("abABzé'ßÄıİ\n\t\r,.!?<|>0129²½ª×÷_-\\[]{}~^`´“”µ\x00\x1c\x85") + ["'s", "'ll", "<|endoftext|>", "word", "WORDS", "Ünder", " ", " ", " "]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randrange(0, 30))) for _ in range(3000)] + ["", " ", "é", "a" * 70 + " " + "b" * 70, "x" * 70 + "é x"]
+    library = Tokenizer.from_file(WORD)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for limit in (40, 1_000_000):
+        encoder = TextEncoder(WORD, "drop", limit=limit)
+        for part in (slice(0, 1), slice(0, 100), slice(0, None), slice(0, None)):
+            ids, counts = (np.concatenate(x) for x in zip(*encoder.encode_many(texts[part])))
+            assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want[part]
+    assert list(encoder.encode_many([])) == []
+
+
 def test_words_are_cut_as_the_library_cuts_them():
     rng = random.Random(9)
     marks = list("abABzé'ßÄıİ\n\t\r,.!?<|>0129²½ª×÷_-\\[]{}~^`´“”µ\x00\x1c\x85") + ["'s", "'ll", "<|endoftext|>", "word", "Ünder", " ", " "]
