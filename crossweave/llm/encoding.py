@@ -29,7 +29,8 @@ for _kind, _bytes in ((_MARK, b"!\"#$%&()*+,-./:;=>?@[\\]^_`{}~"), (_DIGIT, b"01
     _KIND[list(_bytes)] = _kind
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_TEXT_AT_ONCE = 1 << 22
+# Characters of texts that are cut at once, and how often that is done before their pieces are looked up.
+_TEXT_AT_ONCE, _PARTS_AT_ONCE = 1 << 22, 4
 
 
 class _Known(dict):
@@ -123,10 +124,10 @@ class _Words:
         words = text.split(" ")
         return b"".join(self._look(words[i:i + _AT_ONCE]) for i in range(0, len(words), _AT_ONCE))
 
-    def many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of these texts, one after the other, and how many each has.
+    def _cut(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of these texts, one after the other, and how many come before each text and after the last.
 
-        All texts are cut at once where the kind of a byte changes, before each digit too; every distinct piece is then looked up once.
+        All texts are cut at once where the kind of a byte changes, before each digit too; white space, which has no ids, is left out.
         Words between spaces that hold a byte of no such kind stay whole.
         """
         data = np.frombuffer(" ".join([*texts, ""]).encode(), dtype=np.uint8)
@@ -157,21 +158,27 @@ class _Words:
             kind = np.where(inside, _ODD, kind)
         start = np.flatnonzero(cut)
         length = np.diff(start, append=len(data))
-        # white space has no ids
         some = np.flatnonzero(kind[start])
-        start, length = start[some], length[some]
-        small = small[kind != _SPACE]
-        del cut, odd, data
-        edges = np.concatenate([[0], np.cumsum(length)])
-        pieces = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(edges), pa.py_buffer(small)).dictionary_encode()
-        raw, which = self.each(pieces.dictionary.to_pylist()), pieces.indices.to_numpy()
-        del pieces, edges, length, some, small, kind
+        start = start[some]
+        edges = np.concatenate([[0], np.cumsum(length[some])])
+        pieces = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(edges), pa.py_buffer(small[kind != _SPACE])).dictionary_encode()
+        return pieces, np.searchsorted(start, np.concatenate([[0], np.cumsum(sizes)]))
+
+    def many(self, parts: list[list[str]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each list of texts: their ids, one after the other, and how many each text has. Every distinct piece of all is looked up once."""
+        cut = [self._cut(texts) for texts in parts]
+        pieces = pa.chunked_array([p for p, _ in cut]).unify_dictionaries()
+        raw = self.each(pieces.chunk(0).dictionary.to_pylist())
         size, flat = np.fromiter(map(len, raw), np.int64, len(raw)) // 4, np.frombuffer(b"".join(raw), dtype="<u4")
-        n = size[which]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        at = np.repeat((np.cumsum(size) - size)[which] - ends[:-1], n)
-        at += np.arange(len(at))
-        return flat[at], np.diff(ends[np.searchsorted(start, np.concatenate([[0], np.cumsum(sizes)]))])
+        first = np.cumsum(size) - size
+        del raw
+        for chunk, (_, texts) in zip(pieces.chunks, cut):
+            which = chunk.indices.to_numpy()
+            n = size[which]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            at = np.repeat(first[which] - ends[:-1], n)
+            at += np.arange(len(at))
+            yield flat[at], np.diff(ends[texts])
 
 
 class TextEncoder:
@@ -204,19 +211,28 @@ class TextEncoder:
         return (self.first[parts[0]] if parts[0] else b"") + b"".join(map(self.later.__getitem__, parts[1:]))
 
     def encode_many(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The ids of consecutive texts as one array, and how many each has, for as many texts at a time as are worth it."""
-        held: list[str] = []
-        size = 0
-        for k, text in enumerate(texts, 1):
-            held.append(text or "")
-            size += len(held[-1])
-            if size >= _TEXT_AT_ONCE or k == len(texts):
-                if self.spaces == "drop":
-                    yield self.words.many(held)
-                else:
-                    raw = list(map(self.encode, held))
-                    yield np.frombuffer(b"".join(raw), dtype="<u4"), np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-                held, size = [], 0
+        """The ids of consecutive texts as one array, and how many each has, for some texts at a time."""
+        parts: list[list[str]] = []
+        size = _TEXT_AT_ONCE
+        for text in texts:
+            if size >= _TEXT_AT_ONCE:
+                if len(parts) == _PARTS_AT_ONCE:
+                    yield from self._parts(parts)
+                    parts = []
+                parts.append([])
+                size = 0
+            parts[-1].append(text or "")
+            size += len(parts[-1][-1])
+        if parts:
+            yield from self._parts(parts)
+
+    def _parts(self, parts: list[list[str]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if self.spaces == "drop":
+            yield from self.words.many(parts)
+        else:
+            for part in parts:
+                raw = list(map(self.encode, part))
+                yield np.frombuffer(b"".join(raw), dtype="<u4"), np.fromiter(map(len, raw), np.int64, len(raw)) // 4
 
 
 def encoder(path: str, spaces: str, memory: int = 1_600_000) -> TextEncoder:

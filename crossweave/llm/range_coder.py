@@ -26,6 +26,7 @@ BLOCK = 4096
 #: Stretches of a block, and least ids of one where a block has several.
 WAYS, LEAST_IDS = 8, 64
 SLOTS = 1 << 11
+GRID_BITS = 11
 GAIN, SHARE_GAIN, SHARE_LIMIT = 8, 24, 1 << 12
 # three shares of a context in one number, each with those before it: order 2, order 1, escape
 _FIELD = (1 << 20) - 1
@@ -68,7 +69,9 @@ class _Model:
 
     def __init__(self, known: np.ndarray, lanes: _Lanes):
         edges = np.concatenate([[0], np.cumsum(known)]).astype(np.int64)
+        self.edges, self.block = edges, lanes.block
         self.start, self.end = edges[lanes.block], edges[lanes.block + 1]
+        self.local = (np.arange(edges[-1]) - np.repeat(edges[:-1], known)).astype(np.int16)
         self.counts = np.ones(edges[-1], dtype=np.int64)
         self.sums = np.zeros(edges[-1] + 1, dtype=np.int64)
         self.by_one = np.full(edges[-1], _NOTHING, dtype=np.int16)
@@ -79,11 +82,11 @@ class _Model:
         self.mark = np.zeros(len(lanes.block), dtype=np.int64)  # of the place before the last one
         self.due, self.seen = 0, []
 
-    def refresh(self, k: int) -> None:
+    def refresh(self, k: int) -> bool:
         """Takes over what was counted since the last time, less and less often: frequencies of order 0, and shares that have grown large."""
         if k < self.due:
-            return
-        self.due = k + max(4, k >> 3)
+            return False
+        self.due = k + max(4, k >> 1)
         if self.seen:
             np.add.at(self.counts, np.concatenate(self.seen), GAIN)
             self.seen = []
@@ -92,6 +95,31 @@ class _Model:
         self.total = self.sums[self.end] - self.base
         full = np.flatnonzero(self.shares >> 40 > SHARE_LIMIT)
         self.shares[full] = (self.shares[full] >> 1 & _HALVES) + _STEPS
+        return True
+
+    def list_places(self) -> None:
+        """For find(): each block's sums in at most 2 ** GRID_BITS equal parts, and the place in which each part begins."""
+        base, total = self.sums[self.edges[:-1]], np.diff(self.sums[self.edges])
+        shift = np.maximum(np.frexp(total - 1)[1] - GRID_BITS, 0).astype(np.int64)
+        parts = np.where(total > 0, (total - 1 >> shift) + 1, 0)
+        first, known = np.cumsum(parts) - parts, np.diff(self.edges)
+        begin = self.sums[:-1] - np.repeat(base, known)
+        rounding, shifts = np.repeat((1 << shift) - 1, known), np.repeat(shift, known)
+        begin = (begin + rounding >> shifts) + np.repeat(first, known)
+        self.parts = np.repeat(self.local, np.diff(begin, append=parts.sum()))
+        self.shift, self.first = shift[self.block], first[self.block]
+
+    def find(self, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where order 0 counts the place that each number below the total falls on, and the sum with it."""
+        n = len(inside)
+        at = self.parts.take((inside >> self.shift[:n]) + self.first[:n]) + self.start[:n]
+        inside = inside + self.base[:n]
+        at += self.sums.take(at + 1) <= inside
+        right = self.sums.take(at + 1)
+        later = np.flatnonzero(right <= inside)
+        at[later] = self.sums.searchsorted(inside[later], side="right") - 1
+        right[later] = self.sums.take(at[later] + 1)
+        return at, right
 
     def predict(self, n: int):
         """Places that orders 1 and 2 name, and the upper edges of the three shares."""
@@ -233,7 +261,8 @@ def decode_blocks(coded: list[bytes], vocabulary: int) -> list[np.ndarray]:
     model = _Model(np.array([len(ids) for ids in known], dtype=np.int64), lanes)
     places = np.zeros((lanes.steps, count), dtype=np.int16)
     for k, n in enumerate(lanes.active):
-        model.refresh(k)
+        if model.refresh(k):
+            model.list_places()
         p1, p2, edge2, edge1, edge = model.predict(n)
         total = model.total[:n]
         step = width[:n] // (edge * total)
@@ -243,11 +272,10 @@ def decode_blocks(coded: list[bytes], vocabulary: int) -> list[np.ndarray]:
         flag = 2 - in1 - in2.astype(np.int64)
         rest, base = edge - edge1, model.base[:n]
         # what the divisions leave over belongs to no place, nor does what lies before the escape
-        inside = np.minimum(np.maximum(target - second, 0) // rest, total - 1) + base
-        at = model.sums.searchsorted(inside, side="right") - 1
+        at, right = model.find(np.minimum(np.maximum(target - second, 0) // rest, total - 1))
         left = model.sums.take(at)
         from_ = np.where(in2, 0, np.where(in1, first, second + rest * (left - base)))
-        size = np.where(in2, first, np.where(in1, second - first, rest * (model.sums.take(at + 1) - left)))
+        size = np.where(in2, first, np.where(in1, second - first, rest * (right - left)))
         x = np.where(in2, p2, np.where(in1, p1, (at - model.start[:n]).astype(np.int16)))
         code[:n] -= from_ * step
         width[:n] = size * step
