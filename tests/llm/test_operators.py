@@ -402,6 +402,26 @@ def test_secrets_are_told_by_their_shape(spark):
         assert marked == want or 40 <= i < 60
 
 
+def test_suffix_order_and_extension_match_brute_force(monkeypatch):
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 5, 50, 400):
+        for k in (1, 2, 4, 60_000):
+            text = np.append(rng.integers(0, k, n), 60_001)
+            order = bwt_repeats.suffix_order(text)
+            suffixes = sorted((text[i:].tolist(), i) for i in range(n + 1))
+            assert order.tolist() == [i for _, i in suffixes]
+            shared = [next((m for m, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for (a, _), (b, _) in zip(suffixes, suffixes[1:])]
+            for length in (1, 2, 3, 9):
+                assert bwt_repeats.undecided(text[order - 1], length).tolist() == [i for i, m in enumerate(shared, 1) if m >= length]
+    # one long repeat is sorted again and again, but what is told apart is not
+    text = np.append(rng.integers(0, 256, 20_000), 60_001)
+    text[15_000:15_300] = text[5_000:5_300]
+    sorted_, argsort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, **how: sorted_.append(len(x)) or argsort(x, **how))
+    bwt_repeats.suffix_order(text)
+    assert sum(sorted_) < 2 * len(text)
+
+
 @pytest.mark.parametrize("gram,group", [(8, 20_000), (20, 20_000), (40, 20_000), (8, 3)])
 def test_long_repeats(spark, monkeypatch, gram, group):
     monkeypatch.setattr(bwt_repeats, "GROUP", group)
