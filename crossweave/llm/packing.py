@@ -121,9 +121,9 @@ def pack_documents(docs: DataFrame, path: str, spaces: str, end_id: int, tiers:
                    memory: int = 1_600_000) -> DataFrame:
     """One row per piece: where it comes from, its checksum, and its place in a sequence.
 
-    Texts are encoded and packed in the task that reads them, so no token crosses the network and no group
+    Texts are encoded, some megabytes at a time, and packed in the task that reads them, so no token crosses the network and no group
     is gathered; at most about `pool` tokens wait in a task, and a worker
-    remembers the ids of up to `memory` chunks (it changes the speed only). A task leaves one sequence that may need padding.
+    remembers the ids of up to `memory` pieces (it changes the speed only). A task leaves one sequence that may need padding.
     with_ids adds the ids themselves. step_group numbers groups of sequences with equal numbers of tokens.
 
     A null text is empty and has end_id only; null ids and repeated rows are packed like any other row;
@@ -132,7 +132,7 @@ def pack_documents(docs: DataFrame, path: str, spaces: str, end_id: int, tiers:
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path, spaces, memory).encode, end_id.to_bytes(4, "little")
+        encode, end = encoder(path, spaces, memory).encode_many, end_id.to_bytes(4, "little")
         packer = Packer(tiers, step)
         base = TaskContext.get().partitionId() << 32
         sequence = group_no = 0
@@ -157,13 +157,17 @@ def pack_documents(docs: DataFrame, path: str, spaces: str, end_id: int, tiers:
 
         for batch in batches:
             kind = batch.schema.field(0).type
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py()) + end
-                packer.add((doc, ids), len(ids) // 4)
-                if packer.held > pool:
-                    packer.pack(pool // 2)
-                if len(packer.groups) > 64:
-                    yield emit()
+            docs = iter(batch.column(0).to_pylist())
+            for many, counts in encode(text.as_py() for text in batch.column(1)):
+                raw, at = many.tobytes(), 0
+                for n in counts.tolist():
+                    ids = raw[at:at + 4 * n] + end
+                    at += 4 * n
+                    packer.add((next(docs), ids), n + 1)
+                    if packer.held > pool:
+                        packer.pack(pool // 2)
+                    if len(packer.groups) > 64:
+                        yield emit()
         packer.finish()
         if packer.groups:
             yield emit()

@@ -119,6 +119,40 @@ def test_many_texts_at_once_are_cut_as_the_library_cuts_them():
     assert list(encoder.encode_many([])) == []
 
 
+def test_many_texts_with_leading_spaces_are_cut_as_the_library_cuts_them():
+    rng = random.Random(11)
+    marks = list("abABzé'ßÄıİ\n\t\r,.!?<|>0129²½ª×÷_-\\[]{}~^`´“”µ\x00\x1c\x85\xa0\x0b") + ["'s", "'ll", "\u3000", "\u2009", "漢字", "😀", "\u0301", "<|endoftext|>", "word", "Ünder"]
+    pools = [marks + ["\n\n", "  "] + [" "] * 6, list("ab1,' \n\té<"), marks[:38] + [" "] * 8]
+    texts = ["".join(rng.choice(pools[k % 3]) for _ in range(rng.randrange(0, 30))) for k in range(6000)]
+    texts += ["", " ", "\n\n", "\x0b", "a" * 70 + " " + "b" * 70, "x" * 70 + "é x", "a\n\n<|endoftext|>"]
+    want = [x.ids for x in Tokenizer.from_file(BYTE).encode_batch(texts, add_special_tokens=False)]
+    for limit in (40, 1_000_000):
+        encoder = TextEncoder(BYTE, "lead", limit=limit)
+        for part in (slice(0, 1), slice(-4, -3), slice(0, 100), slice(0, None), slice(0, None)):
+            ids, counts = (np.concatenate(x) for x in zip(*encoder.encode_many(texts[part])))
+            assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want[part]
+
+
+def test_plain_words_do_not_go_through_the_library_one_by_one():
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.calls = tokenizer, 0
+
+        def __getattr__(self, name):
+            self.calls += name == "encode"
+            return getattr(self.tokenizer, name)
+
+    text = " ".join(f"{a}{b}{c}{m}" for a in "abcdefgh" for b in "klmnop" for c in "stuvw" for m in (",", ".", ".\nThe", " 12"))
+    encoder, counted = TextEncoder(BYTE, "lead"), []
+    for holder in [x for x in vars(encoder).values() if hasattr(x, "tokenizer")]:
+        holder.tokenizer = Counted(holder.tokenizer)
+        counted.append(holder.tokenizer)
+    ids, counts = next(encoder.encode_many([text, None, text]))
+    want = Tokenizer.from_file(BYTE).encode(text, add_special_tokens=False).ids
+    assert ids.tolist() == want * 2 and counts.tolist() == [len(want), 0, len(want)]
+    assert sum(c.calls for c in counted) == 0
+
+
 def test_words_are_cut_as_the_library_cuts_them():
     rng = random.Random(9)
     marks = list("abABzé'ßÄıİ\n\t\r,.!?<|>0129²½ª×÷_-\\[]{}~^`´“”µ\x00\x1c\x85") + ["'s", "'ll", "<|endoftext|>", "word", "Ünder", " ", " "]
